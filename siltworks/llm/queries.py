@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, spbpe, winnow
-from .common import table
+from . import huffman, minhash, spbpe, winnow
+from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +24,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shared_dir(spark)
+    huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), store)
+    return huffman.read_ids(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spbpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
 
 
-QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op7_decontaminate": op7_decontaminate, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op10_sentencepiece": op10_sentencepiece}
 ORACLE: dict[str, str] = {}
