@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, minhash, spbpe, winnow
+from . import crossparse, huffman, minhash, spbpe, winnow
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,16 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crossparse.fit(docs.where(~held_out()))
+    return crossparse.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["stop"] - x["begin"])
@@ -34,5 +44,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spbpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
 
 
-QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op6_language": op6_language, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op10_sentencepiece": op10_sentencepiece}
 ORACLE: dict[str, str] = {}
