@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crossparse, huffman, minhash, spbpe, winnow
+from . import cascade, crossparse, huffman, impact, minhash, spbpe, winnow
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,22 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = impact.vectors(table(spark, sf_dir, "embeddings"))
+    return impact.top_k(base, base.where("vec_id % 100 = 0"))
+
+
+#: (verdict, host, path)
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Domains that are blocked where no rule decides.
+LISTED = ["casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "casino-win.example.org", "cheap-pills.example.org", "free-bets.example.org"]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
+    return cascade.judge(table(spark, sf_dir, "pages"), RULES, listed)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -44,5 +60,28 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spbpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
 
 
-QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op6_language": op6_language, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op10_sentencepiece": op10_sentencepiece}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op4_topk": op4_topk, "op5_urls": op5_urls, "op6_language": op6_language, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op10_sentencepiece": op10_sentencepiece}
+ORACLE: dict[str, str] = {
+    "op4_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(q.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op5_urls": """
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(x, length(regexp_extract(x, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
+rules(verdict, h, p) AS (VALUES """
+    + ", ".join(map(str, RULES))
+    + """),
+listed(k) AS (VALUES """
+    + ", ".join(f"('{k}')" for k in LISTED)
+    + """),
+f AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n
+      FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+m AS (SELECT DISTINCT page_id FROM b JOIN listed ON host = k OR ends_with(host, '.' || k))
+SELECT b.page_id, host, path, rule, coalesce(verdict, CASE WHEN m.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM b LEFT JOIN f ON f.page_id = b.page_id AND n = 1 LEFT JOIN m ON m.page_id = b.page_id""",
+}
