@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, crossparse, huffman, impact, minhash, spbpe, winnow
+from . import cascade, crossparse, huffman, impact, minhash, secrets, spbpe, winnow
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,13 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    digest = F.sha2(secrets.joined_spans(secrets.base_only(spans)).cast("binary"), 256)
+    return found.select("doc_id", *[secrets.number_of(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")], digest.alias("base_sha256"), secrets.joined_spans(spans).alias("spans"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = impact.vectors(table(spark, sf_dir, "embeddings"))
     return impact.top_k(base, base.where("vec_id % 100 = 0"))
@@ -60,7 +67,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spbpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
 
 
-QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op4_topk": op4_topk, "op5_urls": op5_urls, "op6_language": op6_language, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_urls": op5_urls, "op6_language": op6_language, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op10_sentencepiece": op10_sentencepiece}
 ORACLE: dict[str, str] = {
     "op4_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
