@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, crossparse, huffman, impact, minhash, secrets, spbpe, winnow
+from . import cascade, crossparse, huffman, impact, minhash, secrets, spbpe, suffixdedup, winnow
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,11 +63,15 @@ def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spbpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
 
 
-QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_urls": op5_urls, "op6_language": op6_language, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_urls": op5_urls, "op6_language": op6_language, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op9_suffix": op9_suffix, "op10_sentencepiece": op10_sentencepiece}
 ORACLE: dict[str, str] = {
     "op4_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
