@@ -8,12 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, crossparse, huffman, impact, minhash, secrets, spbpe, suffixdedup, winnow
+from . import cascade, crossparse, huffman, impact, licenses, minhash, secrets, spbpe, suffixdedup, winnow
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths, so each digit of a doc_id but the last is a directory below its source; they have no licence files, so headers speak for directories."""
+    docs = table(spark, sf_dir, "documents")
+    digits = F.split(F.col("doc_id").cast("string"), "")
+    path = F.concat_ws("/", "source", F.array_join(F.slice(digits, F.lit(1), F.greatest(F.size(digits) - 1, F.lit(0))), "/"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.regexp_replace(path, "//+", "/")
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), headers_declare=True)
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,7 +80,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spbpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
 
 
-QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_urls": op5_urls, "op6_language": op6_language, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op9_suffix": op9_suffix, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Query] = {"op1_licenses": op1_licenses, "op2_minhash": op2_minhash, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_urls": op5_urls, "op6_language": op6_language, "op7_decontaminate": op7_decontaminate, "op8_huffman": op8_huffman, "op9_suffix": op9_suffix, "op10_sentencepiece": op10_sentencepiece}
 ORACLE: dict[str, str] = {
     "op4_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -190,15 +190,16 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), F.aggregate(pieces, zero, step)["spans"]).otherwise(F.expr(f"cast(array() as array<{row}>)"))
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: str | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, text, spans array<struct<start, rank, kind, stop>>, by start and then in the rules' order; one row per input row.
 
     start and stop count code points, stop exclusive. A null text is empty and has no spans. Rows that repeat a doc_id are
-    told apart by their text; equal rows have equal spans. Other columns are ignored.
+    told apart by their text; equal rows have equal spans. ``carry`` names one more column to return; others are ignored.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     wanted = sorted(set().union(*(trigrams(q) for q in queries.values())))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
+    more = [carry] if carry else []
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("row", F.xxhash64("text"))
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     grams = F.filter(F.array(*map(F.lit, wanted)), lambda g: F.contains(F.col("low"), g))
     postings = base.select("doc_id", "row", low.alias("low")).select("doc_id", "row", F.explode(grams).alias("gram"))
@@ -209,8 +210,8 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     joined = base.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")), "left")
     found = [_spans(F.col("text"), r) if queries[r.kind] is True else F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), r)) for r in rules]
     names = [f"s{i}" for i in range(len(rules))]
-    each = joined.select("doc_id", "text", *[c.alias(n) for c, n in zip(found, names, strict=True)])
-    return each.select("doc_id", "text", F.array_sort(F.flatten(F.filter(F.array(*names), lambda x: x.isNotNull()))).alias("spans"))
+    each = joined.select("doc_id", "text", *more, *[c.alias(n) for c, n in zip(found, names, strict=True)])
+    return each.select("doc_id", "text", *more, F.array_sort(F.flatten(F.filter(F.array(*names), lambda x: x.isNotNull()))).alias("spans"))
 
 
 def joined_spans(spans: Column) -> Column:
