@@ -1 +1 @@
-
+"""The conformance operators, each a function from DataFrames to a DataFrame."""

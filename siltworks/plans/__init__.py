@@ -1 +1 @@
-
+"""Whole plans: from a raw table to conformed rows, issues and summaries."""
