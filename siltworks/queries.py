@@ -1,4 +1,645 @@
-"""The registered queries of the conformance operators."""
+"""The registered queries of the conformance operators, each over whole tables, with the SQL that each is held against.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+The driver's tables are clean, so dirty text is derived from their keys by the same arithmetic in both languages.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import normalize as N
+from .functions.exprs import text
+from .model import Contract, TransformSpec, make_contract
+from .operators import assemble, export, mapping, profile, quality, review, validate
+from .plans.conform import conform
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# One recipe in both languages: k is c_custkey.
+_RECIPE = {
+    "raw_id": "'C-' || cast(k - case when k % 50 = 0 and k > 0 then 1 else 0 end as {s})",
+    "raw_name": "case when k % 17 = 0 then 'N/A' when k % 19 = 0 then '' when k % 5 = 0 then '  ' || c_name || '  ' else c_name end",
+    "raw_email": "case when k % 23 = 0 then 'not-an-email' when k % 29 = 0 then 'user ' || cast(k as {s}) || '@example.com' else 'User' || cast(k as {s}) || '@Example.COM' end",
+    "raw_phone": "case k % 4 when 0 then '052-' || lpad(cast(k % 10000000 as {s}), 7, '0') when 1 then '+97252' || lpad(cast(k % 10000000 as {s}), 7, '0') when 2 then '(212) 555-' || lpad(cast(k % 10000 as {s}), 4, '0') else '05012ABC' end",
+    "raw_country": "case c_nationkey % 8 when 0 then 'Israel' when 1 then 'IL' when 2 then 'ISR' when 3 then 'UK' when 4 then 'Deutschland' when 5 then 'USA' when 6 then 'Isreal' else '' end",
+    "raw_amount": "case k % 6 when 0 then cast(cents as {s}) || '.25' when 1 then '₪' || cast(cents as {s}) || ',250.50' when 2 then cast(cents as {s}) || '.250,75' when 3 then '(' || cast(cents as {s}) || '.00)' when 4 then cast(cents % 900 + 1 as {s}) || ',299' else 'abc' end",
+    "raw_bool": "case k % 7 when 0 then 'Yes' when 1 then 'n' when 2 then 'TRUE' when 3 then '0' when 4 then 'off' when 5 then 'maybe' else ' T ' end",
+    "raw_ccy": "case k % 6 when 0 then 'usd' when 1 then '$' when 2 then 'euro' when 3 then '₪' when 4 then 'GBP' else 'Zorkmid' end",
+    "raw_int": "case k % 5 when 0 then cast(k as {s}) || '.0' when 1 then '00' || cast(k as {s}) when 2 then '-' || cast(k as {s}) when 3 then '+' || cast(k as {s}) else cast(k as {s}) || '.5' end",
+    "raw_url": "case k % 4 when 0 then 'example.com/' || cast(k as {s}) when 1 then 'HTTP://shop.example.org' when 2 then 'not a url' else 'https://a-b.example.net/x?y=' || cast(k as {s}) end",
+}
+
+
+def _recipe(string: str) -> str:
+    return ", ".join(f"{sql.format(s=string)} AS {name}" for name, sql in _RECIPE.items())
+
+
+_DATES = {
+    "spark": "case k % 5 when 0 then date_format(d, 'yyyy-MM-dd') when 1 then date_format(d, 'dd/MM/yyyy') when 2 then date_format(d, 'dd.MM.yyyy') when 3 then date_format(d, 'MMM d yyyy') else '31/02/2025' end AS raw_date",
+    "duck": "case k % 5 when 0 then strftime(d, '%Y-%m-%d') when 1 then strftime(d, '%d/%m/%Y') when 2 then strftime(d, '%d.%m.%Y') when 3 then strftime(d, '%b %-d %Y') else '31/02/2025' end AS raw_date",
+}
+
+
+def dirty_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_name", "c_nationkey", "c_custkey % 90000 AS cents", "date_add(date '2020-01-01', cast(c_custkey % 2000 as int)) AS d")
+    return base.selectExpr("k AS row_index", *[f"{sql.format(s='string')} AS {name}" for name, sql in _RECIPE.items()], _DATES["spark"])
+
+
+DC = f"""base AS (SELECT c_custkey AS k, c_name, c_nationkey, c_custkey % 90000 AS cents, date '2020-01-01' + cast(c_custkey % 2000 AS integer) AS d FROM customer),
+dc AS (SELECT k AS row_index, {_recipe("varchar")}, {_DATES["duck"]} FROM base)"""
+
+# ---- twins of the normalizers in SQL, written for the recipe's values
+TRIM = "nullif(regexp_replace(trim({0}, ' '), ' +', ' ', 'g'), '')"
+CLEAN = f"CASE WHEN lower(trim(coalesce({TRIM}, ''))) IN ('', 'n/a', 'na', 'null', 'none', 'nil', '-', '--', '—', '?', '#n/a', 'nan') THEN NULL ELSE {TRIM} END"
+EMAIL_OK = r"regexp_full_match({0}, '[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~-]+)*@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z][a-z0-9-]*[a-z0-9]')"
+MAIL = "CASE WHEN contains({0}, '@') THEN regexp_extract({0}, '^(.*)@', 1) || '@' || lower(regexp_extract({0}, '@([^@]*)$', 1)) ELSE {0} END"
+ISO = "CASE WHEN regexp_full_match(raw_date, '\\d{4}-\\d{2}-\\d{2}') THEN try_strptime(raw_date, '%Y-%m-%d') WHEN regexp_full_match(raw_date, '\\d{2}[/.]\\d{2}[/.]\\d{4}') THEN try_strptime(replace(raw_date, '.', '/'), '%d/%m/%Y') ELSE try_strptime(raw_date, '%b %-d %Y') END"
+
+
+def normalized(spark: SparkSession, sf_dir: str, column: str, fn) -> DataFrame:
+    return dirty_customer(spark, sf_dir).select("row_index", F.col(column).alias("raw"), fn(F.col(column)).alias("r")).select("row_index", "raw", "r.value", "r.warning")
+
+
+# ---- flagship
+MAPPING = {"raw_id": "customer_id", "raw_name": "customer_name", "raw_email": "email"}
+
+
+def flagship_contract() -> Contract:
+    return make_contract("Customer", [
+        {"name": "customer_id", "unique": True},
+        {"name": "customer_name", "required": True, "rules": {"min_length": 2, "max_length": 120}},
+        {"name": "email", "type": "email", "required": True, "unique": True},
+    ])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conform(dirty_customer(spark, sf_dir).select("row_index", *MAPPING), flagship_contract(), MAPPING)
+
+
+CHECKED = f"""{DC}, t AS (SELECT row_index, raw_id, raw_name, raw_email, {CLEAN.format("raw_id")} AS customer_id, {CLEAN.format("raw_name")} AS customer_name, {MAIL.format("(" + CLEAN.format("raw_email") + ")")} AS email FROM dc),
+i AS (
+  SELECT row_index, 1 AS seq, 'customer_id' AS field, 'ERROR' AS severity, 'duplicate' AS code, 'Duplicate value' AS message, raw_id AS original_value FROM t WHERE customer_id IN (SELECT customer_id FROM t GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT row_index, 12, 'customer_name', 'ERROR', 'required_missing', 'Missing required value', raw_name FROM t WHERE customer_name IS NULL
+  UNION ALL SELECT row_index, 15, 'customer_name', 'ERROR', 'min_length', 'Shorter than 2 characters', raw_name FROM t WHERE length(customer_name) < 2
+  UNION ALL SELECT row_index, 16, 'customer_name', 'ERROR', 'max_length', 'Longer than 120 characters', raw_name FROM t WHERE length(customer_name) > 120
+  UNION ALL SELECT row_index, 24, 'email', 'ERROR', 'required_missing', 'Missing required value', raw_email FROM t WHERE email IS NULL
+  UNION ALL SELECT row_index, 25, 'email', 'ERROR', 'duplicate', 'Duplicate value', raw_email FROM t WHERE email IN (SELECT email FROM t WHERE email IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT row_index, 26, 'email', 'ERROR', 'email_invalid', 'Invalid email', raw_email FROM t WHERE email IS NOT NULL AND NOT {EMAIL_OK.format("email")}),
+st AS (SELECT t.row_index, CASE WHEN count(i.row_index) > 0 THEN 'error' ELSE 'ready' END AS row_status FROM t LEFT JOIN i USING (row_index) GROUP BY 1)"""
+
+
+@query(f"""WITH {CHECKED}
+SELECT count(*) AS rows, count(*) FILTER (row_status = 'ready') AS ready, CAST(0 AS BIGINT) AS warning, count(*) FILTER (row_status = 'error') AS error,
+  (SELECT count(*) FROM i) AS n_error, CAST(0 AS BIGINT) AS n_warning, CAST(0 AS BIGINT) AS n_info, count(*) FILTER (row_status = 'ready') AS importable,
+  round(100.0 * count(*) FILTER (row_status = 'ready') / count(*), 1) AS ready_pct FROM st""")
+def flagship_quality_summary(spark, sf_dir):
+    return quality.summary(flagship(spark, sf_dir))
+
+
+@query(f"WITH {CHECKED} SELECT row_index, seq, field, severity, code, message, original_value FROM i")
+def issues_long(spark, sf_dir):
+    return validate.issue_rows(flagship(spark, sf_dir))
+
+
+@query(f"WITH {CHECKED} SELECT row_index, row_status FROM st")
+def row_status(spark, sf_dir):
+    return flagship(spark, sf_dir).select("row_index", "row_status")
+
+
+@query(f"WITH {CHECKED} SELECT row_status, count(*) AS n FROM st GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return quality.status_counts(flagship(spark, sf_dir))
+
+
+@query(f"WITH {CHECKED} SELECT severity, count(*) AS n FROM i GROUP BY 1")
+def issue_counts(spark, sf_dir):
+    return quality.issue_counts(validate.issue_rows(flagship(spark, sf_dir)))
+
+
+@query(f"WITH {CHECKED} SELECT code, severity, field, count(*) AS n FROM i GROUP BY 1, 2, 3 ORDER BY n DESC, min(row_index * 1000 + seq) LIMIT 8")
+def top_issues(spark, sf_dir):
+    return quality.top_issues(validate.issue_rows(flagship(spark, sf_dir)))
+
+
+@query(f"WITH {CHECKED} SELECT row_index, row_status FROM st WHERE row_status <> 'ready'")
+def rows_by_status(spark, sf_dir):
+    return review.rows_by_status(flagship(spark, sf_dir), "issues").select("row_index", "row_status")
+
+
+@query(f"WITH {CHECKED} SELECT DISTINCT row_index FROM i WHERE field = 'email' AND code = 'email_invalid'")
+def rows_with_issue(spark, sf_dir):
+    return review.rows_with_issue(flagship(spark, sf_dir), "email", "email_invalid").select("row_index")
+
+
+@query(f"WITH {CHECKED} SELECT row_index FROM t WHERE contains(lower(concat_ws('|', customer_id, customer_name, email, raw_id, raw_name, raw_email)), 'user12')")
+def rows_search(spark, sf_dir):
+    return review.search(flagship(spark, sf_dir), ["customer_id", "customer_name", "email"], "USER12").select("row_index")
+
+
+@query(f"WITH {CHECKED} SELECT row_index, customer_name FROM t ORDER BY row_index LIMIT 25 OFFSET 50")
+def rows_page(spark, sf_dir):
+    return review.page(flagship(spark, sf_dir).select("row_index", "customer_name"), 3, 25, "row_index")
+
+
+@query(f"WITH {CHECKED} SELECT row_index, seq, field, code FROM i ORDER BY row_index NULLS FIRST, seq LIMIT 20 OFFSET 20")
+def issues_page(spark, sf_dir):
+    return review.page(validate.issue_rows(flagship(spark, sf_dir)).select("row_index", "seq", "field", "code"), 2, 20, "row_index", "seq")
+
+
+@query(f"WITH {CHECKED} SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 25.0)) AS BIGINT) AS pages FROM t")
+def page_totals(spark, sf_dir):
+    return review.page_count(flagship(spark, sf_dir), 25)
+
+
+@query(f"WITH {CHECKED} SELECT t.row_index, row_index + 2 AS row_number, row_status, email AS value, raw_email AS original, coalesce(string_agg(i.code, ',' ORDER BY seq) FILTER (i.field = 'email'), '') AS codes FROM t JOIN st USING (row_index) LEFT JOIN i USING (row_index) GROUP BY ALL")
+def row_views(spark, sf_dir):
+    view = review.row_view(flagship(spark, sf_dir), ["email"])
+    return view.select("row_index", "row_number", "row_status", "email.value", "email.original", F.array_join(F.transform("email.issues", lambda i: i["code"]), ",").alias("codes"))
+
+
+@query(f"WITH {CHECKED} SELECT row_index, customer_id, customer_name, email FROM t JOIN st USING (row_index) WHERE row_status <> 'error'")
+def export_scope(spark, sf_dir):
+    return export.scope(flagship(spark, sf_dir), "ready").select("row_index", "customer_id", "customer_name", "email")
+
+
+@query(f"WITH {CHECKED} SELECT t.row_index + 2 AS _row, string_agg(i.field || ': ' || i.message, '; ' ORDER BY seq) AS _issues, customer_id, customer_name, email FROM t JOIN i USING (row_index) GROUP BY ALL")
+def export_errors(spark, sf_dir):
+    return export.error_rows(flagship(spark, sf_dir), ["customer_id", "customer_name", "email"])
+
+
+@query(f"WITH {CHECKED} SELECT row_index, to_json({{'customer_id': customer_id, 'customer_name': customer_name, 'email': email}}) AS json FROM t")
+def export_json(spark, sf_dir):
+    return export.json_rows(flagship(spark, sf_dir), ["customer_id", "customer_name", "email"]).select("row_index", F.col("json").cast("string").alias("json"))
+
+
+@query(f"WITH {CHECKED} SELECT count(*) AS rows, count(*) FILTER (row_status = 'ready') AS ready, CAST(0 AS BIGINT) AS warning, count(*) FILTER (row_status = 'error') AS error, count(*) FILTER (row_status = 'ready') AS exported, (SELECT code FROM i GROUP BY code, severity, field ORDER BY count(*) DESC, min(row_index * 1000 + seq) LIMIT 1) AS first_code FROM st")
+def import_report(spark, sf_dir):
+    v = flagship(spark, sf_dir)
+    return export.report(v, validate.issue_rows(v), "Customer", "customers.csv").select("rows", "ready", "warning", "error", "exported", F.get("top_issues", F.lit(0))["code"].alias("first_code"))
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS row_index, -1 AS seq, 'status' AS field, 'ERROR' AS severity, 'required_field_unmapped' AS code, 'Required field \"Status\" is not mapped to any column' AS message, CAST(NULL AS VARCHAR) AS original_value")
+def dataset_issues(spark, sf_dir):
+    contract = make_contract("Orders", [{"name": "order_id", "required": True}, {"name": "status", "required": True}, {"name": "source", "required": True, "default": "web"}])
+    return validate.dataset_issues(spark, contract, {"order_id"})
+
+
+# ---- normalizers
+@query(f"WITH {DC} SELECT row_index, raw_name AS raw, {TRIM.format('raw_name')} AS value FROM dc")
+def norm_trim(spark, sf_dir):
+    return dirty_customer(spark, sf_dir).select("row_index", F.col("raw_name").alias("raw"), N.trim(F.col("raw_name")).alias("value"))
+
+
+@query(f"WITH {DC} SELECT row_index, CASE WHEN raw_name IN ('N/A', '') THEN NULL ELSE raw_name END AS value FROM dc")
+def norm_null_tokens(spark, sf_dir):
+    return dirty_customer(spark, sf_dir).select("row_index", N.null_tokens(F.col("raw_name")).alias("value"))
+
+
+@query("SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS title FROM part")
+def norm_case(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", N.case(F.col("p_name"), "upper").alias("up"), N.case(F.col("p_type"), "lower").alias("low"), N.case(F.col("p_name"), "title").alias("title"))
+
+
+@query(f"WITH {DC}, m AS (SELECT row_index, raw_email AS raw, {MAIL.format('raw_email')} AS value FROM dc) SELECT *, CASE WHEN NOT {EMAIL_OK.format('value')} THEN 'email_invalid' END AS warning FROM m")
+def norm_email(spark, sf_dir):
+    return normalized(spark, sf_dir, "raw_email", N.email)
+
+
+@query(f"""WITH {DC}, p AS (SELECT row_index, raw_phone AS raw, regexp_replace(raw_phone, '[^0-9]', '', 'g') AS g FROM dc)
+SELECT row_index, raw, CASE WHEN g LIKE '972%' THEN '+' || g WHEN row_index % 4 = 0 THEN '+972' || substr(g, 2) ELSE raw END AS value,
+  CASE WHEN regexp_matches(raw, '[A-Za-z]') OR length(g) < 6 THEN 'phone_invalid' WHEN row_index % 4 = 2 THEN 'phone_unparseable' END AS warning FROM p""")
+def norm_phone(spark, sf_dir):
+    return normalized(spark, sf_dir, "raw_phone", lambda c: N.phone(c, F.lit("Israel")))
+
+
+@query(f"WITH {DC} SELECT row_index, CASE row_index % 4 WHEN 0 THEN 'IL' WHEN 1 THEN 'IL' WHEN 2 THEN 'US' END AS region FROM dc")
+def phone_region(spark, sf_dir):
+    e164 = N.phone(F.col("raw_phone"), F.when(F.col("row_index") % 4 == 2, F.lit("US")).otherwise(F.lit("IL")))["value"]
+    return dirty_customer(spark, sf_dir).select("row_index", N.phone_region(e164).alias("region"))
+
+
+@query(f"""WITH {DC}, n(name, code) AS (VALUES ('Israel', 'IL'), ('IL', 'IL'), ('ISR', 'IL'), ('UK', 'GB'), ('Deutschland', 'DE'), ('USA', 'US'))
+SELECT row_index, raw_country AS raw, coalesce(code, raw_country) AS value, CASE WHEN code IS NULL THEN 'country_unknown' END AS warning FROM dc LEFT JOIN n ON name = raw_country""")
+def norm_country(spark, sf_dir):
+    return normalized(spark, sf_dir, "raw_country", N.country)
+
+
+@query(f"""WITH {DC}, n(name, code) AS (VALUES ('usd', 'USD'), ('euro', 'EUR'), ('₪', 'ILS'), ('GBP', 'GBP'))
+SELECT row_index, raw_ccy AS raw, coalesce(code, raw_ccy) AS value, CASE WHEN raw_ccy = '$' THEN 'currency_ambiguous' WHEN code IS NULL THEN 'currency_unknown' END AS warning FROM dc LEFT JOIN n ON name = raw_ccy""")
+def norm_currency(spark, sf_dir):
+    return normalized(spark, sf_dir, "raw_ccy", N.currency)
+
+
+@query(f"""WITH {DC} SELECT row_index, raw_bool AS raw, CASE WHEN lower(trim(raw_bool)) IN ('yes', 'true', 't') THEN 'true' WHEN lower(raw_bool) IN ('n', '0', 'off') THEN 'false' ELSE raw_bool END AS value, CASE WHEN raw_bool = 'maybe' THEN 'boolean_invalid' END AS warning FROM dc""")
+def norm_boolean(spark, sf_dir):
+    return normalized(spark, sf_dir, "raw_bool", N.boolean)
+
+
+@query(f"""WITH {DC} SELECT row_index, raw_int AS raw, CASE row_index % 5 WHEN 4 THEN raw_int WHEN 2 THEN cast(-row_index AS varchar) ELSE cast(row_index AS varchar) END AS value, CASE WHEN row_index % 5 = 4 THEN 'integer_invalid' END AS warning FROM dc""")
+def norm_integer(spark, sf_dir):
+    return normalized(spark, sf_dir, "raw_int", N.integer)
+
+
+@query(f"""WITH {DC}, c AS (SELECT *, cast(row_index % 90000 AS varchar) AS c FROM dc)
+SELECT row_index, raw_amount AS raw, CASE row_index % 6 WHEN 0 THEN c || '.25' WHEN 1 THEN c || '250.50' WHEN 2 THEN c || '250.75' WHEN 3 THEN '-' || c || '.00' ELSE raw_amount END AS value,
+  CASE row_index % 6 WHEN 4 THEN 'decimal_ambiguous' WHEN 5 THEN 'decimal_invalid' END AS warning FROM c""")
+def norm_decimal(spark, sf_dir):
+    return normalized(spark, sf_dir, "raw_amount", N.decimal)
+
+
+@query("WITH l AS (SELECT l_orderkey, l_linenumber, cast(l_extendedprice AS decimal(12,2)) AS p FROM lineitem) SELECT l_orderkey, l_linenumber, cast(p AS varchar) AS value FROM l")
+def norm_decimal_lines(spark, sf_dir):
+    """Prices written with a currency sign and groups of thousands, back to plain decimals."""
+    p = F.col("l_extendedprice").cast("decimal(12,2)")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.decimal(F.concat(F.lit("$"), F.format_number(p, 2)))["value"].alias("value"))
+
+
+@query(f"""WITH {DC}, x AS (SELECT row_index, raw_date AS raw, {ISO} AS t, try_cast(regexp_extract(raw_date, '^(\\d\\d)[/.](\\d\\d)', 1) AS int) AS a, try_cast(regexp_extract(raw_date, '^(\\d\\d)[/.](\\d\\d)', 2) AS int) AS b FROM dc)
+SELECT row_index, raw, coalesce(strftime(t, '%Y-%m-%d'), raw) AS value, CASE WHEN t IS NULL THEN 'date_invalid' WHEN a <= 12 AND b <= 12 AND a <> b THEN 'date_ambiguous' END AS warning FROM x""")
+def norm_date(spark, sf_dir):
+    return normalized(spark, sf_dir, "raw_date", N.date)
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || '+00:00' AS value FROM events")
+def norm_datetime(spark, sf_dir):
+    raw = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123Z"))
+    return table(spark, sf_dir, "events").select("event_id", N.datetime(raw)["value"].alias("value"))
+
+
+@query("SELECT CASE WHEN count(*) FILTER (day(o_orderdate) > 12) > 0 THEN true END AS dayfirst FROM orders")
+def infer_date_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"))
+    return spark.createDataFrame([(assemble.date_order(rows, ["d"]).get("d"),)], "dayfirst boolean")
+
+
+@query(f"""WITH {DC} SELECT row_index, raw_url AS raw, CASE row_index % 4 WHEN 0 THEN 'https://' || raw_url ELSE raw_url END AS value, CASE WHEN row_index % 4 IN (2) THEN 'url_invalid' WHEN row_index % 4 = 3 THEN NULL END AS warning FROM dc""")
+def norm_url(spark, sf_dir):
+    return normalized(spark, sf_dir, "raw_url", N.url)
+
+
+@query("SELECT page_id, url AS value FROM pages WHERE regexp_full_match(url, '(https?://)?([\\w-]+\\.)+[\\w-]{2,}(/\\S*)?')")
+def norm_url_pages(spark, sf_dir):
+    r = table(spark, sf_dir, "pages").select("page_id", N.url(F.col("url")).alias("r"))
+    return r.where("r.warning is null").select("page_id", "r.value")
+
+
+# ---- assembly
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
+def replace_values(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.replace_values(F.col("o_orderstatus"), {"F": "final", "O": "open"}).alias("status"))
+
+
+def _one(spark, sf_dir, name, key, columns, fields, mapped, specs, defaults=None, overrides=None):
+    rows = table(spark, sf_dir, name).select(F.col(key).alias("row_index"), *columns)
+    return assemble.transform(rows, make_contract("x", [{"name": f} for f in fields]), mapped, specs, defaults, overrides).select("row_index", *fields)
+
+
+@query("SELECT c_custkey AS row_index, c_mktsegment AS segment, 'none' AS note, CASE WHEN c_custkey % 3 = 0 THEN 'web' ELSE c_name END AS origin FROM customer")
+def default_values(spark, sf_dir):
+    blank = F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("").alias("src")
+    return _one(spark, sf_dir, "customer", "c_custkey", ["c_mktsegment", blank], ["segment", "note", "origin"], {"c_mktsegment": "segment", "src": "origin"}, [TransformSpec("default", "note", {"value": "none"})], {"origin": "web"})
+
+
+@query("SELECT c_custkey AS row_index, CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE c_mktsegment END AS label FROM customer")
+def coalesce_sources(spark, sf_dir):
+    blank = F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("").alias("a")
+    return _one(spark, sf_dir, "customer", "c_custkey", [blank, "c_mktsegment"], ["label"], {"a": "label", "c_mktsegment": "label"}, [])
+
+
+@query("SELECT p_partkey AS row_index, CASE WHEN p_partkey % 2 = 0 THEN p_brand || ', ' || p_name ELSE p_name END AS label FROM part")
+def combine_columns(spark, sf_dir):
+    brand = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("brand")
+    return _one(spark, sf_dir, "part", "p_partkey", [brand, "p_name"], ["label"], {}, [TransformSpec("combine", "label", {"template": "{brand},  {p_name} "})])
+
+
+def _split(spark, sf_dir, mode):
+    return _one(spark, sf_dir, "part", "p_partkey", ["p_type"], ["a", "b"], {}, [TransformSpec("split", None, {"source": "p_type", "into": ["a", "b"], "mode": mode})])
+
+
+@query("SELECT p_partkey AS row_index, string_split(p_type, ' ')[1] AS a, nullif(array_to_string(string_split(p_type, ' ')[2:], ' '), '') AS b FROM part")
+def split_first_rest(spark, sf_dir):
+    return _split(spark, sf_dir, "first_rest")
+
+
+@query("SELECT p_partkey AS row_index, nullif(array_to_string(string_split(p_type, ' ')[:-2], ' '), '') AS a, string_split(p_type, ' ')[-1] AS b FROM part")
+def split_rest_last(spark, sf_dir):
+    return _split(spark, sf_dir, "rest_last")
+
+
+@query("SELECT p_partkey AS row_index, string_split(p_type, ' ')[1] AS a, string_split(p_type, ' ')[2] AS b FROM part")
+def split_all(spark, sf_dir):
+    return _split(spark, sf_dir, "all")
+
+
+# ---- review
+def _edits(spark, sf_dir):
+    """Three batches on customers by key: a name, a name again, a segment emptied."""
+    c = table(spark, sf_dir, "customer")
+    event = lambda seq, label, where, field, before, after: c.where(where).select(F.lit(seq).cast("long").alias("seq"), F.lit(label).alias("label"), F.col("c_custkey").alias("row_index"), F.lit(field).alias("field"), before.alias("before"), after.alias("after"))
+    return event(1, "edit", "c_custkey % 10 = 1", "name", F.col("c_name"), F.concat(F.lit("New "), "c_name")).union(event(2, "edit", "c_custkey % 20 = 1", "name", F.col("c_name"), F.upper("c_name"))).union(event(3, "edit", "c_custkey % 7 = 0", "segment", F.col("c_mktsegment"), text()))
+
+
+def _overlaid(spark, sf_dir, edits):
+    return _one(spark, sf_dir, "customer", "c_custkey", ["c_name", "c_mktsegment"], ["name", "segment"], {"c_name": "name", "c_mktsegment": "segment"}, [], None, review.overrides(edits))
+
+
+@query("SELECT c_custkey AS row_index, CASE WHEN c_custkey % 20 = 1 THEN upper(c_name) WHEN c_custkey % 10 = 1 THEN 'New ' || c_name ELSE c_name END AS name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment FROM customer")
+def override_overlay(spark, sf_dir):
+    return _overlaid(spark, sf_dir, _edits(spark, sf_dir))
+
+
+@query("SELECT c_custkey AS row_index, CASE WHEN c_custkey % 20 = 1 THEN upper(c_name) WHEN c_custkey % 10 = 1 THEN 'New ' || c_name ELSE c_name END AS name, c_mktsegment AS segment FROM customer")
+def undo_replay(spark, sf_dir):
+    return _overlaid(spark, sf_dir, review.undo_last(_edits(spark, sf_dir)))
+
+
+@query("SELECT c_custkey AS row_index, c_name AS name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment FROM customer")
+def reset_column(spark, sf_dir):
+    return _overlaid(spark, sf_dir, review.reset_column(_edits(spark, sf_dir), "name"))
+
+
+@query(f"WITH {CHECKED} SELECT row_index, 'customer_name' AS field, customer_name AS before, 'Unknown' AS after FROM t WHERE coalesce(customer_name, '') = ''")
+def bulk_replace(spark, sf_dir):
+    return review.bulk_replace(flagship(spark, sf_dir), 1, "customer_name", None, "Unknown").select("row_index", "field", "before", "after")
+
+
+@query(f"WITH {DC} SELECT row_index, raw_name AS before, {TRIM.format('raw_name')} AS after FROM dc WHERE raw_name IS DISTINCT FROM {TRIM.format('raw_name')}")
+def bulk_trim(spark, sf_dir):
+    rows = dirty_customer(spark, sf_dir).select("row_index", "raw_name")
+    return review.bulk_trim(rows, 1, "raw_name").select("row_index", "before", "after")
+
+
+@query(f"""WITH {CHECKED}, n AS (SELECT row_index, CASE WHEN row_index % 50 = 0 AND row_index > 0 THEN 'C-' || row_index ELSE customer_id END AS customer_id FROM t),
+d AS (SELECT customer_id FROM n GROUP BY 1 HAVING count(*) > 1)
+SELECT row_index, coalesce(bool_or(n.customer_id IN (SELECT * FROM d)), false) AS duplicate FROM n GROUP BY 1""")
+def incremental_revalidate(spark, sf_dir):
+    """Every injected duplicate id is put right; only affected rows are validated again and merged with the others."""
+    before = flagship(spark, sf_dir)
+    edited = before.where("row_index % 50 = 0 and row_index > 0").select("row_index", F.concat(F.lit("C-"), F.col("row_index").cast("string")).alias("new"))
+    plain = before.drop("issues", "row_status")
+    after = plain.join(edited, "row_index", "left").withColumn("customer_id", F.coalesce("new", "customer_id")).drop("new")
+    rows = review.affected_rows(plain, after, flagship_contract(), edited)
+    fresh = validate.validate(after, flagship_contract(), set(MAPPING.values())).join(rows, "row_index", "left_semi")
+    merged = review.merge(before, fresh.select(*before.columns))
+    return merged.select("row_index", F.exists("issues", lambda i: (i["code"] == "duplicate") & (i["field"] == "customer_id")).alias("duplicate"))
+
+
+# ---- profile
+PROFILED = ["raw_name", "raw_email", "raw_country", "raw_date", "raw_bool", "raw_amount"]
+_CELLS = " UNION ALL ".join(f"SELECT row_index, '{c}' AS \"column\", {i} AS index, {c} AS v FROM dc" for i, c in enumerate(PROFILED))
+
+
+@query(f"""WITH {DC}, u AS ({_CELLS}) SELECT "column", index, count(*) AS total, count(*) FILTER (trim(v) <> '') AS non_empty_count,
+  round(100.0 * (count(*) - count(*) FILTER (trim(v) <> '')) / count(*), 1) AS empty_pct, count(*) FILTER (trim(v) <> '') = 0 AS is_empty, false AS is_duplicate_header FROM u GROUP BY 1, 2""")
+def profile_nulls(spark, sf_dir):
+    return profile.profile(dirty_customer(spark, sf_dir), PROFILED).select("column", "index", "total", "non_empty_count", "empty_pct", "is_empty", "is_duplicate_header")
+
+
+@query(f"""WITH {DC}, u AS ({_CELLS}) SELECT "column", count(DISTINCT v) AS distinct_count, round(100.0 * count(DISTINCT v) / count(*), 1) AS unique_pct FROM u WHERE trim(v) <> '' GROUP BY 1""")
+def profile_distinct(spark, sf_dir):
+    return profile.profile(dirty_customer(spark, sf_dir), PROFILED).select("column", "distinct_count", "unique_pct")
+
+
+@query(f"""WITH {DC}, u AS ({_CELLS}), f AS (SELECT "column", v, min(row_index) AS r FROM u WHERE trim(v) <> '' GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY r, v) AS k FROM f)
+SELECT "column", string_agg(v, '|' ORDER BY k) AS examples FROM k WHERE k <= 5 GROUP BY 1""")
+def profile_examples(spark, sf_dir):
+    return profile.profile(dirty_customer(spark, sf_dir), PROFILED).select("column", F.array_join("examples", "|").alias("examples"))
+
+
+@query("SELECT * FROM (VALUES ('raw_name', 'string'), ('raw_email', 'email'), ('raw_country', 'string'), ('raw_date', 'date'), ('raw_bool', 'string'), ('raw_amount', 'string')) t(\"column\", detected_type)")
+def profile_type(spark, sf_dir):
+    return profile.profile(dirty_customer(spark, sf_dir), PROFILED).select("column", "detected_type")
+
+
+# ---- mapping
+HEADERS = ["Email", " Email ", "", "E-mail Address", "Mobile No.", "Email", None, "Column 3", "customer_ref", "Joined"]
+
+
+def _headers(spark):
+    return spark.createDataFrame(list(enumerate(HEADERS)), "pos int, name string")
+
+
+_HEADER_VALUES = "(VALUES " + ", ".join(f"({i}, {'NULL' if h is None else chr(39) + h + chr(39)})" for i, h in enumerate(HEADERS)) + ") h(pos, name)"
+
+
+@query(f"""WITH n AS (SELECT pos, coalesce(nullif(trim(name), ''), 'Column ' || (pos + 1)) AS name FROM {_HEADER_VALUES}), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS k FROM n)
+SELECT pos, CASE WHEN k > 1 THEN name || ' (' || k || ')' ELSE name END AS name FROM k""")
+def header_dedupe(spark, sf_dir):
+    return mapping.dedupe_headers(_headers(spark))
+
+
+_KEY = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim({0})), '[\\s_\\-./\\\\()\\[\\]:#''\"]+', ' ', 'g'), '[^a-z0-9 ]+', '', 'g')), ' '), lambda w: w NOT IN ('the', 'of', 'a', 'an', 'no', 'num', 'number', 'nr', 'col', 'column', 'field')), '')"
+
+
+@query(f"SELECT pos, {_KEY.format('name')} AS key FROM {_HEADER_VALUES} WHERE trim(coalesce(name, '')) <> '' AND name <> 'Column 3'")
+def header_key(spark, sf_dir):
+    return _headers(spark).where("trim(coalesce(name, '')) <> '' and name <> 'Column 3'").select("pos", mapping.header_key(F.col("name")).alias("key"))
+
+
+def _contract():
+    return make_contract("x", [{"name": "customer_ref", "aliases": "ref"}, {"name": "email", "type": "email", "aliases": "e-mail address, mail"}, {"name": "phone", "type": "phone", "display_name": "Mobile no"}, {"name": "created_at", "type": "date", "aliases": "joined"}])
+
+
+def _sources(spark):
+    return spark.createDataFrame([(h, i, "string") for i, h in enumerate(["customer_ref", "E-mail Address", "Mobile No.", "Joined", "Zzz"])], "source string, ordinal int, detected string")
+
+
+@query("SELECT * FROM (VALUES ('customer_ref', 'customer_ref', 'HIGH', 'exact'), ('E-mail Address', 'email', 'HIGH', 'alias'), ('Mobile No.', 'phone', 'HIGH', 'normalized'), ('Joined', 'email', 'HIGH', 'saved')) t(source, target, confidence, method)")
+def map_ladder(spark, sf_dir):
+    memory = spark.createDataFrame([("joined", "email")], "key string, target string")
+    return mapping.by_key(_sources(spark), mapping.target_names(spark, _contract()), memory)
+
+
+@query("SELECT * FROM (VALUES ('customer_ref', 'customer_ref', 'HIGH', 'exact', 0), ('E-mail Address', 'email', 'HIGH', 'alias', 1), ('Mobile No.', 'phone', 'HIGH', 'normalized', 2), ('Joined', 'created_at', 'HIGH', 'alias', 3), ('Zzz', NULL, 'UNMAPPED', 'none', 4)) t(source, target, confidence, method, ordinal)")
+def map_suggest(spark, sf_dir):
+    return mapping.suggest(_sources(spark), _contract())
+
+
+@query()
+def map_fuzzy(spark, sf_dir):
+    """Every column of the driver's customers against the contract's names: scores have no SQL."""
+    columns = table(spark, sf_dir, "customer").columns
+    sources = spark.createDataFrame([(c, i, "string") for i, c in enumerate(columns)], "source string, ordinal int, detected string")
+    return mapping.fuzzy_scores(sources, mapping.target_names(spark, _contract())).select("source", "target", "score")
+
+
+@query("SELECT * FROM (VALUES ('email', 'E-mail,Mail')) t(target, sources)")
+def map_conflicts(spark, sf_dir):
+    pairs = spark.createDataFrame([("Mail", "email"), ("E-mail", "email"), ("Ref", "customer_ref"), ("x", None)], "source string, target string")
+    return mapping.conflicts(pairs, _contract()).select("target", F.array_join("sources", ",").alias("sources"))
+
+
+_JOBS = [(1, "s", ["a", "b", "c", "d"]), (2, "s", ["a", "b", "c", "d", "e"]), (3, "s", ["x"]), (4, "t", ["a"])]
+_TEMPLATES = [(10, "s", ["a", "b", "c", "d"]), (11, "s", ["a", "b", "c", "d", "e", "f"]), (12, "s", ["a", "b", "c", "d"]), (13, "t", ["a"])]
+
+
+def _lists(rows):
+    return "(VALUES " + ", ".join(f"({i}, '{s}', {k!r})" for i, s, k in rows) + ")"
+
+
+_SCORED = f"""j AS (SELECT * FROM {_lists(_JOBS)} j(job_id, schema, keys)), p AS (SELECT * FROM {_lists(_TEMPLATES)} p(template_id, schema, tkeys)),
+x AS (SELECT job_id, template_id, len(list_intersect(keys, tkeys)) / len(list_distinct(list_concat(keys, tkeys))) AS score FROM j JOIN p USING (schema))"""
+
+
+@query(f"WITH {_SCORED} SELECT job_id, template_id, score FROM x")
+def template_match(spark, sf_dir):
+    j, p = spark.createDataFrame(_JOBS, "job_id int, schema string, keys array<string>"), spark.createDataFrame(_TEMPLATES, "template_id int, schema string, tkeys array<string>")
+    return j.join(p, "schema").select("job_id", "template_id", mapping.jaccard(F.col("keys"), F.col("tkeys")).alias("score"))
+
+
+@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, template_id) AS k FROM x WHERE score >= 0.8) SELECT job_id, template_id, score FROM r WHERE k = 1")
+def template_detect(spark, sf_dir):
+    return mapping.detect_template(spark.createDataFrame(_JOBS, "job_id int, schema string, keys array<string>"), spark.createDataFrame(_TEMPLATES, "template_id int, schema string, keys array<string>"))
+
+
+@query("SELECT * FROM (VALUES ('Ref', 'customer_ref', 'HIGH', 'template', 0), ('Other', NULL, 'UNMAPPED', 'template', 1)) t(source, target, confidence, method, ordinal)")
+def template_apply(spark, sf_dir):
+    return mapping.apply_template(spark.createDataFrame([("Ref", 0), ("Other", 1)], "source string, ordinal int"), spark.createDataFrame([("ref", "customer_ref")], "key string, target string"))
+
+
+@query("SELECT * FROM (VALUES ('s', 'mail', 'email', 3), ('s', 'ref', 'customer_ref', 1), ('s', 'tel', 'phone', 1), ('s', 'old', 'x', 5)) t(schema, key, target, hits)")
+def memory_upsert(spark, sf_dir):
+    memory = spark.createDataFrame([("s", "mail", "email", 2), ("s", "ref", "id", 4), ("s", "old", "x", 5)], "schema string, key string, target string, hits long")
+    return mapping.remember(memory, spark.createDataFrame([("s", "Mail", "email"), ("s", "Ref", "customer_ref"), ("s", "Tel", "phone"), ("s", "No", None)], "schema string, source string, target string"))
+
+
+@query()
+def country_suggest(spark, sf_dir):
+    names = spark.createDataFrame([("Israel", "IL"), ("Germany", "DE"), ("France", "FR")], "name string, alpha2 string")
+    return mapping.name_similarity(dirty_customer(spark, sf_dir).where("length(raw_country) >= 3").select(F.col("raw_country").alias("value")).distinct(), names, 80)
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '[0-9]', '9', 'g') AS name, CASE WHEN length(c_mktsegment) > 12 THEN c_mktsegment[:2] || '***' ELSE c_mktsegment END AS segment, 'u***@e***.com' AS mail FROM customer")
+def mask_samples(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", N.mask(F.col("c_name")).alias("name"), N.mask(F.col("c_mktsegment")).alias("segment"), N.mask(F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.com"))).alias("mail"))
+
+
+# ---- predicates
+def _fails(spark, sf_dir, name, key, column, spec):
+    f = make_contract("x", [spec]).fields[0]
+    checks = validate.rule_checks(f, F.col(column).cast("string"))
+    codes = F.array(*[F.when(fails, F.lit(code)) for fails, code, _ in checks])
+    return table(spark, sf_dir, name).select(*key, F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
+
+
+@query("SELECT p_partkey, code FROM (SELECT p_partkey, unnest([CASE WHEN length(p_type) < 18 THEN 'min_length' END, CASE WHEN length(p_type) > 20 THEN 'max_length' END]) AS code FROM part) WHERE code IS NOT NULL")
+def val_length(spark, sf_dir):
+    return _fails(spark, sf_dir, "part", ["p_partkey"], "p_type", {"name": "t", "rules": {"min_length": 18, "max_length": 20}})
+
+
+@query("SELECT p_partkey, 'regex' AS code FROM part WHERE NOT regexp_full_match(p_brand, 'Brand#[1-3]\\d')")
+def val_regex(spark, sf_dir):
+    return _fails(spark, sf_dir, "part", ["p_partkey"], "p_brand", {"name": "b", "rules": {"regex": r"Brand#[1-3]\d"}})
+
+
+@query("SELECT c_custkey, 'enum' AS code FROM customer WHERE lower(c_mktsegment) NOT IN ('building', 'machinery')")
+def val_enum(spark, sf_dir):
+    return _fails(spark, sf_dir, "customer", ["c_custkey"], "c_mktsegment", {"name": "s", "type": "enum", "rules": {"enum": ["Building", "MACHINERY"]}})
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'min' ELSE 'max' END AS code FROM lineitem WHERE l_quantity < 10 OR l_quantity > 45")
+def val_range(spark, sf_dir):
+    return _fails(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_quantity", {"name": "q", "type": "decimal", "rules": {"min": 10, "max": "45"}})
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate < date '1994-01-01' THEN 'min_date' ELSE 'max_date' END AS code FROM orders WHERE CAST(o_orderdate AS date) < date '1994-01-01' OR CAST(o_orderdate AS date) > date '1996-12-31'")
+def val_date_range(spark, sf_dir):
+    return _fails(spark, sf_dir, "orders", ["o_orderkey"], "o_orderdate", {"name": "d", "type": "date", "rules": {"min_date": "1994-01-01", "max_date": "1996-12-31"}})
+
+
+@query(f"WITH {DC} SELECT raw_id AS value FROM dc GROUP BY 1 HAVING count(*) > 1")
+def val_unique(spark, sf_dir):
+    return validate.duplicates(dirty_customer(spark, sf_dir), "raw_id").select(F.col("__v_raw_id").alias("value"))
+
+
+@query(f"WITH {DC} SELECT row_index FROM dc WHERE coalesce(raw_name, '') = ''")
+def val_required(spark, sf_dir):
+    return dirty_customer(spark, sf_dir).where(validate.is_empty(F.col("raw_name"))).select("row_index")
+
+
+def _lines(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), "o_orderstatus")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"), F.col("l_quantity").cast("decimal(12,2)").cast("string").alias("quantity"), "l_returnflag").join(o, "l_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS date) >= CAST(o_orderdate AS date) AS gte, CAST(l_shipdate AS date) < CAST(o_orderdate AS date) AS lt, l_quantity > 30 AS gt, l_quantity <= 12.5 AS lte FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def val_cross_field_compare(spark, sf_dir):
+    c = lambda f, op, v: validate.clause({"field": f, "op": op, "value": v}, F.col)
+    return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", c("shipped", "gte_field", "ordered").alias("gte"), c("shipped", "lt_field", "ordered").alias("lt"), c("quantity", "gt", 30).alias("gt"), c("quantity", "lte", "12.5").alias("lte"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_returnflag NOT IN ('A', 'N')")
+def val_cross_field_when_then(spark, sf_dir):
+    when, then = {"field": "o_orderstatus", "op": "eq", "value": "F"}, {"field": "l_returnflag", "op": "in", "value": ["A", "N"]}
+    return _lines(spark, sf_dir).where(validate.clause(when, F.col) & ~validate.clause(then, F.col)).select("l_orderkey", "l_linenumber")
+
+
+# ---- sinks, guards, dashboards
+@query("SELECT k, CASE WHEN k % 4 IN (0, 2) THEN '''' || v ELSE v END AS v FROM (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '=' || c_name WHEN 1 THEN '-' || c_custkey WHEN 2 THEN '@x' ELSE '+972' || lpad(cast(c_custkey AS varchar), 9, '5') END AS v FROM customer)")
+def export_guard(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    v = F.expr("case c_custkey % 4 when 0 then '=' || c_name when 1 then '-' || c_custkey when 2 then '@x' else '+972' || lpad(cast(c_custkey as string), 9, '5') end")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), N.guard(v).alias("v")).where(k.isNotNull())
+
+
+@query("SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) AND NOT regexp_full_match(trim(text), '[+-]?(\\d+([.,]\\d+)?|[.,]\\d+)([eE][+-]?\\d+)?') AND NOT regexp_full_match(trim(text), '\\+\\d[\\d\\s\\-()]{5,}') THEN '''' || text ELSE text END AS text FROM documents")
+def export_guard_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", N.guard(F.col("text")).alias("text"))
+
+
+@query(f"WITH {DC} SELECT count(*) AS n FROM dc WHERE coalesce(trim(raw_name), '') <> '' OR coalesce(trim(raw_country), '') <> ''")
+def blank_row_filter(spark, sf_dir):
+    from .sources.delimited import filled
+
+    return dirty_customer(spark, sf_dir).where(filled(["raw_name", "raw_country"])).agg(F.count("*").alias("n"))
+
+
+_J = [(1, "s1", "completed", 10), (2, "s1", "validated", 5), (3, "s2", "mapped", 0), (4, "s2", "completed", 7)]
+
+
+@query(f"SELECT count(*) AS imports, CAST(sum(rows) AS BIGINT) AS rows, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'validated') AS needs_review, count(DISTINCT schema) AS schemas FROM (VALUES {', '.join(map(str, _J))}) t(job_id, schema, status, rows)")
+def job_dashboard(spark, sf_dir):
+    return quality.dashboard(spark.createDataFrame(_J, "job_id int, schema string, status string, rows long"))
+
+
+@query()
+def bulk_fix_suggestions(spark, sf_dir):
+    """Fixes by score and by count: the similarity of names has no SQL."""
+    contract = make_contract("x", [{"name": "email", "type": "email"}, {"name": "country", "type": "country"}])
+    mapped = {"raw_email": "email", "raw_country": "country"}
+    v = conform(dirty_customer(spark, sf_dir).select("row_index", *mapped), contract, mapped)
+    names = spark.createDataFrame([("Israel", "IL"), ("Germany", "DE"), ("France", "FR")], "name string, code string")
+    return quality.bulk_fixes(v, contract.names, names)
+
+
+ORDER_MAPPING = {"l_orderkey": "order_id", "price": "price", "shipped": "shipped", "l_returnflag": "flag"}
+
+
+@query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS row_index, cast(cast(l_extendedprice AS decimal(12,2)) AS varchar) AS price, strftime(l_shipdate, '%Y-%m-%d') AS shipped, l_returnflag AS flag FROM lineitem)
+SELECT count(*) AS rows, count(*) FILTER (flag <> 'R' AND cast(price AS decimal(12,2)) <= 50000) AS ready, count(*) FILTER (flag = 'R' OR cast(price AS decimal(12,2)) > 50000) AS error, max(shipped) AS last FROM x""")
+def conform_lines(spark, sf_dir):
+    """The whole plan on every line item: prices with signs and groups, slashed dates whose order is inferred, an enum."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_index"), F.col("l_orderkey").cast("string").alias("l_orderkey"), F.concat(F.lit("$"), F.format_number(F.col("l_extendedprice").cast("decimal(12,2)"), 2)).alias("price"), F.date_format("l_shipdate", "dd/MM/yyyy").alias("shipped"), "l_returnflag")
+    contract = make_contract("Lines", [{"name": "order_id", "required": True}, {"name": "price", "type": "decimal", "rules": {"max": 50000}}, {"name": "shipped", "type": "date"}, {"name": "flag", "type": "enum", "rules": {"enum": ["a", "n"]}}])
+    v = conform(rows, contract, ORDER_MAPPING)
+    return v.agg(F.count("*").alias("rows"), F.count_if(F.col("row_status") == "ready").alias("ready"), F.count_if(F.col("row_status") == "error").alias("error"), F.max("shipped").alias("last"))
