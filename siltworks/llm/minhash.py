@@ -8,10 +8,11 @@ is seen with probability (1 - (1 - s**rows)**bands)**2: 0.9999 at 0.75 for the d
 Table keys are only formed from collection keys that two or more distinct sets share, as no other can
 meet; this leaves nothing out and keeps unique documents out of the tables.
 
-Within a table's bucket every document is compared with pivots: first the smallest id, then, only where
-a bucket still holds unlinked documents, twice as many further pivots each round, until no pair of a
-bucket is left that's neither compared nor already in one component. So a group of copies costs one
-comparison a document, and no pair of a bucket is given up.
+Every bucket ties its documents to its smallest id, and documents that are tied are a family. Each document
+is compared with the id that the most of its family's documents are tied to. What this leaves unlinked is
+compared with all of its family in blocks: the sets of some unlinked documents and of some of the family
+meet in one task, which counts all their overlaps from lists of holders of each shingle and returns links
+only. Blocks are bounded in bytes, so a large family makes more of them; no pair of a family is given up.
 
 Documents with equal shingle sets are folded into one before all this.
 """
@@ -22,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, byte_table, mix, prefix_hash, slices, span_hash, stash, words
 from .components import components
 
-BANDS, ROWS, SHINGLE = 12, 2, 5
+BANDS, ROWS, SHINGLE, BLOCK_BYTES = 12, 2, 5, 4 << 20
 _SPACE = byte_table((0x09, 0x0D), (0x20, 0x20))
 
 
@@ -101,6 +102,64 @@ def _sets(k: int):
     return kernel
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (id, p) whose full sets are similar enough, as links (a, b)."""
+    a, b = sets.select("id", F.col("set").alias("s")), sets.select(F.col("id").alias("p"), F.col("set").alias("t"))
+    sized = F.greatest(F.size("s"), F.size("t")) * percent <= F.least(F.size("s"), F.size("t")) * 100
+    shared = F.size(F.array_intersect("s", "t"))
+    return pairs.join(a, "id").join(b, "p").where(sized).where(F.lit(100) * shared >= F.lit(percent) * (F.size("s") + F.size("t") - shared)).select(F.col("id").alias("a"), F.col("p").alias("b"))
+
+
+def _overlaps(percent: int):
+    """One block -> links between its unlinked documents (probe) and all its documents that are in another component."""
+
+    def links(block: pa.Table) -> pa.Table:
+        ids, comp, probe = block["id"].to_numpy(), block["c"].to_numpy(), block["probe"].to_numpy(zero_copy_only=False).astype(bool)
+        lists = block["set"].combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        tokens = lists.flatten().to_numpy()
+        holder = np.repeat(np.arange(len(ids)), size)
+        base = ~probe
+        order = np.argsort(tokens, kind="stable")
+        order = order[base[holder[order]]]
+        keys, at, count = np.unique(tokens[order], return_index=True, return_counts=True)
+        ends = np.cumsum(size)
+        out_a, out_b = [], []
+        for i in np.flatnonzero(probe):
+            mine = tokens[ends[i] - size[i] : ends[i]]
+            k = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
+            k = k[keys[k] == mine] if len(keys) else k[:0]
+            n = count[k]
+            total = np.cumsum(n)
+            who = holder[order[np.repeat(at[k] - total + n, n) + np.arange(total[-1] if len(total) else 0)]]
+            shared = np.bincount(who, minlength=len(ids))
+            good = (shared > 0) & (comp != comp[i]) & (100 * shared >= percent * (size + size[i] - shared))
+            hit = ids[good]
+            out_a.append(np.full(len(hit), ids[i]))
+            out_b.append(hit)
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
+
+    return links
+
+
+def _block_links(family: DataFrame, label: DataFrame, sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) between a family's documents outside its largest component and all of the family.
+
+    A family's documents are dealt to as many parts as their sets need, and so are those outside the largest component; every
+    pair of parts is a block.
+    """
+    members = family.withColumnRenamed("component", "f").join(label.withColumnRenamed("component", "c"), "id", "left").select("f", "id", F.coalesce("c", "id").alias("c")).join(sets.groupBy("id").agg(F.sum(F.size("set") * 8).alias("bytes")), "id")
+    by_comp = members.groupBy("f", "c").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    by_family = by_comp.groupBy("f").agg(F.count("*").alias("comps"), F.max_by("c", F.struct("n", -F.col("c"))).alias("main"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", -F.col("c"))).alias("main_bytes")).where("comps > 1")
+    parts = by_family.select("f", "main", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("parts"), F.ceil((F.col("bytes") - F.col("main_bytes")) / block_bytes).cast("int").alias("probes"))
+    open_ = stash(members.join(parts, "f").join(sets, "id").select("f", "id", "c", "set", "main", "parts", "probes"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    base = open_.select("f", deal(F.col("parts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), "id", "c", "set", F.lit(False).alias("probe"))
+    probes = open_.where("c <> main").select("f", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), deal(F.col("probes")).alias("j"), "id", "c", "set", F.lit(True).alias("probe"))
+    return base.union(probes).groupBy("f", "i", "j").applyInArrow(_overlaps(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row per input row.
 
@@ -121,31 +180,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE, bands:
     tables = stash(keys)
     first = tables.groupBy("t").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p < last").select("t", "p")
 
-    linked, sets = None, None
-    joined = tables.join(first, "t")
-    pairs = joined.where("id <> p").select("id", "p").distinct()
-    tables = stash(joined.where("id <> p").select("t", "id", "n_shingles"))
-    per_round = 1
-    while True:
-        pairs = stash(pairs)
-        if sets is None:
-            wanted = pairs.select("id").union(pairs.select(F.col("p").alias("id"))).distinct()
-            sets = stash(text.where("doc_id is not null").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, set array<long>"))
-        a, b = sets.select("id", F.col("set").alias("s")), sets.select(F.col("id").alias("p"), F.col("set").alias("t"))
-        sized = F.greatest(F.size("s"), F.size("t")) * percent <= F.least(F.size("s"), F.size("t")) * 100
-        shared = F.size(F.array_intersect("s", "t"))
-        new = pairs.join(a, "id").join(b, "p").where(sized).where(F.lit(100) * shared >= F.lit(percent) * (F.size("s") + F.size("t") - shared)).select(F.col("id").alias("a"), F.col("p").alias("b"))
-        linked = stash(new if linked is None else linked.union(new))
-        label = components(linked)
-        now = tables.join(label, "id", "left").select("t", "id", "n_shingles", F.coalesce("component", "id").alias("c"))
-        open_ = now.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-        ranked = stash(now.join(open_, "t", "left_semi").withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy("id"))))
-        if ranked.isEmpty():
-            break
-        pivots = ranked.where(F.col("rn") <= per_round).select("t", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("rn").alias("pn"))
-        pairs = ranked.join(pivots, "t").where("rn > pn and c <> pc").select("id", "p").distinct()
-        tables = ranked.where(F.col("rn") > per_round).select("t", "id", "n_shingles")
-        per_round *= 2
+    ties = stash(tables.join(first, "t").where("id <> p").select("id", "p").distinct())
+    wanted = ties.select("id").union(ties.select(F.col("p").alias("id"))).distinct()
+    sets = stash(text.where("doc_id is not null").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, set array<long>").distinct())
+    best = ties.join(ties.groupBy("p").agg(F.count("*").alias("n")), "p").groupBy("id").agg(F.max_by("p", F.struct("n", -F.col("p"))).alias("p"))
+    linked = stash(_confirmed(best, sets, percent))
+    linked = stash(linked.union(_block_links(components(ties.toDF("a", "b")), components(linked), sets, percent)))
 
     same = known.join(reps, ["n_shingles", "d0", "d1"]).select("doc_id", "id").distinct()
     # a doc_id on several rows ties its sets together
