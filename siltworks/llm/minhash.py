@@ -30,6 +30,8 @@ from .common import LOWER, byte_table, mix, prefix_hash, slices, span_hash, stas
 from .components import components
 
 BANDS, ROWS, SHINGLE, BLOCK_BYTES = 12, 2, 5, 4 << 20
+#: Most ids that are shipped to every executor, 8 bytes each.
+SHIPPED_IDS = 1_000_000
 _SPACE = byte_table((0x09, 0x0D), (0x20, 0x20))
 
 
@@ -182,7 +184,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE, bands:
 
     ties = stash(tables.join(first, "t").where("id <> p").select("id", "p").distinct())
     wanted = ties.select("id").union(ties.select(F.col("p").alias("id"))).distinct()
-    sets = stash(text.where("doc_id is not null").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, set array<long>").distinct())
+    # a bounded list of ids is shipped to the texts; beyond the bound both are shuffled
+    wanted = stash(wanted.withColumnRenamed("id", "doc_id"))
+    wanted = F.broadcast(wanted) if wanted.count() <= SHIPPED_IDS else wanted.hint("shuffle_merge")
+    sets = stash(text.where("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, set array<long>").distinct())
     best = ties.join(ties.groupBy("p").agg(F.count("*").alias("n")), "p").groupBy("id").agg(F.max_by("p", F.struct("n", -F.col("p"))).alias("p"))
     linked = stash(_confirmed(best, sets, percent))
     linked = stash(linked.union(_block_links(components(ties.toDF("a", "b")), components(linked), sets, percent)))
