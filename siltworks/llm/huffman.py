@@ -12,6 +12,7 @@ of shards are gathered to number the ids.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat
+from .common import LOWER, flat, prefix_hash, slices, span_hash
 
-MAX_BITS, STEP, BLOCK_IDS, TABLE = 18, 256, 1 << 17, 400_000
+MAX_BITS, STEP, BLOCK_IDS, TABLE, SLOT_BITS = 18, 128, 1 << 18, 900_000, 21
 END = 1
 BLOCKS = "shard int, at long, n_ids long, docs array<long>, sizes array<long>, marks array<long>, bits binary"
 
@@ -84,53 +85,185 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     """The bit stream, most significant bit first, and the bit offset of every STEP-th id."""
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ids) else 0
-    at = ends - size
-    room = np.zeros(total // 8 + 8, dtype=np.uint8)
-    value = codes[ids].astype(np.uint64) << (np.uint64(32) - size.astype(np.uint64) - (at & 7).astype(np.uint64))
-    first = at >> 3
-    for k in range(4):  # codes don't overlap, so adding their bytes is setting their bits
-        room += np.bincount(first + k, weights=((value >> np.uint64(24 - 8 * k)) & np.uint64(0xFF)).astype(np.float64), minlength=len(room))[: len(room)].astype(np.uint8)
-    return room[: -(-total // 8)].tobytes(), at[::STEP]
+    marks = (ends - size)[::STEP]
+    if not len(ids):
+        return b"", marks
+    # two neighbours as one piece of at most 36 bits, so that one starts in every word of 64
+    value = codes[ids].astype(np.uint64)
+    if len(ids) % 2:
+        value, size, ends = np.append(value, np.uint64(0)), np.append(size, 0), np.append(ends, ends[-1])
+    value = (value[::2] << size[1::2].astype(np.uint64)) | value[1::2]
+    size, stop = size[::2] + size[1::2], ends[1::2]
+    start = stop - size
+    word, over = start >> 6, (start & 63) + size - 64  # ``over``: bits that belong to the next word
+    inside = np.where(over > 0, value >> np.maximum(over, 0).astype(np.uint64), value << np.maximum(-over, 0).astype(np.uint64))
+    out = np.zeros(int(stop[-1] >> 6) + 2, dtype=np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    out[word[first]] = np.bitwise_or.reduceat(inside, first)
+    spill = np.flatnonzero(over > 0)
+    out[word[spill] + 1] |= value[spill] << (64 - over[spill]).astype(np.uint64)
+    return out.astype(">u8").tobytes()[: -(-int(stop[-1]) // 8)], marks
 
 
 def unpack(stream: bytes, marks: np.ndarray, n: int, symbols: np.ndarray, sizes: np.ndarray, bits: int = MAX_BITS) -> np.ndarray:
     """The n ids of a bit stream: every checkpoint's run is a lane, and all lanes advance together."""
     data = np.frombuffer(stream + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
+    wide = (data[:-3] << np.uint32(24)) | (data[1:-2] << np.uint32(16)) | (data[2:-1] << np.uint32(8)) | data[3:]
     out = np.zeros((len(marks), STEP), dtype=np.uint32)
-    at = marks.astype(np.int64).copy()
-    wide = (data[:-4].astype(np.uint64) << np.uint64(24)) | (data[1:-3].astype(np.uint64) << np.uint64(16)) | (data[2:-2].astype(np.uint64) << np.uint64(8)) | data[3:-1]
-    last = len(wide) - 1
+    at, last, down, mask = marks.astype(np.int64), len(wide) - 1, np.uint32(32 - bits), np.uint32((1 << bits) - 1)
     for k in range(min(STEP, n)):
-        word = (wide[np.minimum(at >> 3, last)] >> (np.uint64(32 - bits) - (at & 7).astype(np.uint64))) & np.uint64((1 << bits) - 1)
+        word = (wide[np.minimum(at >> 3, last)] >> (down - (at & 7).astype(np.uint32))) & mask
         out[:, k] = symbols[word]
-        at += sizes[word]
+        at = at + sizes[word]
     return out.ravel()[:n]
 
 
+#: Kinds of bytes in lowered Latin-1 texts in UTF-8, by the vocabulary's pattern: white space, letter, number, other.
+SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+_ASCII = np.full(256, OTHER, dtype=np.uint8)
+_ASCII[[9, 10, 11, 12, 13, 32]] = SPACE
+_ASCII[ord("a") : ord("z") + 1] = LETTER
+_ASCII[ord("0") : ord("9") + 1] = NUMBER
+_C2 = np.full(256, OTHER, dtype=np.uint8)  # after the byte C2
+_C2[[0x85, 0xA0]], _C2[[0xAA, 0xB5, 0xBA]], _C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = SPACE, LETTER, NUMBER
+_C3 = np.full(256, LETTER, dtype=np.uint8)  # after the byte C3
+_C3[[0x97, 0xB7]] = OTHER
+
+
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others in order from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class Words:
-    """The library's ids of texts. Words between ASCII white space are encoded apart, which the vocabulary's rules allow, and repeated ones once."""
+    """The library's ids of texts, with repeated words encoded once.
+
+    The vocabulary's rules lower a text and split it into words that are encoded apart. Texts of Latin-1 characters are
+    split here by the same rules, on their bytes; others, and those with a special token, go to the library whole. The ids of
+    every distinct word come from the library and are kept in a table of bounded size, by the word's 64-bit hash.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
-        self.table: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        split = [t.split() for t in texts]
-        table = self.table
-        new = list({w for words in split for w in words if w not in table})
-        if len(table) + len(new) > TABLE:
-            table.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.lib.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                table[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(table.__getitem__, words)) for words in split]
+        self.model = self.lib.model
+        self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
+        self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 65536 else "<u4")
+        self.clear()
+
+    def clear(self, room: int = 0) -> None:
+        """An empty table, with room for the words of a long text."""
+        self.n, self.room = 0, max(TABLE, room)
+        self.bits = max(SLOT_BITS, (2 * self.room).bit_length())
+        self.ids = np.zeros(1 << 16, dtype=self.kind)
+        self.at = np.zeros(self.room + 1, dtype=np.int64)
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)  # 0: free
+        self.slot = np.zeros(1 << self.bits, dtype=np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash in the table, -1 if it isn't there; all probe side by side, by steps of one slot."""
+        mask = (1 << self.bits) - 1
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        pos = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            held = self.keys[pos]
+            hit = held == hashes[open_]
+            out[open_[hit]] = self.slot[pos[hit]]
+            go = ~hit & (held != 0)
+            open_, pos = open_[go], (pos[go] + 1) & mask
+        return out
+
+    def place(self, hashes: np.ndarray) -> None:
+        """Put distinct new hashes in, numbered from n on."""
+        mask = (1 << self.bits) - 1
+        open_, pos = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(open_):
+            _, first = np.unique(pos, return_index=True)  # of those that meet in a slot the first takes it
+            take = first[self.keys[pos[first]] == 0]
+            self.keys[pos[take]] = hashes[open_[take]]
+            self.slot[pos[take]] = self.n + open_[take]
+            left = np.ones(len(open_), dtype=bool)
+            left[take] = False
+            open_, pos = open_[left], (pos[left] + 1) & mask
+
+    def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """The library's model on new words, in the characters that stand for their bytes."""
+        tokenize = self.model.tokenize
+        parts = [[t.id for t in tokenize(w.decode("latin-1").translate(BYTE_CHARS))] for w in words]
+        ends = self.at[self.n] + np.cumsum([len(p) for p in parts])
+        if ends[-1] > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(int(ends[-1]), dtype=self.kind)))
+        self.ids[self.at[self.n] : ends[-1]] = [i for p in parts for i in p]
+        self.at[self.n + 1 : self.n + 1 + len(parts)] = ends
+        self.place(hashes)
+        self.n += len(parts)
+
+    def plain(self, data: np.ndarray, offs: np.ndarray, raw: bytes) -> np.ndarray:
+        """Which rows are of Latin-1 characters, without a special token."""
+        out = np.ones(len(offs) - 1, dtype=bool)
+        out[np.searchsorted(offs, np.flatnonzero(data > 0xC3), side="right") - 1] = False
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                out[np.searchsorted(offs, at, side="right") - 1] = False
+                at = raw.find(s, at + 1)
+        return out
+
+    def split(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The lowered bytes of plain texts, and starts and ends of the words in them."""
+        n = len(data)
+        low = LOWER[data]
+        before = np.concatenate((np.zeros(1, np.uint8), data[:-1]))
+        after_c2, after_c3 = before == 0xC2, before == 0xC3
+        low[after_c3 & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
+        kind = _ASCII[low]
+        kind = np.where(after_c2, _C2[low], np.where(after_c3, _C3[low], kind))
+        lead = (data == 0xC2) | (data == 0xC3)
+        kind[:-1][lead[:-1]] = kind[1:][lead[:-1]]
+        border = np.ones(n + 1, dtype=bool)
+        border[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        border[:-1][after_c2 | after_c3] = False  # a character isn't cut
+        border[offs] = True
+        # a lone apostrophe before s, t, m, d, re, ve or ll is one word with it
+        mark = np.flatnonzero(low == 39)
+        mark = mark[(mark + 1 < n) & border[mark] & border[np.minimum(mark + 1, n)]]
+        if len(mark):
+            row_end = offs[np.searchsorted(offs, mark, side="right")]
+            pad = np.concatenate((low, np.zeros(2, np.uint8)))
+            one, two = pad[mark + 1], pad[mark + 2]
+            size = np.where(np.isin(one, [115, 116, 109, 100]), 1, np.where(((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108)), 2, 0))
+            good = (size > 0) & (mark + 1 + size <= row_end)
+            mark, size = mark[good], size[good]
+            border[mark + 1] = False
+            border[mark + 1 + size] = True
+        cuts = np.flatnonzero(border)
+        starts, ends = cuts[:-1], cuts[1:]
+        word = kind[starts] != SPACE
+        return low, starts[word], ends[word]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts, end to end with an end id after each, and their number in each."""
+        low, starts, ends = self.split(data, offs) if len(data) else (data, offs[:0], offs[:0])
+        hashes = np.maximum(span_hash(prefix_hash(low), starts, ends), np.uint64(1))
+        place = self.find(hashes)
+        if (place < 0).any():
+            missed = np.flatnonzero(place < 0)
+            new, first = np.unique(hashes[missed], return_index=True)
+            if self.n + len(new) > self.room:
+                new, first = np.unique(hashes, return_index=True)
+                self.clear(len(new))
+                missed = np.arange(len(hashes))
+            raw, a, b = low.tobytes(), starts[missed[first]].tolist(), ends[missed[first]].tolist()
+            self.add(new, [raw[x:y] for x, y in zip(a, b, strict=True)])
+            place = self.find(hashes)
+        size, at = self.at[place + 1] - self.at[place], self.at[place]
+        total = np.cumsum(size)
+        ids = self.ids[np.repeat(at - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+        upto = np.append(0, total)[np.searchsorted(starts, offs)]
+        return np.insert(ids, upto[1:], END), np.diff(upto) + 1
 
 
 _WORDS: dict[str, Words] = {}
@@ -138,25 +271,29 @@ _WORDS: dict[str, Words] = {}
 
 def _encode(path: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        np.seterr(over="ignore")
         if path not in _WORDS:
             _WORDS[path] = Words(path)
-        end = END.to_bytes(4, "little")
+        lib = _WORDS[path]
         before = 0
-        for batch in batches:
-            data, offs = flat(batch.column(1))
+        for batch, data, offs in slices(batches):
             raw = data.tobytes()
-            for i in range(0, batch.num_rows, 256):
-                j = min(i + 256, batch.num_rows)
-                ids = [x + end for x in _WORDS[path].encode([raw[offs[k] : offs[k + 1]] for k in range(i, j)])]
-                top = max(np.frombuffer(x, dtype="<u4").max() for x in ids)
-                narrow = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() if top < 65536 else x for x in ids]
-                size = np.array([len(x) // 4 for x in ids])
-                at = before + np.cumsum(size) - size
-                before += int(size.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(at), pa.array(size), pa.array([2 if top < 65536 else 4] * (j - i), pa.int32()), pa.array(narrow, pa.binary())], names=["doc_id", "at", "n", "width", "ids"])
+            plain = lib.plain(data, offs, raw)
+            if plain.all():
+                ids, size = lib.encode(data, offs)
+            else:
+                ids, size = lib.encode(data[np.repeat(plain, np.diff(offs))], np.append(0, np.cumsum(np.diff(offs)[plain])))
+            if not plain.all():
+                parts, out = iter(np.split(ids, np.cumsum(size)[:-1]) if len(size) else []), []
+                for a, b, p in zip(offs[:-1].tolist(), offs[1:].tolist(), plain.tolist(), strict=True):
+                    out.append(next(parts) if p else np.array([*lib.lib.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, END], dtype=lib.kind))
+                ids, size = np.concatenate(out), np.array([len(x) for x in out])
+            ends = np.cumsum(size)
+            width = lib.kind.itemsize
+            column = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.append(0, ends * width).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before + ends - size), pa.array(size), pa.array(np.full(batch.num_rows, width, dtype=np.int32)), column], names=["doc_id", "at", "n", "width", "ids"])
+            before += int(ends[-1])
 
     return kernel
 
