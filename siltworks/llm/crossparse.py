@@ -37,7 +37,7 @@ def normalised(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def automaton(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each byte, table): table[state * classes + class] is the next state times classes times 2, plus 1 if a phrase ends."""
+    """(class of each byte, table): table[state * classes + class] is the next state times classes times 2, plus 1 if a phrase begins."""
     used = sorted(set(text))
     k = len(used) + 1
     cls = np.full(256, k - 1, dtype=np.int32)
@@ -72,7 +72,7 @@ def automaton(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     for c, s in nxt[0].items():
         root[c] = s * k * 2 + 1
     out = np.tile(root, (len(nxt), 1))
-    for s, to in enumerate(nxt):
+    for s, to in enumerate(nxt[1:], 1):
         for c, t in to.items():
             out[s, c] = t * k * 2
     return cls, out.ravel()
@@ -80,7 +80,7 @@ def automaton(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def phrases(cls: np.ndarray, steps: np.ndarray, data: np.ndarray, lanes: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Phrases that each lane (data[lane : lane + size]) takes; lanes are sorted by falling size."""
-    count = np.ones(len(lanes), dtype=np.int32)  # the last phrase
+    count = np.zeros(len(lanes), dtype=np.int32)
     state = np.zeros(len(lanes), dtype=np.int32)
     codes = cls[data]
     active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right") if len(size) else []
