@@ -83,8 +83,8 @@ def indexed(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def filled(columns: list[str]):
-    """Some cell isn't blank."""
-    return F.exists(F.array(*[F.col(f"`{c}`") for c in columns]), lambda c: F.coalesce(strip(c) != "", F.lit(False)))
+    """Some cell isn't blank. Told from the cells as they are read: a test of cells that are renamed or changed later would make the optimizer derive it anew for every choice of old and new names."""
+    return strip(F.concat_ws("", *[F.col(f"`{c}`") for c in columns])) != ""
 
 
 def read_csv(spark: SparkSession, path: str, max_bytes: int | None = None) -> tuple[DataFrame, dict]:
@@ -111,7 +111,7 @@ def read_csv(spark: SparkSession, path: str, max_bytes: int | None = None) -> tu
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = spark.read.schema(schema).csv(path, sep=delimiter, encoding=encoding, multiLine=True, quote='"', escape='"', emptyValue="", header=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE")
     slots = [f"_c{i}" for i in range(len(columns))]
-    kept = indexed(raw.select([F.nullif(F.col(c), F.lit("")).alias(c) for c in slots]).where(filled(slots)), slots)
+    kept = indexed(raw.where(filled(slots)).select([F.nullif(F.col(c), F.lit("")).alias(c) for c in slots]), slots)
     # the header is the first row that isn't blank
     body = kept.where("row_index > 0").select((F.col("row_index") - 1).alias("row_index"), *[F.col(s).alias(c) for s, c in zip(slots, columns, strict=True)])
     return body, {"columns": columns, "encoding": encoding, "delimiter": delimiter, "file_type": "csv"}

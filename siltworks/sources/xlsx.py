@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FileError, TooLargeError
-from .delimited import filled, headers_of
+from .delimited import headers_of
 
 MAX_ROWS = 1_048_576
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -140,8 +140,8 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, max_byte
     if not first:
         raise FileError(f"{path} has no rows")
     columns = headers_of(first[0]["cells"])
-    body = kept.where(F.col("at") > first[0]["at"])
-    body = body.select("at", *[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(len(columns))]).where(filled([f"_c{i}" for i in range(len(columns))]))
+    body = kept.where((F.col("at") > first[0]["at"]) & (F.concat_ws("", F.slice("cells", 1, len(columns))) != ""))
+    body = body.select("at", *[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(len(columns))])
     counts = body.agg(*[F.count(f"_c{i}").alias(f"_c{i}") for i in range(len(columns))]).first()
     while columns and re.fullmatch(r"Column \d+", columns[-1]) and not counts[f"_c{len(columns) - 1}"]:
         columns.pop()
