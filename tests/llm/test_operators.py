@@ -90,6 +90,57 @@ def test_license_cosine(spark):
             assert abs(got[0] - want) < 1e-9
 
 
+LICENSE_ROWS = {
+    "isc/LICENSE": ("ISC", "Copyright 2019 Dana Levi\n\nPermission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND\nFITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,\nINDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS\nOF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER\nTORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF\nTHIS SOFTWARE.\n"),
+    "bsd/x.c": ("BSD-3-Clause", "int before = 1;\n/* Redistribution and use in source and binary forms, with or without modification,\n * are permitted provided that the following conditions are met:\n *\n * * Redistributions of source code must retain the above copyright notice, this\n *   list of conditions and the following disclaimer.\n * * Redistributions in binary form must reproduce the above copyright notice,\n *   this list of conditions and the following disclaimer in the documentation\n *   and/or other materials provided with the distribution.\n * * Neither the name of Google Inc. nor the names of its contributors may be used\n *   to endorse or promote products derived from this software without specific\n *   prior written permission.\n *\n * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND\n * ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED\n * WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\n * DISCLAIMED. */\n" + "call(alpha, beta);\n" * 300),
+    "apache/x.py": ("Apache-2.0", "import os\n# Licensed under the Apache License,\n# Version 2.0 (the \"License\"); you may\n# not use this file except in compliance\n# with the License.\n" + "value = other(value)\n" * 50),
+    "gpl/COPYING": ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "Some foreword that nobody wrote before\n" * 40),
+    "tag/x.rs": ("Apache-2.0 OR MIT", "// SPDX-License-Identifier: Apache-2.0 or MIT\nfn main() {}\n"),
+    "tag/y.c": ("EUPL-1.2", "/* SPDX-License-Identifier: EUPL-1.2 */\nint x;\n"),
+    "none/x.py": (None, "the quick brown fox\njumps over the licence of a dog\n" * 40),
+}
+
+
+def test_licenses_wrapped(spark):
+    """Licence files and headers as they are found: wrapped, within comments, after code; and SPDX tags."""
+    rows = [(i, p, t) for i, (p, (_, t)) in enumerate(LICENSE_ROWS.items())]
+    rows += [(100 + i, f"full/{i}/LICENSE", t.replace("[year]", "2020").replace("[fullname]", "Somebody")) for i, (_, t) in enumerate(licenses._full_texts())]
+    rows += [(1000 + i, None, f"other words number {i} of the list") for i in range(200)]
+    want = {p: n for p, (n, _) in LICENSE_ROWS.items()} | {f"full/{i}/LICENSE": n for i, (n, _) in enumerate(licenses._full_texts())}
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert {r["path"]: r["own_license"] for r in got if r["path"]} == want
+    assert len(got) == len(rows) and not any(r["own_license"] for r in got if r["path"] is None)
+
+
+def test_license_windows():
+    """No window or paragraph that reaches the threshold is ruled out by the bounds on its lines."""
+    rng = random.Random(5)
+    words = sorted({w for _, t in licenses.STATEMENTS for w in t.split()}) + ["zzz"]
+    templates = licenses.STATEMENTS
+    terms = licenses.Terms(templates)
+    weight = np.linspace(1, 3, len(terms.keys) + 1)
+    vectors = terms.counts * weight[:-1]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    lines = []
+    for _ in range(12):
+        text = rng.choice(templates)[1].split()
+        lines += [" ".join(text[k : k + 4]) for k in range(0, len(text), 4)] + [" ".join(rng.choice(words) for _ in range(3)) for _ in range(2)]
+    with np.errstate(over="ignore"):
+        at = [terms.find(licenses._tokens(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0]) for x in lines]
+    line = np.repeat(np.arange(len(at)), [len(a) for a in at])
+    got = licenses._blocks(terms, weight, vectors, line, np.concatenate(at), np.zeros(len(at), int), np.zeros(1, bool), 0.7)
+    mine = sorted(round(float(x), 9) for _, _, s in got for x in s)
+    want = []
+    for i in range(len(at)):
+        for n in range(2, min(licenses.WINDOW, len(at) - i) + 1):
+            a = np.concatenate(at[i : i + n])
+            x = np.bincount(a[a >= 0], minlength=len(terms.keys)) * weight[:-1]
+            cos = (vectors @ x).max() / math.sqrt((x**2).sum() + (a < 0).sum() * weight[-1] ** 2)
+            want += [round(float(cos), 9)] if cos >= 0.7 else []
+    whole = [x for x in mine if x not in want]
+    assert len(want) > 20 and len(whole) <= 1 and sorted(set(want)) == sorted(set(mine) - set(whole))
+
+
 # ---- 2
 def test_near_duplicates(docs, empty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
