@@ -1,8 +1,13 @@
-"""Delimited files: encoding and delimiter are told from a bounded head of the file, then Spark reads and parses it."""
+"""Delimited files: encoding and delimiter are told from a bounded head of the file, then Spark reads and parses it.
+
+A file is read in splits, unless some record runs over a line end: then no split can tell where its first record
+begins, and the file is one task's.
+"""
 
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +19,8 @@ from ..functions.exprs import strip
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_BYTES, SNIFF_CHARS, NUL_CHARS, COUNT_LINES = 200_000, 20_000, 4096, 20
 EXTENSIONS = (".csv", ".xlsx")
+#: Encodings in which quotes, separators and line ends are single bytes that are part of no other character.
+PLAIN = ("utf-8", "iso-8859-1", "us-ascii", "windows-1252")
 
 
 def extension(path: str) -> str:
@@ -25,11 +32,16 @@ def extension(path: str) -> str:
 
 
 def head(spark: SparkSession, path: str, limit: int = HEAD_BYTES) -> tuple[bytes, int]:
-    """The first bytes of a file that Spark can reach, and its length."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, limit).alias("h"), "length").take(1)
+    """The first bytes of a file that Spark can reach, and its length. No more than those bytes is read."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "length").take(1)
     if not rows or not rows[0]["length"]:
         raise FileError(f"{path} is empty")
-    return bytes(rows[0]["h"]), rows[0]["length"]
+    at = spark._jvm.org.apache.hadoop.fs.Path(rows[0]["path"])
+    stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(at)
+    try:
+        return bytes(stream.readNBytes(limit)), rows[0]["length"]
+    finally:
+        stream.close()
 
 
 def encoding_of(data: bytes) -> str:
@@ -73,13 +85,23 @@ def headers_of(cells: list[str | None]) -> list[str]:
     return out
 
 
+def spans_lines(spark: SparkSession, path: str, encoding: str, delimiter: str) -> bool:
+    """Whether some record may run over a line end: a line has quotes other than round whole cells, or a carriage return inside. One pass in splits; any doubt says yes."""
+    if encoding not in PLAIN:
+        return True
+    line = F.regexp_replace("value", r"\r$", "")
+    d = re.escape(delimiter)
+    bare = F.regexp_replace(line, f'(^|{d})"(?:[^"]++|"")*+"(?=$|{d})', "$1")
+    return not spark.read.option("lineSep", "\n").text(path).where(line.contains("\r") | (line.contains('"') & bare.contains('"'))).isEmpty()
+
+
 def indexed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """row_index from 0 in the file's order: ids are numbered within partitions, and partitions follow the file."""
-    placed = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.spark_partition_id())
-    sizes = placed.groupBy("__p").agg(F.count("*").alias("n"), F.min("__id").alias("lo"))  # one row a partition
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__id")) - 1
-    return placed.join(F.broadcast(before), "__p").withColumn("row_index", F.col("before") + rank).select("row_index", *[F.col(f"`{c}`") for c in columns])
+    """row_index from 0 in the file's order: rows are numbered within splits, which are counted and put in order by path and offset."""
+    split = ["__path", "__start"]
+    placed = rows.withColumn("__id", F.monotonically_increasing_id())
+    sizes = placed.groupBy(split).agg(F.count("*").alias("n"), F.min("__id").alias("lo"))  # one row a split
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(F.broadcast(before), split).select((F.col("before") + F.col("__id") - F.col("lo")).alias("row_index"), *[F.col(f"`{c}`") for c in columns])
 
 
 def filled(columns: list[str]):
@@ -109,9 +131,10 @@ def read_csv(spark: SparkSession, path: str, max_bytes: int | None = None) -> tu
     schema = ", ".join(f"_c{i} string" for i in range(len(columns)))
     if encoding not in ("utf-8", "iso-8859-1", "us-ascii"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = spark.read.schema(schema).csv(path, sep=delimiter, encoding=encoding, multiLine=True, quote='"', escape='"', emptyValue="", header=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE")
+    raw = spark.read.schema(schema).csv(path, sep=delimiter, encoding=encoding, multiLine=spans_lines(spark, path, encoding, delimiter), quote='"', escape='"', emptyValue="", header=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE")
     slots = [f"_c{i}" for i in range(len(columns))]
-    kept = indexed(raw.where(filled(slots)).select([F.nullif(F.col(c), F.lit("")).alias(c) for c in slots]), slots)
+    place = F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start")
+    kept = indexed(raw.where(filled(slots)).select(*place, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in slots]), slots)
     # the header is the first row that isn't blank
     body = kept.where("row_index > 0").select((F.col("row_index") - 1).alias("row_index"), *[F.col(s).alias(c) for s, c in zip(slots, columns, strict=True)])
     return body, {"columns": columns, "encoding": encoding, "delimiter": delimiter, "file_type": "csv"}

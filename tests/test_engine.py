@@ -93,6 +93,40 @@ def test_file_guards(spark, tmp_path):
     assert meta["encoding"] == "windows-1252" and rows.first()["name"] == "café"
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Splits of 4 kB, and binaryFile refuses to load more than 1 kB, as it does from 2 GB on otherwise."""
+    held = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0", "spark.sql.sources.binaryFile.maxLength": "1000"}
+    old = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("encoding", "end"), [("utf-8-sig", "\n"), ("utf-8", "\r\n"), ("cp1252", "\n")])
+def test_csv_in_splits(spark, tmp_path, small_splits, encoding, end):
+    names = [f'"Dana ""{i}"", é"' if i % 3 else f"name {i}" for i in range(3000)]
+    lines = ["", "id,name,note", *[line for i, n in enumerate(names) for line in ([f'{i},{n},""', ",,"] if i % 50 == 0 else [f"{i},{n},x"])]]
+    (tmp_path / "s.csv").write_bytes((end.join(lines) + end).encode(encoding))
+    rows, meta = read_csv(spark, str(tmp_path / "s.csv"))
+    assert meta["columns"] == ["id", "name", "note"] and rows.rdd.getNumPartitions() > 5
+    got = [tuple(r) for r in rows.orderBy("row_index").collect()]
+    assert got == [(i, str(i), f'Dana "{i}", é' if i % 3 else f"name {i}", None if i % 50 == 0 else "x") for i in range(3000)]
+
+
+@pytest.mark.parametrize("cell", ['"two\nlines"', '"a, ""b\nc"" d"', '"a\n""\nb"', '"cr\rinside"'])
+def test_csv_records_over_lines(spark, tmp_path, small_splits, cell):
+    """One record over a line end, far beyond the head, keeps the file whole."""
+    lines = ["id,name", *[f"{i},plain" for i in range(25000)], f"25000,{cell}", *[f"{i},after" for i in range(25001, 25010)]]
+    (tmp_path / "m.csv").write_bytes("\n".join(lines).encode())
+    rows, _ = read_csv(spark, str(tmp_path / "m.csv"))
+    got = [tuple(r) for r in rows.where("row_index >= 24999").orderBy("row_index").collect()]
+    want = [(24999, "24999", "plain"), (25000, "25000", cell[1:-1].replace('""', '"')), *[(i, str(i), "after") for i in range(25001, 25010)]]
+    assert got == want
+
+
 def test_contracts():
     with pytest.raises(ContractError):
         make_contract("x", [{"name": "1a"}])
