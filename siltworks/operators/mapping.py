@@ -73,6 +73,12 @@ def _score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([similarity.best_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def _weighted(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([similarity.weighted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def fuzzy_scores(sources: DataFrame, names: DataFrame) -> DataFrame:
     """(source, at, target, ordinal, multiple, score): the best name's score, 6 more for a type that suits (100 at most), 15 less for one that doesn't."""
     spaced = lambda c: F.regexp_replace(c, "_", " ")
@@ -87,9 +93,9 @@ def fuzzy_scores(sources: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def name_similarity(values: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """values (value) distinct, names (name, alpha2) of fixed size -> (value, alpha2) of the best name that scores ``least`` or more."""
+    """values (value) distinct, names (name, alpha2) of fixed size -> (value, alpha2) of the best name that scores ``least`` or more; case doesn't count."""
     pairs = values.withColumn("one", F.lit(1)).join(F.broadcast(names.withColumn("one", F.lit(1))), "one")
-    best = pairs.withColumn("s", _score("value", "name")).where(F.col("s") >= least)
+    best = pairs.withColumn("s", _weighted(F.lower("value"), F.lower("name"))).where(F.col("s") >= least)
     return best.groupBy("value").agg(F.max_by("alpha2", F.struct("s", "name")).alias("alpha2"))
 
 

@@ -525,7 +525,7 @@ def memory_upsert(spark, sf_dir):
 
 @query()
 def country_suggest(spark, sf_dir):
-    names = spark.createDataFrame([("Israel", "IL"), ("Germany", "DE"), ("France", "FR")], "name string, alpha2 string")
+    names = quality.country_names(spark).withColumnRenamed("code", "alpha2")
     return mapping.name_similarity(dirty_customer(spark, sf_dir).where("length(raw_country) >= 3").select(F.col("raw_country").alias("value")).distinct(), names, 80)
 
 
@@ -628,8 +628,7 @@ def bulk_fix_suggestions(spark, sf_dir):
     contract = make_contract("x", [{"name": "email", "type": "email"}, {"name": "country", "type": "country"}])
     mapped = {"raw_email": "email", "raw_country": "country"}
     v = conform(dirty_customer(spark, sf_dir).select("row_index", *mapped), contract, mapped)
-    names = spark.createDataFrame([("Israel", "IL"), ("Germany", "DE"), ("France", "FR")], "name string, code string")
-    return quality.bulk_fixes(v, contract.names, names)
+    return quality.bulk_fixes(v, contract.names)
 
 
 ORDER_MAPPING = {"l_orderkey": "order_id", "price": "price", "shipped": "shipped", "l_returnflag": "flag"}

@@ -68,6 +68,12 @@ def countries() -> dict[str, str]:
     return _jvm_names()[0] | COUNTRY_ALIASES
 
 
+def country_names() -> dict[str, str]:
+    """Lower-case name or alias to alpha-2, without the codes of the standard."""
+    names, _ = _jvm_names()
+    return {n: c for n, c in names.items() if n != c.lower() and len(n) > 3} | COUNTRY_ALIASES
+
+
 def currencies() -> dict[str, str]:
     """Lower-case name, code or symbol to alpha-3; empty where ambiguous."""
     return _jvm_names()[1] | CURRENCY_WORDS

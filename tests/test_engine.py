@@ -186,6 +186,17 @@ def test_fixes_and_profile(spark):
     assert none["empty_pct"] == 100.0 and none["detected_type"] == "empty"
 
 
+def test_countries_are_all_compared(spark):
+    wrong = {"Portugl": "PT", "AUSTRALA": "AU", "swedne": "SE", "Isreal": "IL", "Thailnd": "TH", "Qqqqqq": None}
+    values = spark.createDataFrame([(v,) for v in wrong], "value string")
+    names = quality.country_names(spark).withColumnRenamed("code", "alpha2")
+    got = {r["value"]: r["alpha2"] for r in mapping.name_similarity(values, names, 80).collect()}
+    assert got == {v: c for v, c in wrong.items() if c}
+    contract = make_contract("x", [{"name": "country", "type": "country"}])
+    v = conform(spark.createDataFrame([(0, "Portugl"), (1, "AUSTRALA")], "row_index long, country string"), contract, {"country": "country"})
+    assert {(r["value"], r["fixed"]) for r in quality.bulk_fixes(v, contract.names).collect()} == {("Portugl", "PT"), ("AUSTRALA", "AU")}
+
+
 def test_incremental_is_a_full_run(spark):
     contract = make_contract("x", [{"name": "id", "unique": True}, {"name": "n", "type": "integer"}])
     rows = spark.createDataFrame([(i, f"k{i // 2}", str(i) if i % 3 else "x") for i in range(20)], "row_index long, id string, n string")
