@@ -291,7 +291,8 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batch_bytes: in
     single = F.transform(F.collect_set("i"), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
     warm = places.where("w = 1").join(again, ["key", "h"], "left_semi").groupBy("key", "c").agg(single.alias("runs"))
     settled = whole.union(cool.join(kinds.where("w = 1").select("key", "c"), ["key", "c"], "left_semi").where(F.size("runs") > 0)).union(warm)
-    hit = found.select("key", "c", "doc_id", "row", "at").join(settled.groupBy("key", "c").agg(F.first("runs").alias("runs")), ["key", "c"])
+    # copies of a row are one from here on, as their weights are counted, so a row's list has no more than its text's stretches
+    hit = found.select("key", "c", "doc_id", "row", "at").distinct().join(settled.groupBy("key", "c").agg(F.first("runs").alias("runs")), ["key", "c"])
     spans = hit.select("doc_id", "row", F.transform("runs", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"] - 1 + span).alias("b"))).alias("s"))
     return spans.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("s")).alias("spans"))
 

@@ -391,6 +391,19 @@ def test_repeats_odd(odd):
     assert len(got) == 6 and all(r["n_removed"] == (0 if r["kept"].startswith("g") else r["n_bytes"]) for r in got)
 
 
+@pytest.mark.parametrize("id_", [7, None])
+def test_repeats_of_equal_rows(spark, id_):
+    """A row that comes K times has one list of its spans, no longer than its text's own."""
+    text = " ".join(str(i * 7919 % 10007) for i in range(200))
+    other = spark.createDataFrame([(1, text[100:500] + " other words " * 3)], "doc_id long, text string")
+    df = spark.createDataFrame([(id_, text)] * 30, "doc_id long, text string").union(other)
+    spans = suffixdedup.repeats(df.select("doc_id", F.xxhash64("text").alias("row"), "text")).where(F.col("doc_id").eqNullSafe(F.lit(id_).cast("long"))).collect()
+    once = [(s["a"], s["b"]) for s in spans[0]["spans"]]
+    assert len(spans) == 1 and len(set(once)) == len(once)
+    got = suffixdedup.remove_repeats(df).where(F.col("doc_id").eqNullSafe(F.lit(id_).cast("long"))).collect()
+    assert len(got) == 30 and all(r["n_removed"] == r["n_bytes"] for r in got)
+
+
 # ---- 10
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
