@@ -8,6 +8,7 @@ slice of its own).
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 #: Multiplier of the rolling hash (odd, so that it has an inverse modulo 2**64) and that inverse.
@@ -28,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; that setting is made here only where it is unset, as in tests."""
+    """A new folder under ``spark.checkpoint.dir``. Where that's unset, a local session takes one of its own; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="siltworks-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/siltworks-{uuid.uuid4().hex}"
@@ -41,7 +45,58 @@ def stash(df: DataFrame, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     where = shared_dir(spark)
     df.write.option("compression", codec).parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.stashed_at = where
+    return out
+
+
+def discard(*stashes: DataFrame) -> None:
+    """Delete stashes that no later plan reads."""
+    for df in stashes:
+        delete(df.sparkSession, df.stashed_at)
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_keys(df: DataFrame, *columns: str, parts: int = 500) -> list:
+    """The values that stand in more than 1/parts of all rows, counted over the columns together; at most parts a column."""
+    each = df.select(F.explode(F.array(*columns)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    least = df.agg(F.count("*")).first()[0] // parts
+    return [r["k"] for r in each.where(F.col("n") > max(least, parts)).collect() if r["k"] is not None]
+
+
+def skewed_join(many: DataFrame, few: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few`` (one narrow row a key) on ``key``: the hot keys, of which there is a bounded number, by a broadcast."""
+    if not hot:
+        return many.join(few, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return many.where(~is_hot).join(few.where(~is_hot), key, how).unionByName(many.where(is_hot).join(F.broadcast(few.where(is_hot)), key, how))
+
+
+class Bitmap:
+    """A Bloom filter of fixed size over a column of longs: one hash, 2**BITS bits, whatever the number of values.
+
+    It only saves work: what it takes is joined exactly afterwards, and when it fills up it takes everything.
+    """
+
+    BITS = 25
+
+    def __init__(self, keys: DataFrame):
+        at = keys.select(self.place(F.col(keys.columns[0])).alias("at")).select(F.expr("at div 32").alias("word"), F.expr("shiftleft(1, cast(at % 32 as int))").alias("bit"))
+        words = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**BITS / 32 rows
+        held = np.zeros(1 << self.BITS - 5, dtype=np.int32)
+        held[words["word"].to_numpy()] = words["bits"].to_numpy()
+        self.shared = keys.sparkSession.sparkContext.broadcast(held)
+
+    @classmethod
+    def place(cls, key):
+        return F.shiftrightunsigned(F.xxhash64(key), 64 - cls.BITS)
+
+    def takes(self, places: np.ndarray) -> np.ndarray:
+        return (self.shared.value[places >> 5] >> (places & 31).astype(np.int32)) & 1 == 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +137,49 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes of the longest word that's hashed by eight bytes at a time.
+LANES = 64
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each data[start:end].
+
+    Words of up to seven bytes differ in their hashes for certain: bytes and length are one number, and the mixing is one to
+    one. Longer ones are mixed eight bytes at a time, those of more than LANES bytes are digested by BLAKE2b.
+    """
+    size = (end - start).astype(np.uint64)
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    salt = np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    left = np.minimum(size, np.uint64(8)) * np.uint64(8)
+    first = eight[start]
+    first = np.where(left < 64, first & ((np.uint64(1) << np.minimum(left, np.uint64(63))) - np.uint64(1)), first)
+    out = mix((first ^ (np.minimum(size, np.uint64(8)) << np.uint64(56))) ^ salt)
+    more = np.flatnonzero(size > 7)
+    out[more] = mix(out[more] ^ mix(first[more] + size[more] * np.uint64(0xA0761D6478BD642F) + salt))
+    more, at = more[size[more] > 8], 8
+    while len(more) and at < LANES:
+        rest = size[more] - np.uint64(at)
+        bits = np.minimum(rest, np.uint64(8)) * np.uint64(8)
+        piece = eight[start[more] + at]
+        piece = np.where(bits < 64, piece & ((np.uint64(1) << np.minimum(bits, np.uint64(63))) - np.uint64(1)), piece)
+        out[more] = mix(out[more] * np.uint64(0xE7037ED1A0B428DB) + mix(piece ^ salt))
+        at += 8
+        more = more[size[more] > at]
+    for i in more.tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def chain(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive hashes, in order."""
+    out = np.full(max(0, len(w) - n + 1), n, dtype=np.uint64)
+    for j in range(n):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + w[j : j + len(out)])
+    return out
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the len+1 offsets in them; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -3,16 +3,16 @@
 Two collections of ``bands`` small keys (``rows`` minima each) are computed per document; the table keys
 are all pairs of one key of each collection, so bands**2 tables cost 2 * bands * rows minima. A pair of
 documents shares a table exactly when it agrees in some key of both collections. A pair of similarity s
-is seen with probability (1 - (1 - s**rows)**bands)**2: 0.9999 at 0.75 for the defaults.
+is seen with probability (1 - (1 - s**rows)**bands)**2: 0.999 at 0.75, 0.02 at 0.3 for the defaults.
 
 Table keys are only formed from collection keys that two or more distinct sets share, as no other can
 meet; this leaves nothing out and keeps unique documents out of the tables.
 
 Every bucket ties its documents to its smallest id, and documents that are tied are a family. Each document
-is compared with the id that the most of its family's documents are tied to. What this leaves unlinked is
-compared with all of its family in blocks: the sets of some unlinked documents and of some of the family
-meet in one task, which counts all their overlaps from lists of holders of each shingle and returns links
-only. Blocks are bounded in bytes, so a large family makes more of them; no pair of a family is given up.
+is compared with the id that the most of its family's documents are tied to. What this leaves outside its
+family's largest component is compared, in blocks, with those of the family's documents with which it shares a table:
+the sets of some such documents and of some of the family meet in one task, which returns links only. Blocks are
+bounded in bytes, so a large family makes more of them; no pair that shares a table is given up.
 
 Documents with equal shingle sets are folded into one before all this.
 """
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_table, mix, prefix_hash, slices, span_hash, stash, words
+from .common import LOWER, Bitmap, byte_table, chain, discard, hot_keys, mix, skewed_join, slices, stash, word_hash, words
 from .components import components
 
-BANDS, ROWS, SHINGLE, BLOCK_BYTES = 12, 2, 5, 4 << 20
-#: Most ids that are shipped to every executor, 8 bytes each.
-SHIPPED_IDS = 1_000_000
+BANDS, ROWS, SHINGLE, BLOCK_BYTES = 20, 4, 5, 4 << 20
+#: Into how many parts the rows of a family, and each thousand of the rows tied to one id, are dealt for a join.
+SALTS, TIES = 64, 500
 _SPACE = byte_table((0x09, 0x0D), (0x20, 0x20))
 
 
@@ -39,22 +39,16 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[
     """Sorted distinct 64-bit shingle hashes of each row, end to end, and offsets: k words, or all words of a shorter row as one."""
     low = LOWER[data]
     starts, ends, row = words(low, offs, _SPACE)
-    w = span_hash(prefix_hash(low), starts, ends)
+    w = word_hash(low, starts, ends)
     count = np.diff(row)
-    n = len(w)
-    h = np.zeros(max(0, n - k + 1), dtype=np.uint64)
-    for j in range(k):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[j : j + len(h)])
+    h = chain(w, k)
     out, ends_out = [], np.zeros(len(offs), dtype=np.int64)
     for i, (a, c) in enumerate(zip(row[:-1].tolist(), count.tolist(), strict=True)):
         if c >= k:
             x = np.sort(h[a : a + c - k + 1])
             x = x[np.concatenate(([True], x[1:] != x[:-1]))]
         elif c:
-            y = np.uint64(c)
-            for v in w[a : a + c]:
-                y = mix(np.array([y * np.uint64(3) + v]))[0]
-            x = np.array([y], dtype=np.uint64)
+            x = chain(w[a : a + c], c)
         else:
             x = np.zeros(0, dtype=np.uint64)
         out.append(x)
@@ -93,73 +87,89 @@ def _sketch(bands: int, rows: int, k: int):
     return kernel
 
 
-def _sets(k: int):
+def _sets(k: int, wanted: Bitmap):
+    """(id, place, text) -> the sets of the rows that ``wanted`` takes."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        for batch, data, offs in slices(batches):
-            sets, ends = shingle_sets(data, offs, k)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "set"])
+        for whole in batches:
+            for batch, data, offs in slices(iter([whole.filter(pa.array(wanted.takes(whole.column(1).to_numpy())))])):
+                sets, ends = shingle_sets(data, offs, k)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "set"])
 
     return kernel
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, p) whose full sets are similar enough, as links (a, b)."""
-    a, b = sets.select("id", F.col("set").alias("s")), sets.select(F.col("id").alias("p"), F.col("set").alias("t"))
+def _confirmed(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (id, p; n: how many have this p) whose full sets are similar enough, as links (a, b).
+
+    The rows of a p are dealt to n / TIES parts, and its set is sent to each.
+    """
+    parts = F.ceil(F.col("n") / TIES).cast("int")
+    dealt = ties.select("id", "p", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    every = ties.groupBy("p").agg(F.max("n").alias("n")).select("p", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    a, b = sets.select("id", F.col("set").alias("s")), every.join(sets.select(F.col("id").alias("p"), F.col("set").alias("t")), "p")
     sized = F.greatest(F.size("s"), F.size("t")) * percent <= F.least(F.size("s"), F.size("t")) * 100
     shared = F.size(F.array_intersect("s", "t"))
-    return pairs.join(a, "id").join(b, "p").where(sized).where(F.lit(100) * shared >= F.lit(percent) * (F.size("s") + F.size("t") - shared)).select(F.col("id").alias("a"), F.col("p").alias("b"))
+    return dealt.join(a, "id").join(b, ["p", "part"]).where(sized).where(F.lit(100) * shared >= F.lit(percent) * (F.size("s") + F.size("t") - shared)).select(F.col("id").alias("a"), F.col("p").alias("b"))
 
 
 def _overlaps(percent: int):
-    """One block -> links between its unlinked documents (probe) and all its documents that are in another component."""
+    """One block -> links between its open documents (probe) and those of its documents of another component that share a table with them."""
 
     def links(block: pa.Table) -> pa.Table:
         ids, comp, probe = block["id"].to_numpy(), block["c"].to_numpy(), block["probe"].to_numpy(zero_copy_only=False).astype(bool)
         lists = block["set"].combine_chunks()
         size = lists.value_lengths().to_numpy()
-        tokens = lists.flatten().to_numpy()
-        holder = np.repeat(np.arange(len(ids)), size)
-        base = ~probe
-        order = np.argsort(tokens, kind="stable")
-        order = order[base[holder[order]]]
-        keys, at, count = np.unique(tokens[order], return_index=True, return_counts=True)
+        tokens = lists.flatten().to_numpy().view(np.uint64)  # in whose order sets are
         ends = np.cumsum(size)
+        base = np.flatnonzero(~probe)
+        keys = block["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        bands = keys.shape[1] // 2
         out_a, out_b = [], []
         for i in np.flatnonzero(probe):
-            mine = tokens[ends[i] - size[i] : ends[i]]
-            k = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
-            k = k[keys[k] == mine] if len(keys) else k[:0]
-            n = count[k]
-            total = np.cumsum(n)
-            who = holder[order[np.repeat(at[k] - total + n, n) + np.arange(total[-1] if len(total) else 0)]]
-            shared = np.bincount(who, minlength=len(ids))
-            good = (shared > 0) & (comp != comp[i]) & (100 * shared >= percent * (size + size[i] - shared))
-            hit = ids[good]
-            out_a.append(np.full(len(hit), ids[i]))
-            out_b.append(hit)
+            near = base[(comp[base] != comp[i]) & (100 * np.minimum(size[base], size[i]) >= percent * np.maximum(size[base], size[i]))]
+            for lo in range(0, len(near), 4096):
+                part = near[lo : lo + 4096]
+                same = keys[part] == keys[i]
+                part = part[same[:, :bands].any(axis=1) & same[:, bands:].any(axis=1)]
+                mine = tokens[ends[i] - size[i] : ends[i]]
+                n = size[part]
+                at = np.repeat(ends[part] - np.cumsum(n), n) + np.arange(n.sum())
+                found = np.searchsorted(mine, tokens[at])
+                hit = mine[np.minimum(found, len(mine) - 1)] == tokens[at]
+                shared = np.bincount(np.repeat(np.arange(len(part)), n), weights=hit, minlength=len(part)).astype(np.int64)
+                hit = ids[part[100 * shared >= percent * (n + size[i] - shared)]]
+                out_a.append(np.full(len(hit), ids[i]))
+                out_b.append(hit)
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
 
     return links
 
 
-def _block_links(family: DataFrame, label: DataFrame, sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _block_links(family: DataFrame, label: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (a, b) between a family's documents outside its largest component and all of the family.
 
     A family's documents are dealt to as many parts as their sets need, and so are those outside the largest component; every
     pair of parts is a block.
     """
-    members = family.withColumnRenamed("component", "f").join(label.withColumnRenamed("component", "c"), "id", "left").select("f", "id", F.coalesce("c", "id").alias("c")).join(sets.groupBy("id").agg(F.sum(F.size("set") * 8).alias("bytes")), "id")
+    members = family.withColumnRenamed("component", "f").join(label.withColumnRenamed("component", "c"), "id", "left").select("f", "id", F.coalesce("c", "id").alias("c")).join(sketch.select("id", (F.col("n_shingles") * 8 + 8 * F.size("keys")).alias("bytes"), "keys"), "id")
+    members = stash(members)
     by_comp = members.groupBy("f", "c").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     by_family = by_comp.groupBy("f").agg(F.count("*").alias("comps"), F.max_by("c", F.struct("n", -F.col("c"))).alias("main"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", -F.col("c"))).alias("main_bytes")).where("comps > 1")
     parts = by_family.select("f", "main", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("parts"), F.ceil((F.col("bytes") - F.col("main_bytes")) / block_bytes).cast("int").alias("probes"))
-    open_ = stash(members.join(parts, "f").join(sets, "id").select("f", "id", "c", "set", "main", "parts", "probes"))
+    # a family may hold a third of all rows, so each is dealt to SALTS parts
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
+    open_ = salted.join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["f", "salt"])
+    open_ = stash(open_.select("f", "id", "c", "keys", "main", "parts", "probes").join(sets, "id"))
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    base = open_.select("f", deal(F.col("parts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), "id", "c", "set", F.lit(False).alias("probe"))
-    probes = open_.where("c <> main").select("f", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), deal(F.col("probes")).alias("j"), "id", "c", "set", F.lit(True).alias("probe"))
-    return base.union(probes).groupBy("f", "i", "j").applyInArrow(_overlaps(percent), "a long, b long")
+    base = open_.select("f", deal(F.col("parts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("j"), "id", "c", "keys", "set", F.lit(False).alias("probe"))
+    probes = open_.where("c <> main").select("f", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), deal(F.col("probes")).alias("j"), "id", "c", "keys", "set", F.lit(True).alias("probe"))
+    found = stash(base.union(probes).groupBy("f", "i", "j").applyInArrow(_overlaps(percent), "a long, b long"))
+    discard(members, open_)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -184,13 +194,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE, bands:
 
     ties = stash(tables.join(first, "t").where("id <> p").select("id", "p").distinct())
     wanted = ties.select("id").union(ties.select(F.col("p").alias("id"))).distinct()
-    # a bounded list of ids is shipped to the texts; beyond the bound both are shuffled
-    wanted = stash(wanted.withColumnRenamed("id", "doc_id"))
-    wanted = F.broadcast(wanted) if wanted.count() <= SHIPPED_IDS else wanted.hint("shuffle_merge")
-    sets = stash(text.where("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, set array<long>").distinct())
-    best = ties.join(ties.groupBy("p").agg(F.count("*").alias("n")), "p").groupBy("id").agg(F.max_by("p", F.struct("n", -F.col("p"))).alias("p"))
+    # a bitmap of fixed size keeps most other texts out of the pass; what it lets through by chance is left out by the join
+    near = text.where("doc_id is not null").select(F.col("doc_id").alias("id"), Bitmap.place(F.col("doc_id")).alias("place"), "text")
+    sets = stash(near.mapInArrow(_sets(k, Bitmap(wanted)), "id long, set array<long>").join(wanted, "id", "left_semi").distinct())
+    best = skewed_join(ties, ties.groupBy("p").agg(F.count("*").alias("n")), "p", hot_keys(ties, "p")).groupBy("id").agg(F.max_by(F.struct("p", "n"), F.struct("n", -F.col("p"))).alias("x")).select("id", "x.p", "x.n")
     linked = stash(_confirmed(best, sets, percent))
-    linked = stash(linked.union(_block_links(components(ties.toDF("a", "b")), components(linked), sets, percent)))
+    rest = _block_links(components(ties.toDF("a", "b")), components(linked), sketch, sets, percent)
+    linked = linked.union(rest)
+    discard(tables, ties, sets)
 
     same = known.join(reps, ["n_shingles", "d0", "d1"]).select("doc_id", "id").distinct()
     # a doc_id on several rows ties its sets together

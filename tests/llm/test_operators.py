@@ -167,6 +167,24 @@ def test_near_duplicates_blocks(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def _twins(n):
+    """Two words of n letters of which polynomials modulo 2**64 can't tell one from the other."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_collide(spark, n):
+    """op2, op7, op8 and op9 tell such words, and passages of them, apart."""
+    one, two = _twins(n)
+    rows = [(1, f"{one} b c d e"), (2, f"{two} b c d e"), (3, one), (4, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    items = spark.createDataFrame([(7, one)], "item_id long, text string")
+    assert {r["doc_id"] for r in winnow.contamination(df, items).collect() if r["spans"]} == {1, 3}
+
+
 def test_near_duplicates_odd(odd):
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd).collect()), key=str)
     assert got == sorted([(None, None, True), (1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True), (3, 2, False)], key=str)
