@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat, prefix_hash, slices, span_hash
+from .common import LOWER, delete, flat, shared_dir, slices, word_hash
 
 MAX_BITS, STEP, BLOCK_IDS, TABLE, SLOT_BITS = 18, 128, 1 << 18, 900_000, 21
 END = 1
@@ -29,15 +29,14 @@ BLOCKS = "shard int, at long, n_ids long, docs array<long>, sizes array<long>, m
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Lengths of an optimal prefix code with none over ``limit``, by package-merge; 0 where the count is 0."""
+    """Lengths of an optimal prefix code with none over ``limit`` (or what so many symbols need, if more), by package-merge; 0 where the count is 0."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), dtype=np.uint8)
     n = len(used)
     if n <= 1:
         out[used] = 1
         return out
-    if n > 1 << limit:
-        raise ValueError(f"{n} symbols need codes longer than {limit} bits")
+    limit = max(limit, (n - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     weight = counts[order].astype(np.int64)
     merged, is_leaf = weight, [np.ones(n, dtype=bool)]
@@ -140,7 +139,8 @@ class Words:
 
     The vocabulary's rules lower a text and split it into words that are encoded apart. Texts of Latin-1 characters are
     split here by the same rules, on their bytes; others, and those with a special token, go to the library whole. The ids of
-    every distinct word come from the library and are kept in a table of bounded size, by the word's 64-bit hash.
+    every distinct word come from the library and are kept in a table of bounded size, by 128 bits: a word of up to seven
+    bytes is told by the first 64 for certain, a longer one has two hashes of different seeds.
     """
 
     def __init__(self, path: str):
@@ -159,30 +159,30 @@ class Words:
         self.bits = max(SLOT_BITS, (2 * self.room).bit_length())
         self.ids = np.zeros(1 << 16, dtype=self.kind)
         self.at = np.zeros(self.room + 1, dtype=np.int64)
-        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)  # 0: free
-        self.slot = np.zeros(1 << self.bits, dtype=np.int32)
+        self.keys = np.zeros((1 << self.bits, 2), dtype=np.uint64)
+        self.slot = np.full(1 << self.bits, -1, dtype=np.int32)  # -1: free
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each hash in the table, -1 if it isn't there; all probe side by side, by steps of one slot."""
+        """The number of each pair of hashes in the table, -1 if it isn't there; all probe side by side, by steps of one slot."""
         mask = (1 << self.bits) - 1
         out = np.full(len(hashes), -1, dtype=np.int64)
-        pos = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        pos = (hashes[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
         open_ = np.arange(len(hashes))
         while len(open_):
-            held = self.keys[pos]
-            hit = held == hashes[open_]
-            out[open_[hit]] = self.slot[pos[hit]]
-            go = ~hit & (held != 0)
+            slot, held, sought = self.slot[pos], self.keys[pos], hashes[open_]
+            hit = (slot >= 0) & (held[:, 0] == sought[:, 0]) & (held[:, 1] == sought[:, 1])
+            out[open_[hit]] = slot[hit]
+            go = ~hit & (slot >= 0)
             open_, pos = open_[go], (pos[go] + 1) & mask
         return out
 
     def place(self, hashes: np.ndarray) -> None:
-        """Put distinct new hashes in, numbered from n on."""
+        """Put distinct new pairs in, numbered from n on."""
         mask = (1 << self.bits) - 1
-        open_, pos = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        open_, pos = np.arange(len(hashes)), (hashes[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(open_):
             _, first = np.unique(pos, return_index=True)  # of those that meet in a slot the first takes it
-            take = first[self.keys[pos[first]] == 0]
+            take = first[self.slot[pos[first]] < 0]
             self.keys[pos[take]] = hashes[open_[take]]
             self.slot[pos[take]] = self.n + open_[take]
             left = np.ones(len(open_), dtype=bool)
@@ -247,17 +247,18 @@ class Words:
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts, end to end with an end id after each, and their number in each."""
         low, starts, ends = self.split(data, offs) if len(data) else (data, offs[:0], offs[:0])
-        hashes = np.maximum(span_hash(prefix_hash(low), starts, ends), np.uint64(1))
+        hashes = np.zeros((len(starts), 2), dtype=np.uint64)
+        hashes[:, 0] = word_hash(low, starts, ends)
+        long = np.flatnonzero(ends - starts > 7)
+        hashes[long, 1] = word_hash(low, starts[long], ends[long], 1)
         place = self.find(hashes)
         if (place < 0).any():
-            missed = np.flatnonzero(place < 0)
-            new, first = np.unique(hashes[missed], return_index=True)
-            if self.n + len(new) > self.room:
-                new, first = np.unique(hashes, return_index=True)
-                self.clear(len(new))
-                missed = np.arange(len(hashes))
-            raw, a, b = low.tobytes(), starts[missed[first]].tolist(), ends[missed[first]].tolist()
-            self.add(new, [raw[x:y] for x, y in zip(a, b, strict=True)])
+            first = _distinct(hashes, np.flatnonzero(place < 0))
+            if self.n + len(first) > self.room:
+                first = _distinct(hashes, np.arange(len(hashes)))
+                self.clear(len(first))
+            raw, a, b = low.tobytes(), starts[first].tolist(), ends[first].tolist()
+            self.add(hashes[first], [raw[x:y] for x, y in zip(a, b, strict=True)])
             place = self.find(hashes)
         size, at = self.at[place + 1] - self.at[place], self.at[place]
         total = np.cumsum(size)
@@ -266,6 +267,14 @@ class Words:
         return np.insert(ids, upto[1:], END), np.diff(upto) + 1
 
 
+def _distinct(hashes: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """One place, of those given, of each pair."""
+    order = among[np.lexsort((hashes[among, 1], hashes[among, 0]))]
+    turn = np.ones(len(order), dtype=bool)
+    turn[1:] = (hashes[order[1:]] != hashes[order[:-1]]).any(axis=1)
+    return order[turn]
+
+
 _WORDS: dict[str, Words] = {}
 
 
@@ -344,10 +353,11 @@ def _blocks(lengths):
 
 def _read(lengths):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, sizes = decode_table(lengths.value)
+        bits = max(MAX_BITS, int(lengths.value.max()))
+        symbols, sizes = decode_table(lengths.value, bits)
         for batch in batches:
             for r in batch.to_pylist():
-                ids = unpack(r["bits"], np.array(r["marks"], dtype=np.int64), r["n_ids"], symbols, sizes).astype("<u4")
+                ids = unpack(r["bits"], np.array(r["marks"], dtype=np.int64), r["n_ids"], symbols, sizes, bits).astype("<u4")
                 ends = np.cumsum(r["sizes"])
                 raw = [ids[e - s : e].tobytes() for s, e in zip(r["sizes"], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(r["docs"], pa.int64()), pa.array((ends - r["sizes"]) + r["start"], pa.int64()), pa.array(r["sizes"], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
@@ -359,13 +369,16 @@ def write_ids(docs: DataFrame, tokenizer: str, to: str) -> None:
     """Encode docs (doc_id long, text, ...) and write the store ``to``, a folder that every machine can reach.
 
     Every row is written: a null or empty text is the end id alone; rows that repeat a doc_id follow each other, a null
-    doc_id comes first. An empty table gives a store without blocks. Other columns are ignored.
+    doc_id comes first. Codes have MAX_BITS bits at most, or as many as the number of different ids needs (up to 25). An empty table gives a store without blocks. Other columns are ignored.
     """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(_encode(tokenizer), "doc_id long, at long, n long, width int, ids binary").withColumn("shard", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{to}/ids")
-    ids = spark.read.schema("doc_id long, at long, n long, width int, ids binary, shard int").parquet(f"{to}/ids")
+    # one doc_id may have a share of the rows: the number splits it
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("number"), "text")
+    dealt = numbered.repartitionByRange(shards, "doc_id", "number").sortWithinPartitions("doc_id", "number").select("doc_id", "text")
+    between = shared_dir(spark)
+    dealt.mapInArrow(_encode(tokenizer), "doc_id long, at long, n long, width int, ids binary").withColumn("shard", F.spark_partition_id()).write.option("compression", "zstd").parquet(between)
+    ids = spark.read.schema("doc_id long, at long, n long, width int, ids binary, shard int").parquet(between)
     counts = ids.select("width", "ids").mapInArrow(_counts, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     got = counts.collect()  # at most one row for each id of the vocabulary
     total = np.zeros(1 + max((r["id"] for r in got), default=0), dtype=np.int64)
@@ -378,6 +391,7 @@ def write_ids(docs: DataFrame, tokenizer: str, to: str) -> None:
     by_shard.withColumn("start", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).coalesce(1).write.parquet(f"{to}/shards")
     shared = spark.sparkContext.broadcast(lengths)
     ids.select("shard", "at", "doc_id", "width", "ids").mapInArrow(_blocks(shared), BLOCKS).write.option("compression", "none").parquet(f"{to}/blocks")
+    delete(spark, between)
 
 
 def read_ids(spark: SparkSession, store: str) -> DataFrame:
