@@ -3,17 +3,16 @@
 A text's fingerprints are the least of the GRAM-word hashes in every run of WINDOW words; equal runs have
 equal fingerprints, so every shared span of WINDOW words is guaranteed to be met. The fingerprints of the
 training texts are joined with those of the benchmark; around each hit the run is extended to its whole
-window, which must be one of the benchmark's. Benchmark items shorter than a window are one window each
-and are met by the hash of their full length.
+window, which must be one of the benchmark's by two hashes of different seeds, 128 bits. Benchmark items shorter
+than a window are one window each and are met by the hash of their full length.
 
-The benchmark is held in blocks of at most ``block_bytes`` of text, each shipped to the executors on its
-own; a larger benchmark makes further passes over the training texts, never a larger broadcast. The
-training texts aren't shuffled.
+The benchmark is held in blocks of at most ``block_bytes`` of text, as sorted arrays of some 24 bytes a word, each
+shipped to the executors on its own; a larger benchmark makes further passes over the training texts, never a
+larger broadcast. The training texts aren't shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,28 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_table, mix, powers, prefix_hash, slices, span_hash, words
+from .common import LOWER, byte_table, chain, flat, mix, slices, word_hash, words
 
-WINDOW, GRAM, BLOCK_BYTES = 10, 5, 16 << 20
+WINDOW, GRAM, BLOCK_BYTES = 10, 5, 8 << 20
 _OTHER = byte_table((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
-def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = LOWER[data]
-    starts, ends, row = words(low, offs, _OTHER)
-    return span_hash(prefix_hash(low), starts, ends), row
-
-
-def _grams(h: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each n consecutive words; h: running sums of word hashes times powers."""
-    m = max(0, len(h) - n)
-    return mix((h[n : n + m] - h[:m]) * powers(len(h))[1][:m] + np.uint64(n))
-
-
-def _running(w: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(w) + 1, dtype=np.uint64)
-    if len(w):
-        np.cumsum(w * powers(len(w))[0], out=out[1:])
+def _windows(w: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n word hashes from each start on."""
+    out = np.full(len(starts), n, dtype=np.uint64)
+    for j in range(n):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + w[starts + j])
     return out
 
 
@@ -56,40 +44,41 @@ def _least(grams: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """What a block of benchmark items looks like: window hashes by length, the fingerprints, and each window's items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
-        found: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        prints: set[int] = set()
-        self.names = sorted({name for name, _ in items}, key=lambda s: s.encode())
-        number = {name: i for i, name in enumerate(self.names)}
+    def __init__(self, names: pa.Array, texts: pa.Array, window: int, gram: int):
         with np.errstate(over="ignore"):
-            for name, text in items:
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                w, _ = _word_hashes(data, np.array([0, len(data)]))
-                if not len(w):
-                    continue
-                n = min(window, len(w))
-                h = _running(w)
-                for g in _grams(h, n).tolist():
-                    found[n][g].add(number[name])
-                if n == window:
-                    prints.update(_least(_grams(h, gram), window - gram + 1).tolist())
-        self.prints = self._keyed(prints)
-        self.by_length = {}
-        for n, of in found.items():
-            keys = np.array(sorted(of), dtype=np.uint64)
-            lists = [sorted(of[k]) for k in keys.tolist()]
-            self.by_length[n] = (*self._keyed(keys), np.cumsum([0, *map(len, lists)]), np.array([x for y in lists for x in y], dtype=np.int64))
+            self.names = sorted(set(names.to_pylist()), key=lambda s: s.encode())
+            number = {name: i for i, name in enumerate(self.names)}
+            item = np.array([number[n] for n in names.to_pylist()], dtype=np.int64)
+            data, offs = flat(texts)
+            low = LOWER[data]
+            starts, ends, row = words(low, offs, _OTHER)
+            w, w2 = word_hash(low, starts, ends), word_hash(low, starts, ends, 1)
+            count = np.diff(row)
+            of, end = np.repeat(np.arange(len(count)), count), np.repeat(row[1:], count)
+            least = _least(chain(w, gram), window - gram + 1)
+            at = np.arange(len(least))
+            self.prints = self._keyed(np.unique(least[at + window <= end[at]]))
+            self.by_length = {}
+            for n in sorted({min(window, c) for c in count.tolist() if c}):
+                at = np.flatnonzero(np.arange(len(w)) + n <= end) if n == window else row[:-1][count == n]
+                key, check = _windows(w, at, n), _windows(w2, at, n)
+                order = np.lexsort((item[of[at]], check, key))
+                key, check, name = key[order], check[order], item[of[at]][order]
+                turn = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
+                fresh = turn | np.append(True, name[1:] != name[:-1])
+                begin = np.append(np.flatnonzero(turn[fresh]), fresh.sum())
+                keys, most = np.unique(key[turn], return_counts=True)
+                self.by_length[n] = (self._keyed(key[turn])[0], self._keyed(keys)[1], check[turn], int(most.max()), begin, name[fresh])
 
     @staticmethod
-    def _keyed(keys) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array(sorted(keys), dtype=np.uint64)
+    def _keyed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen = np.zeros(1 << 16, dtype=bool)
         seen[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
         return keys, seen
 
 
 def _member(x: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Where x is in keys: -1 or the place."""
+    """The first place of x in keys, or -1."""
     out = np.full(len(x), -1, dtype=np.int64)
     may = np.flatnonzero(seen[(x & np.uint64(0xFFFF)).astype(np.int64)])
     if len(keys) and len(may):
@@ -98,27 +87,34 @@ def _member(x: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hits(index: Index, window: int, gram: int, w: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _hits(index: Index, window: int, gram: int, low: np.ndarray, begin: np.ndarray, stop: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, starts, places of the windows) of all benchmark windows in the words of a slice."""
-    h = _running(w)
+    w = word_hash(low, begin, stop)
     end = np.repeat(row[1:], np.diff(row))
-    for n in sorted(index.by_length):
-        keys, seen, _, _ = index.by_length[n]
+    for n, (keys, seen, check, most, _, _) in sorted(index.by_length.items()):
         if n == window:
-            least = _least(_grams(h, gram), window - gram + 1)
+            least = _least(chain(w, gram), window - gram + 1)
             m = len(least)
             if not m:
                 continue
             turn = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
             runs = _member(least[turn], *index.prints) >= 0
             starts = np.flatnonzero(np.repeat(runs, np.diff(np.append(turn, m))))
-            full = _grams(h, n)
         else:
-            full = _grams(h, n)
-            starts = np.arange(len(full))
+            starts = np.arange(max(0, len(w) - n + 1))
         starts = starts[starts + n <= end[starts]] if len(starts) else starts
-        place = _member(full[starts], keys, seen)
-        yield n, starts[place >= 0], place[place >= 0]
+        key = _windows(w, starts, n)
+        place = _member(key, keys, seen)
+        starts, key, place = starts[place >= 0], key[place >= 0], place[place >= 0]
+        need = np.unique(starts[:, None] + np.arange(n)) if len(starts) else starts
+        other = np.zeros(len(w), dtype=np.uint64)
+        other[need] = word_hash(low, begin[need], stop[need], 1)
+        sought = _windows(other, starts, n)
+        found = np.full(len(starts), -1, dtype=np.int64)
+        for k in range(most):  # windows of one key and different checks follow each other
+            at = np.minimum(place + k, len(keys) - 1)
+            found = np.where((keys[at] == key) & (check[at] == sought), at, found)
+        yield n, starts[found >= 0], found[found >= 0]
 
 
 def _kernel(index, window: int, gram: int):
@@ -126,16 +122,17 @@ def _kernel(index, window: int, gram: int):
         np.seterr(over="ignore")
         ix = index.value
         for batch, data, offs in slices(batches):
-            w, row = _word_hashes(data, offs)
-            cover = np.zeros(len(w) + 1, dtype=np.int32)
+            low = LOWER[data]
+            first_byte, last_byte, row = words(low, offs, _OTHER)
+            cover = np.zeros(len(first_byte) + 1, dtype=np.int32)
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            for n, starts, place in _hits(ix, window, gram, w, row):
+            for n, starts, place in _hits(ix, window, gram, low, first_byte, last_byte, row):
                 np.add.at(cover, starts, 1)
                 np.add.at(cover, starts + n, -1)
-                at, names = ix.by_length[n][2:]
+                at, names = ix.by_length[n][4:]
                 of = np.searchsorted(row, starts, side="right") - 1
-                pair = np.unique(of * np.int64(len(ix.by_length[n][0])) + place)
-                of, place = np.divmod(pair, max(1, len(ix.by_length[n][0])))
+                size = max(1, len(ix.by_length[n][0]))
+                of, place = np.divmod(np.unique(of * np.int64(size) + place), size)
                 count = at[place + 1] - at[place]
                 flat = np.repeat(at[place] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(count) else np.zeros(0, np.int64)
                 found.append((np.repeat(of, count), names[flat]))
@@ -175,7 +172,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     out = None
     for b in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b) if blocks > 1 else bench
-        index = spark.sparkContext.broadcast(Index([(r.name_, r.text) for r in part.withColumnRenamed("name", "name_").toLocalIterator()], window, gram))
+        held = part.toArrow().combine_chunks()  # of at most block_bytes of text
+        index = spark.sparkContext.broadcast(Index(held["name"], held["text"], window, gram))
         one = rows.mapInArrow(_kernel(index, window, gram), schema).withColumn("spans", F.arrays_zip("begin", "stop")).drop("begin", "stop")
         out = one if out is None else out.union(one)
     if blocks > 1:
