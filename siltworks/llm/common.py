@@ -141,11 +141,11 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 LANES = 64
 
 
-def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, lanes: int = LANES) -> np.ndarray:
     """A 64-bit hash of each data[start:end].
 
     Words of up to seven bytes differ in their hashes for certain: bytes and length are one number, and the mixing is one to
-    one. Longer ones are mixed eight bytes at a time, those of more than LANES bytes are digested by BLAKE2b.
+    one. Longer ones are mixed eight bytes at a time, those of more than ``lanes`` bytes are digested by BLAKE2b.
     """
     size = (end - start).astype(np.uint64)
     padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
@@ -158,7 +158,9 @@ def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     more = np.flatnonzero(size > 7)
     out[more] = mix(out[more] ^ mix(first[more] + size[more] * np.uint64(0xA0761D6478BD642F) + salt))
     more, at = more[size[more] > 8], 8
-    while len(more) and at < LANES:
+    whole = more[size[more] > lanes]
+    more = more[size[more] <= lanes]
+    while len(more):
         rest = size[more] - np.uint64(at)
         bits = np.minimum(rest, np.uint64(8)) * np.uint64(8)
         piece = eight[start[more] + at]
@@ -166,7 +168,7 @@ def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
         out[more] = mix(out[more] * np.uint64(0xE7037ED1A0B428DB) + mix(piece ^ salt))
         at += 8
         more = more[size[more] > at]
-    for i in more.tolist():
+    for i in whole.tolist():
         digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest()
         out[i] = int.from_bytes(digest, "little")
     return out

@@ -15,7 +15,8 @@ settled exactly by transforms:
   more is a repeated string.
 
 Buckets of more than ``hot`` different stretches are settled by one aggregation over their strings' hashes
-instead, so no task holds a bucket whose size grows with the corpus.
+instead, so no task holds a bucket whose size grows with the corpus. Stretches count as equal if the hash of their
+bucket's least gram and one of all their bytes agree, 128 bits; so do the strings of hot buckets.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, slices, span_hash, stash
+from .common import discard, prefix_hash, skewed_join, slices, span_hash, stash, word_hash
 
-SPAN, GRAM, STEP, BATCH, HOT = 200, 48, 8, 60_000, 10_000
+SPAN, GRAM, STEP, BATCH, HOT = 200, 48, 8, 60_000, 1_000
+#: Longest bytes that are hashed by eight at a time, and the number of hot keys' share of all rows.
+LANES, PARTS = 2048, 500
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -75,7 +78,7 @@ def stretches(data: np.ndarray, offs: np.ndarray, span: int = SPAN, gram: int =
         count += np.bincount(k, minlength=len(begin))
     keep = whole[begin]
     begin, stop, count = begin[keep], stop[keep], count[keep]
-    return least[begin], span_hash(h, begin, stop - 1 + span), begin, stop - begin, count > 1
+    return least[begin], word_hash(data, begin, stop - 1 + span, lanes=LANES), begin, stop - begin, count > 1
 
 
 def _stretch_rows(span: int, gram: int):
@@ -231,7 +234,7 @@ def _strings(span: int):
             for key, c, w, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = np.frombuffer(raw, dtype=np.uint8)
                 at = np.arange(len(data) - span + 1)
-                h = span_hash(prefix_hash(data), at, at + span)
+                h = word_hash(data, at, at + span, lanes=max(span, LANES))
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, c)), pa.array(np.full(n, w)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["key", "c", "w", "i", "h"])
 
@@ -269,23 +272,32 @@ def _keep(texts: bool):
     return kernel
 
 
+def _most(counted: DataFrame, n: str) -> list[int]:
+    """The keys that hold more than 1/PARTS of all that's counted: fewer than PARTS."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return [r["key"] for r in counted.where(F.col(n) > max(total // PARTS, PARTS)).select("key").collect()]
+
+
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batch_bytes: int = BATCH, hot: int = HOT) -> DataFrame:
     """docs (doc_id, row, text) -> doc_id, row, spans array<struct<a, b>>: bytes of strings of ``span`` bytes that start elsewhere too; documents without are left out.
 
     ``row`` tells apart rows of one doc_id with different texts; equal rows are copies of each other.
     """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = stash(docs.select("doc_id", "row", "text").mapInArrow(_stretch_rows(span, gram), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, key long, c long, at int, n int, twice boolean"))
-    shared = found.groupBy("key").agg(F.count("*").alias("all"), F.max("twice").alias("twice")).where("all > 1 or twice").select("key")
-    found = stash(found.join(shared, "key", "left_semi"))
+    shared = stash(found.groupBy("key").agg(F.count("*").alias("all"), F.max("twice").alias("twice")).where("all > 1 or twice").select("key", "all"))
+    first, found = found, stash(skewed_join(found, shared.select("key"), "key", _most(shared, "all"), "left_semi"))
+    discard(first, shared)
     one = F.min(F.struct("doc_id", "row", "at", "n")).alias("first")
-    kinds = found.groupBy("key", "c").agg(F.count("*").alias("w"), F.max("twice").alias("twice"), one)
+    kinds = stash(found.groupBy("key", "c").agg(F.count("*").alias("w"), F.max("twice").alias("twice"), one))
     sums = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("w").alias("least"), F.max(F.col("twice") & (F.col("w") == 1)).alias("inner"))
-    open_ = sums.where("(kinds > 1 and least = 1) or inner").select("key", (F.col("kinds") > hot).alias("hot"))
-    kinds = stash(kinds.join(open_, "key", "left"))
+    open_ = stash(sums.where("(kinds > 1 and least = 1) or inner").select("key", (F.col("kinds") > hot).alias("hot"), "kinds"))
+    first, kinds = kinds, stash(skewed_join(kinds, open_.select("key", "hot"), "key", _most(open_, "kinds"), "left"))
+    discard(first, open_)
     whole = kinds.where("w > 1").select("key", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("first.n").alias("b"))).alias("runs"))
     wanted = kinds.where("hot is not null").groupBy(F.col("first.doc_id").alias("d"), F.col("first.row").alias("r")).agg(F.collect_list(F.struct("key", "c", "w", F.col("first.at").alias("at"), F.col("first.n").alias("n"), "hot")).alias("wanted"))
     cut = stash(docs.select("doc_id", "row", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("text", "wanted").mapInArrow(_cut(span), "key long, c long, w long, bytes binary, hot boolean").dropDuplicates(["key", "c"]), "zstd")
-    cool = cut.where("not hot").select("key", "c", "w", "bytes").repartition(F.col("key")).sortWithinPartitions("key", "c").mapInArrow(_settle(span, batch_bytes), "key long, c long, runs array<struct<a:int,b:int>>")
+    cool = cut.where("not hot").select("key", "c", "w", "bytes").repartition(tasks, "key").sortWithinPartitions("key", "c").mapInArrow(_settle(span, batch_bytes), "key long, c long, runs array<struct<a:int,b:int>>")
     places = cut.where("hot").select("key", "c", "w", "bytes").mapInArrow(_strings(span), "key long, c long, w long, i int, h long")
     again = places.groupBy("key", "h").agg(F.sum("w").alias("all")).where("all > 1").select("key", "h")
     single = F.transform(F.collect_set("i"), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
@@ -294,7 +306,9 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batch_bytes: in
     # copies of a row are one from here on, as their weights are counted, so a row's list has no more than its text's stretches
     hit = found.select("key", "c", "doc_id", "row", "at").distinct().join(settled.groupBy("key", "c").agg(F.first("runs").alias("runs")), ["key", "c"])
     spans = hit.select("doc_id", "row", F.transform("runs", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"] - 1 + span).alias("b"))).alias("s"))
-    return spans.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    out = stash(spans.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("s")).alias("spans")))
+    discard(found, kinds, cut)
+    return out
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, texts: bool = True, gram: int = GRAM, batch_bytes: int = BATCH, hot: int = HOT) -> DataFrame:
