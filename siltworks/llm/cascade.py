@@ -1,6 +1,6 @@
 """Exact membership without joins: a cascade of Bloom filters over the complete key universe of a corpus.
 
-Level 1 holds the listed keys; level 2 the keys of the corpus that level 1 takes wrongly; level 3 the listed
+Level 1 holds the listed keys of the universe; level 2 the keys of the corpus that level 1 takes wrongly; level 3 the listed
 keys that level 2 takes wrongly; and so on until a level takes none wrongly. A key of the universe is listed
 exactly when the number of levels that take it in a row is odd. Each level's bits are gathered by an
 aggregation, become one binary literal of a size that's checked, and every test is a column expression.
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Bits a key and hashes of the first level and of the others, and the most bits a level may have.
-FIRST, OTHER, MAX_BITS = (10, 7), (4, 3), 1 << 26
+#: Most bits that a level may have.
+MAX_BITS = 1 << 26
 
 
 class TooLarge(ValueError):
@@ -28,28 +28,34 @@ def _bits(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
     return [F.pmod(F.shiftright(a, 1) + F.shiftright(b, 8) * F.lit(i), F.lit(bits)) for i in range(hashes)]
 
 
+def rate(wanted: int, others: int, first: bool) -> float:
+    """The share of other keys that a level may take. The first takes wanted / sqrt(2) of them, the others half, which makes the sum of all bits least."""
+    return min(0.5, wanted / (math.sqrt(2) * max(1, others))) if first else 0.5
+
+
 class Level:
     """One Bloom filter, as bytes on the driver."""
 
-    def __init__(self, keys: DataFrame, number: int, count: int, per_key: int, hashes: int, max_bits: int):
-        self.number, self.hashes = number, hashes
-        self.bits = max(64, count * per_key)
+    def __init__(self, keys: DataFrame, number: int, count: int, share: float, max_bits: int):
+        self.number, self.hashes = number, max(1, round(-math.log2(share)))
+        self.bits = max(8, math.ceil(count * -math.log2(share) / math.log(2)))
         if self.bits > max_bits:
             raise TooLarge(f"level {number} needs {self.bits} bits for {count} keys; at most {max_bits} are shipped")
         data = bytearray(-(-self.bits // 8))
-        at = keys.select(F.explode(F.array(*_bits(F.col("key"), number, hashes, self.bits))).alias("at"))
+        at = keys.select(F.explode(F.array(*_bits(F.col("key"), number, self.hashes, self.bits))).alias("at"))
         words = at.groupBy(F.expr("at div 8").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("at", F.lit(8)).cast("int"))).alias("set"))
         for r in words.toLocalIterator():  # at most a row a byte of the filter
             data[r["byte"]] = r["set"]
         self.data = bytes(data)
 
     def takes(self, key: Column) -> Column:
-        out = None
-        for at in _bits(key, self.number, self.hashes, self.bits):
+        """Whether every bit of the key is set; the level's bytes stand in the plan once, whatever the number of hashes."""
+
+        def set_(at: Column) -> Column:
             byte = F.conv(F.hex(F.substring(F.lit(self.data), (F.call_function("shiftright", at, F.lit(3)) + 1).cast("int"), 1)), 16, 10).cast("int")
-            hit = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
-            out = hit if out is None else out & hit
-        return out
+            return F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+        return F.forall(F.array(*_bits(key, self.number, self.hashes, self.bits)), set_)
 
 
 class Cascade:
@@ -61,8 +67,8 @@ class Cascade:
         keys = stash(keys.select("key", (F.col("l") == 1).alias("listed")))
         wanted, others = keys.where("listed"), keys.where("not listed")
         while count := wanted.count():
-            per_key, hashes = OTHER if self.levels else FIRST
-            level = Level(wanted.select("key"), len(self.levels) + 1, count, per_key, hashes, max_bits)
+            share = rate(count, 0 if self.levels else others.count(), not self.levels)
+            level = Level(wanted.select("key"), len(self.levels) + 1, count, share, max_bits)
             self.levels.append(level)
             wanted, others = others.where(level.takes(F.col("key"))), wanted
 

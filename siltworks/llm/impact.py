@@ -1,11 +1,15 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-The index holds, for blocks of vectors, each component's quantised impact: its size rounded down to a
-multiple of STEP, with its sign. Impacts fall into tiers by powers of two. A block's scores against the
-queries are added up tier by tier, the highest impacts first. After each tier every score is known within
-bounds: what's left of a component is below the tier's floor. A query stops at the first tier that proves
-few vectors of the block can still be among its k best, as their upper bound reaches the k-th highest lower
-bound; just these are scored again from the exact components. Without such a proof all tiers are read.
+The index is a written table of blocks of vectors. For each dimension a block holds its vectors in falling order of
+their component, cut into posting segments of equal quantised impact (the component rounded down to a multiple of
+STEP). Impacts count from the least component of the dimension up, or from the highest down where a query's weight is
+negative, so no contribution to a score is negative.
+
+A query takes a block's segments, of all dimensions, in falling order of weight times impact. Each posting adds to its
+vector's lower and upper bound; one that wasn't taken yet adds at most what its dimension's next segment can. A query
+stops at the first step that proves few vectors can still be among its k best: those whose upper bound reaches the k-th
+highest lower bound, or the k-th highest score met by the same task. Just these are scored again from the exact
+components. Without such a proof all segments are taken.
 
 A block yields its k best for each query, and the blocks' lists are merged by a window. Queries are shipped
 in chunks of at most ``query_bytes``; further chunks are further passes over the index.
@@ -17,11 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEP, BLOCK_ROWS, QUERY_BYTES, QUERY_ROWS = 16, 4096, 32 << 20, 256
-RESCORE = 64
+from .common import stash
+
+STEP, BLOCK_ROWS, QUERY_BYTES = 4, 4096, 32 << 20
+#: The share of a block that is scored again at most where a proof has stopped a query, and the steps in which segments are taken.
+RESCORE, STEPS = 1 / 16, 24
 
 
 def vectors(rows: DataFrame, scale: int = 1024) -> DataFrame:
@@ -30,85 +38,119 @@ def vectors(rows: DataFrame, scale: int = 1024) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-
-
-def tiers(x: np.ndarray) -> list[tuple[float, np.ndarray]]:
-    """(floor, part of the quantised impacts that are in this tier), highest first."""
-    size = np.floor(np.abs(x) / STEP) * STEP
-    quantised = np.sign(x) * size
-    top = float(size.max(initial=0))
-    floors = [float(STEP)]
-    while floors[-1] * 2 <= top:
-        floors.append(floors[-1] * 2)
-    out, above = [], np.inf
-    for f in reversed(floors):
-        out.append((f, np.where((size >= f) & (size < above), quantised, 0.0)))
-        above = f
-    return out
-
-
-def block_best(ids: np.ndarray, x: np.ndarray, index: list[tuple[float, np.ndarray]], qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query number, row, score) of each query's k best rows of the block, itself left out, and how many tiers were read."""
-    n, m = len(ids), len(qids)
-    norm = np.abs(q).sum(axis=1)
-    partial = np.zeros((m, n))
-    live = np.arange(m)
-    chosen: list[tuple[int, np.ndarray]] = []
-    own = {v: i for i, v in enumerate(ids.tolist())}
-    read = 0
-    size = np.abs(x)
-    for t, (floor, part) in enumerate(index):
-        read += 1
-        partial[live] += q[live] @ part.T
-        # what's left of a component: below STEP where it was read, below the floor where it wasn't
-        left = np.where(size >= floor, float(STEP), floor) if t < len(index) - 1 else np.full(x.shape, float(STEP))
-        slack = np.abs(q[live]) @ left.T if t < len(index) - 1 else np.repeat(norm[live, None] * STEP, n, axis=1)
-        low, high = partial[live] - slack, partial[live] + slack
-        for r, j in enumerate(live):
-            if (i := own.get(int(qids[j]))) is not None:
-                low[r, i] = high[r, i] = -np.inf
-        if n > k:
-            bar = np.partition(low, n - k, axis=1)[:, n - k]
-            may = high >= bar[:, None]
-        else:
-            may = np.isfinite(high)
-        done = (may.sum(axis=1) <= max(RESCORE, 2 * k)) | (t == len(index) - 1)
-        for r in np.flatnonzero(done):
-            chosen.append((int(live[r]), np.flatnonzero(may[r] & np.isfinite(high[r]))))
-        live = live[~done]
-        if not len(live):
-            break
-    qs, rows, scores = [], [], []
-    xi, qi = x.astype(np.int64), q.astype(np.int64)
-    for j, may in chosen:
-        exact = xi[may] @ qi[j]
-        best = np.lexsort((ids[may], -exact))[:k]
-        qs.append(np.full(len(best), j))
-        rows.append(may[best])
-        scores.append(exact[best])
-    cat = lambda a: np.concatenate(a) if a else np.zeros(0, np.int64)
-    return cat(qs), cat(rows), cat(scores), read
-
-
-def _kernel(chunk, k: int):
+INDEX = "dim int, ids binary, v binary, places binary, seg_dim binary, seg_low binary, seg_start binary"
+
+
+def segments(x: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of rows by dimension and falling component, end to end; dimension, quantised impact and start of each segment)."""
+    n, dim = x.shape
+    places = np.argsort(-x, axis=0, kind="stable").T
+    low = np.take_along_axis(x.T, places, axis=1) // step * step
+    turn = np.ones((dim, n), dtype=bool)
+    turn[:, 1:] = low[:, 1:] != low[:, :-1]
+    start = np.flatnonzero(turn)
+    return places.ravel(), start // n, low.ravel()[start], start
+
+
+class Block:
+    """One block of the index."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, places: np.ndarray, seg_dim: np.ndarray, seg_low: np.ndarray, seg_start: np.ndarray, step: int = STEP):
+        self.ids, self.x, self.places, self.dim, self.start, self.step = ids, x, places, seg_dim, seg_start, step
+        self.size = np.diff(np.append(seg_start, len(places)))
+        self.low = seg_low
+        self.least, self.most = x.min(axis=0), x.max(axis=0)
+
+    def best(self, qid: int, q: np.ndarray, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
+        """(rows, scores) of the k best rows for a query, itself left out, and the share of postings that were taken; rows below ``bar`` may be missing."""
+        n = len(self.ids)
+        weight = np.abs(q)[self.dim].astype(np.float64)
+        up = q[self.dim] > 0
+        near = np.where(up, self.low - self.least[self.dim], self.most[self.dim] - self.low - self.step + 1)
+        low, high = weight * np.maximum(near, 0), weight * (near + self.step - 1)
+        order = np.argsort(-high, kind="stable")
+        order = order[weight[order] > 0]
+        ends = np.cumsum(self.size[order])
+        total = int(ends[-1]) if len(order) else 0
+        base = float((np.where(q > 0, self.least, self.most) * q).sum())
+        slack = 1e-9 * (1 + abs(base) + float(high.sum()))
+        lower, upper, open_ = np.full(n, base), np.full(n, base + slack), np.ones(self.x.shape)
+        # the next segment of each dimension: of those left in the order, the first
+        turns = np.argsort(self.dim[order], kind="stable")
+        of, first_of = np.unique(self.dim[order][turns], return_index=True)
+        own = self.ids == qid
+        may, done = ~own, 0
+        for cut in np.searchsorted(ends, np.linspace(0, total, STEPS + 1)[1:]) + 1 if total else ():
+            taken = order[done:cut]
+            done = max(done, int(cut))
+            size = self.size[taken]
+            at = np.repeat(self.start[taken] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            rows = self.places[at]
+            lower += np.bincount(rows, weights=np.repeat(low[taken], size), minlength=n)
+            upper += np.bincount(rows, weights=np.repeat(high[taken], size), minlength=n)
+            open_[rows, np.repeat(self.dim[taken], size)] = 0
+            rest = np.zeros(self.x.shape[1])
+            upto = np.append(first_of[1:], len(order))
+            next_ = np.array([a + np.searchsorted(turns[a:b], done) for a, b in zip(first_of, upto, strict=True)], dtype=np.int64)
+            left = next_ < upto
+            rest[of[left]] = high[order[turns[next_[left]]]]
+            reach = max(bar, np.partition(lower[~own], -k)[-k] if n - own.sum() > k else -np.inf)
+            may = ~own & (upper + open_ @ rest >= reach)
+            if may.sum() <= max(RESCORE * n, 2 * k):
+                break
+        rows = np.flatnonzero(may)
+        score = self.x[rows] @ q
+        first = np.lexsort((self.ids[rows], -score))[:k]
+        return rows[first], score[first], (int(ends[min(done, len(order)) - 1]) / total if total else 0.0)
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in INDEX.split(", ")]
+    raw = lambda a, kind: pa.array([np.ascontiguousarray(a, dtype=kind).tobytes()], pa.binary())
+    held: dict[int, list] = {}
+
+    def block(dim: int, parts: list) -> pa.RecordBatch:
+        ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        places, seg_dim, seg_low, seg_start = segments(x)
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), raw(ids, "<i8"), raw(x, "<i8"), raw(places, "<u2"), raw(seg_dim, "<u4"), raw(seg_low, "<i8"), raw(seg_start, "<u4")], names=names)
+
+    for whole in batches:
+        lengths = whole.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(lengths).tolist():
+            batch = whole.filter(pa.array(lengths == dim))
+            ids, x = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            for i in range(0, len(ids), BLOCK_ROWS):
+                parts = held.setdefault(dim, [])
+                parts.append((ids[i : i + BLOCK_ROWS], x[i : i + BLOCK_ROWS]))
+                if sum(len(p[0]) for p in parts) >= BLOCK_ROWS:
+                    yield block(dim, held.pop(dim))
+    for dim, parts in held.items():
+        yield block(dim, parts)
+
+
+def index(base: DataFrame) -> DataFrame:
+    """base (vec_id long, v array<long>) -> the written index, a row a block of BLOCK_ROWS vectors of one length, or twice as many less one."""
+    return stash(base.mapInArrow(_build, INDEX), "zstd")
+
+
+def _search(chunk, k: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = chunk.value
-        for whole in batches:
-            lengths = np.array(whole.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            for dim in np.unique(lengths):
-                if int(dim) not in queries:
-                    continue
-                qids, q = queries[int(dim)]
-                batch = whole.filter(pa.array(lengths == dim))
-                for i in range(0, batch.num_rows, BLOCK_ROWS):
-                    part = batch.slice(i, BLOCK_ROWS)
-                    ids, x = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1))
-                    index = tiers(x) or [(float(STEP), np.zeros_like(x))]
-                    for j in range(0, len(qids), QUERY_ROWS):
-                        a, b, c, _ = block_best(ids, x, index, qids[j : j + QUERY_ROWS], q[j : j + QUERY_ROWS].astype(np.float64), k)
-                        yield pa.RecordBatch.from_arrays([pa.array(qids[j : j + QUERY_ROWS][a]), pa.array(ids[b]), pa.array(c)], names=["query_id", "vec_id", "score"])
+        bars: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                qids, qs = queries.get(r["dim"], ((), ()))
+                kinds = (("ids", "<i8"), ("v", "<i8"), ("places", "<u2"), ("seg_dim", "<u4"), ("seg_low", "<i8"), ("seg_start", "<u4"))
+                ids, x, places, seg_dim, seg_low, seg_start = (np.frombuffer(r[c], dtype=t) for c, t in kinds)
+                block = Block(ids, x.reshape(-1, r["dim"]), places.astype(np.int64), seg_dim.astype(np.int64), seg_low, seg_start.astype(np.int64))
+                largest = max(-int(block.least.min()), int(block.most.max()), 0)
+                for j, (qid, q) in enumerate(zip(qids, qs, strict=True)):
+                    if largest * sum(abs(c) for c in q.tolist()) >= 1 << 63:
+                        raise ValueError(f"scores of query {qid} don't fit into 64 bits")
+                    met = bars.get((r["dim"], j), np.zeros(0, dtype=np.int64))
+                    rows, score, _ = block.best(int(qid), q, k, float(met[-1]) if len(met) == k else -np.inf)
+                    bars[r["dim"], j] = np.sort(np.append(met, score))[::-1][:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), qid)), pa.array(ids[rows]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return kernel
 
@@ -117,20 +159,22 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = Q
     """base and queries (vec_id long, v array<long>) -> query_id, rank, vec_id, score: each query's k highest integer inner products.
 
     A query's own vec_id isn't a candidate; ties go to the smaller vec_id; only vectors of the query's length are
-    candidates. Queries without a candidate have no rows. Repeated vec_ids are candidates each. Components must be
-    below 2**20 in size and vectors shorter than 2**13, so that sums stay exact in doubles.
+    candidates. Queries without a candidate have no rows. Repeated vec_ids are candidates each. Components whose products
+    could leave 64 bits raise an error.
     """
     spark = base.sparkSession
+    blocks = index(base)
     size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     chunks = max(1, -(-int(size[1]) * 8 // query_bytes)) if size[0] else 1
     out = None
     for c in range(chunks):
         part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c) if chunks > 1 else queries
-        by_dim: dict[int, list] = {}
-        for r in part.toLocalIterator():
-            by_dim.setdefault(len(r["v"]), []).append((r["vec_id"], r["v"]))
-        held = {d: (np.array([a for a, _ in v], dtype=np.int64), np.array([b for _, b in v], dtype=np.int64)) for d, v in by_dim.items()}
-        one = base.mapInArrow(_kernel(spark.sparkContext.broadcast(held), k), "query_id long, vec_id long, score long")
+        got = part.select("vec_id", "v", F.size("v").alias("dim")).toArrow()  # of query_bytes, about
+        held = {}
+        for dim in set(got["dim"].to_pylist()):
+            of = got.filter(pc.equal(got["dim"], dim)).combine_chunks()
+            held[dim] = of["vec_id"].to_numpy(), of["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        one = blocks.mapInArrow(_search(spark.sparkContext.broadcast(held), k), "query_id long, vec_id long, score long")
         out = one if out is None else out.union(one)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -41,13 +41,26 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Domains that are blocked where no rule decides.
-LISTED = ["casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "casino-win.example.org", "cheap-pills.example.org", "free-bets.example.org"]
+#: Domains that are blocked where no rule decides, by rule: each SITES name, alone and numbered up to NUMBERED, and each
+#: third name of a LEFT and a RIGHT part in their order, all under example.com, example.net and example.org.
+SITES, NUMBERED = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), 3000
+LEFT = ("th", "ther", "thth", "thon", "tion", "thou")
+RIGHT = ("an", "ble", "ea", "ed", "en", "er", "es", "ha", "he", "in", "ing", "ly", "nd", "nt", "on", "or", "ou", "re", "sh", "st", "th", "ther", "ti", "tion", "wh")
+TLDS = ("com", "net", "org")
+
+
+def listed(spark: SparkSession) -> DataFrame:
+    """key: 18 006 * 3 numbered sites and the 150 * 3 / 3 two-part names of the rule."""
+    strings = lambda x: F.array(*map(F.lit, x))
+    numbered = spark.range(NUMBERED + 1).select(F.explode(strings(SITES)).alias("s"), "id").select(F.when(F.col("id") == 0, F.col("s")).otherwise(F.concat("s", F.lit("-"), F.col("id").cast("string"))).alias("name"), F.lit(0).alias("i"))
+    pairs = spark.range(len(LEFT) * len(RIGHT)).select(F.concat(F.get(strings(LEFT), F.expr(f"cast(id div {len(RIGHT)} as int)")), F.get(strings(RIGHT), F.expr(f"cast(id % {len(RIGHT)} as int)"))).alias("name"), F.col("id").alias("i"))
+    third = F.when(F.col("third"), (F.col("i") + F.col("t")) % 3 == 0).otherwise(True)
+    names = numbered.withColumn("third", F.lit(False)).unionByName(pairs.withColumn("third", F.lit(True)))
+    return names.select("name", "i", "third", F.posexplode(strings(TLDS)).alias("t", "tld")).where(third).select(F.concat_ws(".", "name", F.lit("example"), "tld").alias("key"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
-    return cascade.judge(table(spark, sf_dir, "pages"), RULES, listed)
+    return cascade.judge(table(spark, sf_dir, "pages"), RULES, listed(spark))
 
 
 def held_out() -> Column:
@@ -96,10 +109,22 @@ b AS (SELECT page_id, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOP
 rules(verdict, h, p) AS (VALUES """
     + ", ".join(map(str, RULES))
     + """),
-listed(k) AS (VALUES """
-    + ", ".join(f"('{k}')" for k in LISTED)
+tlds(t, tld) AS (VALUES """
+    + ", ".join(map(str, enumerate(TLDS)))
+    + """),
+sites(s) AS (VALUES """
+    + ", ".join(f"('{s}')" for s in SITES)
+    + """),
+l(x, a) AS (VALUES """
+    + ", ".join(map(str, enumerate(LEFT)))
     + """),
-f AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n
+r(y, b) AS (VALUES """
+    + ", ".join(map(str, enumerate(RIGHT)))
+    + f"""),
+listed(k) AS (SELECT s || CASE WHEN n = 0 THEN '' ELSE '-' || n END || '.example.' || tld FROM sites, range({NUMBERED} + 1) g(n), tlds
+              UNION ALL SELECT a || b || '.example.' || tld FROM l, r, tlds WHERE (x * {len(RIGHT)} + y + t) % 3 = 0),
+"""
+    + """f AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n
       FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
 m AS (SELECT DISTINCT page_id FROM b JOIN listed ON host = k OR ends_with(host, '.' || k))
 SELECT b.page_id, host, path, rule, coalesce(verdict, CASE WHEN m.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict

@@ -253,23 +253,22 @@ def test_top_k(spark):
     assert impact.top_k(base.limit(0), base.limit(0)).count() == 0
 
 
-def test_top_k_stops_early():
-    """A proof ends the reading before the lowest tiers, and the best rows are exact."""
-    rng = np.random.default_rng(3)
-    x = np.zeros((3000, 8))
-    x[:, 0] = rng.integers(0, 900, 3000)
-    x[:40, 0] = rng.integers(2500, 4000, 40)
-    x[:, 1:] = rng.integers(-15, 16, (3000, 7))
-    q = np.zeros((2, 8))
-    q[:, 0] = 500
-    q[1, 1:] = 400
-    even = np.floor(1024 * rng.normal(size=(3000, 8)))
-    for rows, query in ((x, q[:1]), (x, q[1:]), (even, even[:1])):
-        index = impact.tiers(rows)
-        want = sorted((-int(r @ query[0]), i) for i, r in enumerate(rows))[:10]
-        _, best, scores, read = impact.block_best(np.arange(3000), rows, index, np.array([-1]), query, 10)
-        assert sorted((-int(s), int(r)) for r, s in zip(best, scores, strict=True)) == want
-        assert read < len(index)
+def test_top_k_stops_early(spark):
+    """On the driver's vectors a proof ends each query before all postings are taken, and the best rows are exact."""
+    rows = [r for r in impact.vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect()]
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])
+    block = impact.Block(ids, x, *impact.segments(x))
+    for i in np.flatnonzero(ids % 100 == 0):
+        found, score, taken = block.best(int(ids[i]), x[i], 10)
+        want = sorted((-int(v), int(j)) for j, v in zip(ids, x @ x[i], strict=True) if j != ids[i])[:10]
+        assert [(-int(s), int(ids[r])) for r, s in zip(found, score, strict=True)] == want
+        assert 0 < taken < 1
+
+
+def test_top_k_refuses_what_overflows(spark):
+    big = spark.createDataFrame([(0, [1 << 40, 1]), (1, [1 << 40, 1])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        impact.top_k(big, big).collect()
 
 
 # ---- 5
@@ -282,20 +281,22 @@ def test_urls(spark, empty):
     assert got[4] == ("a.example.com", "/en/x", "example.com/en/", "block") and got[5][2:] == ("www.example.com/en/", "allow")
     assert got[6][2:] == ("net/es/", "block") and got[7][2:] == ("net/fr/", "block")
     assert got[8][3] == got[9][3] == got[13][3] == "block" and got[10][3] == "allow" and got[11][0] == "user@bad.org:80"
-    assert got == {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in cascade.judge(df, queries.RULES, listed, max_bits=10).collect()}
+    assert got == {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in cascade.judge(df, queries.RULES, listed, max_bits=1).collect()}
     assert cascade.judge(df.limit(0), queries.RULES, listed).count() == 0
+    none = {r["page_id"]: r["verdict"] for r in cascade.judge(df, queries.RULES, listed.limit(0)).collect()}
+    assert none[8] == none[9] == "allow" and none[4] == "block"
+
+
+def test_urls_decided_by_the_cascade(spark):
+    got = queries.op5_urls(spark, "/root/testdata/sf0.01").where("rule is null").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in got} == {"allow", "block"}
 
 
 def test_cascade_is_exact(spark):
     """Over its universe, with bits so few that several levels are needed."""
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.where("pmod(xxhash64(key), 7) = 0")
-    old = cascade.FIRST
-    cascade.FIRST = (2, 1)
-    try:
-        c = cascade.Cascade(listed, universe)
-    finally:
-        cascade.FIRST = old
+    c = cascade.Cascade(listed, universe)
     assert len(c.levels) > 2
     wrong = universe.where(c.holds(F.col("key")) != (F.pmod(F.xxhash64("key"), F.lit(7)) == 0))
     assert wrong.isEmpty()
