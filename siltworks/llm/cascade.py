@@ -28,6 +28,21 @@ def _bits(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
     return [F.pmod(F.shiftright(a, 1) + F.shiftright(b, 8) * F.lit(i), F.lit(bits)) for i in range(hashes)]
 
 
+def gathered(at: DataFrame, bits: int) -> bytes:
+    """The bytes in which the bits that stand in the column ``at`` are set; at most one row for each 64 bits reaches the driver."""
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
+    out = bytearray(-(-bits // 64) * 8)
+    for r in words.toLocalIterator():
+        out[r["word"] * 8 : r["word"] * 8 + 8] = r["set"].to_bytes(8, "little", signed=True)
+    return bytes(out)
+
+
+def bit(data: bytes, at: Column) -> Column:
+    """Whether a bit is set."""
+    byte = F.conv(F.hex(F.substring(F.lit(data), (F.call_function("shiftright", at, F.lit(3)) + 1).cast("int"), 1)), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def rate(wanted: int, others: int, first: bool) -> float:
     """The share of other keys that a level may take. The first takes wanted / sqrt(2) of them, the others half, which makes the sum of all bits least."""
     return min(0.5, wanted / (math.sqrt(2) * max(1, others))) if first else 0.5
@@ -41,21 +56,11 @@ class Level:
         self.bits = max(8, math.ceil(count * -math.log2(share) / math.log(2)))
         if self.bits > max_bits:
             raise TooLarge(f"level {number} needs {self.bits} bits for {count} keys; at most {max_bits} are shipped")
-        data = bytearray(-(-self.bits // 8))
-        at = keys.select(F.explode(F.array(*_bits(F.col("key"), number, self.hashes, self.bits))).alias("at"))
-        words = at.groupBy(F.expr("at div 8").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("at", F.lit(8)).cast("int"))).alias("set"))
-        for r in words.toLocalIterator():  # at most a row a byte of the filter
-            data[r["byte"]] = r["set"]
-        self.data = bytes(data)
+        self.data = gathered(keys.select(F.explode(F.array(*_bits(F.col("key"), number, self.hashes, self.bits))).alias("at")), self.bits)
 
     def takes(self, key: Column) -> Column:
         """Whether every bit of the key is set; the level's bytes stand in the plan once, whatever the number of hashes."""
-
-        def set_(at: Column) -> Column:
-            byte = F.conv(F.hex(F.substring(F.lit(self.data), (F.call_function("shiftright", at, F.lit(3)) + 1).cast("int"), 1)), 16, 10).cast("int")
-            return F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-        return F.forall(F.array(*_bits(key, self.number, self.hashes, self.bits)), set_)
+        return F.forall(F.array(*_bits(key, self.number, self.hashes, self.bits)), lambda at: bit(self.data, at))
 
 
 class Cascade:

@@ -1,9 +1,10 @@
 """Secret scanning over a trigram index, with DataFrame functions only.
 
 A Boolean query over trigrams is derived from each rule's regular expression: what every match must contain.
-The queries' trigrams are looked up in every text, giving the postings (trigram, document) of the index; a
-rule's postings are intersected and united by one aggregation a document, and its regular expression is run on
-the documents that remain. A rule without a mandatory trigram runs on every text.
+The queries' trigrams are looked up in every text, giving the postings (trigram, document) of the index, a written
+table; a rule's postings are intersected and united by one aggregation a document, and its regular expression is run
+on the documents that remain. A rule without a mandatory trigram runs on every text. Candidates meet their texts
+by a join, from which a bitmap of fixed size keeps nearly all other texts; these pass without a shuffle.
 
 Matching and positions: ``split`` gives the text between a pattern's leftmost non-overlapping matches, and
 ``regexp_extract_all`` the matches; positions are running sums of their lengths, in code points.
@@ -21,6 +22,9 @@ except ImportError:  # named so before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cascade
+from .common import stash
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -171,23 +175,63 @@ def _holds(query, postings: Column) -> Column:
     return out
 
 
+#: Pieces of a text whose positions are summed in one go, so that a text of many matches takes linear time.
+CHUNK = 64
+_SPAN = "struct<start:bigint,rank:int,kind:string,stop:bigint>"
+_NONE = f"cast(array() as array<{_SPAN}>)"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that's computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, order, kind, stop>> of the rule's matches that are kept."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     rank = next(i for i, r in enumerate(RULES) if r.kind == rule.kind) if rule in RULES else len(RULES)
-    row = "struct<start:bigint,rank:int,kind:string,stop:bigint>"
-    zero = F.expr(f"named_struct('at', 0L, 'spans', cast(array() as array<{row}>))")
-    judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    pieces = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("hit"), judged.alias("part"))
+    hits, parts = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)) for g in (0, rule.group))
+    pieces = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), parts.alias("part"))
+    sizes = F.transform(pieces, lambda x: F.struct(F.length(x["gap"]).cast("long").alias("gap"), F.length(x["hit"]).cast("long").alias("hit"), F.length(x["part"]).alias("part")))
 
     def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["hit"])
-        span = F.struct(start.cast("long").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), stop.cast("long").alias("stop"))
-        good = x["hit"].isNotNull() & (F.length(x["part"]) >= rule.least)
-        return F.struct(F.coalesce(stop, start).cast("long").alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        start = acc["at"] + x["gap"]
+        stop = start + x["hit"]
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
+        return F.struct(F.coalesce(stop, start).alias("at"), F.when(x["hit"].isNotNull() & (x["part"] >= rule.least), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    def total(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + F.coalesce(x["hit"], F.lit(0)))
+
+    def begins(chunks: Column) -> Column:
+        zero = F.expr("named_struct('at', 0L, 'all', cast(array() as array<bigint>))")
+        return F.aggregate(F.transform(chunks, total), zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+
+    def placed(x: Column) -> Column:
+        return F.aggregate(x["chunk"], F.struct(x["begin"].alias("at"), F.expr(_NONE).alias("spans")), step)["spans"]
+
+    def chunked(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda i: F.slice(p, i * CHUNK + 1, F.lit(CHUNK)))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(pieces, zero, step)["spans"]).otherwise(F.expr(f"cast(array() as array<{row}>)"))
+    found = _let(_let(sizes, chunked), lambda chunks: F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), begins(chunks).alias("begin")), placed)))
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.expr(_NONE))
+
+
+#: Bits of the bitmap that tells candidates' rows; however many there are, it has this size.
+BITS = 1 << 23
+
+
+def postings(base: DataFrame, grams: list[str]) -> DataFrame:
+    """base (doc_id, row, text) -> gram, doc_id, row: the texts in which each trigram stands, in either case."""
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("low"), g))
+    return base.select("doc_id", "row", low.alias("low")).select(F.explode(found).alias("gram"), "doc_id", "row")
+
+
+def candidates(index: DataFrame, queries: dict) -> DataFrame:
+    """index (gram, doc_id, row) -> c_id, c_row, kinds: the rules whose query the texts satisfy; those without any are left out."""
+    lists = index.groupBy("doc_id", "row").agg(F.collect_set("gram").alias("grams"))
+    named = F.filter(F.array(*[F.when(_holds(q, F.col("grams")), F.lit(kind)) for kind, q in queries.items()]), lambda x: x.isNotNull())
+    return lists.select(F.col("doc_id").alias("c_id"), F.col("row").alias("c_row"), named.alias("kinds")).where(F.size("kinds") > 0)
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: str | None = None) -> DataFrame:
@@ -197,20 +241,23 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: str | None = N
     told apart by their text; equal rows have equal spans. ``carry`` names one more column to return; others are ignored.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    wanted = sorted(set().union(*(trigrams(q) for q in queries.values())))
+    demanding = {k: q for k, q in queries.items() if q is not True}
     more = [carry] if carry else []
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("row", F.xxhash64("text"))
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    grams = F.filter(F.array(*map(F.lit, wanted)), lambda g: F.contains(F.col("low"), g))
-    postings = base.select("doc_id", "row", low.alias("low")).select("doc_id", "row", F.explode(grams).alias("gram"))
-    lists = postings.groupBy("doc_id", "row").agg(F.collect_set("gram").alias("grams"))
-    demanding = [r for r in rules if queries[r.kind] is not True]
-    named = F.filter(F.array(*[F.when(_holds(queries[r.kind], F.col("grams")), F.lit(r.kind)) for r in demanding]), lambda x: x.isNotNull())
-    candidates = lists.select(F.col("doc_id").alias("c_id"), F.col("row").alias("c_row"), named.alias("kinds")).where(F.size("kinds") > 0)
-    joined = base.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")), "left")
+    kinds = F.expr("cast(array() as array<string>)")
+    if demanding:
+        index = stash(postings(base, sorted(set().union(*map(trigrams, demanding.values())))))
+        wanted = stash(candidates(index, demanding))
+        place = lambda i, r: F.pmod(F.xxhash64(i, r), F.lit(BITS))
+        bits = cascade.gathered(wanted.select(place(F.col("c_id"), F.col("c_row")).alias("at")), BITS)
+        may = cascade.bit(bits, place(F.col("doc_id"), F.col("row")))
+        met = base.where(may).join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")), "left")
+        base = met.select("doc_id", "text", *more, F.coalesce("kinds", kinds).alias("kinds")).union(base.where(~may).select("doc_id", "text", *more, kinds.alias("kinds")))
+    else:
+        base = base.withColumn("kinds", kinds)
     found = [_spans(F.col("text"), r) if queries[r.kind] is True else F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), r)) for r in rules]
     names = [f"s{i}" for i in range(len(rules))]
-    each = joined.select("doc_id", "text", *more, *[c.alias(n) for c, n in zip(found, names, strict=True)])
+    each = base.select("doc_id", "text", *more, *[c.alias(n) for c, n in zip(found, names, strict=True)])
     return each.select("doc_id", "text", *more, F.array_sort(F.flatten(F.filter(F.array(*names), lambda x: x.isNotNull()))).alias("spans"))
 
 
