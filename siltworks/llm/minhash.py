@@ -199,7 +199,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE, bands:
     sets = stash(near.mapInArrow(_sets(k, Bitmap(wanted)), "id long, set array<long>").join(wanted, "id", "left_semi").distinct())
     best = skewed_join(ties, ties.groupBy("p").agg(F.count("*").alias("n")), "p", hot_keys(ties, "p")).groupBy("id").agg(F.max_by(F.struct("p", "n"), F.struct("n", -F.col("p"))).alias("x")).select("id", "x.p", "x.n")
     linked = stash(_confirmed(best, sets, percent))
-    rest = _block_links(components(ties.toDF("a", "b")), components(linked), sketch, sets, percent)
+    # as many links as ids, and few more: each id to the least it is tied to, and that to the others
+    least = ties.groupBy("id").agg(F.min("p").alias("m"))
+    few = least.select(F.col("id").alias("a"), F.col("m").alias("b")).union(ties.join(least, "id").where("p <> m").select("p", "m").distinct())
+    rest = _block_links(components(few), components(linked), sketch, sets, percent)
     linked = linked.union(rest)
     discard(tables, ties, sets)
 
