@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Bitmap, byte_table, chain, discard, hot_keys, mix, skewed_join, slices, stash, word_hash, words
 from .components import components
 
-BANDS, ROWS, SHINGLE, BLOCK_BYTES = 20, 4, 5, 4 << 20
+BANDS, ROWS, SHINGLE, BLOCK_BYTES, BLOCK_DOCS = 20, 4, 5, 4 << 20, 500
 #: Into how many parts the rows of a family, and each thousand of the rows tied to one id, are dealt for a join.
 SALTS, TIES = 64, 500
 _SPACE = byte_table((0x09, 0x0D), (0x20, 0x20))
@@ -152,14 +152,15 @@ def _overlaps(percent: int):
 def _block_links(family: DataFrame, label: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (a, b) between a family's documents outside its largest component and all of the family.
 
-    A family's documents are dealt to as many parts as their sets need, and so are those outside the largest component; every
-    pair of parts is a block.
+    A family's documents are dealt to as many parts as their number or the bytes of their sets need, and so are those outside
+    the largest component; every pair of parts is a block.
     """
     members = family.withColumnRenamed("component", "f").join(label.withColumnRenamed("component", "c"), "id", "left").select("f", "id", F.coalesce("c", "id").alias("c")).join(sketch.select("id", (F.col("n_shingles") * 8 + 8 * F.size("keys")).alias("bytes"), "keys"), "id")
     members = stash(members)
     by_comp = members.groupBy("f", "c").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    by_family = by_comp.groupBy("f").agg(F.count("*").alias("comps"), F.max_by("c", F.struct("n", -F.col("c"))).alias("main"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", -F.col("c"))).alias("main_bytes")).where("comps > 1")
-    parts = by_family.select("f", "main", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("parts"), F.ceil((F.col("bytes") - F.col("main_bytes")) / block_bytes).cast("int").alias("probes"))
+    by_family = by_comp.groupBy("f").agg(F.count("*").alias("comps"), F.max_by("c", F.struct("n", -F.col("c"))).alias("main"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.max(F.struct("n", -F.col("c"), "bytes")).alias("most")).where("comps > 1")
+    need = lambda n, size: F.ceil(F.greatest(n / BLOCK_DOCS, size / block_bytes)).cast("int")
+    parts = by_family.select("f", "main", need(F.col("n"), F.col("bytes")).alias("parts"), need(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("probes"))
     # a family may hold a third of all rows, so each is dealt to SALTS parts
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
     open_ = salted.join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["f", "salt"])
