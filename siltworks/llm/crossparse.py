@@ -4,9 +4,10 @@ A suffix automaton over labelled text of each language reads a text greedily: a
 still a substring of the language's text, and the next one starts where it fails. The language that needs
 the fewest phrases, each weighed by the bits that point into its labelled text, wins.
 
-Fitting takes a bounded sample: at most ``sample_docs`` labelled rows a language, the first
-``sample_chars`` characters of each, up to ``train_bytes`` of normalised text. Predicting reads whole
-texts, in segments of SEGMENT bytes that all step through a table of the automaton together.
+Fitting takes a bounded sample: ``sample_docs`` labelled rows a language at most, each as a passage of at most
+``sample_chars`` characters from a place that its id draws (a shorter row is one whole). Predicting parses whole texts:
+segments of SEGMENT bytes all step through a table of the automaton together, each at first as if a phrase began with it;
+then each is stepped again from the state in which its predecessor ends, until both ways agree, and counts are put right.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_table, slices
 
-SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_BYTES, SEGMENT = 64, 2000, 30_000, 512
+SAMPLE_DOCS, SAMPLE_CHARS, SEGMENT = 48, 800, 512
 _LETTER = byte_table((0x61, 0x7A), (0x80, 0xFF))
 
 
@@ -78,8 +79,8 @@ def automaton(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return cls, out.ravel()
 
 
-def phrases(cls: np.ndarray, steps: np.ndarray, data: np.ndarray, lanes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Phrases that each lane (data[lane : lane + size]) takes; lanes are sorted by falling size."""
+def _stepped(cls: np.ndarray, steps: np.ndarray, data: np.ndarray, lanes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that begin in each lane (data[lane : lane + size]) if one begins with it, and the state it ends in; lanes are sorted by falling size."""
     count = np.zeros(len(lanes), dtype=np.int32)
     state = np.zeros(len(lanes), dtype=np.int32)
     codes = cls[data]
@@ -88,78 +89,128 @@ def phrases(cls: np.ndarray, steps: np.ndarray, data: np.ndarray, lanes: np.ndar
         got = steps[state[:n] + codes[lanes[:n] + k]]
         count[:n] += got & 1
         state[:n] = got >> 1
-    return count
+    return count, state
+
+
+def phrases(cls: np.ndarray, steps: np.ndarray, data: np.ndarray, lanes: np.ndarray, size: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each lane (data[lane : lane + size]); ``follows``: whether it goes on where the lane before it ends."""
+    order = np.argsort(-size, kind="stable")
+    count, end = np.empty(len(lanes), dtype=np.int32), np.empty(len(lanes), dtype=np.int32)
+    count[order], end[order] = _stepped(cls, steps, data, lanes[order], size[order])
+    alone, end_alone = count.copy(), end.copy()
+    begin = np.zeros(len(lanes), dtype=np.int32)  # the states from which lanes were stepped last
+    while True:
+        carried = np.where(follows, np.concatenate((np.zeros(1, np.int32), end[:-1])), 0).astype(np.int32)
+        open_ = np.flatnonzero(carried != begin)
+        if not len(open_):
+            return count
+        begin[open_] = carried[open_]
+        ours, theirs, more = carried[open_].copy(), np.zeros(len(open_), dtype=np.int32), np.zeros(len(open_), dtype=np.int32)
+        k = 0
+        while len(open_):
+            code = cls[data[lanes[open_] + k]]
+            a, b = steps[ours + code], steps[theirs + code]
+            more += (a & 1) - (b & 1)
+            ours, theirs = a >> 1, b >> 1
+            k += 1
+            met, over = ours == theirs, size[open_] == k
+            count[open_] = alone[open_] + more
+            end[open_[over]] = ours[over]
+            end[open_[met]] = end_alone[open_[met]]
+            go = ~met & ~over
+            open_, ours, theirs, more = open_[go], ours[go], theirs[go], more[go]
 
 
 _BUILT: dict[int, list] = {}
 
 
-def _kernel(model):
+def _judged(texts: dict[str, bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], np.ndarray, np.ndarray]]:
+    """Slices of the batches, and for each row the language, score and bits of its column ``text``, and whether that has a letter."""
+    key = hash(tuple(sorted(texts.items())))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = [(lang, np.log2(len(text) + 1), *automaton(text)) for lang, text in sorted(texts.items())]
+    langs = _BUILT[key]
+    for whole in batches:
+        lowered = pa.RecordBatch.from_arrays([pc.utf8_lower(whole.column(whole.schema.get_field_index("text")))], names=["text"])
+        done = 0
+        for batch, data, offs in slices(iter([lowered])):
+            norm, at = normalised(data, offs)
+            size = np.diff(at)
+            count = -(-size // SEGMENT)
+            row = np.repeat(np.arange(batch.num_rows), count)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            lanes = at[row] + part * SEGMENT
+            length = np.minimum(SEGMENT, at[row + 1] - lanes)
+            cost = np.full((len(langs), batch.num_rows), np.inf)
+            for i, (_, bits, cls, steps) in enumerate(langs):
+                cost[i] = np.bincount(row, weights=phrases(cls, steps, norm, lanes, length, part > 0), minlength=batch.num_rows) * bits
+            letters = np.add.reduceat(np.append(_LETTER[norm] & (norm < 0x80), False), np.minimum(at[:-1], len(norm))) > 0 if batch.num_rows else np.zeros(0, bool)
+            letters &= size > 0
+            for i in np.flatnonzero(~letters & (size > 0)):
+                letters[i] = any(ch.isalpha() for ch in norm[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace"))
+            later = np.array([c - bits for c, (_, bits, _, _) in zip(cost, langs, strict=True)]).reshape(cost.shape)
+            per_byte = np.where(size > 0, later.min(axis=0, initial=np.inf) / np.maximum(size, 1), 0.0)
+            names, scores = [], []
+            best = np.argmin(cost, axis=0) if langs else np.zeros(batch.num_rows, int)
+            ranked = np.sort(cost, axis=0)
+            for i in range(batch.num_rows):
+                if not langs or not letters[i]:
+                    names.append("und")
+                    scores.append(0.0)
+                else:
+                    names.append(langs[best[i]][0])
+                    scores.append(float(1 - ranked[0, i] / ranked[1, i]) if len(langs) > 1 else 1.0)
+            yield whole.slice(done, batch.num_rows), names, scores, per_byte, letters
+            done += batch.num_rows
+
+
+def _labels(model):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = model.value
-        key = hash(tuple(sorted(texts.items())))
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = [(lang, np.log2(len(text) + 1), *automaton(text)) for lang, text in sorted(texts.items())]
-        langs = _BUILT[key]
-        for whole in batches:
-            lowered = whole.set_column(1, "text", pc.utf8_lower(whole.column(1)))
-            for batch, data, offs in slices(iter([lowered])):
-                norm, at = normalised(data, offs)
-                size = np.diff(at)
-                count = -(-size // SEGMENT)
-                row = np.repeat(np.arange(batch.num_rows), count)
-                part = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                lanes = at[row] + part * SEGMENT
-                length = np.minimum(SEGMENT, at[row + 1] - lanes)
-                order = np.argsort(-length, kind="stable")
-                cost = np.full((len(langs), batch.num_rows), np.inf)
-                for i, (_, bits, cls, steps) in enumerate(langs):
-                    got = phrases(cls, steps, norm, lanes[order], length[order])
-                    cost[i] = np.bincount(row[order], weights=got, minlength=batch.num_rows) * bits
-                letters = np.add.reduceat(np.append(_LETTER[norm] & (norm < 0x80), False), np.minimum(at[:-1], len(norm))) > 0 if batch.num_rows else np.zeros(0, bool)
-                letters &= size > 0
-                for i in np.flatnonzero(~letters & (size > 0)):
-                    letters[i] = any(ch.isalpha() for ch in norm[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace"))
-                names, scores = [], []
-                best = np.argmin(cost, axis=0) if langs else np.zeros(batch.num_rows, int)
-                ranked = np.sort(cost, axis=0)
-                for i in range(batch.num_rows):
-                    if not langs or not letters[i]:
-                        names.append("und")
-                        scores.append(0.0)
-                    else:
-                        names.append(langs[best[i]][0])
-                        scores.append(float(1 - ranked[0, i] / ranked[1, i]) if len(langs) > 1 else 1.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for batch, names, scores, bits, _ in _judged(model.value, batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits)], names=["doc_id", "lang_pred", "score", "bits"])
 
     return kernel
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, train_bytes: int = TRAIN_BYTES) -> dict[str, bytes]:
-    """labelled (doc_id, text, lang) -> each language's normalised text, from a sample that depends on ids only. Rows with a null are left out."""
+def _known(model, most: float):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, bits, letters in _judged(model.value, batches):
+            yield batch.filter(pa.array(letters & (bits <= most) if model.value else letters))
+
+    return kernel
+
+
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+    """labelled (doc_id, text, lang) -> each language's normalised passages, from a sample that depends on ids only. Rows with a null are left out."""
     rows = labelled.where("doc_id is not null and text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
         return {}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, 4 * sample_docs / n) * (1 << 30)))])
-    picked = rows.where(place < F.element_at(share, F.col("lang"))).select("lang", place.alias("place"), "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect()
+    begin = F.pmod(F.xxhash64(F.lit("passage"), "doc_id"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1) + 1
+    picked = rows.where(place < F.element_at(share, F.col("lang"))).select("lang", place.alias("place"), "doc_id", F.substring("text", begin.cast("int"), F.lit(sample_chars)).alias("text"))
+    ranked = picked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))).where(F.col("n") <= sample_docs)
     out: dict[str, bytes] = {}
-    taken: dict[str, int] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["place"], r["doc_id"], r["text"])):
-        if taken.get(r["lang"], 0) < sample_docs:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            data = np.frombuffer(r["text"].lower().encode("utf-8", "replace"), dtype=np.uint8)
-            out[r["lang"]] = out.get(r["lang"], b"") + normalised(data, np.array([0, len(data)]))[0].tobytes() + b" "
-    return {lang: text[:train_bytes] for lang, text in out.items() if text.strip()}
+    for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["n"])):
+        data = np.frombuffer(r["text"].lower().encode("utf-8", "replace"), dtype=np.uint8)
+        out[r["lang"]] = out.get(r["lang"], b"") + normalised(data, np.array([0, len(data)]))[0].tobytes() + b" "
+    return {lang: text for lang, text in out.items() if text.strip()}
 
 
 def identify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, lang_pred, score; one row per input row, in one narrow pass.
+    """docs (doc_id, text, ...) -> doc_id, lang_pred, score, bits; one row per input row, in one narrow pass.
 
     lang_pred is ``und`` with score 0 for a null text, one without a letter, or an empty model. Otherwise score is 1 less the
-    winner's cost over the runner-up's; equal costs go to the name that sorts first. Other columns are ignored.
+    winner's cost over the runner-up's; equal costs go to the name that sorts first. ``bits``: the least
+    cost, less that of one phrase, for each byte of the normalised text, 0 without any; a text of more than 8 is told better
+    by its bytes than by any language. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_kernel(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(_labels(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, lang_pred string, score double, bits double")
+
+
+def known(docs: DataFrame, model: dict[str, bytes], most: float = 8.0) -> DataFrame:
+    """The rows of docs (text, ...), with all their columns, in which a language is found: with a letter, and told in at most ``most`` bits a byte (if the model has a language). One narrow pass."""
+    return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(model), most), docs.schema)

@@ -155,6 +155,37 @@ def _kernel(index, window: int, gram: int):
     return kernel
 
 
+def _clean(index, window: int, gram: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch, data, offs in slices(batches):
+            low = LOWER[data]
+            begin, stop, row = words(low, offs, _OTHER)
+            hit = np.zeros(batch.num_rows, dtype=bool)
+            for _, starts, _ in _hits(index.value, window, gram, low, begin, stop, row):
+                hit[np.searchsorted(row, starts, side="right") - 1] = True
+            yield batch.filter(pa.array(~hit))
+
+    return kernel
+
+
+def _indexes(benchmark: DataFrame, window: int, gram: int, block_bytes: int) -> Iterator:
+    """The benchmark's blocks, each shipped to the executors; at most block_bytes of text each, about."""
+    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("name"), "text").distinct()
+    total = int(bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    blocks = -(-total * 2 // block_bytes) if total > block_bytes else 1
+    for b in range(blocks):
+        held = (bench.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b) if blocks > 1 else bench).toArrow().combine_chunks()
+        yield bench.sparkSession.sparkContext.broadcast(Index(held["name"], held["text"], window, gram))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs (text, ...), with all their columns, in which no window of ``benchmark`` occurs; a narrow pass for each block."""
+    for index in _indexes(benchmark, window, gram, block_bytes):
+        docs = docs.mapInArrow(_clean(index, window, gram), docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text, ...), benchmark (item_id, text, ...) -> doc_id, n_words, spans array<struct<begin, stop>>, items array<string>.
 
@@ -162,20 +193,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     sorted strings, of which a window occurs. Null and empty texts have no words; benchmark rows with a null item_id or
     without words are left out; rows that repeat an item_id are one item. With an empty benchmark nothing is hit.
     """
-    spark = docs.sparkSession
-    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("name"), "text").distinct()
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) * 2 // block_bytes)) if total > block_bytes else 1
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     schema = "doc_id long, row_key long, n_words long, begin array<long>, stop array<long>, items array<string>"
     schema = schema.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    out = None
-    for b in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b) if blocks > 1 else bench
-        held = part.toArrow().combine_chunks()  # of at most block_bytes of text
-        index = spark.sparkContext.broadcast(Index(held["name"], held["text"], window, gram))
+    out, blocks = None, 0
+    for index in _indexes(benchmark, window, gram, block_bytes):
         one = rows.mapInArrow(_kernel(index, window, gram), schema).withColumn("spans", F.arrays_zip("begin", "stop")).drop("begin", "stop")
-        out = one if out is None else out.union(one)
+        out, blocks = one if out is None else out.union(one), blocks + 1
     if blocks > 1:
         # repeated rows of a document have equal spans, so their number is kept apart
         grown = out.withColumn("copies", F.lit(1)).groupBy("doc_id", "row_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.sum("copies") / blocks).cast("int").alias("copies"))

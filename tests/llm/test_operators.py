@@ -313,19 +313,51 @@ def test_language(spark, docs, empty):
     assert crossparse.fit(empty) == {} and crossparse.identify(empty, model).count() == 0
 
 
-def test_phrases_by_definition():
-    """The table steps as a greedy parse into substrings of the labelled text."""
-    train, text = b"abracadabra ", b"abrazcada bracad zz abra"
-    cls, steps = crossparse.automaton(train)
+def _greedy(train, text):
     n, i = 0, 0
     while i < len(text):
         j = i + 1
         while j <= len(text) and text[i:j] in train:
             j += 1
         i, n = max(i + 1, j - 1), n + 1
-    data = np.frombuffer(text, np.uint8)
-    got = crossparse.phrases(cls, steps, data, np.array([0]), np.array([len(text)]))[0]
-    assert int(got) == n
+    return n
+
+
+@pytest.mark.parametrize("segment", [3, 7, 64])
+def test_phrases_by_definition(segment):
+    """The table steps as a greedy parse of whole texts into substrings of the labelled text, wherever segments are cut."""
+    rng = random.Random(segment)
+    for _ in range(40):
+        train = bytes(rng.choice(b"abc ") for _ in range(rng.randint(1, 60)))
+        texts = [bytes(rng.choice(b"abcz ") for _ in range(rng.randint(1, 90))) for _ in range(5)] + [train, train[5:] or b"a", b"a" * 70]
+        cls, steps = crossparse.automaton(train)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        lanes, size, follows, row, at = [], [], [], [], 0
+        for i, t in enumerate(texts):
+            for k in range(0, len(t), segment):
+                lanes.append(at + k), size.append(min(segment, len(t) - k)), follows.append(k > 0), row.append(i)
+            at += len(t)
+        got = crossparse.phrases(cls, steps, data, np.array(lanes), np.array(size), np.array(follows))
+        assert np.bincount(row, weights=got).astype(int).tolist() == [_greedy(train, t) for t in texts]
+
+
+def test_language_by_definition(spark):
+    """Predictions and scores of whole texts, over several segments, are those of a plain parse."""
+    rng = random.Random(5)
+    model = {n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60)).encode() for n, letters in (("a", "abcde"), ("b", "bcdef"), ("c", "cdefg"))}
+    texts = [" ".join("".join(rng.choice("abcdefg"[k : k + 5]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 400))) for k in (0, 1, 2) * 4] + ["abcde", "abcde", "a"]
+    for r in crossparse.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        cost = {n: _greedy(t, texts[r["doc_id"]].encode()) * math.log2(len(t) + 1) for n, t in model.items()}
+        first, second = sorted(cost.values())[:2]
+        assert r["lang_pred"] == min(cost, key=lambda n: (cost[n], n)) and abs(r["score"] - (1 - first / second)) < 1e-9
+        assert abs(r["bits"] - min(cost[n] - math.log2(len(t) + 1) for n, t in model.items()) / len(texts[r["doc_id"]])) < 1e-9
+
+
+def test_language_sample(spark):
+    """Each of the sampled rows stands in the model, a long one with a passage from anywhere in it."""
+    rows = [(i, f"begin{'x' * 3000}", "l") for i in range(30)] + [(99, "short one", "m"), (99, "short one", "m")]
+    model = crossparse.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=20, sample_chars=100)
+    assert model["l"].count(b" ") == 20 and model["l"].count(b"begin") < 10 and model["m"] == b"short one short one "
 
 
 def test_language_held_out(spark):
@@ -496,5 +528,7 @@ def test_pipeline_keeps_odd_rows(spark, docs):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         stage(spark, docs.limit(0), sf).count()
+        wide = docs.select("*", *[F.lit(1).alias(c) for c in ("d", "r", "k", "x", "rest", "place", "__row", "label")])
+        assert stage(spark, wide, sf).columns == wide.columns, name
     out = {r["doc_id"]: r for r in corpus_pipeline.redact_secrets(spark, docs, sf).collect()}
     assert len(out) == len(TEXTS) and out[1]["text"] is None and any("[SECRET]" in (r["text"] or "") for r in out.values())
