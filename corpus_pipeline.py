@@ -11,37 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.llm import crossparse, minhash, secrets, spbpe, winnow
-from siltworks.llm.common import stash, table
+from siltworks.llm.common import stash, table, without
 from siltworks.llm.queries import held_out
 
 #: SQL can't express cross-parsing, so there's none for the rows.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id and text's hash are in gone (d, r)."""
-    return docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("r")), "left_anti")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language identification rejects: those in which it finds no language at all."""
-    model = crossparse.fit(docs.where(~held_out()))
-    row = F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("r"))
-    found = crossparse.identify(docs.select(row.alias("doc_id"), "text"), model)
-    return _without(docs, found.where("lang_pred = 'und'").select("doc_id.d", "doc_id.r"))
+    """Drops the documents that language identification rejects: without a letter, or with more phrases than pay in any language (over 8 bits a byte).
+
+    Null and empty texts have no letter and go; equal rows go or stay together. Without any label
+    all texts with a letter stay. Other columns pass as they are, whatever their names.
+    """
+    return crossparse.known(docs, crossparse.fit(docs.where(~held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id; all rows of a kept doc_id stay."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("k"), "left_anti")
+    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id; all rows of a kept doc_id stay.
+
+    Null and empty texts, and rows with a null doc_id, are in no group and stay.
+    """
+    found = stash(minhash.near_duplicates(docs).where("not kept").select("doc_id"))
+    return without(docs, found, "doc_id")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
-    row = F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("r"))
-    found = winnow.contamination(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(F.size("spans") > 0).select("doc_id.d", "doc_id.r"))
+    """Drops documents in which a window of a benchmark item occurs. Null and empty texts have none and stay; with an empty benchmark all do."""
+    return winnow.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document: doc_id, n_tokens, the ids and their digests, one row per input row; a null text is empty. Other columns are left out."""
     return spbpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True).drop("decoded")
 
 
