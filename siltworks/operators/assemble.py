@@ -1,7 +1,8 @@
 """From source columns to contract fields: mapping, structure, defaults, manual values, then the field transformations in order.
 
-The result has ``row_index``, one column a field, ``original`` (a struct of each field's first source value)
-and ``notes`` (a map from field to ambiguity code). All of it is one narrow projection chain.
+The result has ``row_index``, one column a field, ``original`` (a struct of each field's first source value),
+``notes`` (a map from field to ambiguity code) and ``codes`` (a struct with what the normalizer of a field's type found
+wrong, of the fields to which it was the last to be applied). All of it is one narrow projection chain.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions.exprs import blank_to_null, full_match, is_empty, let, strip, text
+from ..functions.exprs import blank_to_null, full_match, is_empty, let, strip, text, with_steps
 from ..model import FIELD_KINDS, Contract, TransformSpec
 
 EMPTY_OVERRIDES = "row_index bigint, overrides map<string,string>"
@@ -105,7 +106,7 @@ def apply(spec: TransformSpec, value: Column, record) -> tuple[Column, Column |
 
 
 def transform(rows: DataFrame, contract: Contract, mapping: dict[str, str | None], specs: list[TransformSpec], defaults: dict[str, str] | None = None, overrides: DataFrame | None = None) -> DataFrame:
-    """rows (row_index, source columns) -> row_index, fields, original, notes.
+    """rows (row_index, source columns) -> row_index, fields, original, notes, codes.
 
     ``overrides``: (row_index, overrides map<string,string>) of manual values, which the transformations still run on; a null value is one.
     """
@@ -135,26 +136,37 @@ def transform(rows: DataFrame, contract: Contract, mapping: dict[str, str | None
         out = out.join(overrides.select("row_index", "overrides"), "row_index", "left")
         out = out.select("row_index", *[F.when(F.coalesce(F.map_contains_key("overrides", F.lit(n)), F.lit(False)), F.element_at("overrides", F.lit(n))).otherwise(F.col(n)).alias(n) for n in names], "original")
     noted: dict[str, str] = {}
+    judged: dict[str, str] = {}
+    kinds = {f.name: f.type for f in contract.fields}
     for s in (s for s in specs if s.kind in FIELD_KINDS):
-        targets = [s.target] if s.target else names
-        plain, structs = {}, {}
-        for n in (n for n in targets if n in names):
-            got, is_struct = apply(s, F.col(n), F.col)
-            (plain if is_struct is None else structs)[n] = got
-        if plain:
-            out = out.withColumns(plain)
-        if structs:
-            out = out.withColumns({f"__{n}": c for n, c in structs.items()})
+        targets = [n for n in ([s.target] if s.target else names) if n in names]
+        structs: list[str] = []
+
+        def built(s=s, targets=targets, structs=structs) -> dict[str, Column]:
             step = {}
-            for n in structs:
-                step[n] = F.col(f"__{n}.value")
-                doubt = F.when(F.col(f"__{n}.warning").endswith("_ambiguous"), F.col(f"__{n}.warning"))
-                step[f"__note_{n}"] = F.coalesce(doubt, F.col(f"__note_{n}")) if n in noted else doubt
-                noted[n] = f"__note_{n}"
+            for n in targets:
+                got, is_struct = apply(s, F.col(n), F.col)
+                step[n if is_struct is None else f"__{n}"] = got
+                structs += [] if is_struct is None else [n]
+            return step
+
+        out = with_steps(out, built)
+        judged = {n: c for n, c in judged.items() if n not in targets}
+        step = {}
+        for n in structs:
+            step[n] = F.col(f"__{n}.value")
+            doubt = F.when(F.col(f"__{n}.warning").endswith("_ambiguous"), F.col(f"__{n}.warning"))
+            step[f"__note_{n}"] = F.coalesce(doubt, F.col(f"__note_{n}")) if n in noted else doubt
+            noted[n] = f"__note_{n}"
+            if s.kind == kinds[n]:
+                step[f"__code_{n}"] = F.when(~F.coalesce(F.col(f"__{n}.warning").endswith("_ambiguous"), F.lit(False)), F.col(f"__{n}.warning"))
+                judged[n] = f"__code_{n}"
+        if structs:
             out = out.withColumns(step).drop(*[f"__{n}" for n in structs])
     entries = [F.struct(F.lit(n).alias("key"), F.col(c).alias("value")) for n, c in noted.items()]
     notes = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())) if entries else F.expr("map_from_entries(cast(array() as array<struct<key:string,value:string>>))")
-    return out.select("row_index", *names, "original", notes.alias("notes"))
+    codes = F.struct(*[F.col(c).cast("string").alias(n) for n, c in judged.items()]) if judged else F.lit(None).cast("struct<>")
+    return out.select("row_index", *names, "original", notes.alias("notes"), codes.alias("codes"))
 
 
 __all__ = ["apply", "combine", "date_order", "first_value", "full_match", "infer_date_order", "is_empty", "let", "sources_of", "split_value", "transform"]

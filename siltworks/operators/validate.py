@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import functools
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions.exprs import full_match, is_empty, let, lookup, text
+from ..functions.exprs import full_match, is_empty, let, lookup, text, with_steps
 from ..model import ERROR, INFO, WARNING, Contract, FieldSpec
 
 # Severity and message of each type code.
@@ -58,6 +59,27 @@ def _by_code(code: Column, i: int) -> Column:
     return lookup({k: v[i] for k, v in TYPE_ISSUES.items()}, code)
 
 
+_PLAIN = re.compile(r"([+-]?)0*(\d*)(?:\.(\d*?)0*)?")
+
+
+def compared(v: Column, bound: str) -> Column:
+    """-1, 0 or 1 as a plain decimal text is below, at or above a bound; null where it's no such text. By digits, so of any size and scale."""
+    minus, whole, rest = _PLAIN.fullmatch(format(Decimal(bound), "f")).groups()
+    whole, rest = whole or "", rest or ""
+    value = F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), v)
+    w = F.regexp_extract(value, r"^[+-]?0*(\d*)", 1)
+    r = F.regexp_extract(value, r"\.(\d*?)0*$", 1)
+    order = lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0)
+    size = F.when(F.length(w) != len(whole), order(F.length(w), F.lit(len(whole)))).when(w != whole, order(w, F.lit(whole))).otherwise(order(r, F.lit(rest)))
+    zero = (w == "") & (r == "")
+    negative = value.startswith("-") & ~zero
+    if not whole and not rest:
+        return F.when(value.isNotNull(), F.when(zero, 0).when(negative, -1).otherwise(1))
+    if minus == "-":
+        return F.when(value.isNotNull(), F.when(negative, -size).otherwise(1))
+    return F.when(value.isNotNull(), F.when(negative, -1).otherwise(size))
+
+
 def rule_checks(f: FieldSpec, v: Column) -> list[tuple[Column, str, str]]:
     """(fails, code, message) of a field's rules, in their fixed order."""
     r, out = f.rules or {}, []
@@ -71,10 +93,9 @@ def rule_checks(f: FieldSpec, v: Column) -> list[tuple[Column, str, str]]:
         allowed = [str(a) for a in r["enum"]]
         out.append((~F.lower(v).isin(*[a.lower() for a in allowed]), "enum", f"Value not in allowed list ({', '.join(allowed[:6])})"))
     if f.type in ("integer", "decimal"):
-        n = v.try_cast("decimal(38,18)")
-        for key, fails, word in (("min", lambda b: n < b, "Below minimum"), ("max", lambda b: n > b, "Above maximum")):
+        for key, sign, word in (("min", -1, "Below minimum"), ("max", 1, "Above maximum")):
             if key in r:
-                out.append((fails(F.lit(str(r[key])).cast("decimal(38,18)")), key, f"{word} {r[key]}"))
+                out.append((compared(v, str(r[key])) == sign, key, f"{word} {r[key]}"))
     if f.type in ("date", "datetime"):
         d = F.try_to_date(F.substring(v, 1, 10), "yyyy-MM-dd")
         for key, fails, word in (("min_date", lambda b: d < b, "Earlier than"), ("max_date", lambda b: d > b, "Later than")):
@@ -125,20 +146,50 @@ def clause(c: dict, value_of) -> Column:
     return F.when(present, let(F.struct(_comparable(v).alias("a"), _comparable(other).alias("b")), both)).otherwise(F.lit(True))
 
 
+def counted_duplicates(rows: DataFrame, field: str) -> DataFrame:
+    return rows.groupBy(F.col(field).alias(f"__v_{field}")).agg(F.count_if(~is_empty(F.col(field))).alias("n")).where("n > 1")
+
+
 def duplicates(rows: DataFrame, field: str) -> DataFrame:
     """The non-empty values that occur more than once."""
-    return rows.where(~is_empty(F.col(field))).groupBy(F.col(field).alias(f"__v_{field}")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return counted_duplicates(rows, field).drop("n")
 
 
-def validate(rows: DataFrame, contract: Contract, provided: set[str]) -> DataFrame:
+def validate(rows: DataFrame, contract: Contract, provided: set[str], only: DataFrame | None = None) -> DataFrame:
     """rows as ``transform`` gives them -> the same with ``issues`` (an array) and ``row_status``.
 
     ``provided``: fields that a column, a structure or a default fills; a required field outside them is one issue of the data set.
+    ``only`` (row_index): the rows that are wanted; the others are looked at for repeated values alone.
     """
-    out, seq, parts, lists = rows, 0, [], []
+    out = rows if only is None else rows.join(only.select("row_index").distinct(), "row_index", "left_semi")
     for f in contract.fields:
         if f.unique:
-            out = out.join(duplicates(rows, f.name).withColumn(f"__dup_{f.name}", F.lit(True)), F.col(f.name) == F.col(f"__v_{f.name}"), "left").drop(f"__v_{f.name}")
+            out = with_duplicates(out, rows, f.name)
+    known = rows.schema["codes"].dataType.names if "codes" in rows.columns else []
+    out = with_steps(out, lambda: {"issues": _issues(contract, provided, known)})
+    out = out.drop("codes", *[f"__dup_{f.name}" for f in contract.fields if f.unique])
+    return out.withColumn("row_status", status(F.col("issues")))
+
+
+def with_duplicates(out: DataFrame, rows: DataFrame, field: str, most: int = 500, parts: int = 997) -> DataFrame:
+    """``out`` with a flag on the rows whose value of a field repeats in ``rows``.
+
+    The ``most`` most frequent values are sent to the rows; the others meet them by a shuffle, in which rows without a value
+    to look for are dealt to ``parts`` keys of their own. So no value's rows, nor the empty ones, are one task's.
+    """
+    again = counted_duplicates(rows, field)
+    often = again.orderBy(F.desc("n")).limit(most).select(F.col(f"__v_{field}").alias("__often"), F.lit(True).alias("__hot"))
+    out = out.join(F.broadcast(often), F.when(~is_empty(F.col(field)), F.col(field)) == F.col("__often"), "left")
+    rest = again.select(f"__v_{field}", F.lit(0).alias("__part"), F.lit(True).alias("__rest"))
+    key = F.when(F.col("__hot").isNull() & ~is_empty(F.col(field)), F.col(field))
+    part = F.when(key.isNull(), F.pmod(F.xxhash64("row_index"), F.lit(parts)).cast("int")).otherwise(0)
+    out = out.join(rest, (key == F.col(f"__v_{field}")) & (part == F.col("__part")), "left")
+    return out.withColumn(f"__dup_{field}", F.coalesce("__hot", "__rest")).drop("__often", "__hot", "__rest", "__part", f"__v_{field}")
+
+
+def _issues(contract: Contract, provided: set[str], known: list[str]) -> Column:
+    """A row's issues, in the order of seq; ``known``: fields of which the struct ``codes`` has the type's code."""
+    seq, parts, lists = 0, [], []
     for f in contract.fields:
         v, original = F.col(f.name), F.col("original")[f.name]
         empty = is_empty(v)
@@ -154,7 +205,7 @@ def validate(rows: DataFrame, contract: Contract, provided: set[str]) -> DataFra
                 rules = [F.when(fails, issue(seq + 3 + k, f.name, ERROR, c, m, original)) for k, (fails, c, m) in enumerate(checks)]
                 return F.when(code.isNotNull(), F.array(bad)).otherwise(F.array(*rules) if rules else F.expr(NO_ISSUES))
 
-            lists.append(F.when(~empty, let(type_code(f.type, v), of_type)))
+            lists.append(F.when(~empty, let(F.col("codes")[f.name] if f.name in known else type_code(f.type, v), of_type)))
         else:
             parts += [F.when(~empty & fails, issue(seq + 3 + k, f.name, ERROR, c, m, original)) for k, (fails, c, m) in enumerate(checks)]
         seq += 12
@@ -177,9 +228,7 @@ def validate(rows: DataFrame, contract: Contract, provided: set[str]) -> DataFra
         seq += 1
     arrays = lists + ([F.array(*parts)] if parts else [])
     # seq is the order, and first in the struct
-    found = F.array_sort(F.filter(F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull())), lambda i: i.isNotNull())) if arrays else F.expr(NO_ISSUES)
-    out = out.withColumn("issues", found).drop(*[f"__dup_{f.name}" for f in contract.fields if f.unique])
-    return out.withColumn("row_status", status(F.col("issues")))
+    return F.sort_array(F.filter(F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull())), lambda i: i.isNotNull())) if arrays else F.expr(NO_ISSUES)
 
 
 def status(issues: Column) -> Column:

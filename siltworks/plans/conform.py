@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import StateError
+from ..errors import NotFoundError, StateError
 from ..model import Contract, TransformSpec, check_transforms, suggest_transforms
-from ..operators import assemble, quality, review
+from ..operators import assemble, export, quality, review
 from ..operators.mapping import suggest
 from ..operators.profile import profile
 from ..operators.validate import all_issues, validate
 from ..sources.delimited import extension, read_csv
+from ..sources.tables import written
 from ..sources.xlsx import read_xlsx
 
 
@@ -39,7 +40,11 @@ def conform(rows: DataFrame, contract: Contract, mapping: dict[str, str | None],
 
 @dataclass
 class Job:
-    """One import. Later steps are derived from earlier ones, so changing one leaves nothing stale to clear."""
+    """One import. Later steps are derived from earlier ones, so changing one leaves nothing stale to clear.
+
+    Validated rows are written once. An edit validates the affected rows only and writes them to a second, small table, so
+    neither a plan nor the time of an edit grows with the edits before it.
+    """
 
     spark: SparkSession
     path: str
@@ -48,10 +53,14 @@ class Job:
     mapping: dict[str, str | None] = field(default_factory=dict)
     specs: list[TransformSpec] | None = None
     defaults: dict[str, str] = field(default_factory=dict)
-    edits: DataFrame | None = None
     completed: bool = False
 
     def __post_init__(self) -> None:
+        self._edits: DataFrame | None = None
+        self._events: list[tuple] = []
+        self._base: DataFrame | None = None
+        self._fresh: DataFrame | None = None
+        self._built: tuple | None = None
         self.select_sheet(self.sheet)
 
     def select_sheet(self, sheet: str | None) -> None:
@@ -59,6 +68,16 @@ class Job:
         self.rows, self.meta = read_xlsx(self.spark, self.path, sheet) if extension(self.path) == ".xlsx" else read_csv(self.spark, self.path)
         self.mapping, self.specs, self.edits, self.completed = {}, None, None, False
 
+    @property
+    def edits(self) -> DataFrame | None:
+        """The events in effect; setting them (after an undo, say) validates all rows again when they're next wanted."""
+        return self._edits
+
+    @edits.setter
+    def edits(self, edits: DataFrame | None) -> None:
+        self._edits = None if edits is None else written(edits)
+        self._events, self._base, self._fresh = [], None, None
+
     @property
     def status(self) -> str:
         return "completed" if self.completed else "mapped" if self.mapping else "mapping" if self.contract else "uploaded"
@@ -74,23 +93,58 @@ class Job:
     def confirm(self, mapping: dict[str, str | None]) -> None:
         if self.contract is None:
             raise StateError("choose a contract first")
-        self.mapping, self.specs = mapping, suggest_transforms(self.contract, mapping)
+        self.mapping, self.specs, self._base, self._fresh, self.completed = mapping, suggest_transforms(self.contract, mapping), None, None, False
+
+    def _plan(self) -> tuple:
+        return self.contract, tuple(self.mapping.items()), tuple(map(repr, self.specs or [])), tuple(self.defaults.items())
 
     def validated(self) -> DataFrame:
         if not self.mapping:
             raise StateError("confirm a mapping first")
-        return conform(self.rows, self.contract, self.mapping, self.specs, self.defaults, self.edits)
+        if self._base is None or self._built != self._plan():
+            specs = suggest_transforms(self.contract, self.mapping) if self.specs is None else self.specs
+            self._inferred = assemble.infer_date_order(self.rows, self.mapping, check_transforms(self.contract, specs))
+            self._base = written(conform(self.rows, self.contract, self.mapping, self._inferred, self.defaults, self._edits, infer=False))
+            self._fresh, self._built = None, self._plan()
+        return self._base if self._fresh is None else review.merge(self._base, self._fresh)
 
     def issues(self) -> DataFrame:
-        return all_issues(self.validated(), self.contract, provided_fields(self.contract, self.mapping, self.specs or [], self.defaults))
+        return all_issues(self.validated(), self.contract, self._provided())
+
+    def _provided(self) -> set[str]:
+        return provided_fields(self.contract, self.mapping, self.specs or [], self.defaults)
 
     def summary(self) -> DataFrame:
         return quality.summary(self.validated())
 
     def edit(self, row_index: int, name: str, value: str | None) -> None:
-        seq = (self.edits.agg(F.max("seq")).first()[0] or 0) + 1 if self.edits is not None else 1
-        event = review.edit_cell(self.validated(), seq, row_index, name, value)
-        self.edits = event if self.edits is None else self.edits.unionByName(event)
+        """Put a value in a cell: an event at once, and the affected rows validated again."""
+        view = self.validated()
+        at = view.where(F.col("row_index") == row_index)
+        was = at.first()
+        if was is None:
+            raise NotFoundError(f"there's no row {row_index}")
+        if not self._events and self._edits is not None:
+            self._events = [tuple(r) for r in self._edits.select("seq", "label", "row_index", "field", "before", "after").collect()]  # what was edited by hand
+        seq = max((e[0] for e in self._events), default=0) + 1
+        self._events.append((seq, "edit", row_index, name, was[name], None if value == "" else value))
+        self._edits = self.spark.createDataFrame(self._events, review.EDITS)
+        mine = self.spark.createDataFrame([e for e in self._events if e[2] == row_index], review.EDITS)
+        row = self.rows.where(F.col("row_index") == row_index)
+        now = assemble.transform(row, self.contract, self.mapping, self._inferred, self.defaults, review.overrides(mine)).drop("codes")
+        now = self.spark.createDataFrame(now.collect(), now.schema)  # one row
+        met = F.col("row_index") == row_index
+        for f, new in ((f.name, now.first()[f.name]) for f in self.contract.fields if f.unique):
+            if new != was[f]:
+                met = met | F.coalesce(F.col(f).isin(*[v for v in (was[f], new) if v not in (None, "")]), F.lit(False))
+        plain = view.drop("issues", "row_status")
+        after = plain.where(F.col("row_index") != row_index).unionByName(now)
+        fresh = validate(after, self.contract, self._provided(), after.where(met)).select(*view.columns)
+        self._fresh = written(fresh if self._fresh is None else review.merge(self._fresh, fresh))
+
+    def exported(self, wanted: str = "ready") -> DataFrame:
+        """The rows of a scope, for a sink; before a mapping is confirmed there's nothing to export."""
+        return export.scope(self.validated(), wanted)
 
     def complete(self) -> None:
         self.validated()

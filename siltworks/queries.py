@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
-from .functions.exprs import text
+from .functions.exprs import text, with_steps
 from .model import Contract, TransformSpec, make_contract
 from .operators import assemble, export, mapping, profile, quality, review, validate
 from .plans.conform import conform
+from .sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,7 +78,8 @@ ISO = "CASE WHEN regexp_full_match(raw_date, '\\d{4}-\\d{2}-\\d{2}') THEN try_st
 
 
 def normalized(spark: SparkSession, sf_dir: str, column: str, fn) -> DataFrame:
-    return dirty_customer(spark, sf_dir).select("row_index", F.col(column).alias("raw"), fn(F.col(column)).alias("r")).select("row_index", "raw", "r.value", "r.warning")
+    raw = dirty_customer(spark, sf_dir).select("row_index", F.col(column).alias("raw"))
+    return with_steps(raw, lambda: {"r": fn(F.col("raw"))}).select("row_index", "raw", "r.value", "r.warning")
 
 
 # ---- flagship
@@ -271,7 +273,8 @@ def norm_decimal(spark, sf_dir):
 def norm_decimal_lines(spark, sf_dir):
     """Prices written with a currency sign and groups of thousands, back to plain decimals."""
     p = F.col("l_extendedprice").cast("decimal(12,2)")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.decimal(F.concat(F.lit("$"), F.format_number(p, 2)))["value"].alias("value"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("$"), F.format_number(p, 2)).alias("raw"))
+    return with_steps(lines, lambda: {"r": N.decimal(F.col("raw"))}).select("l_orderkey", "l_linenumber", "r.value")
 
 
 @query(f"""WITH {DC}, x AS (SELECT row_index, raw_date AS raw, {ISO} AS t, try_cast(regexp_extract(raw_date, '^(\\d\\d)[/.](\\d\\d)', 1) AS int) AS a, try_cast(regexp_extract(raw_date, '^(\\d\\d)[/.](\\d\\d)', 2) AS int) AS b FROM dc)
@@ -394,12 +397,12 @@ d AS (SELECT customer_id FROM n GROUP BY 1 HAVING count(*) > 1)
 SELECT row_index, coalesce(bool_or(n.customer_id IN (SELECT * FROM d)), false) AS duplicate FROM n GROUP BY 1""")
 def incremental_revalidate(spark, sf_dir):
     """Every injected duplicate id is put right; only affected rows are validated again and merged with the others."""
-    before = flagship(spark, sf_dir)
+    before = written(flagship(spark, sf_dir))
     edited = before.where("row_index % 50 = 0 and row_index > 0").select("row_index", F.concat(F.lit("C-"), F.col("row_index").cast("string")).alias("new"))
     plain = before.drop("issues", "row_status")
     after = plain.join(edited, "row_index", "left").withColumn("customer_id", F.coalesce("new", "customer_id")).drop("new")
     rows = review.affected_rows(plain, after, flagship_contract(), edited)
-    fresh = validate.validate(after, flagship_contract(), set(MAPPING.values())).join(rows, "row_index", "left_semi")
+    fresh = validate.validate(after, flagship_contract(), set(MAPPING.values()), rows)
     merged = review.merge(before, fresh.select(*before.columns))
     return merged.select("row_index", F.exists("issues", lambda i: (i["code"] == "duplicate") & (i["field"] == "customer_id")).alias("duplicate"))
 
@@ -585,7 +588,8 @@ def _lines(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS date) >= CAST(o_orderdate AS date) AS gte, CAST(l_shipdate AS date) < CAST(o_orderdate AS date) AS lt, l_quantity > 30 AS gt, l_quantity <= 12.5 AS lte FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def val_cross_field_compare(spark, sf_dir):
     c = lambda f, op, v: validate.clause({"field": f, "op": op, "value": v}, F.col)
-    return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", c("shipped", "gte_field", "ordered").alias("gte"), c("shipped", "lt_field", "ordered").alias("lt"), c("quantity", "gt", 30).alias("gt"), c("quantity", "lte", "12.5").alias("lte"))
+    clauses = lambda: {"gte": c("shipped", "gte_field", "ordered"), "lt": c("shipped", "lt_field", "ordered"), "gt": c("quantity", "gt", 30), "lte": c("quantity", "lte", "12.5")}
+    return with_steps(_lines(spark, sf_dir), clauses).select("l_orderkey", "l_linenumber", "gte", "lt", "gt", "lte")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_returnflag NOT IN ('A', 'N')")

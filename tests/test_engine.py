@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.errors import ContractError, FileError, MappingError, TooLargeError
+from siltworks.errors import ContractError, FileError, MappingError, NotFoundError, TooLargeError
 from siltworks.model import TransformSpec, make_contract, next_version, samples, suggest_transforms
 from siltworks.operators import assemble, export, mapping, profile, quality, review, similarity, validate
 from siltworks.plans.conform import Job, conform
@@ -19,7 +19,7 @@ def job(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("in") / "a.csv"
     path.write_bytes(TEXT.encode())
     job = Job(spark, str(path))
-    suggested = job.suggest_mapping(samples()["Customer"])
+    suggested = job.suggest_mapping(samples()["Subscriber"])
     job.confirm({r["source"]: r["target"] for r in suggested.collect()})
     return job
 
@@ -32,7 +32,7 @@ def test_read(job):
 
 
 def test_mapping_and_status(job):
-    assert job.mapping["Mobile No."] == "phone" and job.mapping["Extra"] is None
+    assert job.mapping["Mobile No."] == "mobile" and job.mapping["Extra"] is None
     got = {r["row_index"]: r["row_status"] for r in job.validated().collect()}
     assert got == {0: "ready", 1: "error", 2: "error", 3: "error"}
     codes = {(r["row_index"], r["code"]) for r in job.issues().collect()}
@@ -41,28 +41,43 @@ def test_mapping_and_status(job):
 
 
 def test_date_order_is_inferred(job):
-    assert job.validated().where("row_index = 3").first()["created_at"] == "2024-04-03"
+    assert job.validated().where("row_index = 3").first()["joined_on"] == "2024-04-03"
 
 
 def test_edit_and_undo(job):
-    job.edit(2, "email", "q@example.com")
+    job.edit(2, "mail", "q@example.com")
     assert job.validated().where("row_index = 3").first()["row_status"] == "ready"
     job.edits = review.undo_last(job.edits)
     assert job.validated().where("row_index = 3").first()["row_status"] == "error"
     job.edits = None
 
 
+def test_ten_edits(spark, job):
+    """Edits give what a full run gives, and their plans don't grow."""
+    sizes = []
+    for k in range(10):
+        job.edit(k % 4, "mail" if k % 3 else "full_name", ["dana@example.com", "new@example.com", "bad", None, "last@example.com"][k % 5])
+        sizes.append(len(job.validated()._jdf.queryExecution().analyzed().toString()))
+    pick = lambda d: sorted((r["row_index"], r["row_status"], r["mail"], r["full_name"], [i["code"] for i in r["issues"]]) for r in d.collect())
+    quick = pick(job.validated())
+    full = conform(job.rows, job.contract, job.mapping, job.specs, edits=job.edits)
+    assert quick == pick(full) and max(sizes[2:]) <= 1.1 * sizes[1]
+    with pytest.raises(NotFoundError):
+        job.edit(99, "mail", "x")
+    job.edits = None
+
+
 def test_exports(spark, job, tmp_path):
     v = job.validated()
     errors = {r["_row"]: r["_issues"] for r in export.error_rows(v, job.contract.names).collect()}
-    assert errors[4] == "email: Duplicate value" and set(errors) == {3, 4, 5}
-    export.write_csv(export.scope(v, "ready"), ["customer_name", "email"], str(tmp_path / "out"))
+    assert errors[4] == "mail: Duplicate value" and set(errors) == {3, 4, 5}
+    export.write_csv(export.scope(v, "ready"), ["full_name", "mail"], str(tmp_path / "out"))
     text = "".join(p.read_text(newline="") for p in sorted((tmp_path / "out").glob("part-*")))
     assert text.endswith("Dana Levi,Dana@example.com\r\n")
     (tmp_path / "b.xlsx").write_bytes(workbooks(v, job.contract.names, [("rows", "4")]).first()["content"])
     back, meta = read_xlsx(spark, str(tmp_path / "b.xlsx"))
     assert meta["sheet_names"] == ["Data", "Import Report"]
-    assert [r["email"] for r in back.orderBy("row_index").collect()] == [r["email"] for r in v.orderBy("row_index").collect()]
+    assert [r["mail"] for r in back.orderBy("row_index").collect()] == [r["mail"] for r in v.orderBy("row_index").collect()]
     report = export.report(v, validate.issue_rows(v), "Customer", "a.csv").first()
     assert report["rows"] == 4 and report["top_issues"][0]["code"] == "duplicate"
 
@@ -135,8 +150,8 @@ def test_contracts():
     c = make_contract("x", [{"name": "first_name", "aliases": "a, b"}])
     assert c.fields[0].display_name == "First name" and c.fields[0].aliases == ("a", "b")
     assert next_version(c, [{"name": "z"}]).version == 2
-    kinds = [(s.kind, s.target) for s in suggest_transforms(samples()["Customer"], {"a": "phone", "b": "country"})]
-    assert kinds == [("trim", None), ("null_normalize", None), ("country", "country"), ("phone", "phone")]
+    kinds = [(s.kind, s.target) for s in suggest_transforms(samples()["Subscriber"], {"a": "mobile", "b": "residence"})]
+    assert kinds == [("trim", None), ("null_normalize", None), ("country", "residence"), ("phone", "mobile"), ("default", "plan")]
 
 
 def test_structure_and_notes(spark):
@@ -157,15 +172,15 @@ def test_rule_clauses(spark):
 
 
 def test_ladder_and_conflicts(spark):
-    contract = samples()["Customer"]
-    sources = spark.createDataFrame([("Custmer Nme", 0, "string"), ("Zzz", 1, "phone"), ("E-Mail", 2, "email"), ("Qqq", 3, "string")], "source string, ordinal int, detected string")
-    got = {r["source"]: (r["target"], r["confidence"], r["method"]) for r in mapping.suggest(sources, contract, provider=lambda s, t: {"Qqq": ("company", "high"), "Zzz": ("nope", "high")}).collect()}
-    assert got["Custmer Nme"][0] == "customer_name" and got["Custmer Nme"][2] == "fuzzy"
-    assert got["Zzz"] == ("phone", "LOW", "type") and got["E-Mail"] == ("email", "HIGH", "exact") and got["Qqq"] == ("company", "MEDIUM", "ai")
-    pairs = spark.createDataFrame([("a", None, "UNMAPPED", "none", 0), ("b", "email", "HIGH", "exact", 1)], "source string, target string, confidence string, method string, ordinal int")
+    contract = samples()["Subscriber"]
+    sources = spark.createDataFrame([("Ful Nme", 0, "string"), ("Zzz", 1, "phone"), ("E-Mail", 2, "email"), ("Qqq", 3, "string")], "source string, ordinal int, detected string")
+    got = {r["source"]: (r["target"], r["confidence"], r["method"]) for r in mapping.suggest(sources, contract, provider=lambda s, t: {"Qqq": ("employer", "high"), "Zzz": ("nope", "high")}).collect()}
+    assert got["Ful Nme"][0] == "full_name" and got["Ful Nme"][2] == "fuzzy"
+    assert got["Zzz"] == ("mobile", "LOW", "type") and got["E-Mail"] == ("mail", "HIGH", "alias") and got["Qqq"] == ("employer", "MEDIUM", "ai")
+    pairs = spark.createDataFrame([("a", None, "UNMAPPED", "none", 0), ("b", "mail", "HIGH", "exact", 1)], "source string, target string, confidence string, method string, ordinal int")
     with pytest.raises(MappingError):
-        mapping.confirm(pairs, {"a": "email"}, contract)
-    assert {r["source"]: r["method"] for r in mapping.confirm(pairs, {"a": "phone"}, contract).collect()} == {"a": "manual", "b": "exact"}
+        mapping.confirm(pairs, {"a": "mail"}, contract)
+    assert {r["source"]: r["method"] for r in mapping.confirm(pairs, {"a": "mobile"}, contract).collect()} == {"a": "manual", "b": "exact"}
 
 
 def test_similarity():
@@ -220,3 +235,14 @@ def test_stream(spark, tmp_path):
     run = out.select("row_index", "email", "row_status").writeStream.format("memory").queryName("conformed").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {tuple(r) for r in spark.table("conformed").collect()} == {(0, "a@b.com", "ready"), (1, "bad", "error")}
+
+
+@pytest.mark.parametrize("bound", ["-12.50", "0", "0.000", "50000", "1e21", "0.5"])
+def test_bounds_of_any_size(spark, bound):
+    """Texts compare with a bound as their numbers do, with more digits than a decimal holds."""
+    from decimal import Decimal
+
+    texts = ["0", "-0.0", "7", "-12.5", "-12.51", "-12.49", "49999.99999999999999999999999", "50000.000", "50000.0000000000000000000000001", "9" * 25, "-" + "9" * 25, "1" + "0" * 21, ".5", "0.50", "0.4999", "007"]
+    got = spark.createDataFrame([(t,) for t in texts], "v string").select("v", validate.compared(F.col("v"), bound).alias("c")).collect()
+    assert {r["v"]: r["c"] for r in got} == {t: (Decimal(t) > Decimal(bound)) - (Decimal(t) < Decimal(bound)) for t in texts}
+    assert spark.createDataFrame([("x",), (None,)], "v string").select(validate.compared(F.col("v"), bound).alias("c")).where("c is not null").isEmpty()
