@@ -1,8 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
 Units are the whole text (licence files), a text's lines, its windows of 2 to WINDOW adjacent lines (wrapped headers,
-wherever they stand; lines without a term are passed over) and its longer paragraphs. Document frequencies of the
-templates' terms are counted over all texts; a term that no template has weighs as one that no text has. A unit whose
+wherever they stand; lines without a term are passed over) and its longer paragraphs. Document frequencies of all
+terms are counted over all texts: the templates' by themselves, the others in SLOTS slots by their hash, so that their table
+has a fixed size (terms that meet in a slot weigh as one that all their texts have). A unit whose
 template terms alone can't carry the threshold is ruled out by its norm before any cosine is taken, and a window by its
 lines: its product with a template is the sum of theirs, its norm at least the root of the sum of their squares.
 
@@ -23,9 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_table, prefix_hash, slices, span_hash, stash, words
+from .common import LOWER, byte_table, slices, stash, word_hash, words
 
 THRESHOLD = 0.7
+#: Slots in which terms are counted that no template has.
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
+#: Parts to which a directory's files are dealt.
+PARTS = 16
 #: Lines of the longest window, and how many lines, products or terms of windows are held at once.
 WINDOW, BLOCK_LINES, BLOCK_TERMS = 32, 20_000, 1 << 18
 #: Names of files that speak for their directory.
@@ -99,11 +105,11 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Hash and start of each run of ASCII letters and digits, and offsets of the rows in them."""
     low = LOWER[data]
     starts, ends, row = words(low, offs, _OTHER)
-    return span_hash(prefix_hash(low), starts, ends), starts, row
+    return word_hash(low, starts, ends), starts, row
 
 
 class Terms:
-    """The templates' terms, their counts in each template, and where a token is in them."""
+    """The templates' terms, their counts in each template, and the number of a token: of its term, or of its slot after all terms."""
 
     def __init__(self, templates):
         with np.errstate(over="ignore"):
@@ -114,40 +120,41 @@ class Terms:
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
-        return np.where(self.keys[at] == tokens, at, -1)
+        return np.where(self.keys[at] == tokens, at, len(self.keys) + (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
 
 
 def _frequencies(templates):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         terms = Terms(templates)
-        total, rows = np.zeros(len(terms.keys), dtype=np.int64), 0
+        size = len(terms.keys) + SLOTS
+        total, rows = np.zeros(size, dtype=np.int64), 0
         for batch, data, offs in slices(batches):
             tokens, _, row = _tokens(data, offs)
             term = terms.find(tokens)
             of = np.repeat(np.arange(batch.num_rows), np.diff(row))
-            pair = np.unique(of[term >= 0] * len(terms.keys) + term[term >= 0])
-            total += np.bincount(pair % len(terms.keys), minlength=len(total))
+            total += np.bincount(np.unique(of * size + term) % size, minlength=size)
             rows += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total))), pa.array(np.append(rows, total))], names=["term", "df"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, used)), pa.array(np.append(rows, total[used]))], names=["term", "df"])
 
     return kernel
 
 
 def _units(terms: Terms, weight: np.ndarray, vectors: np.ndarray, unit: np.ndarray, term: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit, template, cosine) of the best template of each unit that reaches the threshold; weight's last value is that of other terms."""
+    """(unit, template, cosine) of the best template of each unit that reaches the threshold."""
     v = len(terms.keys)
-    known = term >= 0
-    pair, tf = np.unique(unit[known] * v + term[known], return_counts=True)
-    u, t = np.divmod(pair, v)
+    pair, tf = np.unique(unit * len(weight) + term, return_counts=True)
+    u, t = np.divmod(pair, len(weight))
     x = tf * weight[t]
-    inside = np.bincount(u, weights=x * x, minlength=n)
-    norm = inside + np.bincount(unit[~known], minlength=n) * weight[-1] ** 2
+    known = t < v
+    inside = np.bincount(u[known], weights=x[known] ** 2, minlength=n)
+    norm = np.bincount(u, weights=x * x, minlength=n)
     may = (inside >= threshold**2 * norm) & (inside > 0)
     which = np.flatnonzero(may)
     if not len(which):
         return which, which, np.zeros(0)
-    keep = may[u]
+    keep = may[u] & known
     cos = _products((np.cumsum(may) - 1)[u[keep]], t[keep], x[keep], vectors, len(which)) / np.sqrt(norm[which])[:, None]
     best = np.argmax(cos, axis=1)
     score = cos[np.arange(len(which)), best]
@@ -183,12 +190,11 @@ def _blocks(terms: Terms, weight: np.ndarray, vectors: np.ndarray, line: np.ndar
     for lo in range(0, len(number), BLOCK_LINES):
         hi = min(lo + BLOCK_LINES + WINDOW - 1, len(number))
         of, at = np.repeat(np.arange(hi - lo), (stop - first)[lo:hi]), term[first[lo] : stop[hi - 1]]
-        known = at >= 0
-        pair, tf = np.unique(of[known] * v + at[known], return_counts=True)
-        u, t = np.divmod(pair, v)
+        pair, tf = np.unique(of * len(weight) + at, return_counts=True)
+        u, t = np.divmod(pair, len(weight))
         x = tf * weight[t]
-        square = np.bincount(u, weights=x * x, minlength=hi - lo) + np.bincount(of[~known], minlength=hi - lo) * weight[-1] ** 2
-        product = _products(u, t, x, vectors, hi - lo)
+        square = np.bincount(u, weights=x * x, minlength=hi - lo)
+        product = _products(u[t < v], t[t < v], x[t < v], vectors, hi - lo)
         norm = np.append(0, np.cumsum(square))
         near = np.append(0, np.cumsum((product**2).max(axis=1) / square))
         total = np.concatenate((np.zeros((1, len(vectors))), np.cumsum(product, axis=0)))
@@ -227,10 +233,18 @@ def _tags(data: np.ndarray, offs: np.ndarray) -> dict[int, str]:
 def _matches(templates, weights, threshold: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        terms, weight = Terms(templates), weights
-        vectors = terms.counts * weight[:-1]
+        terms, weight = Terms(templates), weights.value
+        vectors = terms.counts * weight[: len(terms.keys)]
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         weak = np.array([n == WEAK for n in terms.names])
+
+        def settle(best: np.ndarray, score: np.ndarray, rows: np.ndarray, t: np.ndarray, s: np.ndarray) -> None:
+            """Put in the nearest template of each row, of equal ones the first; a weak one only where there's no other."""
+            for i, k, x in zip(rows.tolist(), t.tolist(), s.tolist(), strict=True):
+                held = best[i]
+                if held < 0 or weak[k] < weak[held] or (weak[k] == weak[held] and (x > score[i] + 1e-9 or (k < held and x > score[i] - 1e-9))):
+                    best[i], score[i] = k, x
+
         for batch, data, offs in slices(batches):
             tokens, starts, row = _tokens(data, offs)
             term = terms.find(tokens)
@@ -244,18 +258,16 @@ def _matches(templates, weights, threshold: float):
             row_of_line[line] = of
             for is_whole, unit, n, to_row in ((True, of, batch.num_rows, np.arange(batch.num_rows)), (False, line, len(border) + 1, row_of_line)):
                 u, t, s = _units(terms, weight, vectors, unit, term, n, threshold)
-                for i, k, x in zip(to_row[u].tolist(), t.tolist(), s.tolist(), strict=True):
-                    if is_whole:
-                        whole[i] = True
-                    if best[i] < 0 or weak[k] < weak[best[i]] or (weak[k] == weak[best[i]] and x > score[i] + 1e-12):
-                        best[i], score[i] = k, x
+                whole[to_row[u]] |= is_whole
+                settle(best, score, to_row[u], t, s)
             tags = _tags(data, offs)
             done = (best >= 0) & ~weak[best] & (score >= 1 - 1e-12)
             done[list(tags)] = True
+            wide, wide_score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             for rows, t, s in _blocks(terms, weight, vectors, line, term, row_of_line, done, threshold):
-                for i, k, x in zip(rows.tolist(), t.tolist(), s.tolist(), strict=True):
-                    if best[i] < 0 or weak[k] < weak[best[i]] or (weak[k] == weak[best[i]] and x > score[i] + 1e-12):
-                        best[i], score[i] = k, x
+                settle(wide, wide_score, rows, t, s)
+            nearer = (wide >= 0) & ((best < 0) | (weak[wide] < weak[best]) | ((weak[wide] == weak[best]) & (wide_score > score + 1e-9)))
+            best, score = np.where(nearer, wide, best), np.where(nearer, wide_score, score)
             names = [terms.names[b] if b >= 0 else None for b in best.tolist()]
             score = np.where(best >= 0, score, 0.0)
             for i, name in tags.items():
@@ -269,27 +281,30 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, he
     """files (doc_id, path, text, ...) -> doc_id, path, own_license, score, license, declared_in; one row per input row.
 
     ``own_license``: what the first SPDX tag says, with score 1; else the identifier of the template that some line, block of
-    lines, or the whole text, is nearest to, if the cosine reaches ``threshold`` (of equal ones the first; WEAK only if no other does). ``license``: that, or the one that the nearest directory above declares, in
+    lines, or the whole text, is nearest to, if the cosine reaches ``threshold`` (of equal ones the first template; a block only where it's nearer than the
+    text and all lines; WEAK only if no other does). ``license``: that, or the one that the nearest directory above declares, in
     ``declared_in``. A directory declares the licence of the file right in it that scores highest (of equal ones the
     smallest doc_id) among those whose name says so (LICENSE_NAME) or whose whole text is a licence; with
     ``headers_declare`` among all with a licence. Null or empty texts have none; a null path is in no directory.
     """
     text = files.select("doc_id", "path", "text")
-    counted = text.mapInArrow(_frequencies(templates), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row for each term of the templates
-    df = {r["term"]: r["df"] for r in counted}
-    n = df.get(-1, 0)
-    size = len(Terms(templates).keys)
-    weights = np.array([1 + np.log((1 + n) / (1 + df.get(t, 0))) for t in range(size)] + [1 + np.log(1 + n)])
+    counted = text.mapInArrow(_frequencies(templates), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # at most a row for each slot and term of the templates
+    df = np.zeros(1 + len(Terms(templates).keys) + SLOTS)  # the first: of all texts
+    df[counted["term"].to_numpy() + 1] = counted["df"].to_numpy()
+    weights = files.sparkSession.sparkContext.broadcast(1 + np.log((1 + df[0]) / (1 + df[1:])))
     kind = files.schema["doc_id"].dataType.simpleString()
     # written, as three plans read it
     own = stash(text.mapInArrow(_matches(templates, weights, threshold), f"doc_id {kind}, path string, own_license string, score double, whole boolean")).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), "")))
     speaks = F.lit(True) if headers_declare else F.col("whole") | F.col("path").rlike(LICENSE_NAME)
-    declared = own.where(F.col("own_license").isNotNull() & F.col("dir").isNotNull() & speaks).groupBy("dir").agg(F.min_by("own_license", F.struct(-F.col("score"), F.col("doc_id"), F.col("own_license"))).alias("dir_license"))
+    declared = own.where(F.col("own_license").isNotNull() & F.col("dir").isNotNull() & speaks).groupBy("dir").agg(F.min_by("own_license", F.struct(-F.round("score", 9), F.col("doc_id"), F.col("own_license"))).alias("dir_license"))
     needy = own.where("own_license is null and dir is not null").select("dir").distinct()
     labels = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(labels)), lambda i: F.array_join(F.slice(labels, 1, i), "/"))
     ancestors = needy.select("dir", F.posexplode(above).alias("depth", "up"))
     nearest = ancestors.join(declared.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("dir_license", "up"), "depth").alias("got"))
-    joined = own.join(nearest, "dir", "left")
+    # a directory may hold a third of all files: its rows are dealt to parts, and what it inherits is sent to each
+    every = nearest.select("dir", "got", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    needs = F.when(F.col("own_license").isNull(), F.col("dir"))  # the others have nothing to look for
+    joined = own.withColumn("own_part", F.pmod(F.xxhash64("doc_id", "path"), F.lit(PARTS)).cast("int")).join(every.withColumnRenamed("dir", "of"), (needs == F.col("of")) & (F.col("own_part") == F.col("part")), "left")
     inherits = F.col("own_license").isNull()
     return joined.select("doc_id", "path", "own_license", "score", F.when(inherits, F.col("got.dir_license")).otherwise(F.col("own_license")).alias("license"), F.when(inherits, F.col("got.up")).alias("declared_in"))

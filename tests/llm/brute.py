@@ -1,6 +1,7 @@
 """Plain versions of the operators, straight from their definitions."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -74,3 +75,46 @@ def repeats(texts, span=200):
         runs = sum(1 for i in range(len(b)) if cover[i] and (i == 0 or not cover[i - 1]))
         out.append((len(b), sum(cover), runs, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def licenses(rows, templates, declare, threshold=0.7, window=32):
+    terms = lambda x: re.findall(r"[a-z0-9]+", (x or "").translate(LOW))
+    df = Counter(t for _, _, x in rows for t in set(terms(x)))
+    weigh = lambda x: {t: n * (1 + math.log((1 + len(rows)) / (1 + df[t]))) for t, n in Counter(x).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(name, weigh(terms(t))) for name, t in templates]
+
+    def nearest(tokens):
+        v = weigh(tokens)
+        scores = [sum(v.get(t, 0) * x for t, x in k.items()) / (norm(v) * norm(k)) if v else 0 for _, k in known]
+        best = max(range(len(known)), key=lambda i: (round(scores[i], 12), -i))
+        return (scores[best], best) if scores[best] >= threshold else None
+
+    own = []
+    for i, path, text in rows:
+        lines = [terms(x) for x in (text or "").split("\n")]
+        units, blocks = [(True, [t for x in lines for t in x])] + [(False, x) for x in lines], []
+        for a in range(len(lines)):
+            for n in range(2, min(window, len(lines) - a) + 1):
+                if all(lines[a : a + n]):
+                    blocks.append((False, [t for x in lines[a : a + n] for t in x]))
+        found, wide = ([(known[hit[1]][0] == "Proprietary", -round(hit[0], 9), hit[1], whole) for whole, u in us if (hit := nearest(u))] for us in (units, blocks))
+        best = min(found)[:3] if found else None
+        if wide and (best is None or min(wide)[:2] < best[:2]):
+            best = min(wide)[:3]
+        own.append((i, path, known[best[2]][0] if best else None, -best[1] if best else 0.0, any(f[3] for f in found)))
+    speaks = {}
+    for i, path, name, score, whole in own:
+        if name and path is not None and (declare or whole or re.search(r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$", path)):
+            key = (-score, i is not None, i or 0, name)
+            folder = path.rpartition("/")[0]
+            speaks[folder] = min(speaks.get(folder, key), key)
+    out = []
+    for i, path, name, score, _ in own:
+        told, where = name, None
+        if name is None and path is not None:
+            folder = path.rpartition("/")[0]
+            up = [f for f in ("/".join(folder.split("/")[:k]) for k in range(len(folder.split("/")), -1, -1)) if f in speaks]
+            told, where = (speaks[up[0]][3], up[0]) if up else (None, None)
+        out.append((i, path, name, round(score, 6), told, where))
+    return out

@@ -74,18 +74,18 @@ def test_license_cosine(spark):
     """The scores are cosines of weighted counts, as computed term by term."""
     lines = ["Licensed under the MIT License", "the the license", "Licensed under CC BY 4.0. extra words"]
     terms = licenses.Terms(licenses.TEMPLATES)
-    weight = np.linspace(1, 3, len(terms.keys) + 1)
+    v = len(terms.keys)
+    weight = np.linspace(1, 3, v + licenses.SLOTS)
     with np.errstate(over="ignore"):
         for text in lines:
             tokens = licenses._tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
-        vectors = terms.counts * weight[:-1]
+        vectors = terms.counts * weight[:v]
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         for text in lines:
             tokens = licenses._tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
             at = terms.find(tokens)
-            mine = np.bincount(at[at >= 0], minlength=len(terms.keys)) * weight[:-1]
-            norm = math.sqrt((mine**2).sum() + (at < 0).sum() * weight[-1] ** 2)
-            want = (vectors @ mine / norm).max()
+            mine = np.bincount(at, minlength=len(weight)) * weight
+            want = (vectors @ mine[:v] / np.linalg.norm(mine)).max()
             _, _, got = licenses._units(terms, weight, vectors, np.zeros(len(at), int), at, 1, 0.01)
             assert abs(got[0] - want) < 1e-9
 
@@ -112,14 +112,31 @@ def test_licenses_wrapped(spark):
     assert len(got) == len(rows) and not any(r["own_license"] for r in got if r["path"] is None)
 
 
+def test_licenses_against_brute_force(spark):
+    """A whole scan: ties of licences and of files in a directory, repeated rows, null ids and paths."""
+    rng = random.Random(8)
+    templates = (*licenses.STATEMENTS, ("Twin", licenses.STATEMENTS[0][1]))
+    words = sorted({w for _, t in licenses.STATEMENTS for w in t.split()})
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(templates)[1] if rng.random() < 0.4 else " ".join(rng.choice(words + ["qq", "rr", "ss"]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 5))]
+        rows.append((i, rng.choice([None, "x", "a/x", "a/b/x", "a/b/c/LICENSE", "d/y", "a/b/c/d/z"]), "\n".join(parts)))
+    rows += [rows[3], rows[3], (None, "a/x", rows[5][2]), (7, "d/e/x", None)]
+    for declare in (False, True):
+        df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+        got = sorted(((r["doc_id"], r["path"], r["own_license"], round(r["score"], 6), r["license"], r["declared_in"]) for r in licenses.scan(df, templates, headers_declare=declare).collect()), key=str)
+        assert got == sorted(brute.licenses(rows, templates, declare), key=str)
+
+
 def test_license_windows():
     """No window or paragraph that reaches the threshold is ruled out by the bounds on its lines."""
     rng = random.Random(5)
     words = sorted({w for _, t in licenses.STATEMENTS for w in t.split()}) + ["zzz"]
     templates = licenses.STATEMENTS
     terms = licenses.Terms(templates)
-    weight = np.linspace(1, 3, len(terms.keys) + 1)
-    vectors = terms.counts * weight[:-1]
+    v = len(terms.keys)
+    weight = np.linspace(1, 3, v + licenses.SLOTS)
+    vectors = terms.counts * weight[:v]
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     lines = []
     for _ in range(12):
@@ -134,8 +151,8 @@ def test_license_windows():
     for i in range(len(at)):
         for n in range(2, min(licenses.WINDOW, len(at) - i) + 1):
             a = np.concatenate(at[i : i + n])
-            x = np.bincount(a[a >= 0], minlength=len(terms.keys)) * weight[:-1]
-            cos = (vectors @ x).max() / math.sqrt((x**2).sum() + (a < 0).sum() * weight[-1] ** 2)
+            x = np.bincount(a, minlength=len(weight)) * weight
+            cos = (vectors @ x[:v]).max() / np.linalg.norm(x)
             want += [round(float(cos), 9)] if cos >= 0.7 else []
     whole = [x for x in mine if x not in want]
     assert len(want) > 20 and len(whole) <= 1 and sorted(set(want)) == sorted(set(mine) - set(whole))
