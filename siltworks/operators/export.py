@@ -26,6 +26,35 @@ def write_csv(rows: DataFrame, fields: list[str], path: str) -> None:
     guarded(rows, fields).sortWithinPartitions("row_index").select(*fields).write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="", lineSep="\r\n", quote='"', escape='"')
 
 
+def csv_lines(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """row_index (-1: the header), line: guarded cells of header and rows, quoted where they hold a quote, a comma or a line end."""
+    cell = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    line = lambda cells: F.concat_ws(",", *map(cell, cells))
+    head = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("row_index"), line([guard(F.lit(f)) for f in fields]).alias("line"))
+    return head.unionByName(rows.select(F.col("row_index").cast("long").alias("row_index"), line([guard(F.col(f)) for f in fields]).alias("line")))
+
+
+def write_single_csv(rows: DataFrame, fields: list[str], path: str) -> None:
+    """One CSV part with a byte-order mark, for spreadsheets; a single task writes it, so it's for tables of a spreadsheet's size."""
+    marked = csv_lines(rows, fields).select("row_index", F.when(F.col("row_index") == -1, F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")).alias("line"))
+    marked.coalesce(1).sortWithinPartitions("row_index").select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def json_array_lines(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """row_index, line: the lines of one JSON array of all rows, nulls included, indented by two; the brackets are the first and the last."""
+    value = lambda f: F.when(F.col(f).isNull(), F.lit("null")).otherwise(F.expr(f"substring(to_json(struct(`{f}` as x)), 6, length(to_json(struct(`{f}` as x))) - 6)"))
+    body = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *[F.concat(F.lit(f'    "{f}": '), value(f)) for f in fields]), F.lit("\n  }"))
+    last = rows.agg(F.max("row_index").alias("last"))
+    each = rows.select("row_index", body.alias("body")).join(F.broadcast(last), how="left").select(F.col("row_index").cast("long").alias("row_index"), F.when(F.col("row_index") == F.col("last"), F.col("body")).otherwise(F.concat("body", F.lit(","))).alias("line"))
+    ends = rows.sparkSession.range(2).select(F.when(F.col("id") == 0, -1).otherwise((1 << 63) - 1).cast("long").alias("row_index"), F.when(F.col("id") == 0, "[").otherwise("]").alias("line"))
+    return each.unionByName(ends)
+
+
+def write_json_array(rows: DataFrame, fields: list[str], path: str) -> None:
+    """One JSON file; a single task writes it."""
+    json_array_lines(rows, fields).coalesce(1).sortWithinPartitions("row_index").select("line").write.mode("overwrite").text(path)
+
+
 def json_rows(rows: DataFrame, fields: list[str]) -> DataFrame:
     """row_index, json: all fields, nulls included, not guarded."""
     return rows.select("row_index", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))

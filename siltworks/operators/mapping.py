@@ -61,7 +61,8 @@ def by_key(sources: DataFrame, names: DataFrame, memory: DataFrame | None = None
     keyed = sources.select("source", F.col("ordinal").alias("at"), header_key(F.col("source")).alias("key"))
     hits = keyed.join(names, "key").select("source", "target", F.col("level").alias("method"), "priority", "ordinal")
     if memory is not None:
-        saved = keyed.join(memory.select(F.col("key").alias("mkey"), F.col("target")), (F.col("key") == F.col("mkey")) | (F.col("source") == F.col("mkey"))).join(names.select("target", "ordinal").distinct(), "target")
+        known = memory.select(F.col("key").alias("mkey"), "target")
+        saved = keyed.join(known, F.col("key") == F.col("mkey")).unionByName(keyed.join(known, F.col("source") == F.col("mkey"))).join(names.select("target", "ordinal").distinct(), "target")
         hits = hits.unionByName(saved.select("source", "target", F.lit("saved").alias("method"), F.lit(0).alias("priority"), "ordinal"))
     best = Window.partitionBy("source").orderBy("priority", "ordinal", "target")
     return hits.withColumn("k", F.row_number().over(best)).where("k = 1").select("source", "target", F.lit(HIGH).alias("confidence"), "method")
@@ -73,17 +74,13 @@ def _score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([similarity.best_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def _weighted(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([similarity.weighted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def fuzzy_scores(sources: DataFrame, names: DataFrame) -> DataFrame:
     """(source, at, target, ordinal, multiple, score): the best name's score, 6 more for a type that suits (100 at most), 15 less for one that doesn't."""
     spaced = lambda c: F.regexp_replace(c, "_", " ")
-    # headers of files times names of one contract: a stated, small product
-    pairs = sources.select("source", F.col("ordinal").alias("at"), "detected", F.lit(1).alias("one")).join(F.broadcast(names.select("target", "ordinal", "type", "multiple", "name", F.lit(1).alias("one"))), "one")
+    # each header meets the names of one contract, which are a literal of the plan
+    held = names.select("target", "ordinal", "type", "multiple", "name").collect()
+    each = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("target", "ordinal", "type", "multiple", "name")]) for r in held])
+    pairs = sources.select("source", F.col("ordinal").alias("at"), "detected", F.explode(each).alias("to")).select("source", "at", "detected", "to.*")
     scored = pairs.withColumn("s", _score(spaced(F.col("source")), spaced(F.col("name")))).groupBy("source", "at", "detected", "target", "ordinal", "type", "multiple").agg(F.max("s").alias("s"))
     suits, known = F.lit(False), F.col("detected").isin(*COMPATIBLE)
     for detected, types in COMPATIBLE.items():
@@ -94,9 +91,18 @@ def fuzzy_scores(sources: DataFrame, names: DataFrame) -> DataFrame:
 
 def name_similarity(values: DataFrame, names: DataFrame, least: float) -> DataFrame:
     """values (value) distinct, names (name, alpha2) of fixed size -> (value, alpha2) of the best name that scores ``least`` or more; case doesn't count."""
-    pairs = values.withColumn("one", F.lit(1)).join(F.broadcast(names.withColumn("one", F.lit(1))), "one")
-    best = pairs.withColumn("s", _weighted(F.lower("value"), F.lower("name"))).where(F.col("s") >= least)
-    return best.groupBy("value").agg(F.max_by("alpha2", F.struct("s", "name")).alias("alpha2"))
+    held = sorted((r["name"].lower(), r["alpha2"]) for r in names.select("name", "alpha2").collect())
+
+    @F.pandas_udf("string")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found = []
+            for value in batch.str.lower():
+                best = max(((similarity.weighted_ratio(value, name), name, code) for name, code in held), default=(0, "", None))
+                found.append(best[2] if best[0] >= least else None)
+            yield pd.Series(found, dtype="object")
+
+    return values.where("value is not null").select("value", nearest("value").alias("alpha2")).where("alpha2 is not null")
 
 
 Provider = Callable[[list[dict], list[dict]], dict[str, tuple[str, str]]]

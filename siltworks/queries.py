@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
 from .functions.exprs import text, with_steps
 from .model import Contract, TransformSpec, make_contract
-from .operators import assemble, export, mapping, profile, quality, review, validate
+from .operators import assemble, catalog, export, mapping, profile, quality, review, validate
 from .plans.conform import conform
-from .sources.tables import written
+from .sources.delimited import read_csv
+from .sources.tables import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,30 +436,6 @@ def profile_type(spark, sf_dir):
 
 
 # ---- mapping
-HEADERS = ["Email", " Email ", "", "E-mail Address", "Mobile No.", "Email", None, "Column 3", "customer_ref", "Joined"]
-
-
-def _headers(spark):
-    return spark.createDataFrame(list(enumerate(HEADERS)), "pos int, name string")
-
-
-_HEADER_VALUES = "(VALUES " + ", ".join(f"({i}, {'NULL' if h is None else chr(39) + h + chr(39)})" for i, h in enumerate(HEADERS)) + ") h(pos, name)"
-
-
-@query(f"""WITH n AS (SELECT pos, coalesce(nullif(trim(name), ''), 'Column ' || (pos + 1)) AS name FROM {_HEADER_VALUES}), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS k FROM n)
-SELECT pos, CASE WHEN k > 1 THEN name || ' (' || k || ')' ELSE name END AS name FROM k""")
-def header_dedupe(spark, sf_dir):
-    return mapping.dedupe_headers(_headers(spark))
-
-
-_KEY = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim({0})), '[\\s_\\-./\\\\()\\[\\]:#''\"]+', ' ', 'g'), '[^a-z0-9 ]+', '', 'g')), ' '), lambda w: w NOT IN ('the', 'of', 'a', 'an', 'no', 'num', 'number', 'nr', 'col', 'column', 'field')), '')"
-
-
-@query(f"SELECT pos, {_KEY.format('name')} AS key FROM {_HEADER_VALUES} WHERE trim(coalesce(name, '')) <> '' AND name <> 'Column 3'")
-def header_key(spark, sf_dir):
-    return _headers(spark).where("trim(coalesce(name, '')) <> '' and name <> 'Column 3'").select("pos", mapping.header_key(F.col("name")).alias("key"))
-
-
 def _contract():
     return make_contract("x", [{"name": "customer_ref", "aliases": "ref"}, {"name": "email", "type": "email", "aliases": "e-mail address, mail"}, {"name": "phone", "type": "phone", "display_name": "Mobile no"}, {"name": "created_at", "type": "date", "aliases": "joined"}])
 
@@ -492,29 +469,6 @@ def map_conflicts(spark, sf_dir):
     return mapping.conflicts(pairs, _contract()).select("target", F.array_join("sources", ",").alias("sources"))
 
 
-_JOBS = [(1, "s", ["a", "b", "c", "d"]), (2, "s", ["a", "b", "c", "d", "e"]), (3, "s", ["x"]), (4, "t", ["a"])]
-_TEMPLATES = [(10, "s", ["a", "b", "c", "d"]), (11, "s", ["a", "b", "c", "d", "e", "f"]), (12, "s", ["a", "b", "c", "d"]), (13, "t", ["a"])]
-
-
-def _lists(rows):
-    return "(VALUES " + ", ".join(f"({i}, '{s}', {k!r})" for i, s, k in rows) + ")"
-
-
-_SCORED = f"""j AS (SELECT * FROM {_lists(_JOBS)} j(job_id, schema, keys)), p AS (SELECT * FROM {_lists(_TEMPLATES)} p(template_id, schema, tkeys)),
-x AS (SELECT job_id, template_id, len(list_intersect(keys, tkeys)) / len(list_distinct(list_concat(keys, tkeys))) AS score FROM j JOIN p USING (schema))"""
-
-
-@query(f"WITH {_SCORED} SELECT job_id, template_id, score FROM x")
-def template_match(spark, sf_dir):
-    j, p = spark.createDataFrame(_JOBS, "job_id int, schema string, keys array<string>"), spark.createDataFrame(_TEMPLATES, "template_id int, schema string, tkeys array<string>")
-    return j.join(p, "schema").select("job_id", "template_id", mapping.jaccard(F.col("keys"), F.col("tkeys")).alias("score"))
-
-
-@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, template_id) AS k FROM x WHERE score >= 0.8) SELECT job_id, template_id, score FROM r WHERE k = 1")
-def template_detect(spark, sf_dir):
-    return mapping.detect_template(spark.createDataFrame(_JOBS, "job_id int, schema string, keys array<string>"), spark.createDataFrame(_TEMPLATES, "template_id int, schema string, keys array<string>"))
-
-
 @query("SELECT * FROM (VALUES ('Ref', 'customer_ref', 'HIGH', 'template', 0), ('Other', NULL, 'UNMAPPED', 'template', 1)) t(source, target, confidence, method, ordinal)")
 def template_apply(spark, sf_dir):
     return mapping.apply_template(spark.createDataFrame([("Ref", 0), ("Other", 1)], "source string, ordinal int"), spark.createDataFrame([("ref", "customer_ref")], "key string, target string"))
@@ -618,14 +572,6 @@ def blank_row_filter(spark, sf_dir):
     return dirty_customer(spark, sf_dir).where(filled(["raw_name", "raw_country"])).agg(F.count("*").alias("n"))
 
 
-_J = [(1, "s1", "completed", 10), (2, "s1", "validated", 5), (3, "s2", "mapped", 0), (4, "s2", "completed", 7)]
-
-
-@query(f"SELECT count(*) AS imports, CAST(sum(rows) AS BIGINT) AS rows, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'validated') AS needs_review, count(DISTINCT schema) AS schemas FROM (VALUES {', '.join(map(str, _J))}) t(job_id, schema, status, rows)")
-def job_dashboard(spark, sf_dir):
-    return quality.dashboard(spark.createDataFrame(_J, "job_id int, schema string, status string, rows long"))
-
-
 @query()
 def bulk_fix_suggestions(spark, sf_dir):
     """Fixes by score and by count: the similarity of names has no SQL."""
@@ -646,3 +592,200 @@ def conform_lines(spark, sf_dir):
     contract = make_contract("Lines", [{"name": "order_id", "required": True}, {"name": "price", "type": "decimal", "rules": {"max": 50000}}, {"name": "shipped", "type": "date"}, {"name": "flag", "type": "enum", "rules": {"enum": ["a", "n"]}}])
     v = conform(rows, contract, ORDER_MAPPING)
     return v.agg(F.count("*").alias("rows"), F.count_if(F.col("row_status") == "ready").alias("ready"), F.count_if(F.col("row_status") == "error").alias("error"), F.max("shipped").alias("last"))
+
+
+# ---- headers, templates and jobs of the driver's tables
+@query("""WITH h AS (SELECT CAST(c_custkey - 1 AS integer) AS pos, CASE c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_mktsegment END AS name FROM customer),
+n AS (SELECT pos, coalesce(nullif(name, ''), 'Column ' || (pos + 1)) AS name FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS k FROM n)
+SELECT pos, CASE WHEN k > 1 THEN name || ' (' || k || ')' ELSE name END AS name FROM k""")
+def header_dedupe(spark, sf_dir):
+    """Customers' segments as headers: many repeats, some blank."""
+    name = F.expr("case c_custkey % 11 when 0 then null when 1 then '  ' else c_mktsegment || case when c_custkey % 2 = 0 then ' ' else '' end end")
+    return mapping.dedupe_headers(table(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).cast("int").alias("pos"), name.alias("name")))
+
+
+_KEY = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim({0})), '[\\s_\\-./\\\\()\\[\\]:#''\"]+', ' ', 'g'), '[^a-z0-9 ]+', '', 'g')), ' '), lambda w: w NOT IN ('the', 'of', 'a', 'an', 'no', 'num', 'number', 'nr', 'col', 'column', 'field')), '')"
+
+
+@query(f"SELECT p_partkey, {_KEY.format('name')} AS key FROM (SELECT p_partkey, 'No. of ' || p_name || '_' || p_brand || ' (' || p_type || ')' AS name FROM part)")
+def header_key(spark, sf_dir):
+    name = F.concat(F.lit("No. of "), "p_name", F.lit("_"), "p_brand", F.lit(" ("), "p_type", F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", mapping.header_key(name).alias("key"))
+
+
+def _header_sets(spark, sf_dir):
+    """Files and templates of each nation, with its customers' segments and name endings as headers."""
+    keys = lambda rows, n: rows.select("c_nationkey", F.explode(F.array("c_mktsegment", F.concat(F.lit("x"), (F.col("c_custkey") % n).cast("string")))).alias("k")).groupBy("c_nationkey").agg(F.array_sort(F.collect_set("k")).alias("keys"))
+    c, schema = table(spark, sf_dir, "customer"), (F.col("c_nationkey") % 3).cast("string").alias("schema")
+    return keys(c, 4).select(F.col("c_nationkey").alias("job_id"), schema, "keys"), keys(c.where("c_custkey % 3 > 0"), 5).select((F.col("c_nationkey") + 100).alias("template_id"), schema, "keys")
+
+
+_SCORED = """c AS (SELECT c_nationkey, unnest([c_mktsegment, 'x' || (c_custkey % 4)]) AS k FROM customer), t AS (SELECT c_nationkey, unnest([c_mktsegment, 'x' || (c_custkey % 5)]) AS k FROM customer WHERE c_custkey % 3 > 0),
+j AS (SELECT c_nationkey AS job_id, c_nationkey % 3 AS schema, list(DISTINCT k) AS keys FROM c GROUP BY 1, 2), p AS (SELECT c_nationkey + 100 AS template_id, c_nationkey % 3 AS schema, list(DISTINCT k) AS tkeys FROM t GROUP BY 1, 2),
+x AS (SELECT job_id, template_id, len(list_intersect(keys, tkeys)) / len(list_distinct(list_concat(keys, tkeys))) AS score FROM j JOIN p USING (schema))"""
+
+
+@query(f"WITH {_SCORED} SELECT job_id, template_id, score FROM x")
+def template_match(spark, sf_dir):
+    jobs, templates = _header_sets(spark, sf_dir)
+    return jobs.join(templates.withColumnRenamed("keys", "tkeys"), "schema").select("job_id", "template_id", mapping.jaccard(F.col("keys"), F.col("tkeys")).alias("score"))
+
+
+@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, template_id) AS k FROM x WHERE score >= 0.8) SELECT job_id, template_id, score FROM r WHERE k = 1")
+def template_detect(spark, sf_dir):
+    return mapping.detect_template(*_header_sets(spark, sf_dir))
+
+
+_JOBS = "SELECT o_orderkey AS job_id, o_orderpriority AS schema, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'validated' ELSE 'mapped' END AS status, o_orderkey % 100 AS rows, o_orderdate AS created_at FROM orders"
+
+
+def _jobs(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "validated").otherwise("mapped")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("schema"), status.alias("status"), (F.col("o_orderkey") % 100).alias("rows"), F.col("o_orderdate").alias("created_at"))
+
+
+@query(f"SELECT count(*) AS imports, CAST(sum(rows) AS BIGINT) AS rows, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'validated') AS needs_review, count(DISTINCT schema) AS schemas FROM ({_JOBS})")
+def job_dashboard(spark, sf_dir):
+    return quality.dashboard(_jobs(spark, sf_dir))
+
+
+@query(f"SELECT job_id, schema FROM ({_JOBS}) ORDER BY created_at DESC, job_id DESC LIMIT 20")
+def latest_jobs(spark, sf_dir):
+    return review.latest_first(_jobs(spark, sf_dir), 20).select("job_id", "schema")
+
+
+# ---- catalogs
+@query(f"SELECT job_id, CASE WHEN job_id % 10 = 0 THEN 'moved' ELSE schema END AS schema FROM ({_JOBS})")
+def catalog_put(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir)
+    return catalog.put(jobs, jobs.where("job_id % 10 = 0").withColumn("schema", F.lit("moved")), "job_id").select("job_id", "schema")
+
+
+@query(f"SELECT job_id FROM ({_JOBS}) WHERE status <> 'mapped'")
+def catalog_delete(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir)
+    return catalog.delete(jobs, jobs.where("status = 'mapped'"), "job_id").select("job_id")
+
+
+@query("SELECT c_custkey AS template_id, CAST(row_number() OVER (ORDER BY c_custkey % 50 DESC, c_custkey DESC) AS integer) AS place FROM customer")
+def templates_listed(spark, sf_dir):
+    made = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("template_id"), (F.col("c_custkey") % 50).alias("created_at"))
+    return catalog.listed(made, *catalog.template_order()).select("template_id", "place")
+
+
+@query("WITH f AS (SELECT p_brand AS schema, p_size % 2 = 0 AS builtin, p_size AS created_at, p_partkey AS position FROM part) SELECT schema, position, CAST(row_number() OVER (ORDER BY builtin DESC, created_at, schema, position) AS integer) AS place FROM f")
+def contracts_listed(spark, sf_dir):
+    fields = table(spark, sf_dir, "part").select(F.col("p_brand").alias("schema"), (F.col("p_size") % 2 == 0).alias("builtin"), F.col("p_size").alias("created_at"), F.col("p_partkey").alias("position"))
+    return catalog.listed(fields, *catalog.contract_order()).select("schema", "position", "place")
+
+
+@query("SELECT p_brand AS schema, p_size AS version, p_partkey FROM part WHERE p_size = (SELECT max(q.p_size) FROM part q WHERE q.p_brand = part.p_brand)")
+def contracts_latest(spark, sf_dir):
+    return catalog.latest(table(spark, sf_dir, "part").select(F.col("p_brand").alias("schema"), F.col("p_size").alias("version"), "p_partkey"))
+
+
+@query("SELECT c_custkey AS template_id, 5 + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS use_count FROM customer")
+def template_use_count(spark, sf_dir):
+    templates = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("template_id"), F.lit(5).cast("long").alias("use_count"))
+    return catalog.counted_use(templates, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("template_id")))
+
+
+@query(f"""WITH {DC}, u AS ({_CELLS}), p AS (SELECT "column", count(*) FILTER (trim(v) <> '') AS non_empty_count FROM u GROUP BY 1)
+SELECT "column" AS source, CASE WHEN "column" <> 'raw_name' THEN 'to_' || "column" END AS target, non_empty_count FROM p UNION ALL SELECT 'absent', 'to_absent', NULL""")
+def mapping_view(spark, sf_dir):
+    mapped = spark.createDataFrame([(c, f"to_{c}", c == "raw_name") for c in [*PROFILED, "absent"]], "source string, target string, ignored boolean")
+    return catalog.mapping_view(mapped, profile.profile(dirty_customer(spark, sf_dir), PROFILED)).select("source", "target", "non_empty_count")
+
+
+@query(f"WITH {CHECKED} SELECT CAST(1 AS integer) AS job_id, row_index, code FROM i WHERE field = 'email' UNION ALL SELECT 2, row_index, code FROM i")
+def issues_replaced(spark, sf_dir):
+    """Job 1 has all issues at first, then those of one field; job 2's stay."""
+    path = shared_folder(spark)
+    issues = written(validate.issue_rows(flagship(spark, sf_dir)))
+    for job, these in ((1, issues), (2, issues), (1, issues.where("field = 'email'"))):
+        catalog.replace_issues(these, job, path)
+    return spark.read.parquet(path).select(F.col("job_id").cast("int").alias("job_id"), "row_index", "code")
+
+
+@query(f"WITH {CHECKED} SELECT row_index, row_status FROM st")
+def originals_scanned_again(spark, sf_dir):
+    """Rows as stored at upload, read again and validated."""
+    stored = written(dirty_customer(spark, sf_dir).select("row_index", *MAPPING))
+    return conform(stored, flagship_contract(), MAPPING).select("row_index", "row_status")
+
+
+@query("""SELECT CAST(o_orderkey AS varchar) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(date_trunc('day', o_orderdate) + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS moment, CAST(o_custkey AS varchar) AS whole,
+  CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS flag FROM orders""")
+def typed_cells(spark, sf_dir):
+    """A typed table as text: days, moments, whole floats and booleans."""
+    day = F.date_trunc("day", "o_orderdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), (day + F.expr("interval 90 minutes")).alias("moment"), F.col("o_custkey").cast("double").alias("whole"), (F.col("o_orderstatus") == "F").alias("flag"))
+    return catalog.text_rows(o)
+
+
+@query("SELECT page_id, page_id || '_' || coalesce(nullif(right(regexp_replace(regexp_replace(regexp_extract(trim(url), '[^/]*$'), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', ''), 80), ''), 'file') AS name FROM pages")
+def upload_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", catalog.upload_name(F.col("url"), F.col("page_id").cast("string")).alias("name"))
+
+
+@query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
+def uploads_expired(spark, sf_dir):
+    files = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("modified_at"))
+    return catalog.expired(files, F.lit(files.agg(F.max("modified_at")).first()[0]), 3).select("event_id")
+
+
+@query("SELECT CAST(-1 AS BIGINT) AS row_index, 'c_name,note' AS line UNION ALL SELECT c_custkey, c_name || ',' || CASE c_custkey % 3 WHEN 0 THEN '\"a \"\"b\"\", ' || c_custkey || '\"' WHEN 1 THEN chr(39) || '=x' ELSE '' END FROM customer")
+def export_csv_lines(spark, sf_dir):
+    note = F.expr("case c_custkey % 3 when 0 then 'a \"b\", ' || c_custkey when 1 then '=x' end")
+    return export.csv_lines(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_index"), "c_name", note.alias("note")), ["c_name", "note"])
+
+
+@query("SELECT c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment FROM customer")
+def export_json_array(spark, sf_dir):
+    """Written as one array and read back."""
+    path = shared_folder(spark)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_index"), F.col("c_name").alias("name"), F.expr("case when c_custkey % 2 = 0 then c_mktsegment end").alias("segment"))
+    export.write_json_array(rows, ["name", "segment"], path)
+    return spark.read.schema("name string, segment string").json(path, multiLine=True)
+
+
+@query("SELECT c_custkey AS row_index, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'two, ' || c_mktsegment END AS note FROM customer")
+def csv_roundtrip(spark, sf_dir):
+    """Customers as one marked CSV file, read by the engine's own reader."""
+    path = shared_folder(spark)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_index"), F.col("c_name").alias("name"), F.expr("case when c_custkey % 3 = 0 then 'two, ' || c_mktsegment end").alias("note"))
+    export.write_single_csv(rows.withColumn("row_index", F.dense_rank().over(Window.orderBy("row_index"))), ["name", "note"], path)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    part = of(spark.read.text(path).select("_metadata.file_path").first()[0])
+    part.getFileSystem(spark._jsc.hadoopConfiguration()).rename(part, of(f"{path}/customers.csv"))
+    return read_csv(spark, f"{path}/customers.csv")[0]
+
+
+@query(f"WITH {CHECKED} SELECT row_index, seq FROM i WHERE severity = 'ERROR' AND field = 'email' AND code = 'email_invalid'")
+def issues_filtered(spark, sf_dir):
+    return validate.issue_rows(flagship(spark, sf_dir), severity="ERROR", field="email", code="email_invalid").select("row_index", "seq")
+
+
+@query(f"WITH {CHECKED} SELECT row_index, field, code FROM i UNION ALL SELECT NULL, 'plan', 'required_field_unmapped'")
+def issues_of_all_kinds(spark, sf_dir):
+    contract = make_contract("Customer", [*flagship_contract().fields, {"name": "plan", "required": True}])
+    v = conform(dirty_customer(spark, sf_dir).select("row_index", *MAPPING), contract, MAPPING)
+    return validate.all_issues(v, contract, set(MAPPING.values())).select("row_index", "field", "code")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_returnflag <> 'A' AS neq, o_orderstatus = 'F' AS filled, o_orderstatus <> 'F' AS blank, l_quantity >= 20 AS gte, l_quantity < 20.5 AS lt,
+  CAST(o_orderdate AS date) <= CAST(l_shipdate AS date) AS lte_field, CAST(o_orderdate AS date) > CAST(l_shipdate AS date) AS gt_field FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def val_clauses(spark, sf_dir):
+    c = lambda f, op, v=None: validate.clause({"field": f, "op": op, "value": v}, F.col)
+    lines = _lines(spark, sf_dir).withColumn("maybe", F.when(F.col("o_orderstatus") == "F", "x"))
+    clauses = lambda: {"neq": c("l_returnflag", "neq", "A"), "filled": c("maybe", "not_empty"), "blank": c("maybe", "empty"), "gte": c("quantity", "gte", 20), "lt": c("quantity", "lt", "20.5"), "lte_field": c("ordered", "lte_field", "shipped"), "gt_field": c("ordered", "gt_field", "shipped")}
+    return with_steps(lines, clauses).select("l_orderkey", "l_linenumber", "neq", "filled", "blank", "gte", "lt", "lte_field", "gt_field")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN floor(l_quantity) > 25 THEN 'max' ELSE 'min' END AS code FROM lineitem WHERE floor(l_quantity) > 25 OR floor(l_quantity) < 5")
+def val_range_of_long_numbers(spark, sf_dir):
+    """Quantities followed by 24 digits against bounds of as many."""
+    f = make_contract("x", [{"name": "q", "type": "decimal", "rules": {"min": "5" + "0" * 24, "max": "25" + "0" * 24}}]).fields[0]
+    v = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("0" * 24))
+    codes = F.array(*[F.when(fails, F.lit(code)) for fails, code, _ in validate.rule_checks(f, v)])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
