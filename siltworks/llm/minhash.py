@@ -181,11 +181,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE, bands:
     component but its own (null, kept). Other columns are ignored. An empty table gives an empty one.
     """
     text = docs.select("doc_id", "text")
-    base = stash(text.mapInArrow(_sketch(bands, rows, k), "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>"))
+    base = stash(text.mapInArrow(_sketch(bands, rows, k), "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>").withColumn("k", F.concat_ws(":", "n_shingles", "d0", "d1")).drop("d0", "d1"))
     known = base.where("doc_id is not null and n_shingles > 0")
-    reps = known.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("id"))
+    reps = known.groupBy("k").agg(F.min("doc_id").alias("id"))
+    often = hot_keys(base, "k")
     # the keys of a set: of the row with the smallest id, of which repeated rows have the same
-    sketch = stash(known.join(reps, ["n_shingles", "d0", "d1"], "left_semi").select("n_shingles", "d0", "d1", "doc_id", "keys").join(reps, ["n_shingles", "d0", "d1"]).where("doc_id = id").select("id", "n_shingles", "keys").dropDuplicates(["id", "n_shingles", "keys"]))
+    sketch = stash(known.withColumnRenamed("doc_id", "id").join(reps, ["k", "id"]).select("id", "n_shingles", "keys").dropDuplicates(["id", "n_shingles", "keys"]))
     half = sketch.select("id", "n_shingles", F.posexplode("keys").alias("b", "key"))
     met = half.groupBy("b", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("b", "key")
     both = half.join(met, ["b", "key"]).groupBy("id", "n_shingles").agg(F.collect_set(F.when(F.col("b") < bands, F.struct("b", "key"))).alias("x"), F.collect_set(F.when(F.col("b") >= bands, F.struct("b", "key"))).alias("y"))
@@ -207,9 +208,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE, bands:
     linked = linked.union(rest)
     discard(tables, ties, sets)
 
-    same = known.join(reps, ["n_shingles", "d0", "d1"]).select("doc_id", "id").distinct()
+    same = skewed_join(known.select("doc_id", "k"), reps, "k", often).select("doc_id", "id").distinct()
     # a doc_id on several rows ties its sets together
     repeated = same.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
     label = components(linked.union(repeated))
-    out = base.join(reps, ["n_shingles", "d0", "d1"], "left").join(label, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id"))
+    out = skewed_join(base.select("doc_id", "n_shingles", "k"), reps, "k", often, "left").join(label, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
