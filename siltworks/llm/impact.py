@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import stash
 
 STEP, BLOCK_ROWS, QUERY_BYTES = 4, 4096, 32 << 20
-#: The share of a block that is scored again at most where a proof has stopped a query, and the steps in which segments are taken.
-RESCORE, STEPS = 1 / 16, 24
+#: The share of a block that is scored again at most where a proof has stopped a query, and the shares of all postings after which one is sought.
+RESCORE, CUTS = 1 / 16, np.array([0.2, 0.4, *np.linspace(0.55, 1, 11)])
 
 
 def vectors(rows: DataFrame, scale: int = 1024) -> DataFrame:
@@ -74,20 +74,19 @@ class Block:
         total = int(ends[-1]) if len(order) else 0
         base = float((np.where(q > 0, self.least, self.most) * q).sum())
         slack = 1e-9 * (1 + abs(base) + float(high.sum()))
-        lower, upper, open_ = np.full(n, base), np.full(n, base + slack), np.ones(self.x.shape)
+        lower, open_, width = np.full(n, base), np.ones(self.x.shape), np.abs(q) * (self.step - 1.0)
         # the next segment of each dimension: of those left in the order, the first
         turns = np.argsort(self.dim[order], kind="stable")
         of, first_of = np.unique(self.dim[order][turns], return_index=True)
         own = self.ids == qid
         may, done = ~own, 0
-        for cut in np.searchsorted(ends, np.linspace(0, total, STEPS + 1)[1:]) + 1 if total else ():
+        for cut in np.searchsorted(ends, total * CUTS) + 1 if total else ():
             taken = order[done:cut]
             done = max(done, int(cut))
             size = self.size[taken]
             at = np.repeat(self.start[taken] - np.cumsum(size) + size, size) + np.arange(size.sum())
             rows = self.places[at]
             lower += np.bincount(rows, weights=np.repeat(low[taken], size), minlength=n)
-            upper += np.bincount(rows, weights=np.repeat(high[taken], size), minlength=n)
             open_[rows, np.repeat(self.dim[taken], size)] = 0
             rest = np.zeros(self.x.shape[1])
             upto = np.append(first_of[1:], len(order))
@@ -95,7 +94,8 @@ class Block:
             left = next_ < upto
             rest[of[left]] = high[order[turns[next_[left]]]]
             reach = max(bar, np.partition(lower[~own], -k)[-k] if n - own.sum() > k else -np.inf)
-            may = ~own & (upper + open_ @ rest >= reach)
+            # a posting that was taken is known to the width of its segment, one that wasn't to the next segment's end
+            may = ~own & (lower + slack + width.sum() + open_ @ (rest - width) >= reach)
             if may.sum() <= max(RESCORE * n, 2 * k):
                 break
         rows = np.flatnonzero(may)
