@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
-import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-_OPEN: list[list[tuple[str, Column]]] = []
-_NUMBER = itertools.count()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that's computed once, so that chains of steps stay linear in size.
 
-    Within ``with_steps`` the value is a column of an earlier projection, which is compiled; elsewhere it's bound by a
-    higher-order function, which is interpreted.
-    """
-    if not _OPEN:
-        return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
-    name = f"__step{next(_NUMBER)}"
-    _OPEN[-1].append((name, value))
-    return body(F.col(name))
-
-
-def with_steps(df: DataFrame, build: Callable[[], dict[str, Column]]) -> DataFrame:
-    """``df`` with the columns that ``build`` gives, each ``let`` in them as a column of its own: as many projections as they are deep.
-
-    The columns are sealed: a filter on them isn't pushed below, as it would repeat each step as often as the next one uses it.
+    (A projection for each step was slower: Spark makes them one method, too long for the JVM to compile.)
     """
-    _OPEN.append([])
-    try:
-        out = build()
-    finally:
-        steps = _OPEN.pop()
-    depth: dict[str, int] = {}
-    for name, value in steps:
-        used = set(re.findall(r"__step\d+", str(value)))
-        depth[name] = 1 + max((depth.get(u, 0) for u in used), default=0)
-    for level in range(1, max(depth.values(), default=0) + 1):
-        df = df.withColumns({n: v for n, v in steps if depth[n] == level})
-    return df.withColumns({n: sealed(v) for n, v in out.items()} if depth else out).drop(*depth)
-
-
-def sealed(c: Column) -> Column:
-    """The value, in a form that the optimizer takes for no function of the row."""
-    return F.when(F.spark_partition_id() >= 0, c)
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def text(value: str | None = None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions.exprs import blank_to_null, full_match, is_empty, let, strip, text, with_steps
+from ..functions.exprs import blank_to_null, full_match, is_empty, let, strip, text
 from ..model import FIELD_KINDS, Contract, TransformSpec
 
 EMPTY_OVERRIDES = "row_index bigint, overrides map<string,string>"
@@ -150,7 +150,7 @@ def transform(rows: DataFrame, contract: Contract, mapping: dict[str, str | None
                 structs += [] if is_struct is None else [n]
             return step
 
-        out = with_steps(out, built)
+        out = out.withColumns(built())
         judged = {n: c for n, c in judged.items() if n not in targets}
         step = {}
         for n in structs:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions.exprs import full_match, is_empty, let, lookup, text, with_steps
+from ..functions.exprs import full_match, is_empty, let, lookup, text
 from ..model import ERROR, INFO, WARNING, Contract, FieldSpec
 
 # Severity and message of each type code.
@@ -166,7 +166,7 @@ def validate(rows: DataFrame, contract: Contract, provided: set[str], only: Data
         if f.unique:
             out = with_duplicates(out, rows, f.name)
     known = rows.schema["codes"].dataType.names if "codes" in rows.columns else []
-    out = with_steps(out, lambda: {"issues": _issues(contract, provided, known)})
+    out = out.withColumn("issues", _issues(contract, provided, known))
     out = out.drop("codes", *[f"__dup_{f.name}" for f in contract.fields if f.unique])
     return out.withColumn("row_status", status(F.col("issues")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
-from .functions.exprs import text, with_steps
+from .functions.exprs import text
 from .model import Contract, TransformSpec, make_contract
 from .operators import assemble, catalog, export, mapping, profile, quality, review, validate
 from .plans.conform import conform
@@ -80,7 +80,7 @@ ISO = "CASE WHEN regexp_full_match(raw_date, '\\d{4}-\\d{2}-\\d{2}') THEN try_st
 
 def normalized(spark: SparkSession, sf_dir: str, column: str, fn) -> DataFrame:
     raw = dirty_customer(spark, sf_dir).select("row_index", F.col(column).alias("raw"))
-    return with_steps(raw, lambda: {"r": fn(F.col("raw"))}).select("row_index", "raw", "r.value", "r.warning")
+    return raw.withColumn("r", fn(F.col("raw"))).select("row_index", "raw", "r.value", "r.warning")
 
 
 # ---- flagship
@@ -275,7 +275,7 @@ def norm_decimal_lines(spark, sf_dir):
     """Prices written with a currency sign and groups of thousands, back to plain decimals."""
     p = F.col("l_extendedprice").cast("decimal(12,2)")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("$"), F.format_number(p, 2)).alias("raw"))
-    return with_steps(lines, lambda: {"r": N.decimal(F.col("raw"))}).select("l_orderkey", "l_linenumber", "r.value")
+    return lines.withColumn("r", N.decimal(F.col("raw"))).select("l_orderkey", "l_linenumber", "r.value")
 
 
 @query(f"""WITH {DC}, x AS (SELECT row_index, raw_date AS raw, {ISO} AS t, try_cast(regexp_extract(raw_date, '^(\\d\\d)[/.](\\d\\d)', 1) AS int) AS a, try_cast(regexp_extract(raw_date, '^(\\d\\d)[/.](\\d\\d)', 2) AS int) AS b FROM dc)
@@ -542,8 +542,8 @@ def _lines(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS date) >= CAST(o_orderdate AS date) AS gte, CAST(l_shipdate AS date) < CAST(o_orderdate AS date) AS lt, l_quantity > 30 AS gt, l_quantity <= 12.5 AS lte FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def val_cross_field_compare(spark, sf_dir):
     c = lambda f, op, v: validate.clause({"field": f, "op": op, "value": v}, F.col)
-    clauses = lambda: {"gte": c("shipped", "gte_field", "ordered"), "lt": c("shipped", "lt_field", "ordered"), "gt": c("quantity", "gt", 30), "lte": c("quantity", "lte", "12.5")}
-    return with_steps(_lines(spark, sf_dir), clauses).select("l_orderkey", "l_linenumber", "gte", "lt", "gt", "lte")
+    clauses = {"gte": c("shipped", "gte_field", "ordered"), "lt": c("shipped", "lt_field", "ordered"), "gt": c("quantity", "gt", 30), "lte": c("quantity", "lte", "12.5")}
+    return _lines(spark, sf_dir).withColumns(clauses).select("l_orderkey", "l_linenumber", "gte", "lt", "gt", "lte")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_returnflag NOT IN ('A', 'N')")
@@ -778,8 +778,8 @@ def issues_of_all_kinds(spark, sf_dir):
 def val_clauses(spark, sf_dir):
     c = lambda f, op, v=None: validate.clause({"field": f, "op": op, "value": v}, F.col)
     lines = _lines(spark, sf_dir).withColumn("maybe", F.when(F.col("o_orderstatus") == "F", "x"))
-    clauses = lambda: {"neq": c("l_returnflag", "neq", "A"), "filled": c("maybe", "not_empty"), "blank": c("maybe", "empty"), "gte": c("quantity", "gte", 20), "lt": c("quantity", "lt", "20.5"), "lte_field": c("ordered", "lte_field", "shipped"), "gt_field": c("ordered", "gt_field", "shipped")}
-    return with_steps(lines, clauses).select("l_orderkey", "l_linenumber", "neq", "filled", "blank", "gte", "lt", "lte_field", "gt_field")
+    clauses = {"neq": c("l_returnflag", "neq", "A"), "filled": c("maybe", "not_empty"), "blank": c("maybe", "empty"), "gte": c("quantity", "gte", 20), "lt": c("quantity", "lt", "20.5"), "lte_field": c("ordered", "lte_field", "shipped"), "gt_field": c("ordered", "gt_field", "shipped")}
+    return lines.withColumns(clauses).select("l_orderkey", "l_linenumber", "neq", "filled", "blank", "gte", "lt", "lte_field", "gt_field")
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN floor(l_quantity) > 25 THEN 'max' ELSE 'min' END AS code FROM lineitem WHERE floor(l_quantity) > 25 OR floor(l_quantity) < 5")
