@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.llm import crossparse, minhash, secrets, spbpe, winnow
-from siltworks.llm.common import stash, table, without
+from siltworks.llm.common import stash, table
 from siltworks.llm.queries import held_out
 
 #: SQL can't express cross-parsing, so there's none for the rows.
@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts, and rows with a null doc_id, are in no group and stay.
     """
-    found = stash(minhash.near_duplicates(docs).where("not kept").select("doc_id"))
-    return without(docs, found, "doc_id")
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
