@@ -76,16 +76,6 @@ def skewed_join(many: DataFrame, few: DataFrame, key: str, hot: list, how: str =
     return many.where(~is_hot).join(few.where(~is_hot), key, how).unionByName(many.where(is_hot).join(F.broadcast(few.where(is_hot)), key, how))
 
 
-def without(rows: DataFrame, gone: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
-    """``rows`` less those whose ``key`` is in ``gone`` (one column). A bitmap of fixed size lets nearly all rows that stay pass without a shuffle."""
-    from . import cascade
-
-    gone = gone.select(F.col(gone.columns[0]).alias("__gone")).where("__gone is not null").distinct()
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    may = F.coalesce(cascade.bit(cascade.gathered(gone.select(place("__gone").alias("at")), bits), place(key)), F.lit(False))
-    return rows.where(~may).union(rows.where(may).join(gone, F.col(key) == F.col("__gone"), "left_anti"))
-
-
 class Bitmap:
     """A Bloom filter of fixed size over a column of longs: one hash, 2**BITS bits, whatever the number of values.
 
