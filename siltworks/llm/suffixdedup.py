@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, prefix_hash, skewed_join, slices, span_hash, stash, word_hash
 
-SPAN, GRAM, STEP, BATCH, HOT = 200, 48, 8, 60_000, 10_000
+SPAN, GRAM, STEP, BATCH, HOT = 200, 48, 8, 60_000, 5_000
 #: Longest bytes that are hashed by eight at a time, and the number of hot keys' share of all rows.
 LANES, PARTS = 2048, 500
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
