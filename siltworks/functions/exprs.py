@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,13 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 
 def normalized(value: Column, warning: Column | None = None) -> Column:
     return F.struct(value.cast("string").alias("value"), (text() if warning is None else warning).cast("string").alias("warning"))
+
+
+def sealed(rows: DataFrame, *apart: str) -> DataFrame:
+    """The same rows, with all columns but those ``apart`` as the fields of one generated struct.
+
+    A filter on a generated column stays above it. Else the optimizer puts it below the projections that made the column and
+    repeats their whole chain of expressions in it, once for each use.
+    """
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in apart]
+    return rows.select(*apart, F.explode_outer(F.array(F.struct(*rest))).alias("__row")).select(*apart, "__row.*")

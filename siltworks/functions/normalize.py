@@ -3,7 +3,7 @@
 A null gives null without a warning. A value that isn't understood is kept, with a warning code.
 Deviations that are intended: free-form dates are a closed set of formats; two-digit years are 1970 to 2069;
 a leading decimal point keeps its value; ISO date-times are never read day-first; phones are checked for
-the regions in ``refdata`` only; e-mail syntax is a stated pattern; unknown countries aren't guessed.
+the regions in ``refdata`` only; e-mail syntax is a stated pattern; of a country's subdivisions nothing is known.
 """
 
 from __future__ import annotations
@@ -56,10 +56,14 @@ def email(c: Column) -> Column:
     return F.when(c.isNull(), normalized(c)).otherwise(let(strip(c), check))
 
 
-def phone(c: Column, region: Column | None = None) -> Column:
-    """E.164 of a number valid in its region; ``region`` is a code or a country's name."""
-    given = text() if region is None else strip(region)
-    code = F.when(F.length(given) == 2, F.upper(given)).when(F.length(given) > 0, country(given)["value"])
+def phone(c: Column, region: Column | str | None = None, code: Column | None = None) -> Column:
+    """E.164 of a number valid in its region; ``region`` is a code or a country's name, and ``code`` what ``dimension.country_codes`` found for it."""
+    if isinstance(region, str):
+        given = region.strip()
+        code = text(given.upper() if len(given) == 2 else refdata.country_keys().get(refdata.name_key(given)))
+    else:
+        given = text() if region is None else strip(region)
+        code = F.when(F.length(given) == 2, F.upper(given)).when(F.length(given) > 0, country(given)["value"] if code is None else code)
 
     def parse(x: Column) -> Column:
         raw, digits, where = x["raw"], F.regexp_replace(x["raw"], r"[^0-9]", ""), x["region"]
@@ -86,17 +90,26 @@ def phone_region(c: Column) -> Column:
     return F.when(c.rlike(r"^\+1[2-9]\d{2}[2-9]\d{6}$"), american).otherwise(out)
 
 
-def country(c: Column) -> Column:
+def country(c: Column, code: Column | None = None) -> Column:
+    """``code``: what ``dimension.country_codes`` found for the value. Without it, in an expression alone, codes, names and aliases are looked up, and no parts of names."""
+
+    def answer(v: Column) -> Column:
+        return normalized(F.coalesce(v, strip(c)), F.when(v.isNull(), F.lit("country_unknown")))
+
+    if code is not None:
+        return F.when(c.isNull(), normalized(c)).otherwise(answer(code))
     key = F.regexp_replace(F.lower(strip(c)), r"^[. ]+|[. ]+$", "")
     found = F.coalesce(lookup(refdata.countries(), key), lookup(refdata.countries(), F.lower(strip(c))))
-    return F.when(c.isNull(), normalized(c)).otherwise(let(found, lambda v: normalized(F.coalesce(v, strip(c)), F.when(v.isNull(), F.lit("country_unknown")))))
+    return F.when(c.isNull(), normalized(c)).otherwise(let(found, answer))
+
 
+def currency(c: Column, code: Column | None = None) -> Column:
+    """``code``: what ``dimension.currency_codes`` found for the value; without it the lookup is part of the expression."""
 
-def currency(c: Column) -> Column:
     def answer(v: Column) -> Column:
         return normalized(F.coalesce(blank_to_null(v), strip(c)), F.when(v.isNull(), F.lit("currency_unknown")).when(v == "", F.lit("currency_ambiguous")))
 
-    return F.when(c.isNull(), normalized(c)).otherwise(let(lookup(refdata.currencies(), F.lower(strip(c))), answer))
+    return F.when(c.isNull(), normalized(c)).otherwise(answer(code) if code is not None else let(lookup(refdata.currencies(), F.lower(strip(c))), answer))
 
 
 def boolean(c: Column) -> Column:

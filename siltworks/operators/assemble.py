@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dimension
 from ..functions import normalize as N
 from ..functions.exprs import blank_to_null, full_match, is_empty, let, strip, text
 from ..model import FIELD_KINDS, Contract, TransformSpec
@@ -80,8 +81,8 @@ def infer_date_order(rows: DataFrame, mapping: dict[str, str | None], specs: lis
     return [TransformSpec(s.kind, s.target, {**s.params, "dayfirst": order[open_[s.target]], "inferred": True}, s.enabled, s.suggested, s.label) if s.target in open_ and s.kind in ("date", "datetime") and open_[s.target] in order else s for s in specs]
 
 
-def apply(spec: TransformSpec, value: Column, record) -> tuple[Column, Column | None]:
-    """One transformation of one field: (new value, ambiguity code or None)."""
+def apply(spec: TransformSpec, value: Column, record, code: Column | None = None) -> tuple[Column, Column | None]:
+    """One transformation of one field: (new value, ambiguity code or None). ``code``: what a dimension has for the value, or for a phone's country."""
     p, kind = spec.params, spec.kind
     if kind == "default":
         return N.default_value(value, p.get("value")), None
@@ -94,17 +95,37 @@ def apply(spec: TransformSpec, value: Column, record) -> tuple[Column, Column |
     if kind == "replace":
         return N.replace_values(value, p.get("mapping", {})), None
     if kind == "phone":
-        region = text(p.get("region"))
-        if p.get("country_field"):
-            region = F.coalesce(blank_to_null(record(p["country_field"])), region)
-        got = N.phone(value, region)
+        got = N.phone(value, phone_region(p, record), code) if p.get("country_field") else N.phone(value, p.get("region"))
     elif kind in ("date", "datetime"):
         got = N.BY_TYPE[kind](value, p.get("dayfirst"))
+    elif kind in ("country", "currency"):
+        got = N.BY_TYPE[kind](value, code)
     else:
         got = N.BY_TYPE[kind](value)
     return got, F.lit("struct")
 
 
+def phone_region(params: dict, record) -> Column:
+    """What a phone's region is told by: the country of its row, else the one given for all."""
+    return F.coalesce(blank_to_null(record(params["country_field"])), text(params.get("region")))
+
+
+def looked_up(rows: DataFrame, spec: TransformSpec, targets: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with a code joined from a dimension for each target of a country, currency or phone transformation, and those columns."""
+    codes: dict[str, Column] = {}
+    for n in targets:
+        if spec.kind == "country":
+            rows = dimension.country_codes(rows, F.col(n), f"__met_{n}")
+        elif spec.kind == "currency":
+            rows = dimension.currency_codes(rows, F.col(n), f"__met_{n}")
+        elif spec.kind == "phone" and spec.params.get("country_field"):
+            rows = dimension.country_codes(rows, phone_region(spec.params, F.col), f"__met_{n}")
+        else:
+            continue
+        codes[n] = F.col(f"__met_{n}")
+    return rows, codes
+
+
 def transform(rows: DataFrame, contract: Contract, mapping: dict[str, str | None], specs: list[TransformSpec], defaults: dict[str, str] | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """rows (row_index, source columns) -> row_index, fields, original, notes, codes.
 
@@ -141,11 +162,12 @@ def transform(rows: DataFrame, contract: Contract, mapping: dict[str, str | None
     for s in (s for s in specs if s.kind in FIELD_KINDS):
         targets = [n for n in ([s.target] if s.target else names) if n in names]
         structs: list[str] = []
+        out, codes = looked_up(out, s, targets)
 
-        def built(s=s, targets=targets, structs=structs) -> dict[str, Column]:
+        def built(s=s, targets=targets, structs=structs, codes=codes) -> dict[str, Column]:
             step = {}
             for n in targets:
-                got, is_struct = apply(s, F.col(n), F.col)
+                got, is_struct = apply(s, F.col(n), F.col, codes.get(n))
                 step[n if is_struct is None else f"__{n}"] = got
                 structs += [] if is_struct is None else [n]
             return step
@@ -162,7 +184,7 @@ def transform(rows: DataFrame, contract: Contract, mapping: dict[str, str | None
                 step[f"__code_{n}"] = F.when(~F.coalesce(F.col(f"__{n}.warning").endswith("_ambiguous"), F.lit(False)), F.col(f"__{n}.warning"))
                 judged[n] = f"__code_{n}"
         if structs:
-            out = out.withColumns(step).drop(*[f"__{n}" for n in structs])
+            out = out.withColumns(step).drop(*[f"__{n}" for n in structs], *[f"__met_{n}" for n in codes])
     entries = [F.struct(F.lit(n).alias("key"), F.col(c).alias("value")) for n, c in noted.items()]
     notes = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())) if entries else F.expr("map_from_entries(cast(array() as array<struct<key:string,value:string>>))")
     codes = F.struct(*[F.col(c).cast("string").alias(n) for n, c in judged.items()]) if judged else F.lit(None).cast("struct<>")

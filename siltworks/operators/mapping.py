@@ -7,12 +7,10 @@ The greedy assignment is per file and bounded by its headers and the contract's
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..errors import MappingError
 from ..functions.exprs import strip
@@ -68,18 +66,6 @@ def by_key(sources: DataFrame, names: DataFrame, memory: DataFrame | None = None
     return hits.withColumn("k", F.row_number().over(best)).where("k = 1").select("source", "target", F.lit(HIGH).alias("confidence"), "method")
 
 
-@F.pandas_udf(DoubleType())
-def _score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([similarity.best_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def _weighted(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([similarity.weighted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def fuzzy_scores(sources: DataFrame, names: DataFrame) -> DataFrame:
     """(source, at, target, ordinal, multiple, score): the best name's score, 6 more for a type that suits (100 at most), 15 less for one that doesn't."""
     spaced = lambda c: F.regexp_replace(c, "_", " ")
@@ -87,7 +73,7 @@ def fuzzy_scores(sources: DataFrame, names: DataFrame) -> DataFrame:
     held = names.select("target", "ordinal", "type", "multiple", "name").collect()
     each = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("target", "ordinal", "type", "multiple", "name")]) for r in held])
     pairs = sources.select("source", F.col("ordinal").alias("at"), "detected", F.explode(each).alias("to")).select("source", "at", "detected", "to.*")
-    scored = pairs.withColumn("s", _score(spaced(F.col("source")), spaced(F.col("name")))).groupBy("source", "at", "detected", "target", "ordinal", "type", "multiple").agg(F.max("s").alias("s"))
+    scored = pairs.withColumn("s", similarity.best_score(spaced(F.col("source")), spaced(F.col("name")))).groupBy("source", "at", "detected", "target", "ordinal", "type", "multiple").agg(F.max("s").alias("s"))
     suits, known = F.lit(False), F.col("detected").isin(*COMPATIBLE)
     for detected, types in COMPATIBLE.items():
         suits = suits | ((F.col("detected") == detected) & F.col("type").isin(*types))
@@ -95,13 +81,6 @@ def fuzzy_scores(sources: DataFrame, names: DataFrame) -> DataFrame:
     return scored.select("source", "at", "target", "ordinal", "multiple", "type", "detected", adjusted.alias("score"))
 
 
-def name_similarity(values: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """values (value) distinct, names (name, alpha2) of fixed size -> (value, alpha2) of the best name that scores ``least`` or more; case doesn't count."""
-    pairs = values.withColumn("one", F.lit(1)).join(F.broadcast(names.withColumn("one", F.lit(1))), "one")
-    best = pairs.withColumn("s", _weighted(F.lower("value"), F.lower("name"))).where(F.col("s") >= least)
-    return best.groupBy("value").agg(F.max_by("alpha2", F.struct("s", "name")).alias("alpha2"))
-
-
 Provider = Callable[[list[dict], list[dict]], dict[str, tuple[str, str]]]
 
 

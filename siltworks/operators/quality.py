@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import refdata
 from ..functions import normalize as N
+from ..functions.dimension import country_names
 from ..functions.exprs import let, text
-from .mapping import name_similarity
+from ..sources.tables import written
+from .similarity import nearest_names
 
 
 def summary(validated: DataFrame) -> DataFrame:
@@ -33,11 +34,6 @@ def top_issues(issues: DataFrame, limit: int = 8) -> DataFrame:
     return issues.groupBy("code", "severity", "field").agg(F.count("*").alias("n"), first.alias("first")).orderBy(F.desc("n"), "first").limit(limit).drop("first")
 
 
-def country_names(spark: SparkSession) -> DataFrame:
-    """(name, code) of every country's name and aliases; codes aren't names, as they're near to each other."""
-    return spark.createDataFrame(sorted(refdata.country_names().items()), "name string, code string")
-
-
 def fix_for(code: Column, value: Column) -> Column:
     """What a bulk fix would put in place of a value, or null."""
     mail = F.regexp_replace(value, r"\s+", "")
@@ -51,13 +47,14 @@ def bulk_fixes(validated: DataFrame, fields: list[str], countries: DataFrame | N
     ``countries`` (name, code): unknown countries get the nearest name's code (a score of 80 or more), compared once a distinct value;
     all names and aliases by default.
     """
+    validated = written(validated.select(*fields, "issues"))  # it's read three times
     record = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])
     bad = validated.select(record.alias("m"), F.explode("issues").alias("i")).select(F.col("i.field").alias("field"), F.col("i.code").alias("code"), F.element_at("m", F.col("i.field")).alias("value")).where("value is not null")
     counted = bad.groupBy("field", "code", "value").agg(F.count("*").alias("n"))
     top = counted.withColumn("k", F.row_number().over(Window.partitionBy("field", "code").orderBy(F.desc("n"), "value"))).where(F.col("k") <= per_code).drop("k")
     proposed = top.withColumn("fixed", fix_for(F.col("code"), F.col("value")))
     countries = country_names(validated.sparkSession) if countries is None else countries
-    near = name_similarity(top.where("code = 'country_unknown' and length(value) >= 3").select("value").distinct(), countries.select("name", F.col("code").alias("alpha2")), 80).withColumnRenamed("alpha2", "near")
+    near = nearest_names(top.where("code = 'country_unknown' and length(value) >= 3").select("value").distinct(), countries, 80).withColumnRenamed("code", "near")
     proposed = proposed.join(near, "value", "left").withColumn("fixed", F.coalesce("fixed", F.when(F.col("code") == "country_unknown", F.col("near")))).drop("near")
     cells = validated.select(F.explode(record).alias("field", "value")).where("value is not null")
     spaces = cells.where(~F.col("value").eqNullSafe(N.trim(F.col("value")))).groupBy("field").agg(F.count("*").alias("n")).select("field", F.lit("trim").alias("code"), text().alias("value"), text().alias("fixed"), "n")

@@ -12,8 +12,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dimension
 from ..functions import normalize as N
-from ..functions.exprs import full_match, is_empty, let, lookup, text
+from ..functions.exprs import full_match, is_empty, let, lookup, sealed, text
 from ..model import ERROR, INFO, WARNING, Contract, FieldSpec
 
 # Severity and message of each type code.
@@ -43,8 +44,8 @@ def issue(seq: int, field: str | None, severity, code, message, original: Column
     return F.struct(F.lit(seq).cast("int").alias("seq"), F.lit(field).cast("string").alias("field"), as_col(severity).alias("severity"), as_col(code).alias("code"), as_col(message).alias("message"), original.cast("string").alias("original_value"))
 
 
-def type_code(kind: str, value: Column) -> Column:
-    """The code of what's wrong with a value of a type, or null; ambiguities were told before, and a country must be its code."""
+def type_code(kind: str, value: Column, found: Column | None = None) -> Column:
+    """The code of what's wrong with a value of a type, or null; ambiguities were told before, and a country must be its code. ``found``: what a country's or currency's dimension has for it."""
     if kind not in N.BY_TYPE:
         return text()
 
@@ -52,7 +53,7 @@ def type_code(kind: str, value: Column) -> Column:
         code = F.when(~F.coalesce(r["warning"].endswith("_ambiguous"), F.lit(False)), r["warning"])
         return F.when(r["warning"].isNull() & (value != r["value"]), F.lit("country_unknown")).otherwise(code) if kind == "country" else code
 
-    return let(N.BY_TYPE[kind](value), judge)
+    return let(N.BY_TYPE[kind](value) if found is None else N.BY_TYPE[kind](value, found), judge)
 
 
 def _by_code(code: Column, i: int) -> Column:
@@ -166,9 +167,12 @@ def validate(rows: DataFrame, contract: Contract, provided: set[str], only: Data
         if f.unique:
             out = with_duplicates(out, rows, f.name)
     known = rows.schema["codes"].dataType.names if "codes" in rows.columns else []
+    met = [f for f in contract.fields if f.type in ("country", "currency") and f.name not in known]
+    for f in met:
+        out = (dimension.country_codes if f.type == "country" else dimension.currency_codes)(out, F.col(f.name), f"__met_{f.name}")
     out = out.withColumn("issues", _issues(contract, provided, known))
-    out = out.drop("codes", *[f"__dup_{f.name}" for f in contract.fields if f.unique])
-    return out.withColumn("row_status", status(F.col("issues")))
+    out = out.drop("codes", *[f"__dup_{f.name}" for f in contract.fields if f.unique], *[f"__met_{f.name}" for f in met])
+    return sealed(out, "row_index").withColumn("row_status", status(F.col("issues")))
 
 
 def with_duplicates(out: DataFrame, rows: DataFrame, field: str, most: int = 500, parts: int = 997) -> DataFrame:
@@ -205,7 +209,7 @@ def _issues(contract: Contract, provided: set[str], known: list[str]) -> Column:
                 rules = [F.when(fails, issue(seq + 3 + k, f.name, ERROR, c, m, original)) for k, (fails, c, m) in enumerate(checks)]
                 return F.when(code.isNotNull(), F.array(bad)).otherwise(F.array(*rules) if rules else F.expr(NO_ISSUES))
 
-            lists.append(F.when(~empty, let(F.col("codes")[f.name] if f.name in known else type_code(f.type, v), of_type)))
+            lists.append(F.when(~empty, let(F.col("codes")[f.name] if f.name in known else type_code(f.type, v, F.col(f"__met_{f.name}") if f.type in ("country", "currency") else None), of_type)))
         else:
             parts += [F.when(~empty & fails, issue(seq + 3 + k, f.name, ERROR, c, m, original)) for k, (fails, c, m) in enumerate(checks)]
         seq += 12

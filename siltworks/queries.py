@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
+from .functions.dimension import country_names
 from .functions.exprs import text
 from .model import Contract, TransformSpec, make_contract
-from .operators import assemble, catalog, export, mapping, profile, quality, review, validate
+from .operators import assemble, catalog, export, mapping, profile, quality, review, similarity, validate
 from .plans.conform import conform
 from .sources.delimited import read_csv
 from .sources.tables import shared_folder, written
@@ -480,105 +481,120 @@ def memory_upsert(spark, sf_dir):
     return mapping.remember(memory, spark.createDataFrame([("s", "Mail", "email"), ("s", "Ref", "customer_ref"), ("s", "Tel", "phone"), ("s", "No", None)], "schema string, source string, target string"))
 
 
-@query()
-def country_suggest(spark, sf_dir):
-    names = quality.country_names(spark).withColumnRenamed("code", "alpha2")
-    return mapping.name_similarity(dirty_customer(spark, sf_dir).where("length(raw_country) >= 3").select(F.col("raw_country").alias("value")).distinct(), names, 80)
-
-
-@query("SELECT c_custkey, regexp_replace(c_name, '[0-9]', '9', 'g') AS name, CASE WHEN length(c_mktsegment) > 12 THEN c_mktsegment[:2] || '***' ELSE c_mktsegment END AS segment, 'u***@e***.com' AS mail FROM customer")
-def mask_samples(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", N.mask(F.col("c_name")).alias("name"), N.mask(F.col("c_mktsegment")).alias("segment"), N.mask(F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.com"))).alias("mail"))
-
+def _misspelt(named):
+    """named (name, k) -> value: the names with the character at k left out, those of each third k with their first word last."""
+    at = F.expr("cast(k % length(name) as int)")
+    cut = named.select("k", F.concat(F.substring("name", F.lit(1), at), F.substring("name", at + 2, F.length("name"))).alias("v"))
+    turned = F.when((F.col("k") % 3 == 0) & F.contains("v", F.lit(" ")), F.concat(F.regexp_replace("v", "^[^ ]* +", ""), F.lit(" "), F.regexp_extract("v", "^[^ ]*", 0))).otherwise(F.col("v"))
+    return cut.select(turned.alias("value")).where("length(value) >= 3").distinct()
 
-# ---- predicates
-def _fails(spark, sf_dir, name, key, column, spec):
-    f = make_contract("x", [spec]).fields[0]
-    checks = validate.rule_checks(f, F.col(column).cast("string"))
-    codes = F.array(*[F.when(fails, F.lit(code)) for fails, code, _ in checks])
-    return table(spark, sf_dir, name).select(*key, F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
-
-
-@query("SELECT p_partkey, code FROM (SELECT p_partkey, unnest([CASE WHEN length(p_type) < 18 THEN 'min_length' END, CASE WHEN length(p_type) > 20 THEN 'max_length' END]) AS code FROM part) WHERE code IS NOT NULL")
-def val_length(spark, sf_dir):
-    return _fails(spark, sf_dir, "part", ["p_partkey"], "p_type", {"name": "t", "rules": {"min_length": 18, "max_length": 20}})
 
+@query()
+def country_suggest(spark, sf_dir):
+    """Each customer's country, by key, misspelt, against the names of all. The JVM has those and SQL hasn't; ``name_nearest`` is the same search with SQL."""
+    names = country_names(spark)
+    every = names.agg(F.array_sort(F.collect_list("name")).alias("every"))  # of fixed size
+    named = table(spark, sf_dir, "customer").join(F.broadcast(every)).select(F.expr("every[cast(c_custkey % size(every) as int)]").alias("name"), F.col("c_custkey").alias("k"))
+    return similarity.nearest_names(_misspelt(named), names, 80)
 
-@query("SELECT p_partkey, 'regex' AS code FROM part WHERE NOT regexp_full_match(p_brand, 'Brand#[1-3]\\d')")
-def val_regex(spark, sf_dir):
-    return _fails(spark, sf_dir, "part", ["p_partkey"], "p_brand", {"name": "b", "rules": {"regex": r"Brand#[1-3]\d"}})
 
+# ---- twins of the similarity scores in SQL: all pairs, by the recurrence on bits
+def _lcs(a: str, b: str) -> str:
+    full = f"((CAST(1 AS BIGINT) << length({a})) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda c: CAST(coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)), 0) AS BIGINT))"
+    return f"(length({a}) - bit_count(list_reduce(list_concat([{full}], {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
 
-@query("SELECT c_custkey, 'enum' AS code FROM customer WHERE lower(c_mktsegment) NOT IN ('building', 'machinery')")
-def val_enum(spark, sf_dir):
-    return _fails(spark, sf_dir, "customer", ["c_custkey"], "c_mktsegment", {"name": "s", "type": "enum", "rules": {"enum": ["Building", "MACHINERY"]}})
 
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 200.0 * {_lcs(a, b)} / (length({a}) + length({b})) END"
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'min' ELSE 'max' END AS code FROM lineitem WHERE l_quantity < 10 OR l_quantity > 45")
-def val_range(spark, sf_dir):
-    return _fails(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_quantity", {"name": "q", "type": "decimal", "rules": {"min": 10, "max": "45"}})
 
+def _partial(short: str, long: str) -> str:
+    part = f"{long}[greatest(w, 0) + 1:w + length({short})]"
+    return f"list_max(list_transform(range(1 - length({short}), length({long})), lambda w: {_ratio(short, part)}))"
 
-@query("SELECT o_orderkey, CASE WHEN o_orderdate < date '1994-01-01' THEN 'min_date' ELSE 'max_date' END AS code FROM orders WHERE CAST(o_orderdate AS date) < date '1994-01-01' OR CAST(o_orderdate AS date) > date '1996-12-31'")
-def val_date_range(spark, sf_dir):
-    return _fails(spark, sf_dir, "orders", ["o_orderkey"], "o_orderdate", {"name": "d", "type": "date", "rules": {"min_date": "1994-01-01", "max_date": "1996-12-31"}})
 
+_ORDERED = "array_to_string(list_sort(list_filter(string_split(lower({0}), ' '), lambda w: w <> '')), ' ')"
+_WORDSET = "list_distinct(list_filter(string_split(lower({0}), ' '), lambda w: w <> ''))"
+_AS_TEXT = "array_to_string(list_sort({0}), ' ')"
+#: Over v (value) and d (name, code): the best name of 80 or more. Where lengths differ by half or more, windows count.
+NEAREST = f"""vv AS MATERIALIZED (SELECT value, lower(value) AS a, {_ORDERED.format("value")} AS sa, {_WORDSET.format("value")} AS wa FROM v),
+dd AS MATERIALIZED (SELECT name, code, lower(name) AS b, {_ORDERED.format("name")} AS sb, {_WORDSET.format("name")} AS wb FROM d),
+pairs AS MATERIALIZED (SELECT value, name, code, a, b, sa, sb, greatest(length(a), length(b)) / least(length(a), length(b)) AS longer, {_AS_TEXT.format("list_filter(wa, lambda w: list_contains(wb, w))")} AS same,
+  {_AS_TEXT.format("list_filter(wa, lambda w: NOT list_contains(wb, w))")} AS xa, {_AS_TEXT.format("list_filter(wb, lambda w: NOT list_contains(wa, w))")} AS xb,
+  {_AS_TEXT.format("wa")} AS ta, {_AS_TEXT.format("wb")} AS tb FROM vv, dd),
+more AS MATERIALIZED (SELECT *, same || ' ' || xa AS ya, same || ' ' || xb AS yb, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS p, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS q,
+  CASE WHEN length(sa) <= length(sb) THEN sa ELSE sb END AS sp, CASE WHEN length(sa) <= length(sb) THEN sb ELSE sa END AS sq, CASE WHEN length(ta) <= length(tb) THEN ta ELSE tb END AS tp, CASE WHEN length(ta) <= length(tb) THEN tb ELSE ta END AS tq FROM pairs),
+scored AS MATERIALIZED (SELECT value, name, code, {_ratio("a", "b")} AS plain, longer, CASE WHEN longer >= 1.5 THEN 0.0 ELSE {_ratio("sa", "sb")} END AS ordered,
+  CASE WHEN same <> '' AND (xa = '' OR xb = '') THEN 100.0 WHEN same = '' THEN {_ratio("ta", "tb")} ELSE greatest({_ratio("ya", "yb")}, {_ratio("same", "ya")}, {_ratio("same", "yb")}) END AS sets,
+  CASE WHEN longer >= 1.5 AND longer < 8 THEN greatest(0.9 * {_partial("p", "q")}, 0.855 * {_partial("sp", "sq")}, 0.855 * CASE WHEN same <> '' THEN 100.0 ELSE {_partial("tp", "tq")} END) ELSE 0.0 END AS windows FROM more),
+nearest AS (SELECT value, code FROM (SELECT value, code, row_number() OVER (PARTITION BY value ORDER BY s DESC, name DESC) AS k FROM (SELECT *, round(greatest(plain, CASE WHEN longer < 1.5 THEN 0.95 * greatest(ordered, sets) ELSE windows END), 9) AS s FROM scored) WHERE s >= 80) WHERE k = 1)"""
+_MISSPELT = """m AS (SELECT p_name AS name, p_partkey AS k FROM part), cut AS (SELECT k, substr(name, 1, CAST(k % length(name) AS INTEGER)) || substr(name, CAST(k % length(name) AS INTEGER) + 2) AS v FROM m),
+v AS (SELECT DISTINCT value FROM (SELECT CASE WHEN k % 3 = 0 AND contains(v, ' ') THEN regexp_replace(v, '^[^ ]* +', '') || ' ' || regexp_extract(v, '^[^ ]*') ELSE v END AS value FROM cut) WHERE length(value) >= 3),
+d AS (SELECT p_name AS name, 'name' AS code FROM part UNION SELECT p_type, 'type' FROM part)"""
 
-@query(f"WITH {DC} SELECT raw_id AS value FROM dc GROUP BY 1 HAVING count(*) > 1")
-def val_unique(spark, sf_dir):
-    return validate.duplicates(dirty_customer(spark, sf_dir), "raw_id").select(F.col("__v_raw_id").alias("value"))
 
+@query(f"WITH {_MISSPELT}, {NEAREST} SELECT value, code FROM nearest")
+def name_nearest(spark, sf_dir):
+    """Misspelt names of parts against all names and types of parts; the code tells which is nearest."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("name"), F.lit("name").alias("code")).union(part.select("p_type", F.lit("type"))).distinct()
+    return similarity.nearest_names(_misspelt(part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"))), names, 80)
 
-@query(f"WITH {DC} SELECT row_index FROM dc WHERE coalesce(raw_name, '') = ''")
-def val_required(spark, sf_dir):
-    return dirty_customer(spark, sf_dir).where(validate.is_empty(F.col("raw_name"))).select("row_index")
 
+_FIELDS_LEFT = f"""{DC}, e AS (SELECT raw_email, {MAIL.format("raw_email")} AS email FROM dc), f AS (SELECT 'email' AS field, 'email_invalid' AS code, email AS value, replace(email, ' ', '') AS fixed, count(*) AS n FROM e WHERE NOT {EMAIL_OK.format("email")} GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS k FROM f), all_ AS (SELECT field, code, value, fixed, n FROM k WHERE k <= 5 AND value <> fixed
+  UNION ALL SELECT 'country', 'country_unknown', raw_country, 'IL', count(*) FROM dc WHERE raw_country = 'Isreal' GROUP BY 1, 2, 3, 4)"""
 
-def _lines(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), "o_orderstatus")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"), F.col("l_quantity").cast("decimal(12,2)").cast("string").alias("quantity"), "l_returnflag").join(o, "l_orderkey")
 
+@query(f"WITH {_FIELDS_LEFT} SELECT field, code, value, fixed, n FROM all_ ORDER BY n DESC, field, code, value LIMIT 8")
+def bulk_fix_suggestions(spark, sf_dir):
+    """Mails with a space in them, and the one misspelt country of the recipe, whose nearest of all names is Israel."""
+    contract = make_contract("x", [{"name": "email", "type": "email"}, {"name": "country", "type": "country"}])
+    mapped = {"raw_email": "email", "raw_country": "country"}
+    v = conform(dirty_customer(spark, sf_dir).select("row_index", *mapped), contract, mapped)
+    return quality.bulk_fixes(v, contract.names)
 
-@query("SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS date) >= CAST(o_orderdate AS date) AS gte, CAST(l_shipdate AS date) < CAST(o_orderdate AS date) AS lt, l_quantity > 30 AS gt, l_quantity <= 12.5 AS lte FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def val_cross_field_compare(spark, sf_dir):
-    c = lambda f, op, v: validate.clause({"field": f, "op": op, "value": v}, F.col)
-    clauses = {"gte": c("shipped", "gte_field", "ordered"), "lt": c("shipped", "lt_field", "ordered"), "gt": c("quantity", "gt", 30), "lte": c("quantity", "lte", "12.5")}
-    return _lines(spark, sf_dir).withColumns(clauses).select("l_orderkey", "l_linenumber", "gte", "lt", "gt", "lte")
 
+# ---- a contract with reference names, phones and dates
+PLACES = {"raw_id": "id", "raw_country": "country", "raw_ccy": "currency", "raw_phone": "phone", "raw_date": "since"}
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_returnflag NOT IN ('A', 'N')")
-def val_cross_field_when_then(spark, sf_dir):
-    when, then = {"field": "o_orderstatus", "op": "eq", "value": "F"}, {"field": "l_returnflag", "op": "in", "value": ["A", "N"]}
-    return _lines(spark, sf_dir).where(validate.clause(when, F.col) & ~validate.clause(then, F.col)).select("l_orderkey", "l_linenumber")
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phones are of their row's country."""
+    contract = make_contract("Places", [{"name": "id", "unique": True}, {"name": "country", "type": "country"}, {"name": "currency", "type": "currency"}, {"name": "phone", "type": "phone"}, {"name": "since", "type": "date"}])
+    specs = [*(TransformSpec(k, None) for k in ("trim", "null_normalize")), TransformSpec("country", "country"), TransformSpec("currency", "currency"), TransformSpec("phone", "phone", {"country_field": "country"}), TransformSpec("date", "since", {"dayfirst": True})]
+    return conform(dirty_customer(spark, sf_dir).select("row_index", *PLACES), contract, PLACES, specs)
 
-# ---- sinks, guards, dashboards
-@query("SELECT k, CASE WHEN k % 4 IN (0, 2) THEN '''' || v ELSE v END AS v FROM (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '=' || c_name WHEN 1 THEN '-' || c_custkey WHEN 2 THEN '@x' ELSE '+972' || lpad(cast(c_custkey AS varchar), 9, '5') END AS v FROM customer)")
-def export_guard(spark, sf_dir):
-    k = F.col("c_custkey").cast("string")
-    v = F.expr("case c_custkey % 4 when 0 then '=' || c_name when 1 then '-' || c_custkey when 2 then '@x' else '+972' || lpad(cast(c_custkey as string), 9, '5') end")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), N.guard(v).alias("v")).where(k.isNotNull())
 
+_CCY = "CASE raw_ccy WHEN 'usd' THEN 'USD' WHEN 'euro' THEN 'EUR' WHEN '₪' THEN 'ILS' WHEN 'GBP' THEN 'GBP' ELSE raw_ccy END"
+_COUNTRY = "CASE WHEN raw_country IN ('Israel', 'IL', 'ISR') THEN 'IL' WHEN raw_country = 'UK' THEN 'GB' WHEN raw_country = 'Deutschland' THEN 'DE' WHEN raw_country = 'USA' THEN 'US' ELSE nullif(raw_country, '') END"
+_TEL = r"""CASE WHEN raw_phone LIKE '%ABC' THEN raw_phone WHEN raw_phone LIKE '+%' THEN raw_phone WHEN raw_phone LIKE '052-%' AND country IN ('IL', 'DE') THEN CASE country WHEN 'IL' THEN '+972' ELSE '+49' END || regexp_replace(substr(raw_phone, 2), '\D', '', 'g')
+  WHEN raw_phone LIKE '(212)%' AND country IN ('US', 'DE', 'GB') THEN CASE country WHEN 'US' THEN '+1' WHEN 'DE' THEN '+49' ELSE '+44' END || regexp_replace(raw_phone, '\D', '', 'g') ELSE raw_phone END"""
+_PLACED = f"""{DC}, c AS (SELECT *, {_COUNTRY} AS country, {_CCY} AS currency FROM dc), t AS (SELECT *, {_TEL} AS phone, {ISO} AS since FROM c),
+i AS (SELECT row_index, 1 AS seq, 'id' AS field, 'duplicate' AS code FROM t WHERE raw_id IN (SELECT raw_id FROM t GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT row_index, 14, 'country', 'country_unknown' FROM t WHERE country = 'Isreal'
+  UNION ALL SELECT row_index, 26, 'currency', 'currency_unknown' FROM t WHERE currency = 'Zorkmid'
+  UNION ALL SELECT row_index, 62, 'currency', 'currency_ambiguous' FROM t WHERE currency = '$'
+  UNION ALL SELECT row_index, 38, 'phone', 'phone_invalid' FROM t WHERE phone LIKE '%ABC'
+  UNION ALL SELECT row_index, 38, 'phone', 'phone_unparseable' FROM t WHERE phone NOT LIKE '%ABC' AND phone NOT LIKE '+%'
+  UNION ALL SELECT row_index, 50, 'since', 'date_invalid' FROM t WHERE since IS NULL)"""
 
-@query("SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) AND NOT regexp_full_match(trim(text), '[+-]?(\\d+([.,]\\d+)?|[.,]\\d+)([eE][+-]?\\d+)?') AND NOT regexp_full_match(trim(text), '\\+\\d[\\d\\s\\-()]{5,}') THEN '''' || text ELSE text END AS text FROM documents")
-def export_guard_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", N.guard(F.col("text")).alias("text"))
 
+@query(f"WITH {_PLACED} SELECT row_index, field, code FROM i")
+def places_issues(spark, sf_dir):
+    return validate.issue_rows(places(spark, sf_dir)).select("row_index", "field", "code")
 
-@query(f"WITH {DC} SELECT count(*) AS n FROM dc WHERE coalesce(trim(raw_name), '') <> '' OR coalesce(trim(raw_country), '') <> ''")
-def blank_row_filter(spark, sf_dir):
-    from .sources.delimited import filled
 
-    return dirty_customer(spark, sf_dir).where(filled(["raw_name", "raw_country"])).agg(F.count("*").alias("n"))
+@query(f"WITH {_PLACED} SELECT row_index, country, currency, phone, coalesce(strftime(since, '%Y-%m-%d'), raw_date) AS since FROM t WHERE row_index NOT IN (SELECT row_index FROM i WHERE code IN ('duplicate', 'phone_invalid', 'date_invalid'))")
+def places_ready(spark, sf_dir):
+    return export.scope(places(spark, sf_dir), "ready").select("row_index", "country", "currency", "phone", "since")
 
 
-@query()
-def bulk_fix_suggestions(spark, sf_dir):
-    """Fixes by score and by count: the similarity of names has no SQL."""
-    contract = make_contract("x", [{"name": "email", "type": "email"}, {"name": "country", "type": "country"}])
-    mapped = {"raw_email": "email", "raw_country": "country"}
-    v = conform(dirty_customer(spark, sf_dir).select("row_index", *mapped), contract, mapped)
-    return quality.bulk_fixes(v, contract.names)
+@query(f"WITH {_PLACED} SELECT row_index, (SELECT count(*) FROM i WHERE i.row_index = t.row_index) AS issues FROM t WHERE contains(lower(concat_ws(' ', raw_id, country, raw_country, currency, raw_ccy, phone, raw_phone, strftime(since, '%Y-%m-%d'), raw_date)), 'isr')")
+def places_search(spark, sf_dir):
+    found = review.search(places(spark, sf_dir), list(PLACES.values()), "ISR")
+    return found.select("row_index", F.size("issues").cast("long").alias("issues"))
 
 
 ORDER_MAPPING = {"l_orderkey": "order_id", "price": "price", "shipped": "shipped", "l_returnflag": "flag"}

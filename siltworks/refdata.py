@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import SparkSession
@@ -74,6 +75,31 @@ def country_names() -> dict[str, str]:
     return {n: c for n, c in names.items() if n != c.lower() and len(n) > 3} | COUNTRY_ALIASES
 
 
+#: Letters with a mark, by their decomposition, and beside them those letters without it.
+PLAIN_LETTERS = {c: b for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and (b := unicodedata.normalize("NFD", c)[0]) != c} | {"’": "'"}
+#: The shortest part of a name that may tell a country.
+LEAST_PART = 4
+
+
+def name_key(name: str) -> str:
+    """Lower case without marks on Latin letters, white space around, and points and spaces at the ends."""
+    return name.strip().lower().translate(str.maketrans(PLAIN_LETTERS)).strip(". ")
+
+
+@lru_cache(maxsize=1)
+def country_keys() -> dict[str, str]:
+    """Key to alpha-2: of every code, name and alias, where an alias wins; and every part of LEAST_PART letters or more that the names of just one country hold."""
+    keys = {name_key(n): c for n, c in countries().items()}
+    holders: dict[str, set[str]] = {}
+    for name, code in country_names().items():
+        key = name_key(name)
+        for i in range(len(key)):
+            for j in range(i + LEAST_PART, len(key) + 1):
+                if key[i] != " " and key[j - 1] != " ":
+                    holders.setdefault(key[i:j], set()).add(code)
+    return {part: min(codes) for part, codes in holders.items() if len(codes) == 1} | keys
+
+
 def currencies() -> dict[str, str]:
     """Lower-case name, code or symbol to alpha-3; empty where ambiguous."""
     return _jvm_names()[1] | CURRENCY_WORDS

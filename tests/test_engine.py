@@ -1,5 +1,8 @@
 """Files to conformed rows and back, review, streams."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from siltworks.plans.conform import Job, conform
 from siltworks.sources.delimited import delimiter_of, encoding_of, headers_of, read_csv
 from siltworks.sources.xlsx import read_xlsx, sheet_names, workbook, workbooks
 from siltworks.streaming import conform_stream
+from tests import slow_similarity
 
 TEXT = '﻿Client;E-mail Address;Mobile No.;Country Name;Joined;Extra;Extra\r\n  Dana  Levi ;Dana@EXAMPLE.com;052-555-1234;Israel;21/09/2024;=1+1;x\r\n;bad;123;Isreal;31/02/2025;;\r\n"Q ""a""\nb";dana@example.com;+44 7911 123456;IL;13/01/2024;;\r\n\r\nLast;dana@example.com;(212) 555-0123;USA;03/04/2024;;;;\r\n'
 
@@ -183,9 +187,72 @@ def test_ladder_and_conflicts(spark):
     assert {r["source"]: r["method"] for r in mapping.confirm(pairs, {"a": "mobile"}, contract).collect()} == {"a": "manual", "b": "exact"}
 
 
-def test_similarity():
-    assert similarity.ratio("abc", "abc") == 100 and similarity.token_set_ratio("full name", "name") == 100
-    assert similarity.best_score("Isreal", "Israel") >= 80 and similarity.best_score("zzz", "email") < 72
+def _some_names(rng, n):
+    words = ["united", "states", "of", "korea", "republic", "the", "a", "israel", "new", "zealand", "saint"]
+
+    def name():
+        kind = rng.random()
+        if kind < 0.5:
+            return " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
+        if kind < 0.55:
+            return "".join(rng.choice("abé日 ") for _ in range(rng.randint(60, 90)))
+        w = list(f"{rng.choice(words)} {rng.choice(words)}")
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefg ")
+        return "".join(w)
+
+    return [name() for _ in range(n)]
+
+
+def test_similarity_as_defined():
+    rng = random.Random(3)
+    a, b = _some_names(rng, 3_000) + ["", None, "x", "a" * 64, "ab" * 32, "a" * 65], _some_names(rng, 3_000) + ["", "x", None, "a" * 64, "ba" * 40, "a" * 64]
+    for got, want in ((similarity.scores(pd.Series(a), pd.Series(b)), slow_similarity.weighted_ratio), (similarity.scores(pd.Series(a), pd.Series(b), sets=True), slow_similarity.best_score)):
+        assert all(abs(g - want(x or "", y or "")) < 1e-9 for g, x, y in zip(got, a, b, strict=True))
+
+
+def test_nearest_name_as_by_all_pairs(spark):
+    """The index of grams misses no name, for values near and far, short, long, null and empty."""
+    rng = random.Random(4)
+    countries = {r["name"]: r["code"] for r in quality.country_names(spark).collect()}
+    values = {None, "", "uk", "unk", "b", "uxk", "usaa", "kas", "x" * 500, "of the", "United  Kingdom", *_some_names(rng, 20)}
+    for name in rng.sample(sorted(countries), 40):
+        w = list(name.upper() if rng.random() < 0.3 else name)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = rng.choice(["", "x", "e", " "])
+        values.add("".join(w) if rng.random() < 0.8 else " ".join(reversed("".join(w).split())))
+    for least in (80, 90):
+        want = {}
+        for v in (v for v in values if v and len(v) > 1):
+            best = max((slow_similarity.weighted_ratio(v.lower(), n), n) for n in countries)
+            if best[0] >= least:
+                want[v] = countries[best[1]]
+        df = spark.createDataFrame([(v,) for v in values], "value string")
+        assert {r["value"]: r["code"] for r in similarity.nearest_names(df, quality.country_names(spark), least).collect()} == want
+    assert similarity.nearest_names(df.limit(0), quality.country_names(spark)).count() == 0 == similarity.nearest_names(df, quality.country_names(spark).limit(0)).count()
+    with pytest.raises(ValueError):
+        similarity.nearest_names(df, quality.country_names(spark), 70)
+
+
+def test_plans_do_not_repeat_chains(spark):
+    """Filters on issues, status and values stay above the normalizers."""
+    contract = make_contract("x", [{"name": "country", "type": "country"}, {"name": "currency", "type": "currency"}, {"name": "phone", "type": "phone"}, {"name": "day", "type": "date"}, {"name": "mail", "type": "email", "unique": True}])
+    rows = spark.createDataFrame([(0, "Israel", "usd", "052-1234567", "01/02/2024", "a@example.com"), (1, "Germ", "$", "1", "x", "b")], "row_index long, country string, currency string, phone string, day string, mail string")
+    v = conform(rows, contract, {n: n for n in contract.names})
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    whole = size(v)
+    views = {"issues": validate.issue_rows(v), "ready": export.scope(v, "ready"), "search": review.search(v, contract.names, "isr"), "errors": export.error_rows(v, contract.names), "held": review.rows_with_issue(v, "phone"), "status": review.rows_by_status(v, "issues"), "value": v.where("country = 'IL' and day > '2024'")}
+    for name, df in views.items():
+        assert size(df) < 2 * whole, name
+    assert [r["row_index"] for r in views["ready"].collect()] == [0] and views["search"].count() == 1 and views["value"].count() == 1
+    assert [r["country"] for r in v.orderBy("row_index").collect()] == ["IL", "DE"]
+
+
+def test_parts_of_country_names(spark):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(["Germ", "united", "Türkiye", "turkiye", " Deutsch. ", "Ger", "Cote d'Ivoire", "u.s.a.", None, "", "Atlantis", "niger"])], "row_index long, country string")
+    contract = make_contract("x", [{"name": "country", "type": "country"}])
+    got = [r["country"] for r in conform(rows, contract, {"country": "country"}).orderBy("row_index").collect()]
+    assert got == ["DE", "united", "TR", "TR", "DE", "Ger", "CI", "US", None, None, "Atlantis", "NE"]
 
 
 def test_fixes_and_profile(spark):
@@ -204,8 +271,7 @@ def test_fixes_and_profile(spark):
 def test_countries_are_all_compared(spark):
     wrong = {"Portugl": "PT", "AUSTRALA": "AU", "swedne": "SE", "Isreal": "IL", "Thailnd": "TH", "Qqqqqq": None}
     values = spark.createDataFrame([(v,) for v in wrong], "value string")
-    names = quality.country_names(spark).withColumnRenamed("code", "alpha2")
-    got = {r["value"]: r["alpha2"] for r in mapping.name_similarity(values, names, 80).collect()}
+    got = {r["value"]: r["code"] for r in similarity.nearest_names(values, quality.country_names(spark)).collect()}
     assert got == {v: c for v, c in wrong.items() if c}
     contract = make_contract("x", [{"name": "country", "type": "country"}])
     v = conform(spark.createDataFrame([(0, "Portugl"), (1, "AUSTRALA")], "row_index long, country string"), contract, {"country": "country"})
