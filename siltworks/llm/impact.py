@@ -5,11 +5,12 @@ their component, cut into posting segments of equal quantised impact (the compon
 STEP). Impacts count from the least component of the dimension up, or from the highest down where a query's weight is
 negative, so no contribution to a score is negative.
 
-A query takes a block's segments, of all dimensions, in falling order of weight times impact. Each posting adds to its
-vector's lower and upper bound; one that wasn't taken yet adds at most what its dimension's next segment can. A query
-stops at the first step that proves few vectors can still be among its k best: those whose upper bound reaches the k-th
-highest lower bound, or the k-th highest score met by the same task. Just these are scored again from the exact
-components. Without such a proof all segments are taken.
+A query takes a block's segments, of all dimensions, in falling order of weight times impact. Each posting adds the most that it
+can give to its vector's running sum; one that wasn't taken yet adds at most what the next segment in the order can. So a
+vector's upper bound is its sum and, for each of its dimensions that isn't taken, that next impact. A query stops at the first
+step that proves few vectors can still be among its k best: those whose upper bound reaches the k-th highest lower bound, or the
+k-th highest score met by the same task. Just these are scored again from the exact components. Without such a proof all
+segments are taken.
 
 A block yields its k best for each query, and the blocks' lists are merged by a window. Queries are shipped
 in chunks of at most ``query_bytes``; further chunks are further passes over the index.
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-STEP, BLOCK_ROWS, QUERY_BYTES = 4, 4096, 32 << 20
+STEP, BLOCK_ROWS, QUERY_BYTES = 8, 4096, 32 << 20
 #: The share of a block that is scored again at most where a proof has stopped a query, and the shares of all postings after which one is sought.
-RESCORE, CUTS = 1 / 16, np.array([0.2, 0.4, *np.linspace(0.55, 1, 11)])
+RESCORE, CUTS = 1 / 16, np.array([0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1])
 
 
 def vectors(rows: DataFrame, scale: int = 1024) -> DataFrame:
@@ -67,35 +68,31 @@ class Block:
         weight = np.abs(q)[self.dim].astype(np.float64)
         up = q[self.dim] > 0
         near = np.where(up, self.low - self.least[self.dim], self.most[self.dim] - self.low - self.step + 1)
-        low, high = weight * np.maximum(near, 0), weight * (near + self.step - 1)
-        order = np.argsort(-high, kind="stable")
+        high = weight * (near + self.step - 1)
+        order = np.argsort(-high)
         order = order[weight[order] > 0]
+        high = high[order]
         ends = np.cumsum(self.size[order])
         total = int(ends[-1]) if len(order) else 0
         base = float((np.where(q > 0, self.least, self.most) * q).sum())
         slack = 1e-9 * (1 + abs(base) + float(high.sum()))
-        lower, open_, width = np.full(n, base), np.ones(self.x.shape), np.abs(q) * (self.step - 1.0)
-        # the next segment of each dimension: of those left in the order, the first
-        turns = np.argsort(self.dim[order], kind="stable")
-        of, first_of = np.unique(self.dim[order][turns], return_index=True)
+        # what the bounds of a vector's postings may differ from its components by
+        width = float(np.abs(q).sum()) * (self.step - 1.0)
+        upper, left = np.full(n, base), np.full(n, int((q != 0).sum()))
         own = self.ids == qid
         may, done = ~own, 0
         for cut in np.searchsorted(ends, total * CUTS) + 1 if total else ():
             taken = order[done:cut]
-            done = max(done, int(cut))
             size = self.size[taken]
             at = np.repeat(self.start[taken] - np.cumsum(size) + size, size) + np.arange(size.sum())
             rows = self.places[at]
-            lower += np.bincount(rows, weights=np.repeat(low[taken], size), minlength=n)
-            open_[rows, np.repeat(self.dim[taken], size)] = 0
-            rest = np.zeros(self.x.shape[1])
-            upto = np.append(first_of[1:], len(order))
-            next_ = np.array([a + np.searchsorted(turns[a:b], done) for a, b in zip(first_of, upto, strict=True)], dtype=np.int64)
-            left = next_ < upto
-            rest[of[left]] = high[order[turns[next_[left]]]]
-            reach = max(bar, np.partition(lower[~own], -k)[-k] if n - own.sum() > k else -np.inf)
-            # a posting that was taken is known to the width of its segment, one that wasn't to the next segment's end
-            may = ~own & (lower + slack + width.sum() + open_ @ (rest - width) >= reach)
+            upper += np.bincount(rows, weights=np.repeat(high[done:cut], size), minlength=n)
+            left -= np.bincount(rows, minlength=n)
+            done = max(done, int(cut))
+            next_ = high[done] if done < len(order) else 0.0
+            # a sum less the widths is a lower bound, as what wasn't taken adds something
+            reach = max(bar, np.partition(upper[~own], -k)[-k] - width if n - own.sum() > k else -np.inf)
+            may = ~own & (upper + next_ * left + slack >= reach - slack)
             if may.sum() <= max(RESCORE * n, 2 * k):
                 break
         rows = np.flatnonzero(may)
@@ -139,18 +136,18 @@ def _search(chunk, k: int):
         bars: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                qids, qs = queries.get(r["dim"], ((), ()))
+                numbers, qids, qs = queries.get(r["dim"], ((), (), ()))
                 kinds = (("ids", "<i8"), ("v", "<i8"), ("places", "<u2"), ("seg_dim", "<u4"), ("seg_low", "<i8"), ("seg_start", "<u4"))
                 ids, x, places, seg_dim, seg_low, seg_start = (np.frombuffer(r[c], dtype=t) for c, t in kinds)
                 block = Block(ids, x.reshape(-1, r["dim"]), places.astype(np.int64), seg_dim.astype(np.int64), seg_low, seg_start.astype(np.int64))
                 largest = max(-int(block.least.min()), int(block.most.max()), 0)
-                for j, (qid, q) in enumerate(zip(qids, qs, strict=True)):
+                for j, (number, qid, q) in enumerate(zip(numbers, qids, qs, strict=True)):
                     if largest * sum(abs(c) for c in q.tolist()) >= 1 << 63:
                         raise ValueError(f"scores of query {qid} don't fit into 64 bits")
                     met = bars.get((r["dim"], j), np.zeros(0, dtype=np.int64))
                     rows, score, _ = block.best(int(qid), q, k, float(met[-1]) if len(met) == k else -np.inf)
                     bars[r["dim"], j] = np.sort(np.append(met, score))[::-1][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), qid)), pa.array(ids[rows]), pa.array(score)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number)), pa.array(np.full(len(rows), qid)), pa.array(ids[rows]), pa.array(score)], names=["query", "query_id", "vec_id", "score"])
 
     return kernel
 
@@ -159,22 +156,24 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = Q
     """base and queries (vec_id long, v array<long>) -> query_id, rank, vec_id, score: each query's k highest integer inner products.
 
     A query's own vec_id isn't a candidate; ties go to the smaller vec_id; only vectors of the query's length are
-    candidates. Queries without a candidate have no rows. Repeated vec_ids are candidates each. Components whose products
+    candidates. Queries without a candidate have no rows. Repeated vec_ids are candidates each, and repeated query rows are
+    answered each. Components whose products
     could leave 64 bits raise an error.
     """
     spark = base.sparkSession
     blocks = index(base)
+    queries = stash(queries.select(F.monotonically_increasing_id().alias("query"), "vec_id", "v"))
     size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     chunks = max(1, -(-int(size[1]) * 8 // query_bytes)) if size[0] else 1
     out = None
     for c in range(chunks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c) if chunks > 1 else queries
-        got = part.select("vec_id", "v", F.size("v").alias("dim")).toArrow()  # of query_bytes, about
+        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(chunks)) == c) if chunks > 1 else queries
+        got = part.select("query", "vec_id", "v", F.size("v").alias("dim")).toArrow()  # of query_bytes, about
         held = {}
         for dim in set(got["dim"].to_pylist()):
             of = got.filter(pc.equal(got["dim"], dim)).combine_chunks()
-            held[dim] = of["vec_id"].to_numpy(), of["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        one = blocks.mapInArrow(_search(spark.sparkContext.broadcast(held), k), "query_id long, vec_id long, score long")
+            held[dim] = of["query"].to_numpy(), of["vec_id"].to_numpy(), of["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        one = blocks.mapInArrow(_search(spark.sparkContext.broadcast(held), k), "query long, query_id long, vec_id long, score long")
         out = one if out is None else out.union(one)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
