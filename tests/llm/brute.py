@@ -118,3 +118,31 @@ def licenses(rows, templates, declare, threshold=0.7, window=32):
             told, where = (speaks[up[0]][3], up[0]) if up else (None, None)
         out.append((i, path, name, round(score, 6), told, where))
     return out
+
+
+def hard_negatives(rows, scale, is_anchor, least=50, most=95):
+    """(anchor, positive, rank, negative, scores) of rows (vec_id, vector, label), by all pairs."""
+    good = [(i, c, [math.floor(scale * x) for x in v]) for i, v, c in rows if i is not None and c is not None and v and None not in v and all(map(math.isfinite, v))]
+    out = []
+    for a, label, v in good:
+        if is_anchor(a):
+            scored = sorted((-sum(x * y for x, y in zip(v, w)), i, c) for i, c, w in good if len(w) == len(v) and not (i == a and c == label))
+            for p, i, _ in [s for s in scored if s[2] == label][:5]:
+                fits = [s for s in scored if s[2] != label and least * -p <= 100 * -s[0] <= most * -p]
+                out += [(a, i, k, n, -p, -s) for k, (s, n, _) in enumerate(fits[:3], 1)]
+    return out
+
+
+def fill_in_middle(doc_id, text, grammar, seed=7, percent=100, spm_percent=50):
+    text = text or ""
+    units = re.findall(grammar, text, re.ASCII)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(units)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= percent:
+        return doc_id, n, "plain", None, None, None, text, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < spm_percent:
+        return doc_id, n, "spm", p, m, s, f"<S>{s}<P>{p}<M>{m}", text
+    return doc_id, n, "psm", p, m, s, f"<P>{p}<S>{s}<M>{m}", text

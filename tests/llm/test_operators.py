@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.llm import cascade, components, crossparse, huffman, impact, licenses, minhash, queries, secrets, spbpe, suffixdedup, winnow
+from siltworks.llm import balltree, bpe, cascade, components, crossparse, fim, huffman, impact, licenses, minhash, queries, secrets, spbpe, suffixdedup, winnow
 from tests import oracle
 from tests.llm import brute
 
@@ -270,6 +271,13 @@ def test_top_k(spark):
     assert impact.top_k(base.limit(0), base.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_queries(spark):
+    rows = spark.createDataFrame([(i, [i % 7, i % 5 - 2]) for i in range(50)] + [(0, [1, 1])] * 2, "vec_id long, v array<long>")
+    one = rows.where("vec_id = 10")
+    once, twice = impact.top_k(rows, one, 3).collect(), impact.top_k(rows, one.union(one), 3).collect()
+    assert len(once) == 3 and sorted(once * 2) == sorted(twice)
+
+
 def test_top_k_stops_early(spark):
     """On the driver's vectors a proof ends each query before all postings are taken, and the best rows are exact."""
     rows = [r for r in impact.vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect()]
@@ -501,6 +509,144 @@ def test_prefix_table_as_the_library():
 
 
 # ---- queries and the pipeline
+# ---- 11
+def _labelled():
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(700, 12)) / 3
+    data[40:60] = data[40]
+    data[100] = 0
+    rows = [(i, [float(x) for x in v], int(rng.integers(4)) if i % 3 else 1) for i, v in enumerate(data)]  # a hot label
+    rows += [(50, rows[51][1], 2), (50, rows[50][1], 1), (7, rows[8][1], 1)]  # repeated ids, equal rows
+    rows += [(1000, None, 1), (1050, [1.0, None] * 6, 1), (1100, [float("nan")] * 12, 1), (1150, [0.1] * 12, None), (1200, [0.2] * 5, 1), (1250, [], 1), (1201, [0.2] * 5, 1), (1202, [0.15] * 5, 3), (None, [0.1] * 12, 1), (1300, [0.3] * 12, 77)]
+    return rows
+
+
+def test_hard_negatives(spark):
+    """Against all pairs: ties, equal vectors, repeated ids, nulls, several lengths, a label of one row; in one chunk of anchors and in many."""
+    rows = _labelled()
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, search string").repartition(3)
+    base = balltree.vectors(df)
+    want = sorted(brute.hard_negatives(rows, 256, lambda i: i % 50 == 0))
+    assert len(want) > 100
+    for size in (32 << 20, 900):
+        got = balltree.hard_negatives(base, base.where("vec_id % 50 = 0"), query_bytes=size).collect()
+        assert sorted((r["anchor_id"], r["positive_id"], r["rank"], r["negative_id"], r["positive_score"], r["negative_score"]) for r in got) == want
+    assert balltree.hard_negatives(base.limit(0), base.limit(0)).count() == 0 == balltree.hard_negatives(base, base.where("vec_id = 1300")).count()
+    big = spark.createDataFrame([(0, 1, [1 << 40, 1]), (1, 1, [1 << 40, 1])], "vec_id long, label long, v array<long>")
+    with pytest.raises(Exception, match="62 bits"):
+        balltree.hard_negatives(big, big).collect()
+
+
+def test_scores_beyond_doubles(spark):
+    """Products over 53 bits are exact."""
+    rows = [(i, i % 2, [(1 << 28) + i * 3, (1 << 28) - i, 5 * i]) for i in range(200)]
+    base = spark.createDataFrame(rows, "vec_id long, label long, v array<long>")
+    got = balltree.hard_negatives(base, base.where("vec_id % 50 = 0"), least=10, most=100).collect()
+    want = sorted(brute.hard_negatives([(i, [x / 1.0 for x in v], c) for i, c, v in rows], 1, lambda i: i % 50 == 0, 10, 100))
+    assert sorted(tuple(r) for r in got) == want and want
+
+
+def test_trees_bound_and_prune():
+    """Every row is within its nodes' radii and labels, and of clustered rows most leaves are pruned."""
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(8, 16))[rng.integers(8, size=4000)] * 300 + rng.normal(size=(4000, 16)) * 8).astype(np.int64)
+    labels = rng.integers(3, size=4000)
+    order, nodes, centres, radii = balltree.tree(labels, x)
+    assert sorted(order) == list(range(4000))
+    for (a, b, left, right, least, most), centre, radius in zip(nodes.tolist(), centres, radii, strict=True):
+        own = order[a:b]
+        assert np.sqrt(((x[own] - centre) ** 2).sum(axis=1)).max() <= radius and labels[own].min() == least and labels[own].max() == most
+        assert (left < 0) == (right < 0) and (left < 0 or (nodes[left][0] == a and nodes[left][1] == nodes[right][0] and nodes[right][1] == b))
+    block = balltree.Block(16, *(np.ascontiguousarray(p).tobytes() for p in (np.arange(4000)[order], labels[order].astype(np.int64), x[order], nodes, centres, radii)))
+    s = balltree.Searches(x[:8], np.arange(8), labels[:8].astype(np.int64), np.arange(8), np.full(8, balltree.LEAST), np.full(8, balltree.MOST), 5, True)
+    s.take(block)
+    assert 0 < s.scored < 8 * 4000 / 3 / 2  # less than half of the rows of the label
+
+
+# ---- 12
+def _bpe_texts():
+    rng = random.Random(9)
+    alphabet = list("abc etaoin's'll 0123 \n\t  !?") + ["é", "日", "😀", "\x1c", "\x85", "\u00a0", "<|endoftext|>", "<|endof", "’s", "\u0558", "\U0001df90"]
+    made = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    long = ["".join(rng.choice(a) for _ in range(n)) for n in (127, 128, 129, 1000, 9000) for a in ("ab", "a", " ", "etaoinshr", "!-=", "é日")]
+    return [*made, *long, "a" * 60_000, " " * 5000 + "x", *[t for t in TEXTS if t], "".join(map(chr, [*range(1, 0x800), *range(0x2000, 0x2100), *range(0x1F600, 0x1F640)]))]
+
+
+def test_rank_arrays_as_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), bpe.encoder(path)
+    lib.no_padding()
+    lib.no_truncation()
+    for text in _bpe_texts():
+        want = lib.encode(text, add_special_tokens=False).ids
+        got = np.frombuffer(own.encode(text), "<u4")
+        assert got.tolist() == want, text[:80]
+        assert own.decode(got).decode() == lib.decode(want, skip_special_tokens=False)
+    for ids in ([220, 50256, 262], [128, 129, 130], [447, 50256, 247], [60_000, 1], []):  # bytes that aren't UTF-8; ids beyond the vocabulary
+        assert own.decode(np.array(ids, "<u4")).decode() == lib.decode(ids, skip_special_tokens=False)
+    for word in (w.encode() for w in (R.choice(["abab", "the", "ss", " ", "é"]) * R.randint(1, 60) for _ in range(300))):
+        assert own._cut_long(word) == [i for i in _merged(own, word)]
+    with pytest.raises(ValueError):
+        bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _merged(own, word):
+    """By the definition: the leftmost pair of the lowest rank is merged, again and again."""
+    parts = [own.byte_ids[b] for b in word]
+    while True:
+        ranked = [(own.rank[a << bpe.SHIFT | b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a << bpe.SHIFT | b in own.rank]
+        if not ranked:
+            return parts
+        rank, i = min(ranked)
+        parts[i : i + 2] = [rank & bpe.MASK]
+
+
+def test_byte_bpe(docs, empty, odd):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    want = {}
+    for i, t in ALL:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        raw = np.array(ids, "<u4").tobytes()
+        want[i] = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), raw, t or "")
+    got = bpe.encode_decode(docs, path).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], bytes(r["ids"]), r["decoded"]) for r in got} == want
+    assert bpe.encode_decode(odd, path, keep=False).count() == 6 and bpe.encode_decode(empty, path).count() == 0
+
+
+# ---- 13
+UNITS = {"char": r"[\s\S]", "line": r"[^\n]*\n|[^\n]+", "word": r"\S*\s+|\S+", "paragraph": r"[\s\S]*?\n{2,}|[\s\S]+", "token": r"[A-Za-z]+|[0-9]+|\s+|[\s\S]"}
+
+
+def test_units_as_by_their_grammars(spark):
+    rng = random.Random(10)
+    texts = ["", "\n", "\n\n", "a", *["".join(rng.choice(["a", "B", "7", " ", "\n", "\n", "\t", "\r", "é", "😀", "."]) for _ in range(rng.randint(1, 40))) for _ in range(300)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for unit, grammar in UNITS.items():
+        for r in df.select("text", fim.pieces(F.col("text"), unit).alias("p")).collect():
+            assert r["p"] == re.findall(grammar, r["text"], re.ASCII), (unit, r["text"])
+
+
+def test_fill_in_middle(spark, docs, empty, odd):
+    more = spark.createDataFrame([(900 + i, t) for i, t in enumerate(["a\nb\nc", "x <S> y\nz", "<P", "S><\n<M\n>", "no end\n\n\n", "\r\n" * 30, "é\n😀\n" * 9, "w\n" * 30000])] + [(None, "l1\nl2\nl3\n"), (None, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(more).union(odd)
+    plain = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    for args in ({}, {"percent": 40, "spm_percent": 70, "seed": 3}, {"spm_percent": 0, "unit": "word"}):
+        made = fim.transform(rows.withColumn("units", F.lit("x")), **args)
+        got = [tuple(r) for r in made.select("doc_id", "n", "form", "prefix", "middle", "suffix", "output", fim.restore(F.col("output"), F.col("form"))).collect()]
+        want = [brute.fill_in_middle(i, t, UNITS[args.get("unit", "line")], args.get("seed", 7), args.get("percent", 100), args.get("spm_percent", 50)) for i, t in plain]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert {r[2] for r in got} == {"plain", "psm"} | ({"spm"} if args.get("spm_percent") != 0 else set())
+    assert fim.transform(empty).count() == 0
+    for bad in (("<P>", "<P>", "<M>"), ("", "<S>", "<M>"), ("ab", "bc", "x"), ("aba", "x", "y"), ("<P>", "<P>x", "<M>")):
+        with pytest.raises(ValueError):
+            fim.transform(empty, sentinels=bad)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_same_as_sql(spark, name):
     oracle.same(queries.QUERIES[name](spark, oracle.SMALL), queries.ORACLE[name])
