@@ -777,6 +777,24 @@ def csv_roundtrip(spark, sf_dir):
     return read_csv(spark, f"{path}/customers.csv")[0]
 
 
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row_index FROM customer)
+SELECT row_index, c_name AS name, CASE c_custkey % 3 WHEN 1 THEN 'two' || chr(13) || chr(10) || 'líneas, "' || c_mktsegment || '"' || chr(10) WHEN 2 THEN 'a "b" c' END AS note, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM n""")
+def csv_quoted_lines(spark, sf_dir):
+    """Customers as a file of one byte a character with line ends and quotes in cells, short and long rows and blank lines, read in splits."""
+    path = shared_folder(spark)
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    quoted = F.concat("c_name", F.lit(',"two\r\nlíneas, ""'), seg, F.lit('""\n",'), seg)
+    line = F.when(k % 3 == 1, quoted).when(k % 3 == 2, F.concat("c_name", F.lit(',a "b" c,'), seg, F.lit(",too,many"))).otherwise(F.concat("c_name", F.lit("\n ,\n")))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("at"), F.lit("name,note,segment").alias("line"))
+    lines = head.unionByName(table(spark, sf_dir, "customer").select(k.cast("long").alias("at"), line.alias("line")))
+    staged = lines.select("at", F.encode("line", "ISO-8859-1").cast("string").alias("line")).coalesce(1).sortWithinPartitions("at").select("line")
+    staged.write.text(path)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    part = of(spark.read.text(path).select("_metadata.file_path").first()[0])
+    part.getFileSystem(spark._jsc.hadoopConfiguration()).rename(part, of(f"{path}/staged.csv"))
+    return read_csv(spark, f"{path}/staged.csv")[0]
+
+
 @query(f"WITH {CHECKED} SELECT row_index, seq FROM i WHERE severity = 'ERROR' AND field = 'email' AND code = 'email_invalid'")
 def issues_filtered(spark, sf_dir):
     return validate.issue_rows(flagship(spark, sf_dir), severity="ERROR", field="email", code="email_invalid").select("row_index", "seq")

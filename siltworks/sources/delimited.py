@@ -1,7 +1,7 @@
 """Delimited files: encoding and delimiter are told from a bounded head of the file, then Spark reads and parses it.
 
-A file is read in splits, unless some record runs over a line end: then no split can tell where its first record
-begins, and the file is one task's.
+A file is read in splits. Where some record may run over a line end, or the encoding isn't one of Spark's own, the splits find
+their first true record first (``records``). Only encodings in which an ASCII byte may be part of another character are one task's.
 """
 
 from __future__ import annotations
@@ -14,13 +14,25 @@ from pyspark.sql import functions as F
 
 from ..errors import FileError, TooLargeError
 from ..functions.exprs import strip
+from .records import records
 
 # Separators that are tried, and how much of a file is looked at.
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_BYTES, SNIFF_CHARS, NUL_CHARS, COUNT_LINES = 200_000, 20_000, 4096, 20
 EXTENSIONS = (".csv", ".xlsx")
-#: Encodings in which quotes, separators and line ends are single bytes that are part of no other character.
-PLAIN = ("utf-8", "iso-8859-1", "us-ascii", "windows-1252")
+#: Encodings that Spark's reader has, and in which ASCII bytes are part of no other character.
+PLAIN = ("utf-8", "iso-8859-1", "us-ascii")
+
+
+def of_single_bytes(encoding: str) -> bool:
+    """UTF-8, or an encoding of one byte a character whose lower half is ASCII: quotes, separators and line ends are told by their bytes."""
+    if encoding == "utf-8":
+        return True
+    try:
+        upper = [len(bytes([b]).decode(encoding, "replace")) == 1 and bytes([b, 65]).decode(encoding, "replace")[1:] == "A" for b in range(128, 256)]
+        return all(upper) and bytes(range(128)).decode(encoding) == "".join(map(chr, range(128)))
+    except (LookupError, UnicodeDecodeError):
+        return False
 
 
 def extension(path: str) -> str:
@@ -85,10 +97,8 @@ def headers_of(cells: list[str | None]) -> list[str]:
     return out
 
 
-def spans_lines(spark: SparkSession, path: str, encoding: str, delimiter: str) -> bool:
+def spans_lines(spark: SparkSession, path: str, delimiter: str) -> bool:
     """Whether some record may run over a line end: a line has quotes other than round whole cells, or a carriage return inside. One pass in splits; any doubt says yes."""
-    if encoding not in PLAIN:
-        return True
     line = F.regexp_replace("value", r"\r$", "")
     d = re.escape(delimiter)
     bare = F.regexp_replace(line, f'(^|{d})"(?:[^"]++|"")*+"(?=$|{d})', "$1")
@@ -112,7 +122,8 @@ def filled(columns: list[str]):
 def read_csv(spark: SparkSession, path: str, max_bytes: int | None = None) -> tuple[DataFrame, dict]:
     """(row_index, columns as text) and {columns, encoding, delimiter, file_type}.
 
-    The first row that isn't blank is the header; blank rows go; short rows are padded and long ones cut; "" is null.
+    The first row that isn't blank is the header; blank rows go; short rows are padded and long ones cut; "" is null. An encoding of
+    several bytes a character other than UTF-8 must be one that Spark's reader has, as UTF-16.
     """
     if extension(path) != ".csv":
         raise FileError(f"{path} isn't a .csv file")
@@ -128,13 +139,15 @@ def read_csv(spark: SparkSession, path: str, max_bytes: int | None = None) -> tu
     if not first:
         raise FileError(f"{path} has no rows")
     columns = headers_of(first)
+    if of_single_bytes(encoding) and (encoding not in PLAIN or spans_lines(spark, path, delimiter)):
+        rows = records(spark, path, len(columns), delimiter, encoding)
+        # the header is the first row that isn't blank
+        body = rows.where("row_index > 0").select((F.col("row_index") - 1).alias("row_index"), *[F.col("cells")[i].alias(c) for i, c in enumerate(columns)])
+        return body, {"columns": columns, "encoding": encoding, "delimiter": delimiter, "file_type": "csv"}
     schema = ", ".join(f"_c{i} string" for i in range(len(columns)))
-    if encoding not in ("utf-8", "iso-8859-1", "us-ascii"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = spark.read.schema(schema).csv(path, sep=delimiter, encoding=encoding, multiLine=spans_lines(spark, path, encoding, delimiter), quote='"', escape='"', emptyValue="", header=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE")
+    raw = spark.read.schema(schema).csv(path, sep=delimiter, encoding=encoding, multiLine=encoding not in PLAIN, quote='"', escape='"', emptyValue="", header=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE")
     slots = [f"_c{i}" for i in range(len(columns))]
     place = F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start")
     kept = indexed(raw.where(filled(slots)).select(*place, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in slots]), slots)
-    # the header is the first row that isn't blank
     body = kept.where("row_index > 0").select((F.col("row_index") - 1).alias("row_index"), *[F.col(s).alias(c) for s, c in zip(slots, columns, strict=True)])
     return body, {"columns": columns, "encoding": encoding, "delimiter": delimiter, "file_type": "csv"}

@@ -1,5 +1,7 @@
 """Files to conformed rows and back, review, streams."""
 
+import csv
+import io
 import random
 
 import pandas as pd
@@ -35,6 +37,31 @@ def test_read(job):
     assert rows[2]["Client"] == 'Q "a"\nb' and rows[1]["Client"] is None
 
 
+@pytest.mark.parametrize("size", [40, 300, 1 << 20])
+@pytest.mark.parametrize("encoding", ["utf-8", "cp1252"])
+def test_records_over_line_ends(spark, tmp_path, size, encoding):
+    """Files in splits of a few bytes, with quotes and line ends anywhere, against Python's reader."""
+    rng = random.Random(size)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        for k in range(5):
+            cells = lambda: [rng.choice(["a", "", " ", "é", "x y", 'q"r', '"a\nb"', '"a\r\n\r\nb,"', '"c,""d"" "', '"e"f', '"' + "long\n" * rng.randint(0, 30) + '"', '""', 'z""', "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16") if encoding == "utf-8" else "ü"]) for _ in range(rng.randint(1, 5))]  # noqa: B023
+            text = "h1,h2,h3" + "".join(rng.choice(["\n", "\r\n", "\n\n", "\r" if k == 4 else "\n"]) + ",".join(cells()) for _ in range(60)) + rng.choice(["", "\n", ',"never\nclosed'])
+            path = tmp_path / f"{k}.csv"
+            path.write_bytes((b"\xef\xbb\xbf" if encoding == "utf-8" and k % 2 else b"") + text.encode(encoding))
+            want = [[*(c or None for c in r[:3]), *[None] * (3 - len(r))] for r in csv.reader(io.StringIO(text, newline="")) if any(c.strip() for c in r)][1:]
+            rows, meta = read_csv(spark, str(path))
+            got = sorted(rows.collect(), key=lambda r: r["row_index"])
+            assert meta["columns"] == ["h1", "h2", "h3"] and [r["row_index"] for r in got] == list(range(len(want)))
+            assert [list(r)[1:] for r in got] == want
+            if size == 40 and k == 0:
+                assert rows.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_mapping_and_status(job):
     assert job.mapping["Mobile No."] == "mobile" and job.mapping["Extra"] is None
     got = {r["row_index"]: r["row_status"] for r in job.validated().collect()}
