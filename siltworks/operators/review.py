@@ -5,13 +5,16 @@ Edits: (seq, label, row_index, field, before, after). A batch shares its seq; th
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.exprs import blank_to_null, text
 from ..model import Contract
-from .validate import duplicates
+from ..sources.tables import written
+from .validate import validate, value_counts
 
 EDITS = "seq long, label string, row_index long, field string, before string, after string"
 
@@ -52,14 +55,65 @@ def overrides(edits: DataFrame) -> DataFrame:
     return latest.groupBy("row_index").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("v.after").alias("after")))).alias("overrides"))
 
 
-def affected_rows(before: DataFrame, after: DataFrame, contract: Contract, edited: DataFrame) -> DataFrame:
-    """(row_index): edited rows, and those whose value joined or left the duplicates of a unique field."""
-    out = edited.select("row_index")
-    for f in (f.name for f in contract.fields if f.unique):
-        was, now = duplicates(before, f), duplicates(after, f)
-        flipped = was.exceptAll(now).union(now.exceptAll(was))
-        out = out.union(after.join(flipped, F.col(f) == F.col(f"__v_{f}"), "left_semi").select("row_index"))
-    return out.distinct()
+@dataclass(frozen=True)
+class Counts:
+    """How often each value of each unique field occurs: a table written once, and a small one of what edits have changed since."""
+
+    base: DataFrame
+    changes: DataFrame | None = None
+
+    @classmethod
+    def of(cls, rows: DataFrame, contract: Contract) -> Counts:
+        return cls(written(value_counts(rows, contract)))
+
+    def at(self, values: DataFrame) -> DataFrame:
+        """(field, value, n) of the given (field, value) alone."""
+        if self.changes is None:
+            return self.base.join(values, ["field", "value"], "left_semi")
+        both = self.base.unionByName(self.changes).join(values, ["field", "value"], "left_semi")
+        return both.groupBy("field", "value").agg(F.sum("n").alias("n"))
+
+    def changed(self, changes: DataFrame) -> Counts:
+        every = changes if self.changes is None else self.changes.unionByName(changes)
+        return Counts(self.base, written(every.groupBy("field", "value").agg(F.sum("n").alias("n")).where("n <> 0")))
+
+
+def count_changes(old: DataFrame, new: DataFrame, contract: Contract) -> DataFrame:
+    """(field, value, n): by how many the values of unique fields become more or fewer as rows change."""
+    fewer = value_counts(old, contract).select("field", "value", (-F.col("n")).alias("n"))
+    return fewer.unionByName(value_counts(new, contract)).groupBy("field", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def revalidated(before: DataFrame, counts: Counts, changed: DataFrame, contract: Contract, provided: set[str]) -> tuple[DataFrame, Counts]:
+    """Validated rows, their counts, and rows that edits have changed, as ``transform`` gives them -> (the rows whose issues may be others now, validated; the counts).
+
+    Beside the changed rows these are the rows with a value of a unique field that became one of many, or the only one.
+    Only such values are looked up, and no value is counted again: the table is read by filters and joins with what changed.
+    Several rows may change at once; row_index must be unique. An edit that changes nothing gives its row as it was.
+    """
+    plain = [c for c in before.columns if c not in ("issues", "row_status")]
+    changed = written(changed.select(*plain))
+    unique = [f.name for f in contract.fields if f.unique]
+    rest = before.select(*plain)
+    affected = changed
+    if unique:
+        old = rest.join(changed.select("row_index"), "row_index", "left_semi")
+        changes = written(count_changes(old, changed, contract))
+        was = counts.at(changes.select("field", "value")).withColumnRenamed("n", "was")
+        flipped = changes.join(was, ["field", "value"], "left").select("field", "value", "n", F.coalesce("was", F.lit(0)).alias("was")).where("(was > 1) <> (was + n > 1)")
+        flipped = written(flipped.select("field", "value"))
+        others, hit = rest.join(changed.select("row_index"), "row_index", "left_anti"), F.lit(False)
+        for f in unique:
+            mine = flipped.where(F.col("field") == f).select(F.col("value").alias("__value"), F.lit(True).alias(f"__hit_{f}"))
+            others = others.join(mine, F.col(f) == F.col("__value"), "left").drop("__value")
+            hit = hit | F.coalesce(f"__hit_{f}", F.lit(False))
+        affected = written(others.where(hit).select(*plain).unionByName(changed))
+        counts = counts.changed(changes)
+        values = affected.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in unique])).alias("v")).select("v.*").distinct()
+        now = counts.at(values)
+    else:
+        now = None
+    return validate(affected, contract, provided, now).select(*before.columns), counts
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -156,16 +156,23 @@ def duplicates(rows: DataFrame, field: str) -> DataFrame:
     return counted_duplicates(rows, field).drop("n")
 
 
-def validate(rows: DataFrame, contract: Contract, provided: set[str], only: DataFrame | None = None) -> DataFrame:
+def value_counts(rows: DataFrame, contract: Contract) -> DataFrame:
+    """(field, value, n): how many rows have each value of each unique field; empty ones don't count. One pass."""
+    unique = [f.name for f in contract.fields if f.unique]
+    each = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in unique]) if unique else F.expr("cast(array() as array<struct<field:string,value:string>>)")
+    return rows.select(F.explode(each).alias("c")).select("c.*").where(~is_empty(F.col("value"))).groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def validate(rows: DataFrame, contract: Contract, provided: set[str], counts: DataFrame | None = None) -> DataFrame:
     """rows as ``transform`` gives them -> the same with ``issues`` (an array) and ``row_status``.
 
     ``provided``: fields that a column, a structure or a default fills; a required field outside them is one issue of the data set.
-    ``only`` (row_index): the rows that are wanted; the others are looked at for repeated values alone.
+    ``counts`` (field, value, n): how often the rows' values of unique fields occur in the whole table, if these are some of its rows.
     """
-    out = rows if only is None else rows.join(only.select("row_index").distinct(), "row_index", "left_semi")
+    out = rows
     for f in contract.fields:
         if f.unique:
-            out = with_duplicates(out, rows, f.name)
+            out = with_duplicates(out, rows, f.name) if counts is None else counted(out, counts, f.name)
     known = rows.schema["codes"].dataType.names if "codes" in rows.columns else []
     met = [f for f in contract.fields if f.type in ("country", "currency") and f.name not in known]
     for f in met:
@@ -175,6 +182,12 @@ def validate(rows: DataFrame, contract: Contract, provided: set[str], only: Data
     return sealed(out, "row_index").withColumn("row_status", status(F.col("issues")))
 
 
+def counted(out: DataFrame, counts: DataFrame, field: str) -> DataFrame:
+    """``out`` with a flag on the rows whose value of a field is counted more than once."""
+    again = counts.where((F.col("field") == field) & (F.col("n") > 1)).select(F.col("value").alias("__value"), F.lit(True).alias(f"__dup_{field}"))
+    return out.join(again, F.when(~is_empty(F.col(field)), F.col(field)) == F.col("__value"), "left").drop("__value")
+
+
 def with_duplicates(out: DataFrame, rows: DataFrame, field: str, most: int = 500, parts: int = 997) -> DataFrame:
     """``out`` with a flag on the rows whose value of a field repeats in ``rows``.
 

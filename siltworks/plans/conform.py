@@ -60,6 +60,7 @@ class Job:
         self._events: list[tuple] = []
         self._base: DataFrame | None = None
         self._fresh: DataFrame | None = None
+        self._counts: review.Counts | None = None
         self._built: tuple | None = None
         self.select_sheet(self.sheet)
 
@@ -76,7 +77,7 @@ class Job:
     @edits.setter
     def edits(self, edits: DataFrame | None) -> None:
         self._edits = None if edits is None else written(edits)
-        self._events, self._base, self._fresh = [], None, None
+        self._events, self._base, self._fresh, self._counts = [], None, None, None
 
     @property
     def status(self) -> str:
@@ -94,6 +95,7 @@ class Job:
         if self.contract is None:
             raise StateError("choose a contract first")
         self.mapping, self.specs, self._base, self._fresh, self.completed = mapping, suggest_transforms(self.contract, mapping), None, None, False
+        self._counts = None
 
     def _plan(self) -> tuple:
         return self.contract, tuple(self.mapping.items()), tuple(map(repr, self.specs or [])), tuple(self.defaults.items())
@@ -105,7 +107,7 @@ class Job:
             specs = suggest_transforms(self.contract, self.mapping) if self.specs is None else self.specs
             self._inferred = assemble.infer_date_order(self.rows, self.mapping, check_transforms(self.contract, specs))
             self._base = written(conform(self.rows, self.contract, self.mapping, self._inferred, self.defaults, self._edits, infer=False))
-            self._fresh, self._built = None, self._plan()
+            self._fresh, self._counts, self._built = None, None, self._plan()
         return self._base if self._fresh is None else review.merge(self._base, self._fresh)
 
     def issues(self) -> DataFrame:
@@ -131,15 +133,10 @@ class Job:
         self._edits = self.spark.createDataFrame(self._events, review.EDITS)
         mine = self.spark.createDataFrame([e for e in self._events if e[2] == row_index], review.EDITS)
         row = self.rows.where(F.col("row_index") == row_index)
-        now = assemble.transform(row, self.contract, self.mapping, self._inferred, self.defaults, review.overrides(mine)).drop("codes")
-        now = self.spark.createDataFrame(now.collect(), now.schema)  # one row
-        met = F.col("row_index") == row_index
-        for f, new in ((f.name, now.first()[f.name]) for f in self.contract.fields if f.unique):
-            if new != was[f]:
-                met = met | F.coalesce(F.col(f).isin(*[v for v in (was[f], new) if v not in (None, "")]), F.lit(False))
-        plain = view.drop("issues", "row_status")
-        after = plain.where(F.col("row_index") != row_index).unionByName(now)
-        fresh = validate(after, self.contract, self._provided(), after.where(met)).select(*view.columns)
+        now = assemble.transform(row, self.contract, self.mapping, self._inferred, self.defaults, review.overrides(mine))
+        if self._counts is None:
+            self._counts = review.Counts.of(view, self.contract)
+        fresh, self._counts = review.revalidated(view, self._counts, now, self.contract, self._provided())
         self._fresh = written(fresh if self._fresh is None else review.merge(self._fresh, fresh))
 
     def exported(self, wanted: str = "ready") -> DataFrame:

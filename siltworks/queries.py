@@ -401,10 +401,9 @@ def incremental_revalidate(spark, sf_dir):
     """Every injected duplicate id is put right; only affected rows are validated again and merged with the others."""
     before = written(flagship(spark, sf_dir))
     edited = before.where("row_index % 50 = 0 and row_index > 0").select("row_index", F.concat(F.lit("C-"), F.col("row_index").cast("string")).alias("new"))
-    plain = before.drop("issues", "row_status")
-    after = plain.join(edited, "row_index", "left").withColumn("customer_id", F.coalesce("new", "customer_id")).drop("new")
-    rows = review.affected_rows(plain, after, flagship_contract(), edited)
-    fresh = validate.validate(after, flagship_contract(), set(MAPPING.values()), rows)
+    counts = review.Counts.of(before, flagship_contract())
+    changed = before.join(edited, "row_index").withColumn("customer_id", F.col("new")).drop("new")
+    fresh, _ = review.revalidated(before, counts, changed, flagship_contract(), set(MAPPING.values()))
     merged = review.merge(before, fresh.select(*before.columns))
     return merged.select("row_index", F.exists("issues", lambda i: (i["code"] == "duplicate") & (i["field"] == "customer_id")).alias("duplicate"))
 

@@ -13,6 +13,7 @@ from siltworks.model import TransformSpec, make_contract, next_version, samples,
 from siltworks.operators import assemble, export, mapping, profile, quality, review, similarity, validate
 from siltworks.plans.conform import Job, conform
 from siltworks.sources.delimited import delimiter_of, encoding_of, headers_of, read_csv
+from siltworks.sources.tables import written
 from siltworks.sources.xlsx import read_xlsx, sheet_names, workbook, workbooks
 from siltworks.streaming import conform_stream
 from tests import slow_similarity
@@ -313,10 +314,32 @@ def test_incremental_is_a_full_run(spark):
     edits = review.edit_cell(before, 1, 4, "id", "new").union(review.edit_cell(before, 1, 9, "id", "k0"))
     full = conform(rows, contract, mapped, edits=edits)
     changed = assemble.transform(rows, contract, mapped, suggest_transforms(contract, mapped), overrides=review.overrides(edits))
-    touched = review.affected_rows(before.drop("issues", "row_status"), changed, contract, edits)
-    merged = review.merge(before, validate.validate(changed, contract, {"id", "n"}).join(touched, "row_index", "left_semi").select(*before.columns))
+    counts = review.Counts.of(before, contract)
+    edited = changed.join(edits.select("row_index").distinct(), "row_index", "left_semi")
+    fresh, counts = review.revalidated(before, counts, edited, contract, {"id", "n"})
+    merged = review.merge(before, fresh)
     pick = lambda d: sorted((r["row_index"], r["row_status"], [i["code"] for i in r["issues"]]) for r in d.collect())
-    assert pick(merged) == pick(full) and touched.count() < 20
+    assert pick(merged) == pick(full) and fresh.count() < 20
+
+
+def test_batches_of_edits_are_full_runs(spark):
+    """Values of two unique fields that become many, few, single and empty, batch after batch, on kept counts."""
+    rng = random.Random(12)
+    contract = make_contract("x", [{"name": "a", "unique": True}, {"name": "b", "unique": True, "type": "email"}, {"name": "c", "required": True}])
+    rows = spark.createDataFrame([(i, f"v{i % 7}", f"u{i % 11}@x.com" if i % 4 else None, None if i % 9 == 0 else "c") for i in range(30)], "row_index long, a string, b string, c string")
+    mapped = {n: n for n in "abc"}
+    view = written(conform(rows, contract, mapped))
+    counts = review.Counts.of(view, contract)
+    pick = lambda d: sorted((r["row_index"], r["a"], r["b"], r["c"], r["row_status"], [i["code"] for i in r["issues"]]) for r in d.collect())
+    edits = spark.createDataFrame([], review.EDITS)
+    for batch in range(4):
+        events = {(rng.randrange(30), rng.choice("abc")): rng.choice(["v0", "v1", "new", f"n{batch}", "u1@x.com", "u2@x.com", None]) for _ in range([1, 12, 3, 1][batch])}
+        edits = written(edits.union(spark.createDataFrame([(batch, "edit", r, f, None, v) for (r, f), v in events.items()], review.EDITS)))
+        now = assemble.transform(rows, contract, mapped, suggest_transforms(contract, mapped), overrides=review.overrides(edits))
+        touched = spark.createDataFrame([(r,) for r in {r for r, _ in events}], "row_index long")
+        fresh, counts = review.revalidated(view, counts, now.join(touched, "row_index", "left_semi"), contract, set(mapped))
+        view = written(review.merge(view, fresh))
+        assert pick(view) == pick(conform(rows, contract, mapped, edits=edits))
 
 
 def test_stream(spark, tmp_path):
