@@ -1,8 +1,8 @@
 """Normalizers: a text column to a struct of value and warning. All are native column expressions.
 
 A null gives null without a warning. A value that isn't understood is kept, with a warning code.
-Deviations that are intended: free-form dates are a closed set of formats; two-digit years are 1970 to 2069;
-a leading decimal point keeps its value; ISO date-times are never read day-first; phones are checked for
+Deviations that are intended: a date must be whole, year, month and day; two-digit years are 1970 to 2069;
+a leading decimal point keeps its value; dates that begin with the year are never read day-first; phones are checked for
 the regions in ``refdata`` only; e-mail syntax is a stated pattern; of a country's subdivisions nothing is known.
 """
 
@@ -154,7 +154,6 @@ def integer(c: Column) -> Column:
 
 
 SLASHED = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})$"
-_WORDS_FIRST, _DAY_FIRST = r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})$", r"^(\d{1,2}) ([A-Za-z]{3,9})\.?,? (\d{4})$"
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -165,49 +164,80 @@ def _number(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def _month(word: Column) -> Column:
-    low = F.lower(word)
-    out = text()
-    for i, name in enumerate(refdata.MONTHS):
-        out = F.when(F.lit(name).startswith(low) | ((low == "sept") if name == "september" else F.lit(False)), F.lit(str(i + 1))).otherwise(out)
-    return out
+def _year(y: Column) -> Column:
+    """Four digits of a year of two or four."""
+    return F.when(F.length(y) == 4, y).when(F.length(y) == 2, F.concat(F.when(_number(y) < 70, F.lit("20")).otherwise(F.lit("19")), y))
 
 
-def date_of(raw: Column, dayfirst: Column) -> Column:
-    """The date of a stripped text, or null: ISO, slashed (the order gives way where only the other is possible), or with a month's name."""
-    part = lambda p, i: F.regexp_extract(raw, p, i)
-    a, b, y = part(SLASHED, 1), part(SLASHED, 2), part(SLASHED, 3)
+def _numbers(a: Column, b: Column, y: Column, dayfirst: Column) -> Column:
+    """Day and month in either order, which gives way where only the other is possible, and the year."""
     day_leads = F.when((_number(a) > 12) & (_number(b) <= 12), True).when((_number(b) > 12) & (_number(a) <= 12), False).otherwise(dayfirst)
-    year = F.when(F.length(y) == 2, F.when(_number(y) < 70, F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))).otherwise(y)
-    slashed = F.when(day_leads, _date(year, b, a)).otherwise(_date(year, a, b))
-    return (
-        F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(raw, "yyyy-MM-dd"))
-        .when(raw.rlike(SLASHED), slashed)
-        .when(raw.rlike(_WORDS_FIRST), _date(part(_WORDS_FIRST, 3), _month(part(_WORDS_FIRST, 1)), part(_WORDS_FIRST, 2)))
-        .when(raw.rlike(_DAY_FIRST), _date(part(_DAY_FIRST, 3), _month(part(_DAY_FIRST, 2)), part(_DAY_FIRST, 1)))
-    )
+    return F.when(day_leads, _date(_year(y), b, a)).otherwise(_date(_year(y), a, b))
+
+
+#: A date is written of numbers and words in any of these orders: m a month's word, n a number, y one that must be a year as it has
+#: more than two digits or exceeds 31. For each the places of year, month and day.
+ORDERS = {"mny": (3, 1, 2), "mnn": (3, 1, 2), "myn": (2, 1, 3), "nmy": (3, 2, 1), "nmn": (3, 2, 1), "ymn": (1, 2, 3), "nym": (2, 3, 1), "nnm": (1, 3, 2), "ynm": (1, 3, 2), "ynn": (1, 2, 3)}
+
+
+def written_date(raw: Column, dayfirst: Column) -> Column:
+    """The date of numbers and words, or null. Between them stand spaces, commas, points, slashes or hyphens; names of days, ``on``, ``of`` and endings as in 3rd say nothing. Eight digits are year, month and day."""
+    low = F.regexp_replace(F.lower(raw), r"(?<=\d)(st|nd|rd|th)\b", "")
+    well = low.rlike(r"^(?:(?:\d{1,4}|[a-z]+)(?:[\s,.;/-]+|(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)|$)){3,6}$")
+    tokens = F.filter(F.regexp_extract_all(low, F.lit(r"\d+|[a-z]+"), F.lit(0)), lambda t: ~t.isin(*refdata.DATE_FILLERS))
+
+    def resolve(t: Column) -> Column:
+        kinds = F.array_join(F.transform(t, lambda x: F.when(x.isin(*refdata.MONTH_WORDS), "m").when(x.rlike("^[a-z]"), "?").when((F.length(x) > 2) | (_number(x) > 31), "y").otherwise("n")), "")
+        part = lambda i: F.get(t, F.lit(i - 1))
+        out = F.when(kinds.isin("nnn", "nny"), _numbers(part(1), part(2), part(3), dayfirst))
+        for order, (y, m, d) in ORDERS.items():
+            month = lookup(refdata.MONTH_WORDS, part(m)) if order[m - 1] == "m" else part(m)
+            out = out.when(kinds == order, _date(_year(part(y)), month, part(d)))
+        return out
+
+    digits = F.when(raw.rlike(r"^\d{8}$"), F.try_to_date(raw, "yyyyMMdd"))
+    return F.when(well, let(tokens, resolve)).otherwise(digits)
+
+
+def date_of(raw: Column, dayfirst: Column) -> Column:
+    """The date of a stripped text, or null: ISO, slashed, or as ``written_date`` reads it."""
+    part = lambda i: F.regexp_extract(raw, SLASHED, i)
+    iso = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(raw, "yyyy-MM-dd"))
+    return iso.when(raw.rlike(SLASHED), _numbers(part(1), part(2), part(3), dayfirst)).otherwise(written_date(raw, dayfirst))
 
 
-_CLOCK = r"^(.*?)(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?)? ?(Z|[+-]\d{2}:?\d{2})?$"
+#: The day, then hour, minute, second, half of the day and zone: an offset, Z, UTC or GMT, or a word of capitals that says nothing.
+_CLOCK = r"^(.*?)(?:(?:[ T,]| at )+(\d{1,2})(?::(\d{2}))?(?::(\d{2})(?:[.,]\d+)?)? ?([AaPp]\.?[Mm]\.?)?)? ?\(?(Z|[+-]\d{2}(?::?\d{2})?|[A-Z]{3,5})?\)?$"
+#: Only with one of these there's a clock: an hour and a minute, or an hour of a half day.
+_HAS_CLOCK = r"\d:\d{2}|\d ?[AaPp]\.?[Mm]\b"
+_COMPACT = r"^(\d{8})T?(\d{2})(\d{2})(\d{2})?(Z?)$"
 
 
 def _split_clock(raw: Column) -> Column:
     part = lambda i: F.regexp_extract(raw, _CLOCK, i)
-    return F.struct(raw.alias("raw"), F.when(raw.rlike(r"\d:\d{2}"), part(1)).otherwise(raw).alias("day"), part(2).alias("h"), part(3).alias("m"), part(4).alias("s"), F.when(raw.rlike(r"\d:\d{2}"), part(5)).otherwise(F.lit("")).alias("zone"))
+    packed = lambda i: F.regexp_extract(raw, _COMPACT, i)
+    compact, clock = raw.rlike(_COMPACT), raw.rlike(_HAS_CLOCK)
+    pick = lambda i, j, other: F.when(compact, packed(i)).when(clock, part(j)).otherwise(other)
+    nothing = F.lit("")
+    half = F.when(clock & ~compact, F.lower(F.substring(part(5), 1, 1))).otherwise(nothing)
+    hour = pick(2, 2, nothing)
+    hour = F.when(half == "p", F.when(_number(hour).between(1, 11), (_number(hour) + 12).cast("string")).when(_number(hour) == 12, hour).otherwise(F.lit("99"))).when(half == "a", F.when(_number(hour) == 12, F.lit("0")).when(_number(hour).between(1, 11), hour).otherwise(F.lit("99"))).otherwise(hour)
+    return F.struct(raw.alias("raw"), pick(1, 1, raw).alias("day"), hour.alias("h"), pick(3, 3, nothing).alias("m"), pick(4, 4, nothing).alias("s"), pick(5, 6, nothing).alias("zone"))
 
 
 def _clock_valid(x: Column) -> Column:
-    return (x["h"] == "") | ((_number(x["h"]) < 24) & (_number(x["m"]) < 60) & (F.coalesce(_number(blank_to_null(x["s"])), F.lit(0)) < 60))
+    low = lambda n, most: F.coalesce(_number(blank_to_null(x[n])), F.lit(0)) < most
+    return (x["h"] == "") | (low("h", 24) & low("m", 60) & low("s", 60))
 
 
 def date(c: Column, dayfirst: Column | bool | None = None) -> Column:
-    """ISO date. Without ``dayfirst`` (or where it's null) a slashed date that could be read both ways is read day-first, with a warning."""
+    """ISO date. Without ``dayfirst`` (or where it's null) a slashed date that could be read both ways is read day-first, with a warning, and other numbers are month-first."""
     forced = (F.lit(dayfirst) if dayfirst is None or isinstance(dayfirst, bool) else dayfirst).cast("boolean")
 
     def read(x: Column) -> Column:
         a, b = F.regexp_extract(x["day"], SLASHED, 1), F.regexp_extract(x["day"], SLASHED, 2)
         doubtful = forced.isNull() & x["day"].rlike(SLASHED) & (x["h"] == "") & (_number(a) != _number(b)) & (_number(a) <= 12) & (_number(b) <= 12)
-        found = F.when(_clock_valid(x), date_of(x["day"], F.coalesce(forced, F.lit(True))))
+        found = F.when(_clock_valid(x), date_of(x["day"], F.coalesce(forced, x["day"].rlike(SLASHED))))
         return let(found, lambda d: F.when(d.isNull(), normalized(x["raw"], F.lit("date_invalid"))).otherwise(normalized(F.date_format(d, "yyyy-MM-dd"), F.when(doubtful, F.lit("date_ambiguous")))))
 
     return F.when(c.isNull(), normalized(c)).otherwise(let(_split_clock(strip(c)), read))
@@ -220,7 +250,8 @@ def datetime(c: Column, dayfirst: Column | bool | None = None) -> Column:
     def read(x: Column) -> Column:
         found = F.when(_clock_valid(x), date_of(x["day"], F.coalesce(forced, F.lit(False))))
         two = lambda n: F.lpad(F.when(x[n] == "", F.lit("0")).otherwise(x[n]), 2, "0")
-        zone = F.when(x["zone"] == "Z", F.lit("+00:00")).otherwise(F.regexp_replace(x["zone"], r"^(...)(\d\d)$", "$1:$2"))
+        offset = F.regexp_replace(F.regexp_replace(x["zone"], r"^(...)(\d\d)$", "$1:$2"), r"^([+-]\d\d)$", "$1:00")
+        zone = F.when(x["zone"].isin("Z", "UTC", "GMT"), F.lit("+00:00")).when(x["zone"].rlike("^[A-Z]"), F.lit("")).otherwise(offset)
         return let(found, lambda d: F.when(d.isNull(), normalized(x["raw"], F.lit("datetime_invalid"))).otherwise(normalized(F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" "), two("h"), F.lit(":"), two("m"), F.lit(":"), two("s"), zone))))
 
     return F.when(c.isNull(), normalized(c)).otherwise(let(_split_clock(strip(c)), read))

@@ -285,6 +285,19 @@ def norm_date(spark, sf_dir):
     return normalized(spark, sf_dir, "raw_date", N.date)
 
 
+#: Twenty ways to write a day.
+FORMS = ("yyyy-MM-dd", "MMM d, yyyy", "MMMM d yyyy", "d MMM yyyy", "dd-MMM-yyyy", "dd/MMM/yy", "yyyy-MMM-dd", "yyyy MMMM d", "MMM-yyyy-dd", "EEE, d MMM yyyy", "EEEE, MMMM d, yyyy", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "ddMMMyyyy", "MM dd yyyy", "'on' d 'of' MMMM, yyyy", "d MMM yyyy 'at' h:mm a", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "yyyyMMdd'T'HHmmss")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS value, CAST(NULL AS varchar) AS warning, strftime(date_trunc('day', o_orderdate) + INTERVAL 13 HOUR, '%Y-%m-%d ') || CASE o_orderkey % 20 WHEN 17 THEN '13:00:00' WHEN 18 THEN '13:00:00+00:00' WHEN 19 THEN '13:00:00' ELSE '00:00:00' END AS moment FROM orders")
+def norm_written_dates(spark, sf_dir):
+    """Every order's day in one of twenty forms, by key, as a date and as a date-time."""
+    noon = F.date_trunc("day", "o_orderdate") + F.expr("interval 13 hours")
+    raw = F.get(F.array(*[F.date_format(noon, form) for form in FORMS]), (F.col("o_orderkey") % len(FORMS)).cast("int"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("d", N.date(F.col("raw"))).withColumn("t", N.datetime(F.col("raw")))
+    return orders.select("o_orderkey", "d.value", "d.warning", F.col("t.value").alias("moment"))
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || '+00:00' AS value FROM events")
 def norm_datetime(spark, sf_dir):
     raw = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123Z"))

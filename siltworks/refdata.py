@@ -50,6 +50,12 @@ CANADIAN_AREAS = "204 226 236 249 250 263 289 306 343 354 365 367 368 382 403 41
 MONTHS = "january february march april may june july august september october november december".split()
 
 
+#: A month's name, its first three letters, and sept, to its number.
+MONTH_WORDS = {w: str(i) for i, name in enumerate(MONTHS, 1) for w in (name, name[:3])} | {"sept": "9"}
+#: Words in dates that say nothing: days of the week in full and by their first letters, and these two.
+DATE_FILLERS = tuple(w for name in "monday tuesday wednesday thursday friday saturday sunday".split() for w in (name, name[:3])) + ("tues", "thur", "thurs", "on", "of")
+
+
 @lru_cache(maxsize=1)
 def _jvm_names() -> tuple[dict[str, str], dict[str, str]]:
     locale = SparkSession.active()._jvm.java.util.Locale

@@ -30,6 +30,10 @@ CASES = [
     (lambda c: N.date(c, True), [("07/08/2019", V("2019-08-07")), ("08/30/2019", V("2019-08-30"))]),
     (lambda c: N.date(c, False), [("07/08/2019", V("2019-07-08"))]),
     (N.datetime, [("2019-10-30T06:07:08Z", V("2019-10-30 06:07:08+00:00")), (W, V("2019-10-30 00:00:00")), ("07/08/2019 6:07", V("2019-07-08 06:07:00")), ("noon", ("noon", "datetime_invalid")), ("2019-10-30 06:07:08.5-0330", V("2019-10-30 06:07:08-03:30")), ("2019-10-30 06:61", ("2019-10-30 06:61", "datetime_invalid"))]),
+    (N.date, [(x, V("2019-10-30")) for x in ("Oct 30, 2019", "October 30 2019", "30 Oct 2019", "30-Oct-2019", "30/oct/19", "2019-Oct-30", "2019 October 30", "Oct-2019-30", "30 2019 Oct", "Wed, 30 Oct 2019", "Wednesday, October 30th, 2019", "30th of October 2019", "on 30 October, 2019", "2019/10/30", "2019.10.30", "20191030", "30Oct2019", "10 30 2019", "30 10 2019", "Oct. 30, 2019", "20191030T0607", "Wed Oct 30 2019", "19 30 Oct")]),
+    (N.date, [(x, (x, "date_invalid")) for x in ("Oct 2019", "30 Oct", "2019", "Octo 30 2019", "30 Oct Nov 2019", "31 Sept 2019", "the 30 Oct 2019", "30 Oct 2019 x", "2019-13-01", "Oct 30 20190", "20191330", "30--", "-", "x")]),
+    (N.date, [("03 04 2019", V("2019-03-04")), ("03/04/2019", ("2019-04-03", "date_ambiguous")), ("Sept 3 45", V("2045-09-03")), ("3 Sep 70", V("1970-09-03")), ("45-Sep-03", V("2045-09-03"))]),
+    (N.datetime, [("Oct 30, 2019 6:07 PM", V("2019-10-30 18:07:00")), ("30 Oct 2019 at 12:05 am", V("2019-10-30 00:05:00")), ("2019-10-30 12 p.m.", V("2019-10-30 12:00:00")), ("Wed, 30 Oct 2019 06:07:08 GMT", V("2019-10-30 06:07:08+00:00")), ("20191030T060708Z", V("2019-10-30 06:07:08+00:00")), ("201910300607", V("2019-10-30 06:07:00")), ("2019-10-30 06:07 EST", V("2019-10-30 06:07:00")), ("2019-10-30 06:07+02", V("2019-10-30 06:07:00+02:00")), ("2019-10-30 13:07 pm", ("2019-10-30 13:07 pm", "datetime_invalid")), ("2019-10-30 6", ("2019-10-30 6", "datetime_invalid"))]),
     (N.url, [("docs.example.org/a?b", V("https://docs.example.org/a?b")), ("two words", ("two words", "url_invalid")), ("Https://x.yz", V("Https://x.yz"))]),
     (N.guard, [("=A1", "'=A1"), ("+A1", "'+A1"), ("-A1", "'-A1"), ("@A1", "'@A1"), ("\rA1", "'\rA1"), ("-17", "-17"), ("+2,25", "+2,25"), ("-4E7", "-4E7"), ("+44 (0) 7700-900461", "+44 (0) 7700-900461"), (" @x", " @x")]),
     (N.mask, [("max.berg@mail.example.net", "m***@m***.example.net"), ("Gate 12-B", "Gate 99-B"), ("Nordlandstrasse", "No***"), ("short", "short")]),
