@@ -56,6 +56,29 @@ def email(c: Column) -> Column:
     return F.when(c.isNull(), normalized(c)).otherwise(let(strip(c), check))
 
 
+def _by_calling(of) -> dict[str, str]:
+    """For each calling code what ``of`` (trunk, national numbers) gives; the numbers of all regions that share it."""
+    shared: dict[str, tuple[str, str]] = {}
+    for _, calling, trunk, national in refdata.PHONE_REGIONS:
+        held = shared.get(calling)
+        shared[calling] = (trunk, national if held is None or held[1] == national else f"{held[1]}|{national}")
+    return {calling: of(calling, *x) for calling, x in shared.items()}
+
+
+_NATIONAL = _by_calling(lambda calling, trunk, national: national)
+_WITH_PLUS = _by_calling(lambda calling, trunk, national: f"^{calling}(?:{trunk})?({national})$")
+_AT_HOME = {region: f"^(?:{calling}|{trunk})?({national})$" if trunk else f"^(?:{calling})?({national})$" for region, calling, trunk, national in refdata.PHONE_REGIONS}
+_CALLING = {region: calling for region, calling, _, _ in refdata.PHONE_REGIONS}
+_REGION = {calling: region for region, calling, _, _ in reversed(refdata.PHONE_REGIONS)}
+_TWO = [c for c in _NATIONAL if len(c) == 2]
+
+
+def calling_code(digits: Column) -> Column:
+    """The calling code with which an international number begins; no code begins another, so its first digits tell its length."""
+    one, two = F.substring(digits, 1, 1), F.substring(digits, 1, 2)
+    return F.when(one.isin("1", "7"), one).when(two.isin(*_TWO), two).otherwise(F.substring(digits, 1, 3))
+
+
 def phone(c: Column, region: Column | str | None = None, code: Column | None = None) -> Column:
     """E.164 of a number valid in its region; ``region`` is a code or a country's name, and ``code`` what ``dimension.country_codes`` found for it."""
     if isinstance(region, str):
@@ -67,13 +90,14 @@ def phone(c: Column, region: Column | str | None = None, code: Column | None = N
 
     def parse(x: Column) -> Column:
         raw, digits, where = x["raw"], F.regexp_replace(x["raw"], r"[^0-9]", ""), x["region"]
-        e164 = text()
-        for name, calling, trunk, national in reversed(refdata.PHONE_REGIONS):
-            lead = f"(?:{trunk})?" if trunk else ""
-            with_plus = rf"^{calling}{lead}({national})$"
-            at_home = rf"^(?:{calling}|{trunk})?({national})$" if trunk else rf"^(?:{calling})?({national})$"
-            found = F.when(raw.startswith("+"), F.regexp_extract(digits, with_plus, 1)).when(where == name, F.regexp_extract(digits, at_home, 1))
-            e164 = F.when(found != "", F.concat(F.lit("+" + calling), found)).otherwise(e164)
+        plus, calling = raw.startswith("+"), calling_code(digits)
+        told = F.when(plus, F.struct(calling.alias("calling"), lookup(_WITH_PLUS, calling).alias("pattern"))).otherwise(F.struct(lookup(_CALLING, where).alias("calling"), lookup(_AT_HOME, where).alias("pattern")))
+
+        def number(t: Column) -> Column:
+            found = F.call_function("regexp_extract", digits, t["pattern"], F.lit(1))
+            return F.when(found != "", F.concat(F.lit("+"), t["calling"], found))
+
+        e164 = let(told, number)
         bad = (F.length(digits) < 6) | raw.rlike("[A-Za-z]")
         return F.when(bad, normalized(raw, F.lit("phone_invalid"))).otherwise(let(e164, lambda e: normalized(F.coalesce(e, raw), F.when(e.isNull(), F.lit("phone_unparseable")))))
 
@@ -81,13 +105,12 @@ def phone(c: Column, region: Column | str | None = None, code: Column | None = N
 
 
 def phone_region(c: Column) -> Column:
-    """The region of an E.164 number, or null."""
-    out = text()
-    for name, calling, _, national in reversed(refdata.PHONE_REGIONS):
-        if calling != "1":
-            out = F.when(c.rlike(rf"^\+{calling}(?:{national})$"), F.lit(name)).otherwise(out)
-    american = F.when(F.substring(c, 3, 3).isin(*refdata.CANADIAN_AREAS), F.lit("CA")).otherwise(F.lit("US"))
-    return F.when(c.rlike(r"^\+1[2-9]\d{2}[2-9]\d{6}$"), american).otherwise(out)
+    """The region of an E.164 number, or null. Of calling code 1, Canada is told by its area codes."""
+    digits = F.substr(c, F.lit(2))
+    calling = calling_code(digits)
+    matches = F.call_function("regexp_extract", c, F.concat(F.lit(r"^\+"), calling, F.lit("("), lookup(_NATIONAL, calling), F.lit(")$")), F.lit(1)) != ""
+    region = F.when((calling == "1") & F.substring(c, 3, 3).isin(*refdata.CANADIAN_AREAS), "CA").when((calling == "7") & F.substring(c, 3, 1).isin("6", "7"), "KZ").otherwise(lookup(_REGION, calling))
+    return F.when(matches, region)
 
 
 def country(c: Column, code: Column | None = None) -> Column:

@@ -34,16 +34,76 @@ CURRENCY_WORDS = {
     "euros": "EUR", "pound": "GBP", "pounds": "GBP", "sterling": "GBP", "shekel": "ILS", "shekels": "ILS", "nis": "ILS",
     "ruble": "RUB", "rouble": "RUB", "yen": "JPY", "yuan": "CNY", "rmb": "CNY",
 }
-# Region, calling code, trunk prefix, national numbers that are valid. Other regions aren't covered.
+# Region, calling code, trunk prefix, national numbers: from the national numbering plans that the ITU publishes (E.164), by
+# leading digits and lengths of geographic and mobile numbers, without special services. Other regions aren't covered. Of
+# regions with one calling code the first is told where nothing else decides.
 PHONE_REGIONS = (
-    ("IL", "972", "0", r"5\d{8}|7\d{8}|[23489]\d{7}"),
     ("AE", "971", "0", r"5[024568]\d{7}|[2-4679]\d{7}"),
+    ("AT", "43", "0", r"[1-9]\d{5,12}"),
+    ("AU", "61", "0", r"[2-478]\d{8}"),
+    ("BE", "32", "0", r"4\d{8}|[1-9]\d{7}"),
+    ("BG", "359", "0", r"[2-9]\d{6,8}"),
+    ("BH", "973", "", r"[136]\d{7}"),
+    ("BR", "55", "0", r"[1-9][1-9]9\d{8}|[1-9][1-9][2-5]\d{7}"),
+    ("CH", "41", "0", r"[2-9]\d{8}"),
+    ("CL", "56", "", r"[2-9]\d{8}"),
+    ("CN", "86", "0", r"1[3-9]\d{9}|10\d{8}|2\d{9}|[3-9]\d{9,10}"),
+    ("CO", "57", "", r"3\d{9}|60\d{8}"),
+    ("CY", "357", "", r"[29]\d{7}"),
+    ("CZ", "420", "", r"[2-7]\d{8}"),
+    ("DE", "49", "0", r"1[567]\d{8,9}|[2-9]\d{6,10}"),
+    ("DK", "45", "", r"[2-9]\d{7}"),
+    ("EE", "372", "", r"5\d{6,7}|[3467]\d{6}"),
+    ("EG", "20", "0", r"1[0125]\d{8}|[2-9]\d{7,8}"),
+    ("ES", "34", "", r"[6-9]\d{8}"),
+    ("FI", "358", "0", r"[1-9]\d{4,10}"),
+    ("FR", "33", "0", r"[1-9]\d{8}"),
     ("GB", "44", "0", r"7[1-57-9]\d{8}|[1-3]\d{9}|8\d{9}"),
+    ("GR", "30", "", r"2\d{9}|69\d{8}"),
+    ("HK", "852", "", r"[2-9]\d{7}"),
+    ("HR", "385", "0", r"[1-9]\d{6,8}"),
+    ("HU", "36", "06", r"[1-9]\d{7,8}"),
+    ("ID", "62", "0", r"8\d{8,11}|[2-79]\d{7,10}"),
+    ("IE", "353", "0", r"8[35-9]\d{7}|[1-79]\d{6,8}"),
+    ("IL", "972", "0", r"5\d{8}|7\d{8}|[23489]\d{7}"),
+    ("IN", "91", "0", r"[1-9]\d{9}"),
+    ("IS", "354", "", r"[4-8]\d{6}"),
+    ("IT", "39", "", r"3\d{8,9}|0\d{5,10}"),
+    ("JO", "962", "0", r"7\d{8}|[2-6]\d{7}"),
+    ("JP", "81", "0", r"[789]0\d{8}|[1-9]\d{8}"),
+    ("KR", "82", "0", r"1\d{8,9}|[2-6]\d{7,9}"),
+    ("KW", "965", "", r"[24569]\d{7}"),
+    ("LT", "370", "0", r"[3-6]\d{7}"),
+    ("LU", "352", "", r"[2-9]\d{4,10}"),
+    ("LV", "371", "", r"[26]\d{7}"),
+    ("MX", "52", "", r"[2-9]\d{9}"),
+    ("MY", "60", "0", r"1\d{8,9}|[3-9]\d{7,8}"),
+    ("NL", "31", "0", r"[1-9]\d{8}"),
+    ("NO", "47", "", r"[2-9]\d{7}"),
+    ("NZ", "64", "0", r"2\d{7,9}|[3-9]\d{7}"),
+    ("OM", "968", "", r"[279]\d{7}"),
+    ("PE", "51", "0", r"9\d{8}|[1-8]\d{7}"),
+    ("PH", "63", "0", r"9\d{9}|[2-8]\d{7,9}"),
+    ("PL", "48", "", r"[1-9]\d{8}"),
+    ("PT", "351", "", r"[239]\d{8}"),
+    ("QA", "974", "", r"[3-7]\d{7}"),
+    ("RO", "40", "0", r"[237]\d{8}"),
+    ("RS", "381", "0", r"[1-9]\d{6,9}"),
+    ("RU", "7", "8", r"[3489]\d{9}"),
+    ("KZ", "7", "8", r"[67]\d{9}"),
+    ("SA", "966", "0", r"5\d{8}|1\d{8}"),
+    ("SE", "46", "0", r"[1-9]\d{6,8}"),
+    ("SG", "65", "", r"[3689]\d{7}"),
+    ("SI", "386", "0", r"[1-7]\d{7}"),
+    ("SK", "421", "0", r"[2-59]\d{8}"),
+    ("TH", "66", "0", r"[689]\d{8}|[2-7]\d{7}"),
+    ("TR", "90", "0", r"[2-5]\d{9}"),
+    ("TW", "886", "0", r"9\d{8}|[2-8]\d{7,8}"),
+    ("UA", "380", "0", r"[3-9]\d{8}"),
     ("US", "1", "1", r"[2-9]\d{2}[2-9]\d{6}"),
     ("CA", "1", "1", r"[2-9]\d{2}[2-9]\d{6}"),
-    ("DE", "49", "0", r"1[567]\d{8,9}|[2-9]\d{6,10}"),
-    ("FR", "33", "0", r"[1-9]\d{8}"),
-    ("ES", "34", "", r"[6-9]\d{8}"),
+    ("VN", "84", "0", r"[35789]\d{8}|2\d{9}"),
+    ("ZA", "27", "0", r"[1-8]\d{8}"),
 )
 # Canadian area codes; others of calling code 1 count as US.
 CANADIAN_AREAS = "204 226 236 249 250 263 289 306 343 354 365 367 368 382 403 416 418 428 431 437 438 450 468 474 506 514 519 548 579 581 584 587 604 613 639 647 672 683 705 709 742 753 778 780 782 807 819 825 867 873 879 902 905".split()

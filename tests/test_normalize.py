@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from siltworks import refdata
 from siltworks.functions import normalize as N
 
 
@@ -38,7 +39,9 @@ CASES = [
     (N.guard, [("=A1", "'=A1"), ("+A1", "'+A1"), ("-A1", "'-A1"), ("@A1", "'@A1"), ("\rA1", "'\rA1"), ("-17", "-17"), ("+2,25", "+2,25"), ("-4E7", "-4E7"), ("+44 (0) 7700-900461", "+44 (0) 7700-900461"), (" @x", " @x")]),
     (N.mask, [("max.berg@mail.example.net", "m***@m***.example.net"), ("Gate 12-B", "Gate 99-B"), ("Nordlandstrasse", "No***"), ("short", "short")]),
     (lambda c: N.case(c, "title"), [("la rEINE mARGOT", "La Reine Margot"), ("jean-paul", "Jean-paul")]),
-    (N.phone_region, [("+491718765432", "DE"), ("+13105550177", "US"), ("+15145550177", "CA"), ("0171", None), (None, None)]),
+    (lambda c: N.phone(c, F.lit("PL")), [("+7 701 234 56 78", V("+77012345678")), ("+7 (912) 345-67-89", V("+79123456789")), ("512 345 678", V("+48512345678")), ("+353 86 123 4567", V("+353861234567")), ("+39 06 1234567", V("+39061234567")), ("+99 512 345 678", ("+99 512 345 678", "phone_unparseable")), ("+852 2123 4567", V("+85221234567")), ("+386 (0)1 234 56 78", V("+38612345678"))]),
+    (lambda c: N.phone(c, F.lit("Hungary")), [("06 20 123 4567", V("+36201234567")), ("0036", ("0036", "phone_invalid"))]),
+    (N.phone_region, [("+77012345678", "KZ"), ("+79123456789", "RU"), ("+85221234567", "HK"), ("+4812", None), ("48512345678", None), ("+491718765432", "DE"), ("+13105550177", "US"), ("+15145550177", "CA"), ("0171", None), (None, None)]),
 ]
 
 
@@ -60,3 +63,11 @@ def test_total_and_idempotent(spark, texts):
         once = df.select(N.BY_TYPE[kind](F.col("c")).alias("r")).where("r.warning is null").select(F.col("r.value").alias("v"))
         twice = once.select("v", N.BY_TYPE[kind](F.col("v")).alias("r")).where("r.value <> v or r.warning is not null")
         assert twice.isEmpty(), (kind, twice.collect())
+
+
+def test_phone_plans():
+    """Calling codes are prefix-free, and a region stands once."""
+    codes = {c for _, c, _, _ in refdata.PHONE_REGIONS}
+    assert len(refdata.PHONE_REGIONS) >= 60 and len({r for r, *_ in refdata.PHONE_REGIONS}) == len(refdata.PHONE_REGIONS)
+    assert not any(a != b and b.startswith(a) for a in codes for b in codes)
+    assert all(len(c) == (1 if c in "17" else 2 if len(c) == 2 else 3) for c in codes)
