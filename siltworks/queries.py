@@ -202,10 +202,15 @@ def import_report(spark, sf_dir):
     return export.report(v, validate.issue_rows(v), "Customer", "customers.csv").select("rows", "ready", "warning", "error", "exported", F.get("top_issues", F.lit(0))["code"].alias("first_code"))
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS row_index, -1 AS seq, 'status' AS field, 'ERROR' AS severity, 'required_field_unmapped' AS code, 'Required field \"Status\" is not mapped to any column' AS message, CAST(NULL AS VARCHAR) AS original_value")
+@query("""WITH t AS (SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1)
+SELECT segment, n, 'status' AS field, 'ERROR' AS severity, 'required_field_unmapped' AS code, 'Required field "Status" is not mapped to any column' AS message FROM t""")
 def dataset_issues(spark, sf_dir):
+    """The issues of the data set beside the rows of each segment, of which every row lacks the same fields."""
     contract = make_contract("Orders", [{"name": "order_id", "required": True}, {"name": "status", "required": True}, {"name": "source", "required": True, "default": "web"}])
-    return validate.dataset_issues(spark, contract, {"order_id"})
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_index"), F.col("c_mktsegment").alias("order_id"))
+    v = conform(rows, contract, {"order_id": "order_id"})
+    whole = validate.all_issues(v, contract, {"order_id"}).where("row_index is null").select("field", "severity", "code", "message")
+    return v.groupBy(F.col("order_id").alias("segment")).agg(F.count("*").alias("n")).join(F.broadcast(whole))
 
 
 # ---- normalizers
@@ -443,54 +448,122 @@ def profile_examples(spark, sf_dir):
     return profile.profile(dirty_customer(spark, sf_dir), PROFILED).select("column", F.array_join("examples", "|").alias("examples"))
 
 
-@query("SELECT * FROM (VALUES ('raw_name', 'string'), ('raw_email', 'email'), ('raw_country', 'string'), ('raw_date', 'date'), ('raw_bool', 'string'), ('raw_amount', 'string')) t(\"column\", detected_type)")
+_TYPED = ", ".join(f"sum(CASE WHEN regexp_matches(trim(v), '{p}') THEN 1 ELSE 0 END) / count(*) AS {n}" for n, p in (
+    ("mails", "^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$"), ("urls", "^(?i:https?://)"), ("bools", "^(?i:true|false|yes|no|y|n|1|0)$"), ("days", "^(\\d{4}-\\d{2}-\\d{2}|\\d{1,2}[./-]\\d{1,2}[./-]\\d{2,4}|[A-Za-z]{3,9} \\d{1,2},? \\d{4})$"), ("wholes", "^[+-]?\\d{1,18}$"), ("numbers", "^[+-]?[\\d.,\\s]*\\d[\\d.,]*$"), ("codes", "^[A-Za-z]{2,3}$")))
+
+
+@query(f"""WITH {DC}, u AS ({_CELLS}), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY row_index) AS k FROM u WHERE trim(v) <> ''), t AS (SELECT "column", {_TYPED} FROM r WHERE k <= 500 GROUP BY 1)
+SELECT "column", CASE WHEN mails >= 0.8 THEN 'email' WHEN bools >= 0.95 THEN 'boolean' WHEN urls >= 0.8 THEN 'url' WHEN days >= 0.8 THEN 'date' WHEN wholes >= 0.9 THEN 'integer' WHEN numbers >= 0.9 THEN 'decimal' WHEN codes >= 0.9 THEN 'country_code' ELSE 'string' END AS detected_type FROM t""")
 def profile_type(spark, sf_dir):
     return profile.profile(dirty_customer(spark, sf_dir), PROFILED).select("column", "detected_type")
 
 
-# ---- mapping
+# ---- twins of the similarity scores in SQL: all pairs, by the recurrence on bits
+def _lcs(a: str, b: str) -> str:
+    full = f"((CAST(1 AS BIGINT) << length({a})) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda c: CAST(coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)), 0) AS BIGINT))"
+    return f"(length({a}) - bit_count(list_reduce(list_concat([{full}], {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 200.0 * {_lcs(a, b)} / (length({a}) + length({b})) END"
+
+
+def _partial(short: str, long: str) -> str:
+    part = f"{long}[greatest(w, 0) + 1:w + length({short})]"
+    return f"list_max(list_transform(range(1 - length({short}), length({long})), lambda w: {_ratio(short, part)}))"
+
+
+_ORDERED = "array_to_string(list_sort(list_filter(string_split(lower({0}), ' '), lambda w: w <> '')), ' ')"
+_WORDSET = "list_distinct(list_filter(string_split(lower({0}), ' '), lambda w: w <> ''))"
+_AS_TEXT = "array_to_string(list_sort({0}), ' ')"
+#: Over v (value) and d (name, code): the best name of 80 or more. Where lengths differ by half or more, windows count.
+NEAREST = f"""vv AS MATERIALIZED (SELECT value, lower(value) AS a, {_ORDERED.format("value")} AS sa, {_WORDSET.format("value")} AS wa FROM v),
+dd AS MATERIALIZED (SELECT name, code, lower(name) AS b, {_ORDERED.format("name")} AS sb, {_WORDSET.format("name")} AS wb FROM d),
+pairs AS MATERIALIZED (SELECT value, name, code, a, b, sa, sb, greatest(length(a), length(b)) / least(length(a), length(b)) AS longer, {_AS_TEXT.format("list_filter(wa, lambda w: list_contains(wb, w))")} AS same,
+  {_AS_TEXT.format("list_filter(wa, lambda w: NOT list_contains(wb, w))")} AS xa, {_AS_TEXT.format("list_filter(wb, lambda w: NOT list_contains(wa, w))")} AS xb,
+  {_AS_TEXT.format("wa")} AS ta, {_AS_TEXT.format("wb")} AS tb FROM vv, dd),
+more AS MATERIALIZED (SELECT *, same || ' ' || xa AS ya, same || ' ' || xb AS yb, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS p, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS q,
+  CASE WHEN length(sa) <= length(sb) THEN sa ELSE sb END AS sp, CASE WHEN length(sa) <= length(sb) THEN sb ELSE sa END AS sq, CASE WHEN length(ta) <= length(tb) THEN ta ELSE tb END AS tp, CASE WHEN length(ta) <= length(tb) THEN tb ELSE ta END AS tq FROM pairs),
+scored AS MATERIALIZED (SELECT value, name, code, {_ratio("a", "b")} AS plain, longer, CASE WHEN longer >= 1.5 THEN 0.0 ELSE {_ratio("sa", "sb")} END AS ordered,
+  CASE WHEN same <> '' AND (xa = '' OR xb = '') THEN 100.0 WHEN same = '' THEN {_ratio("ta", "tb")} ELSE greatest({_ratio("ya", "yb")}, {_ratio("same", "ya")}, {_ratio("same", "yb")}) END AS sets,
+  CASE WHEN longer >= 1.5 AND longer < 8 THEN greatest(0.9 * {_partial("p", "q")}, 0.855 * {_partial("sp", "sq")}, 0.855 * CASE WHEN same <> '' THEN 100.0 ELSE {_partial("tp", "tq")} END) ELSE 0.0 END AS windows FROM more),
+nearest AS (SELECT value, code FROM (SELECT value, code, row_number() OVER (PARTITION BY value ORDER BY s DESC, name DESC) AS k FROM (SELECT *, round(greatest(plain, CASE WHEN longer < 1.5 THEN 0.95 * greatest(ordered, sets) ELSE windows END), 9) AS s FROM scored) WHERE s >= 80) WHERE k = 1)"""
+# ---- mapping: headers and contracts of the words in the names of parts
+_ADJECTIVES, _NOUNS = "blue cold hot large new old red small".split(), "anvil bolt gear gizmo plate ring rod widget".split()
+
+
 def _contract():
-    return make_contract("x", [{"name": "customer_ref", "aliases": "ref"}, {"name": "email", "type": "email", "aliases": "e-mail address, mail"}, {"name": "phone", "type": "phone", "display_name": "Mobile no"}, {"name": "created_at", "type": "date", "aliases": "joined"}])
+    """A field for each pair of words, told by the words turned round and by an alias."""
+    return make_contract("Parts", [{"name": f"{a}_{n}", "display_name": f"{n} ({a})", "aliases": f"{a} type {n}", "allow_multiple_sources": a == "blue"} for a in _ADJECTIVES for n in _NOUNS])
+
 
+def _headers(spark, sf_dir):
+    """source, k: each part's name as a header, written in one of six ways by its key."""
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") % 6).alias("k"), *[F.split("p_name", " ")[i].alias(n) for i, n in enumerate("an")])
+    forms = ["a || '_' || n", "'The ' || upper(n) || ' No. (' || a || ')'", "initcap(a) || '-type ' || n", "'m:' || a || n", "'zq' || n || 'kx'", "a || ' ' || n"]
+    return parts.select(F.expr("case k " + " ".join(f"when {i} then {f}" for i, f in enumerate(forms)) + " end").alias("source"), "k", "a", "n").distinct()
 
-def _sources(spark):
-    return spark.createDataFrame([(h, i, "string") for i, h in enumerate(["customer_ref", "E-mail Address", "Mobile No.", "Joined", "Zzz"])], "source string, ordinal int, detected string")
 
+_HEADERS = """h AS (SELECT DISTINCT p_partkey % 6 AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS n FROM part),
+s AS (SELECT *, CASE k WHEN 0 THEN a || '_' || n WHEN 1 THEN 'The ' || upper(n) || ' No. (' || a || ')' WHEN 2 THEN upper(a[1]) || a[2:] || '-type ' || n WHEN 3 THEN 'm:' || a || n WHEN 4 THEN 'zq' || n || 'kx' ELSE a || ' ' || n END AS source FROM h)"""
 
-@query("SELECT * FROM (VALUES ('customer_ref', 'customer_ref', 'HIGH', 'exact'), ('E-mail Address', 'email', 'HIGH', 'alias'), ('Mobile No.', 'phone', 'HIGH', 'normalized'), ('Joined', 'email', 'HIGH', 'saved')) t(source, target, confidence, method)")
+
+@query(f"WITH {_HEADERS} SELECT source, CASE WHEN k = 3 THEN 'blue_' || n ELSE a || '_' || n END AS target, 'HIGH' AS confidence, CASE k WHEN 1 THEN 'normalized' WHEN 2 THEN 'alias' WHEN 3 THEN 'saved' ELSE 'exact' END AS method FROM s WHERE k <> 4")
 def map_ladder(spark, sf_dir):
-    memory = spark.createDataFrame([("joined", "email")], "key string, target string")
-    return mapping.by_key(_sources(spark), mapping.target_names(spark, _contract()), memory)
+    """Saved pairs, kept under the header as written, lead to the blue thing of the same kind."""
+    sources = _headers(spark, sf_dir)
+    memory = sources.where("k = 3").select(F.col("source").alias("key"), F.concat(F.lit("blue_"), "n").alias("target"))
+    return mapping.by_key(sources.select("source", F.lit(0).alias("ordinal"), F.lit("string").alias("detected")), mapping.target_names(spark, _contract()), memory)
 
 
-@query("SELECT * FROM (VALUES ('customer_ref', 'customer_ref', 'HIGH', 'exact', 0), ('E-mail Address', 'email', 'HIGH', 'alias', 1), ('Mobile No.', 'phone', 'HIGH', 'normalized', 2), ('Joined', 'created_at', 'HIGH', 'alias', 3), ('Zzz', NULL, 'UNMAPPED', 'none', 4)) t(source, target, confidence, method, ordinal)")
+@query(f"""WITH {_HEADERS}, o AS (SELECT source, k, a, n, CAST(row_number() OVER (ORDER BY source) - 1 AS integer) AS ordinal FROM s WHERE k IN (0, 4) AND a <> 'blue' GROUP BY source, k, CASE WHEN k = 0 THEN a END, a, n),
+f AS (SELECT DISTINCT ON (source) source, k, a, n FROM o) SELECT source, CASE WHEN k = 0 THEN a || '_' || n END AS target, CASE WHEN k = 0 THEN 'HIGH' ELSE 'UNMAPPED' END AS confidence, CASE WHEN k = 0 THEN 'exact' ELSE 'none' END AS method, CAST(row_number() OVER (ORDER BY source) - 1 AS integer) AS ordinal FROM f""")
 def map_suggest(spark, sf_dir):
-    return mapping.suggest(_sources(spark), _contract())
+    """One file's headers: those that are names, and those like none. A header met twice is one."""
+    one = _headers(spark, sf_dir).where("k in (0, 4) and a <> 'blue'").select("source").distinct()
+    sources = one.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("ordinal"), F.lit("string").alias("detected"))  # a row a header
+    return mapping.suggest(sources, _contract())
 
 
-@query()
+_FUZZY_FIELDS = (("ring_size", "integer"), ("bolt_color", "string"), ("gear_hot", "decimal"), ("widget", "email"), ("small_anvil_no", "string"), ("red", "enum"))
+
+
+@query(f"""WITH v AS (SELECT DISTINCT p_name AS value FROM part), d(name, code) AS (VALUES {", ".join(f"('{n.replace('_', ' ')}', '{n}')" for n, _ in _FUZZY_FIELDS)}), k(code, type) AS (VALUES {", ".join(map(str, _FUZZY_FIELDS))}), {NEAREST},
+b AS (SELECT value, code, greatest(sets, plain, CASE WHEN longer < 1.5 THEN 0.95 * greatest(ordered, sets) ELSE windows END) AS s FROM scored)
+SELECT value AS source, code AS target, round(CASE WHEN type IN ('integer', 'decimal', 'string') THEN least(s + 6, 100.0) WHEN type = 'enum' THEN s ELSE s - 15 END, 6) AS score FROM b JOIN k USING (code)""")
 def map_fuzzy(spark, sf_dir):
-    """Every column of the driver's customers against the contract's names: scores have no SQL."""
-    columns = table(spark, sf_dir, "customer").columns
-    sources = spark.createDataFrame([(c, i, "string") for i, c in enumerate(columns)], "source string, ordinal int, detected string")
-    return mapping.fuzzy_scores(sources, mapping.target_names(spark, _contract())).select("source", "target", "score")
+    """Names of parts, taken for columns of whole numbers, against six fields."""
+    contract = make_contract("x", [{"name": n, "display_name": n.replace("_", " "), "type": t, **({"rules": {"enum": ["x"]}} if t == "enum" else {})} for n, t in _FUZZY_FIELDS])
+    sources = table(spark, sf_dir, "part").select(F.col("p_name").alias("source"), F.lit(0).alias("ordinal"), F.lit("integer").alias("detected")).distinct()
+    return mapping.fuzzy_scores(sources, mapping.target_names(spark, contract)).select("source", "target", F.round("score", 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('email', 'E-mail,Mail')) t(target, sources)")
+@query("SELECT lower(p_type) || '_' || split_part(p_name, ' ', 2) AS target, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS sources FROM part WHERE p_type IN ('LARGE', 'SMALL') GROUP BY 1 HAVING count(DISTINCT p_name) > 1")
 def map_conflicts(spark, sf_dir):
-    pairs = spark.createDataFrame([("Mail", "email"), ("E-mail", "email"), ("Ref", "customer_ref"), ("x", None)], "source string, target string")
-    return mapping.conflicts(pairs, _contract()).select("target", F.array_join("sources", ",").alias("sources"))
+    """Names mapped to a field by type and kind: all conflict but what goes to blue fields, which may have several sources."""
+    part = table(spark, sf_dir, "part").where("p_type in ('LARGE', 'SMALL')")
+    kind = F.split("p_name", " ")[1]
+    pairs = part.select(F.col("p_name").alias("source"), F.concat(F.lower("p_type"), F.lit("_"), kind).alias("target")).distinct()
+    several = part.select(F.col("p_name").alias("source"), F.concat(F.lit("blue_"), kind).alias("target")).distinct()
+    return mapping.conflicts(pairs.union(several), _contract()).select("target", F.array_join("sources", ",").alias("sources"))
 
 
-@query("SELECT * FROM (VALUES ('Ref', 'customer_ref', 'HIGH', 'template', 0), ('Other', NULL, 'UNMAPPED', 'template', 1)) t(source, target, confidence, method, ordinal)")
+@query(f"WITH {_HEADERS}, t AS (SELECT DISTINCT p_type, split_part(p_name, ' ', 1) || split_part(p_name, ' ', 2) AS key FROM part WHERE p_type = 'PROMO') SELECT source, min(p_type) AS target, CASE WHEN min(p_type) IS NULL THEN 'UNMAPPED' ELSE 'HIGH' END AS confidence, 'template' AS method, 0 AS ordinal FROM s LEFT JOIN t ON k IN (0, 5) AND key = a || n GROUP BY source")
 def template_apply(spark, sf_dir):
-    return mapping.apply_template(spark.createDataFrame([("Ref", 0), ("Other", 1)], "source string, ordinal int"), spark.createDataFrame([("ref", "customer_ref")], "key string, target string"))
+    """A template of the names of promoted parts on all headers."""
+    pairs = table(spark, sf_dir, "part").where("p_type = 'PROMO'").select(mapping.header_key(F.col("p_name")).alias("key"), F.col("p_type").alias("target")).distinct()
+    return mapping.apply_template(_headers(spark, sf_dir).select("source", F.lit(0).alias("ordinal")).distinct(), pairs)
 
 
-@query("SELECT * FROM (VALUES ('s', 'mail', 'email', 3), ('s', 'ref', 'customer_ref', 1), ('s', 'tel', 'phone', 1), ('s', 'old', 'x', 5)) t(schema, key, target, hits)")
+@query("""WITH m AS (SELECT p_brand AS schema, replace(p_name, ' ', '') AS key, min(p_type) AS target, count(*) AS hits FROM part WHERE p_partkey % 3 > 0 GROUP BY 1, 2), c AS (SELECT p_brand AS schema, replace(p_name, ' ', '') AS key, max(p_type) AS new FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2)
+SELECT coalesce(m.schema, c.schema) AS schema, coalesce(m.key, c.key) AS key, coalesce(new, target) AS target, CASE WHEN new IS NULL THEN hits WHEN target = new THEN hits + 1 ELSE 1 END AS hits FROM m FULL JOIN c ON m.schema = c.schema AND m.key = c.key""")
 def memory_upsert(spark, sf_dir):
-    memory = spark.createDataFrame([("s", "mail", "email", 2), ("s", "ref", "id", 4), ("s", "old", "x", 5)], "schema string, key string, target string, hits long")
-    return mapping.remember(memory, spark.createDataFrame([("s", "Mail", "email"), ("s", "Ref", "customer_ref"), ("s", "Tel", "phone"), ("s", "No", None)], "schema string, source string, target string"))
+    """Types of parts as targets of their names, for each brand: what was known, and what's confirmed now."""
+    part = table(spark, sf_dir, "part")
+    memory = part.where("p_partkey % 3 > 0").groupBy(F.col("p_brand").alias("schema"), mapping.header_key(F.col("p_name")).alias("key")).agg(F.min("p_type").alias("target"), F.count("*").alias("hits"))
+    confirmed = part.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("schema"), F.initcap("p_name").alias("source")).agg(F.max("p_type").alias("target"))
+    return mapping.remember(memory, confirmed.union(part.select("p_brand", F.concat(F.lit("ignored "), "p_name"), F.lit(None).cast("string")).distinct()))
 
 
 def _misspelt(named):
@@ -510,37 +583,6 @@ def country_suggest(spark, sf_dir):
     return similarity.nearest_names(_misspelt(named), names, 80)
 
 
-# ---- twins of the similarity scores in SQL: all pairs, by the recurrence on bits
-def _lcs(a: str, b: str) -> str:
-    full = f"((CAST(1 AS BIGINT) << length({a})) - 1)"
-    masks = f"list_transform(string_split({b}, ''), lambda c: CAST(coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)), 0) AS BIGINT))"
-    return f"(length({a}) - bit_count(list_reduce(list_concat([{full}], {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
-
-
-def _ratio(a: str, b: str) -> str:
-    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 200.0 * {_lcs(a, b)} / (length({a}) + length({b})) END"
-
-
-def _partial(short: str, long: str) -> str:
-    part = f"{long}[greatest(w, 0) + 1:w + length({short})]"
-    return f"list_max(list_transform(range(1 - length({short}), length({long})), lambda w: {_ratio(short, part)}))"
-
-
-_ORDERED = "array_to_string(list_sort(list_filter(string_split(lower({0}), ' '), lambda w: w <> '')), ' ')"
-_WORDSET = "list_distinct(list_filter(string_split(lower({0}), ' '), lambda w: w <> ''))"
-_AS_TEXT = "array_to_string(list_sort({0}), ' ')"
-#: Over v (value) and d (name, code): the best name of 80 or more. Where lengths differ by half or more, windows count.
-NEAREST = f"""vv AS MATERIALIZED (SELECT value, lower(value) AS a, {_ORDERED.format("value")} AS sa, {_WORDSET.format("value")} AS wa FROM v),
-dd AS MATERIALIZED (SELECT name, code, lower(name) AS b, {_ORDERED.format("name")} AS sb, {_WORDSET.format("name")} AS wb FROM d),
-pairs AS MATERIALIZED (SELECT value, name, code, a, b, sa, sb, greatest(length(a), length(b)) / least(length(a), length(b)) AS longer, {_AS_TEXT.format("list_filter(wa, lambda w: list_contains(wb, w))")} AS same,
-  {_AS_TEXT.format("list_filter(wa, lambda w: NOT list_contains(wb, w))")} AS xa, {_AS_TEXT.format("list_filter(wb, lambda w: NOT list_contains(wa, w))")} AS xb,
-  {_AS_TEXT.format("wa")} AS ta, {_AS_TEXT.format("wb")} AS tb FROM vv, dd),
-more AS MATERIALIZED (SELECT *, same || ' ' || xa AS ya, same || ' ' || xb AS yb, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS p, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS q,
-  CASE WHEN length(sa) <= length(sb) THEN sa ELSE sb END AS sp, CASE WHEN length(sa) <= length(sb) THEN sb ELSE sa END AS sq, CASE WHEN length(ta) <= length(tb) THEN ta ELSE tb END AS tp, CASE WHEN length(ta) <= length(tb) THEN tb ELSE ta END AS tq FROM pairs),
-scored AS MATERIALIZED (SELECT value, name, code, {_ratio("a", "b")} AS plain, longer, CASE WHEN longer >= 1.5 THEN 0.0 ELSE {_ratio("sa", "sb")} END AS ordered,
-  CASE WHEN same <> '' AND (xa = '' OR xb = '') THEN 100.0 WHEN same = '' THEN {_ratio("ta", "tb")} ELSE greatest({_ratio("ya", "yb")}, {_ratio("same", "ya")}, {_ratio("same", "yb")}) END AS sets,
-  CASE WHEN longer >= 1.5 AND longer < 8 THEN greatest(0.9 * {_partial("p", "q")}, 0.855 * {_partial("sp", "sq")}, 0.855 * CASE WHEN same <> '' THEN 100.0 ELSE {_partial("tp", "tq")} END) ELSE 0.0 END AS windows FROM more),
-nearest AS (SELECT value, code FROM (SELECT value, code, row_number() OVER (PARTITION BY value ORDER BY s DESC, name DESC) AS k FROM (SELECT *, round(greatest(plain, CASE WHEN longer < 1.5 THEN 0.95 * greatest(ordered, sets) ELSE windows END), 9) AS s FROM scored) WHERE s >= 80) WHERE k = 1)"""
 _MISSPELT = """m AS (SELECT p_name AS name, p_partkey AS k FROM part), cut AS (SELECT k, substr(name, 1, CAST(k % length(name) AS INTEGER)) || substr(name, CAST(k % length(name) AS INTEGER) + 2) AS v FROM m),
 v AS (SELECT DISTINCT value FROM (SELECT CASE WHEN k % 3 = 0 AND contains(v, ' ') THEN regexp_replace(v, '^[^ ]* +', '') || ' ' || regexp_extract(v, '^[^ ]*') ELSE v END AS value FROM cut) WHERE length(value) >= 3),
 d AS (SELECT p_name AS name, 'name' AS code FROM part UNION SELECT p_type, 'type' FROM part)"""
