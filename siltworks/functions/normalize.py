@@ -292,11 +292,13 @@ def url(c: Column) -> Column:
 BY_TYPE: dict[str, Normalizer] = {"email": email, "phone": phone, "country": country, "currency": currency, "boolean": boolean, "decimal": decimal, "integer": integer, "date": date, "datetime": datetime, "url": url}
 
 
+# What of the cells that begin as a formula does is a number or a phone number.
+NUMBERS = r"[+-]?(\d+([.,]\d+)?|[.,]\d+)([eE][+-]?\d+)?|\+\d[\d\s\-()]{5,}"
+
+
 def guard(c: Column) -> Column:
     """A quote before what a spreadsheet would take for a formula; numbers and phone numbers stay."""
-    numeric = strip(c).rlike(r"^[+-]?(\d+([.,]\d+)?|[.,]\d+)([eE][+-]?\d+)?$")
-    number = strip(c).rlike(r"^\+\d[\d\s\-()]{5,}$")
-    return F.when(c.rlike(r"^[=+\-@\t\r]") & ~numeric & ~number, F.concat(F.lit("'"), c)).otherwise(c)
+    return F.when(c.rlike(r"^[=+\-@\t\r]") & ~strip(c).rlike(f"^({NUMBERS})$"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
 def mask(c: Column) -> Column:

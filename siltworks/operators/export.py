@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Sequence
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.normalize import guard
-from ..model import ERROR
-from .quality import top_issues
+from ..functions.exprs import text
+from ..functions.normalize import NUMBERS, guard
+from ..model import ERROR, TransformSpec
 
 
 def scope(validated: DataFrame, wanted: str) -> DataFrame:
@@ -71,9 +75,28 @@ def error_rows(validated: DataFrame, fields: list[str]) -> DataFrame:
     return validated.where(F.size(errors) > 0).select((F.col("row_index") + 2).alias("_row"), told.alias("_issues"), *[guard(F.col(f)).alias(f) for f in fields])
 
 
-def report(validated: DataFrame, issues: DataFrame, contract_name: str, file_name: str, limit: int = 8) -> DataFrame:
-    """One row: counts and the top issues."""
+def report(validated: DataFrame, issues: DataFrame, contract_name: str, file_name: str, limit: int = 8, *, scope: str = "ready", mapping: dict[str, str | None] | None = None, specs: Sequence[TransformSpec] = (), template: str | None = None, generated_at: datetime | None = None, job_id: str | None = None) -> DataFrame:
+    """One row: when and of what, counts, what a scope exports, the mapping, the transformations in effect and the top issues with their messages."""
     of = lambda s: F.count_if(F.col("row_status") == s)
     totals = validated.agg(F.count("*").alias("rows"), of("ready").alias("ready"), of("warning").alias("warning"), of("error").alias("error"))
-    top = top_issues(issues, limit).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "code", "field", "severity", "n"))).alias("top_issues"))
-    return totals.join(F.broadcast(top), how="left").select(F.lit(contract_name).alias("contract"), F.lit(file_name).alias("file"), "rows", "ready", "warning", "error", (F.col("ready") + F.col("warning")).alias("exported"), F.transform("top_issues", lambda t: t.dropFields("order")).alias("top_issues"))
+    first = F.min(F.struct(F.coalesce("row_index", F.lit(-1)).alias("r"), F.col("seq"), F.col("message")))
+    ranked = issues.groupBy("code", "severity", "field").agg(F.count("*").alias("n"), first.alias("first")).orderBy(F.desc("n"), "first").limit(limit)
+    top = ranked.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), F.col("first"), "code", "field", "severity", F.col("first.message").alias("message"), "n"))).alias("top_issues"))
+    strings = lambda rows, *names: F.array(*[F.struct(*[text(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]) if rows else F.expr(f"cast(array() as array<struct<{','.join(f'{n}:string' for n in names)}>>)")
+    pairs = strings(list((mapping or {}).items()), "source", "target")
+    steps = strings([(s.kind, s.target, s.label) for s in specs if s.enabled], "kind", "target", "label")
+    exported = {"ready": F.col("ready") + F.col("warning"), "errors": F.col("error")}.get(scope, F.col("rows"))
+    share = F.when(F.col("rows") > 0, F.round(F.lit(100.0) * F.col("ready") / F.col("rows"), 1)).otherwise(0.0)
+    head = (F.lit(generated_at or datetime.now(UTC).replace(microsecond=0, tzinfo=None)).cast("timestamp_ntz").alias("generated_at"), text(job_id).alias("job_id"), F.lit(contract_name).alias("contract"), F.lit(file_name).alias("file"), text(template).alias("template"))
+    return totals.join(F.broadcast(top), how="left").select(*head, "rows", "ready", "warning", "error", share.alias("ready_pct"), F.lit(scope).alias("scope"), exported.alias("exported"), pairs.alias("mapping"), steps.alias("transformations"), F.transform("top_issues", lambda t: t.dropFields("order", "first")).alias("top_issues"))
+
+
+def report_rows(told: Row) -> list[tuple[str, str]]:
+    """A report as the rows of a sheet: names and values, then the mapping, the transformations and the top issues under their own heads, cells guarded."""
+    safe = lambda v: "'" + v if v[:1] in "=+-@\t\r" and not re.fullmatch(NUMBERS, v.strip()) else v
+    names = (("Generated at", "generated_at"), ("Source file", "file"), ("Contract", "contract"), ("Template", "template"), ("Rows in file", "rows"), ("Ready", "ready"), ("Warnings", "warning"), ("Errors", "error"), ("Exported rows", "exported"), ("Scope", "scope"))
+    out = [(name, safe(str(told[c]))) for name, c in names if told[c] is not None]
+    parts = (("Mapping", [(m["source"], m["target"] or "(ignored)") for m in told["mapping"]]), ("Transformations", [(t["kind"], t["label"] or t["target"] or "") for t in told["transformations"]]), ("Top issues", [(i["message"], str(i["n"])) for i in told["top_issues"]]))
+    for head, rows in parts:
+        out += [("", ""), (head, ""), *[(safe(a), safe(b)) for a, b in rows]]
+    return out

@@ -85,7 +85,7 @@ Provider = Callable[[list[dict], list[dict]], dict[str, tuple[str, str]]]
 
 
 def suggest(sources: DataFrame, contract: Contract, memory: DataFrame | None = None, provider: Provider | None = None) -> DataFrame:
-    """sources (source, ordinal, detected) of one file -> (source, target, confidence, method, ordinal), every source once, in order.
+    """sources (source, ordinal, detected) of one file -> (source, target, confidence, method, ordinal, confirmed), every source once, in order; what's sure (HIGH) counts as confirmed.
 
     ``provider``: an optional callable from unresolved sources and free targets to {source: (target, high or other)}; its errors
     and unknown targets are ignored.
@@ -118,8 +118,8 @@ def suggest(sources: DataFrame, contract: Contract, memory: DataFrame | None = N
             if s in left and target in {f.name for f in free} - taken:
                 done[s] = (target, MEDIUM if sure == "high" else LOW, "ai")
                 taken.add(target)
-    rows = [(s, *done.get(s, (None, UNMAPPED, "none")), r["ordinal"]) for s, r in headers.items()]
-    return spark.createDataFrame(rows, "source string, target string, confidence string, method string, ordinal int").orderBy("ordinal")
+    rows = [(s, *(d := done.get(s, (None, UNMAPPED, "none"))), r["ordinal"], d[1] == HIGH) for s, r in headers.items()]
+    return spark.createDataFrame(rows, "source string, target string, confidence string, method string, ordinal int, confirmed boolean").orderBy("ordinal")
 
 
 def conflicts(mapping: DataFrame, contract: Contract) -> DataFrame:
@@ -139,7 +139,7 @@ def confirm(mapping: DataFrame, manual: dict[str, str | None], contract: Contrac
         given = spark.createDataFrame([(s, t) for s, t in manual.items()], "source string, given string").withColumn("set", F.lit(True))
         merged = mapping.join(F.broadcast(given), "source", "left")
         pick = lambda a, b: F.when(F.col("set"), a).otherwise(b)
-        mapping = merged.select("source", pick(F.col("given"), F.col("target")).alias("target"), pick(F.when(F.col("given").isNull(), UNMAPPED).otherwise(HIGH), F.col("confidence")).alias("confidence"), pick(F.lit("manual"), F.col("method")).alias("method"), "ordinal")
+        mapping = merged.select("source", pick(F.col("given"), F.col("target")).alias("target"), pick(F.when(F.col("given").isNull(), UNMAPPED).otherwise(HIGH), F.col("confidence")).alias("confidence"), pick(F.lit("manual"), F.col("method")).alias("method"), "ordinal", *[pick(F.lit(True), F.col(c)).alias(c) for c in mapping.columns if c == "confirmed"])
     if clash := conflicts(mapping, contract).collect():
         raise MappingError("; ".join(f"{r['target']}: {', '.join(r['sources'])}" for r in clash))
     return mapping
@@ -163,6 +163,14 @@ def apply_template(sources: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.select("source", "target", F.when(F.col("target").isNull(), UNMAPPED).otherwise(HIGH).alias("confidence"), F.lit("template").alias("method"), "ordinal")
 
 
+def merge_template(mapping: DataFrame, pairs: DataFrame) -> DataFrame:
+    """mapping (source, target, confidence, method, ordinal, confirmed), pairs (key, target) of a template, of which a key stands once -> the mapping with the template's targets, confirmed, where a header's key is one of its own; a null target ignores the source. Others stay."""
+    known = pairs.select(F.col("key").alias("__key"), F.col("target").alias("__target"))
+    joined = mapping.join(known, header_key(F.col("source")) == F.col("__key"), "left")
+    pick = lambda new, name: F.when(F.col("__key").isNotNull(), new).otherwise(F.col(name)).alias(name)
+    return joined.select("source", pick(F.col("__target"), "target"), pick(F.when(F.col("__target").isNull(), UNMAPPED).otherwise(HIGH), "confidence"), pick(F.lit("template"), "method"), "ordinal", pick(F.lit(True), "confirmed"))
+
+
 def remember(memory: DataFrame, confirmed: DataFrame) -> DataFrame:
     """memory (schema, key, target, hits), confirmed (schema, source, target) -> memory: a repeated target counts one more hit, another one starts at 1."""
     new = confirmed.where("target is not null").select("schema", header_key(F.col("source")).alias("key"), F.col("target").alias("new")).dropDuplicates(["schema", "key"])

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..errors import NotFoundError, StateError
 from ..model import Contract, TransformSpec, check_transforms, suggest_transforms
 from ..operators import assemble, export, quality, review
-from ..operators.mapping import suggest
+from ..operators.mapping import merge_template, suggest
 from ..operators.profile import profile
 from ..operators.validate import all_issues, validate
 from ..sources.delimited import extension, read_csv
 from ..sources.tables import written
-from ..sources.xlsx import read_xlsx
+from ..sources.xlsx import read_xlsx, workbooks
 
 
 def provided_fields(contract: Contract, mapping: dict[str, str | None], specs: list[TransformSpec], defaults: dict[str, str] | None = None) -> set[str]:
@@ -54,6 +54,7 @@ class Job:
     specs: list[TransformSpec] | None = None
     defaults: dict[str, str] = field(default_factory=dict)
     completed: bool = False
+    template: str | None = None
 
     def __post_init__(self) -> None:
         self._edits: DataFrame | None = None
@@ -97,6 +98,24 @@ class Job:
         self.mapping, self.specs, self._base, self._fresh, self.completed = mapping, suggest_transforms(self.contract, mapping), None, None, False
         self._counts = None
 
+    def apply_template(self, suggested: DataFrame, pairs: DataFrame, specs: list[TransformSpec] | None = None, name: str | None = None) -> DataFrame:
+        """Confirm a suggested mapping with a template's pairs (key, target) put in, and its transformations, if it has any, in place of the job's. Returns that mapping."""
+        merged = merge_template(suggested, pairs)
+        self.confirm({r["source"]: r["target"] for r in merged.orderBy("ordinal").collect()})  # a row a header
+        self.template = name
+        if specs:
+            self.specs = check_transforms(self.contract, specs)
+        return merged
+
+    def report(self, scope: str = "ready") -> DataFrame:
+        view = self.validated()
+        return export.report(view, self.issues(), self.contract.name, self.path.rsplit("/", 1)[-1], scope=scope, mapping=self.mapping, specs=self.specs or [], template=self.template)
+
+    def workbooks(self, scope: str = "ready") -> DataFrame:
+        """(book, content): the exported rows as workbooks, each with the report."""
+        rows = export.guarded(self.exported(scope), self.contract.names)
+        return workbooks(rows, self.contract.names, export.report_rows(self.report(scope).first()))
+
     def _plan(self) -> tuple:
         return self.contract, tuple(self.mapping.items()), tuple(map(repr, self.specs or [])), tuple(self.defaults.items())
 

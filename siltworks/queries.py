@@ -6,6 +6,7 @@ The driver's tables are clean, so dirty text is derived from their keys by the s
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import normalize as N
 from .functions.dimension import country_names
 from .functions.exprs import text
-from .model import Contract, TransformSpec, make_contract
+from .model import Contract, TransformSpec, make_contract, suggest_transforms
 from .operators import assemble, catalog, export, mapping, profile, quality, review, similarity, validate
 from .plans.conform import conform
 from .sources.delimited import read_csv
@@ -213,6 +214,18 @@ def dataset_issues(spark, sf_dir):
     return v.groupBy(F.col("order_id").alias("segment")).agg(F.count("*").alias("n")).join(F.broadcast(whole))
 
 
+@query(f"""WITH {CHECKED}, g AS (SELECT code, severity, field, count(*) AS n, min(message) AS message FROM i GROUP BY 1, 2, 3), top AS (SELECT string_agg(message || ':' || n, '|' ORDER BY n DESC, message) AS top_issues FROM g)
+SELECT 'Customer' AS contract, 'customers.csv' AS file, 'monthly' AS template, 'errors' AS scope, '2024-01-02 03:04:05' AS generated_at, count(*) AS rows, count(*) FILTER (row_status = 'ready') AS ready, count(*) FILTER (row_status = 'error') AS exported,
+  round(100.0 * count(*) FILTER (row_status = 'ready') / count(*), 1) AS ready_pct, 'raw_id>customer_id|raw_name>customer_name|raw_email>email|left>' AS mapping, 'trim:|null_normalize:|email:email' AS transformations, any_value(top_issues) AS top_issues FROM st, top""")
+def import_report_whole(spark, sf_dir):
+    v = written(flagship(spark, sf_dir))
+    told = export.report(v, validate.issue_rows(v), "Customer", "customers.csv", scope="errors", mapping=MAPPING | {"left": None}, specs=suggest_transforms(flagship_contract(), MAPPING), template="monthly", generated_at=datetime(2024, 1, 2, 3, 4, 5))
+    lines = lambda c, f: F.array_join(F.transform(c, f), "|").alias(c)
+    issues = F.array_sort("top_issues", lambda a, b: F.when(a["n"] != b["n"], (b["n"] - a["n"]).cast("int")).when(a["message"] < b["message"], -1).otherwise(1))
+    told = told.withColumn("top_issues", issues)
+    return told.select("contract", "file", "template", "scope", F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"), "rows", "ready", "exported", "ready_pct", lines("mapping", lambda m: F.concat(m["source"], F.lit(">"), F.coalesce(m["target"], F.lit("")))), lines("transformations", lambda t: F.concat(t["kind"], F.lit(":"), F.coalesce(t["target"], F.lit("")))), lines("top_issues", lambda i: F.concat(i["message"], F.lit(":"), i["n"].cast("string"))))
+
+
 # ---- normalizers
 @query(f"WITH {DC} SELECT row_index, raw_name AS raw, {TRIM.format('raw_name')} AS value FROM dc")
 def norm_trim(spark, sf_dir):
@@ -518,7 +531,7 @@ def map_ladder(spark, sf_dir):
 
 
 @query(f"""WITH {_HEADERS}, o AS (SELECT source, k, a, n, CAST(row_number() OVER (ORDER BY source) - 1 AS integer) AS ordinal FROM s WHERE k IN (0, 4) AND a <> 'blue' GROUP BY source, k, CASE WHEN k = 0 THEN a END, a, n),
-f AS (SELECT DISTINCT ON (source) source, k, a, n FROM o) SELECT source, CASE WHEN k = 0 THEN a || '_' || n END AS target, CASE WHEN k = 0 THEN 'HIGH' ELSE 'UNMAPPED' END AS confidence, CASE WHEN k = 0 THEN 'exact' ELSE 'none' END AS method, CAST(row_number() OVER (ORDER BY source) - 1 AS integer) AS ordinal FROM f""")
+f AS (SELECT DISTINCT ON (source) source, k, a, n FROM o) SELECT source, CASE WHEN k = 0 THEN a || '_' || n END AS target, CASE WHEN k = 0 THEN 'HIGH' ELSE 'UNMAPPED' END AS confidence, CASE WHEN k = 0 THEN 'exact' ELSE 'none' END AS method, CAST(row_number() OVER (ORDER BY source) - 1 AS integer) AS ordinal, k = 0 AS confirmed FROM f""")
 def map_suggest(spark, sf_dir):
     """One file's headers: those that are names, and those like none. A header met twice is one."""
     one = _headers(spark, sf_dir).where("k in (0, 4) and a <> 'blue'").select("source").distinct()
@@ -596,6 +609,92 @@ def name_nearest(spark, sf_dir):
     return similarity.nearest_names(_misspelt(part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"))), names, 80)
 
 
+@query("SELECT c_custkey, regexp_replace(c_name, '[0-9]', '9', 'g') AS name, CASE WHEN length(c_mktsegment) > 12 THEN c_mktsegment[:2] || '***' ELSE c_mktsegment END AS segment, 'u***@e***.com' AS mail FROM customer")
+def mask_samples(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", N.mask(F.col("c_name")).alias("name"), N.mask(F.col("c_mktsegment")).alias("segment"), N.mask(F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.com"))).alias("mail"))
+
+
+# ---- predicates
+def _fails(spark, sf_dir, name, key, column, spec):
+    f = make_contract("x", [spec]).fields[0]
+    checks = validate.rule_checks(f, F.col(column).cast("string"))
+    codes = F.array(*[F.when(fails, F.lit(code)) for fails, code, _ in checks])
+    return table(spark, sf_dir, name).select(*key, F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
+
+
+@query("SELECT p_partkey, code FROM (SELECT p_partkey, unnest([CASE WHEN length(p_type) < 18 THEN 'min_length' END, CASE WHEN length(p_type) > 20 THEN 'max_length' END]) AS code FROM part) WHERE code IS NOT NULL")
+def val_length(spark, sf_dir):
+    return _fails(spark, sf_dir, "part", ["p_partkey"], "p_type", {"name": "t", "rules": {"min_length": 18, "max_length": 20}})
+
+
+@query("SELECT p_partkey, 'regex' AS code FROM part WHERE NOT regexp_full_match(p_brand, 'Brand#[1-3]\\d')")
+def val_regex(spark, sf_dir):
+    return _fails(spark, sf_dir, "part", ["p_partkey"], "p_brand", {"name": "b", "rules": {"regex": r"Brand#[1-3]\d"}})
+
+
+@query("SELECT c_custkey, 'enum' AS code FROM customer WHERE lower(c_mktsegment) NOT IN ('building', 'machinery')")
+def val_enum(spark, sf_dir):
+    return _fails(spark, sf_dir, "customer", ["c_custkey"], "c_mktsegment", {"name": "s", "type": "enum", "rules": {"enum": ["Building", "MACHINERY"]}})
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'min' ELSE 'max' END AS code FROM lineitem WHERE l_quantity < 10 OR l_quantity > 45")
+def val_range(spark, sf_dir):
+    return _fails(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_quantity", {"name": "q", "type": "decimal", "rules": {"min": 10, "max": "45"}})
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate < date '1994-01-01' THEN 'min_date' ELSE 'max_date' END AS code FROM orders WHERE CAST(o_orderdate AS date) < date '1994-01-01' OR CAST(o_orderdate AS date) > date '1996-12-31'")
+def val_date_range(spark, sf_dir):
+    return _fails(spark, sf_dir, "orders", ["o_orderkey"], "o_orderdate", {"name": "d", "type": "date", "rules": {"min_date": "1994-01-01", "max_date": "1996-12-31"}})
+
+
+@query(f"WITH {DC} SELECT raw_id AS value FROM dc GROUP BY 1 HAVING count(*) > 1")
+def val_unique(spark, sf_dir):
+    return validate.duplicates(dirty_customer(spark, sf_dir), "raw_id").select(F.col("__v_raw_id").alias("value"))
+
+
+@query(f"WITH {DC} SELECT row_index FROM dc WHERE coalesce(raw_name, '') = ''")
+def val_required(spark, sf_dir):
+    return dirty_customer(spark, sf_dir).where(validate.is_empty(F.col("raw_name"))).select("row_index")
+
+
+def _lines(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), "o_orderstatus")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"), F.col("l_quantity").cast("decimal(12,2)").cast("string").alias("quantity"), "l_returnflag").join(o, "l_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS date) >= CAST(o_orderdate AS date) AS gte, CAST(l_shipdate AS date) < CAST(o_orderdate AS date) AS lt, l_quantity > 30 AS gt, l_quantity <= 12.5 AS lte FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def val_cross_field_compare(spark, sf_dir):
+    c = lambda f, op, v: validate.clause({"field": f, "op": op, "value": v}, F.col)
+    clauses = {"gte": c("shipped", "gte_field", "ordered"), "lt": c("shipped", "lt_field", "ordered"), "gt": c("quantity", "gt", 30), "lte": c("quantity", "lte", "12.5")}
+    return _lines(spark, sf_dir).withColumns(clauses).select("l_orderkey", "l_linenumber", "gte", "lt", "gt", "lte")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_returnflag NOT IN ('A', 'N')")
+def val_cross_field_when_then(spark, sf_dir):
+    when, then = {"field": "o_orderstatus", "op": "eq", "value": "F"}, {"field": "l_returnflag", "op": "in", "value": ["A", "N"]}
+    return _lines(spark, sf_dir).where(validate.clause(when, F.col) & ~validate.clause(then, F.col)).select("l_orderkey", "l_linenumber")
+
+
+# ---- sinks, guards, dashboards
+@query("SELECT k, CASE WHEN k % 4 IN (0, 2) THEN '''' || v ELSE v END AS v FROM (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '=' || c_name WHEN 1 THEN '-' || c_custkey WHEN 2 THEN '@x' ELSE '+972' || lpad(cast(c_custkey AS varchar), 9, '5') END AS v FROM customer)")
+def export_guard(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    v = F.expr("case c_custkey % 4 when 0 then '=' || c_name when 1 then '-' || c_custkey when 2 then '@x' else '+972' || lpad(cast(c_custkey as string), 9, '5') end")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), N.guard(v).alias("v")).where(k.isNotNull())
+
+
+@query("SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) AND NOT regexp_full_match(trim(text), '[+-]?(\\d+([.,]\\d+)?|[.,]\\d+)([eE][+-]?\\d+)?') AND NOT regexp_full_match(trim(text), '\\+\\d[\\d\\s\\-()]{5,}') THEN '''' || text ELSE text END AS text FROM documents")
+def export_guard_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", N.guard(F.col("text")).alias("text"))
+
+
+@query(f"WITH {DC} SELECT count(*) AS n FROM dc WHERE coalesce(trim(raw_name), '') <> '' OR coalesce(trim(raw_country), '') <> ''")
+def blank_row_filter(spark, sf_dir):
+    from .sources.delimited import filled
+
+    return dirty_customer(spark, sf_dir).where(filled(["raw_name", "raw_country"])).agg(F.count("*").alias("n"))
+
+
 _FIELDS_LEFT = f"""{DC}, e AS (SELECT raw_email, {MAIL.format("raw_email")} AS email FROM dc), f AS (SELECT 'email' AS field, 'email_invalid' AS code, email AS value, replace(email, ' ', '') AS fixed, count(*) AS n FROM e WHERE NOT {EMAIL_OK.format("email")} GROUP BY 1, 2, 3, 4),
 k AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS k FROM f), all_ AS (SELECT field, code, value, fixed, n FROM k WHERE k <= 5 AND value <> fixed
   UNION ALL SELECT 'country', 'country_unknown', raw_country, 'IL', count(*) FROM dc WHERE raw_country = 'Isreal' GROUP BY 1, 2, 3, 4)"""

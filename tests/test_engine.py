@@ -84,6 +84,26 @@ def test_edit_and_undo(job):
     job.edits = None
 
 
+def test_template_replaces_transformations(spark, tmp_path):
+    """A template's pairs by header key, an ignored source, and its transformations; the report and the workbook tell of them."""
+    (tmp_path / "t.csv").write_text("E-mail Address,Client,Lives in,Other\n A@X.com ,dana levi,Israel,=1+1\nb@y.com,No One,Spain,z\n")
+    job = Job(spark, str(tmp_path / "t.csv"))
+    suggested = job.suggest_mapping(samples()["Subscriber"])
+    assert all(r["confirmed"] == (r["confidence"] == "HIGH") for r in suggested.collect())
+    pairs = spark.createDataFrame([("emailaddress", "mail"), ("livesin", None), ("absent", "plan")], "key string, target string")
+    merged = {r["source"]: (r["target"], r["confidence"], r["method"], r["confirmed"]) for r in job.apply_template(suggested, pairs, [TransformSpec("trim"), TransformSpec("case", "full_name", {"mode": "upper"}, label="Shout")], "mine").collect()}
+    assert merged["E-mail Address"] == ("mail", "HIGH", "template", True) and merged["Lives in"] == (None, "UNMAPPED", "template", True) and merged["Client"][0] == "full_name" and merged["Other"][0] is None
+    assert [(r["mail"], r["full_name"], r["residence"]) for r in job.validated().orderBy("row_index").collect()] == [("A@X.com", "DANA LEVI", None), ("b@y.com", "NO ONE", None)]
+    told = job.report("all").first()
+    assert (told["template"], told["exported"], told["rows"], [t["kind"] for t in told["transformations"]]) == ("mine", 2, 2, ["trim", "case"]) and told["mapping"][0].asDict() == {"source": "E-mail Address", "target": "mail"}
+    lines = export.report_rows(told)
+    assert ("Source file", "t.csv") in lines and ("Mapping", "") in lines and ("case", "Shout") in lines and ("Lives in", "(ignored)") in lines
+    book = job.workbooks("all").first()["content"]
+    (tmp_path / "b.xlsx").write_bytes(book)
+    sheet, _ = read_xlsx(spark, str(tmp_path / "b.xlsx"), "Import Report")
+    assert ["Template", "mine"] in [list(r)[1:] for r in sheet.collect()]
+
+
 def test_ten_edits(spark, job):
     """Edits give what a full run gives, and their plans don't grow."""
     sizes = []
