@@ -22,7 +22,6 @@ except ImportError:  # named so before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import cascade
 from .common import stash
 
 
@@ -249,10 +248,13 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: str | None = N
         index = stash(postings(base, sorted(set().union(*map(trigrams, demanding.values())))))
         wanted = stash(candidates(index, demanding))
         place = lambda i, r: F.pmod(F.xxhash64(i, r), F.lit(BITS))
-        bits = cascade.gathered(wanted.select(place(F.col("c_id"), F.col("c_row")).alias("at")), BITS)
-        may = cascade.bit(bits, place(F.col("doc_id"), F.col("row")))
-        met = base.where(may).join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")), "left")
-        base = met.select("doc_id", "text", *more, F.coalesce("kinds", kinds).alias("kinds")).union(base.where(~may).select("doc_id", "text", *more, kinds.alias("kinds")))
+        bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+        words = wanted.select(place(F.col("c_id"), F.col("c_row")).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+        # a table of BITS / 64 rows at most
+        told = base.withColumn("at", place(F.col("doc_id"), F.col("row"))).join(F.broadcast(words), F.expr("at div 64") == F.col("word"), "left")
+        told = told.withColumn("may", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)))
+        met = told.where("may").join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")), "left")
+        base = met.select("doc_id", "text", *more, F.coalesce("kinds", kinds).alias("kinds")).union(told.where(~F.col("may")).select("doc_id", "text", *more, kinds.alias("kinds")))
     else:
         base = base.withColumn("kinds", kinds)
     found = [_spans(F.col("text"), r) if queries[r.kind] is True else F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), r)) for r in rules]
