@@ -61,10 +61,10 @@ def delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hot_keys(df: DataFrame, *columns: str, parts: int = 500) -> list:
-    """The values that stand in more than 1/parts of all rows, counted over the columns together; at most parts a column."""
+def hot_keys(df: DataFrame, *columns: str, parts: int = 500, rows: int | None = None) -> list:
+    """The values that stand in more than 1/parts of all rows, counted over the columns together; at most parts a column. ``rows``: how many there are, where it's known."""
     each = df.select(F.explode(F.array(*columns)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    least = df.agg(F.count("*")).first()[0] // parts
+    least = (df.agg(F.count("*")).first()[0] if rows is None else rows) // parts
     return [r["k"] for r in each.where(F.col("n") > max(least, parts)).collect() if r["k"] is not None]
 
 

@@ -8,14 +8,17 @@ all links reach the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, hot_keys, skewed_join, stash
 
 
-def _print(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _kept(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a written table, and their number and checksum, which are taken as they're written."""
+    seen = Observation()
+    out = stash(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,18 +26,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Nodes without a link don't appear. Repeated and reversed links don't matter; an empty table gives an empty one.
     """
-    links = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = _print(links)
+    links, seen = _kept(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
-        hot = hot_keys(links, "a", "b")
+        hot = hot_keys(links, "a", "b", rows=seen[0])
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         up = skewed_join(both.where("b > a"), least, "a", hot).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = up.groupBy("a").agg(F.min("b").alias("m"))
         down = skewed_join(up, low, "a", hot).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        old, links = links, stash(down.union(low.select("a", F.col("m").alias("b"))).distinct())
+        old = links
+        links, now = _kept(down.union(low.select("a", F.col("m").alias("b"))).distinct())
         discard(old)
-        now = _print(links)
         if now == seen:
             break
         seen = now
