@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_BUILT: dict[tuple, tuple] = {}
+
+
+def once(key: tuple, build: Callable[[], object]):
+    """What ``build`` gives, built once a context: expressions on column names alone serve every table, and building long ones takes thousands of calls to the JVM."""
+    context = SparkContext._active_spark_context
+    held = _BUILT.get(key)
+    if held is None or held[0] is not context:
+        if len(_BUILT) > 2000:
+            _BUILT.clear()
+        held = _BUILT[key] = context, build()
+    return held[1]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that's computed once, so that chains of steps stay linear in size.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dimension
 from ..functions import normalize as N
-from ..functions.exprs import blank_to_null, full_match, is_empty, let, strip, text
+from ..functions.exprs import blank_to_null, full_match, is_empty, let, once, strip, text
 from ..model import FIELD_KINDS, Contract, TransformSpec
 
 EMPTY_OVERRIDES = "row_index bigint, overrides map<string,string>"
@@ -167,7 +167,7 @@ def transform(rows: DataFrame, contract: Contract, mapping: dict[str, str | None
         def built(s=s, targets=targets, structs=structs, codes=codes) -> dict[str, Column]:
             step = {}
             for n in targets:
-                got, is_struct = apply(s, F.col(n), F.col, codes.get(n))
+                got, is_struct = once(("apply", repr(s), n, n in codes), lambda n=n: apply(s, F.col(n), F.col, codes.get(n)))
                 step[n if is_struct is None else f"__{n}"] = got
                 structs += [] if is_struct is None else [n]
             return step

@@ -14,7 +14,7 @@ from ..functions import normalize as N
 from ..functions.exprs import blank_to_null, text
 from ..model import Contract
 from ..sources.tables import written
-from .validate import validate, value_counts
+from .validate import recounted, validate, value_counts
 
 EDITS = "seq long, label string, row_index long, field string, before string, after string"
 
@@ -92,28 +92,27 @@ def revalidated(before: DataFrame, counts: Counts, changed: DataFrame, contract:
     Several rows may change at once; row_index must be unique. An edit that changes nothing gives its row as it was.
     """
     plain = [c for c in before.columns if c not in ("issues", "row_status")]
-    changed = written(changed.select(*plain))
+    judged = [c for c in changed.columns if c == "codes" and changed.schema[c].dataType.names]  # what the normalizers found
+    changed = written(changed.select(*plain, *judged))
     unique = [f.name for f in contract.fields if f.unique]
-    rest = before.select(*plain)
-    affected = changed
-    if unique:
-        old = rest.join(changed.select("row_index"), "row_index", "left_semi")
-        changes = written(count_changes(old, changed, contract))
-        was = counts.at(changes.select("field", "value")).withColumnRenamed("n", "was")
-        flipped = changes.join(was, ["field", "value"], "left").select("field", "value", "n", F.coalesce("was", F.lit(0)).alias("was")).where("(was > 1) <> (was + n > 1)")
-        flipped = written(flipped.select("field", "value"))
-        others, hit = rest.join(changed.select("row_index"), "row_index", "left_anti"), F.lit(False)
-        for f in unique:
-            mine = flipped.where(F.col("field") == f).select(F.col("value").alias("__value"), F.lit(True).alias(f"__hit_{f}"))
-            others = others.join(mine, F.col(f) == F.col("__value"), "left").drop("__value")
-            hit = hit | F.coalesce(f"__hit_{f}", F.lit(False))
-        affected = written(others.where(hit).select(*plain).unionByName(changed))
-        counts = counts.changed(changes)
-        values = affected.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in unique])).alias("v")).select("v.*").distinct()
-        now = counts.at(values)
-    else:
-        now = None
-    return validate(affected, contract, provided, now).select(*before.columns), counts
+    if not unique:
+        return validate(changed, contract, provided).select(*before.columns), counts
+    old = before.join(changed.select("row_index"), "row_index", "left_semi")
+    changes = written(count_changes(old, changed, contract))
+    was = counts.at(changes.select("field", "value")).withColumnRenamed("n", "was")
+    flipped = changes.join(was, ["field", "value"], "left").select("field", "value", "n", F.coalesce("was", F.lit(0)).alias("was")).where("(was > 1) <> (was + n > 1)")
+    flipped = written(flipped.select("field", "value"))
+    others, hit = before.join(changed.select("row_index"), "row_index", "left_anti"), F.lit(False)
+    for f in unique:
+        mine = flipped.where(F.col("field") == f).select(F.col("value").alias("__value"), F.lit(True).alias(f"__hit_{f}"))
+        others = others.join(mine, F.col(f) == F.col("__value"), "left").drop("__value")
+        hit = hit | F.coalesce(f"__hit_{f}", F.lit(False))
+    others = written(others.where(hit).select(*before.columns))
+    counts = counts.changed(changes)
+    cells = lambda rows: rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in unique])).alias("v")).select("v.*")
+    now = counts.at(cells(others).union(cells(changed)).distinct())
+    fresh = validate(changed, contract, provided, now).select(*before.columns)
+    return fresh.unionByName(recounted(others, contract, now)), counts
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:

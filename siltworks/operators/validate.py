@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dimension
 from ..functions import normalize as N
-from ..functions.exprs import full_match, is_empty, let, lookup, sealed, text
+from ..functions.exprs import full_match, is_empty, let, lookup, once, sealed, text
 from ..model import ERROR, INFO, WARNING, Contract, FieldSpec
 
 # Severity and message of each type code.
@@ -177,7 +177,7 @@ def validate(rows: DataFrame, contract: Contract, provided: set[str], counts: Da
     met = [f for f in contract.fields if f.type in ("country", "currency") and f.name not in known]
     for f in met:
         out = (dimension.country_codes if f.type == "country" else dimension.currency_codes)(out, F.col(f.name), f"__met_{f.name}")
-    out = out.withColumn("issues", _issues(contract, provided, known))
+    out = out.withColumn("issues", once(("issues", repr(contract), tuple(sorted(provided)), tuple(known)), lambda: _issues(contract, provided, known)))
     out = out.drop("codes", *[f"__dup_{f.name}" for f in contract.fields if f.unique], *[f"__met_{f.name}" for f in met])
     return sealed(out, "row_index").withColumn("row_status", status(F.col("issues")))
 
@@ -204,6 +204,25 @@ def with_duplicates(out: DataFrame, rows: DataFrame, field: str, most: int = 500
     return out.withColumn(f"__dup_{field}", F.coalesce("__hot", "__rest")).drop("__often", "__hot", "__rest", "__part", f"__v_{field}")
 
 
+#: Numbers of a field's issues in the order of a row's.
+PLACES = 12
+
+
+def _duplicate(f: FieldSpec, seq: int) -> Column:
+    return F.when(~is_empty(F.col(f.name)) & F.col(f"__dup_{f.name}"), issue(seq + 1, f.name, ERROR, "duplicate", "Duplicate value", F.col("original")[f.name]))
+
+
+def recounted(validated: DataFrame, contract: Contract, counts: DataFrame) -> DataFrame:
+    """Validated rows of which nothing has changed but how often their values of unique fields occur: ``counts`` (field, value, n) tells."""
+    out = validated
+    for f in contract.fields:
+        if f.unique:
+            out = counted(out, counts, f.name)
+    again = F.array(*[_duplicate(f, PLACES * i) for i, f in enumerate(contract.fields) if f.unique])
+    issues = F.sort_array(F.concat(F.filter("issues", lambda i: i["code"] != "duplicate"), F.filter(again, lambda i: i.isNotNull())))
+    return out.withColumn("issues", issues).withColumn("row_status", status(F.col("issues"))).select(*validated.columns)
+
+
 def _issues(contract: Contract, provided: set[str], known: list[str]) -> Column:
     """A row's issues, in the order of seq; ``known``: fields of which the struct ``codes`` has the type's code."""
     seq, parts, lists = 0, [], []
@@ -213,7 +232,7 @@ def _issues(contract: Contract, provided: set[str], known: list[str]) -> Column:
         if f.required and (f.name in provided or f.default not in (None, "")):
             parts.append(F.when(empty, issue(seq, f.name, ERROR, "required_missing", "Missing required value", original)))
         if f.unique:
-            parts.append(F.when(~empty & F.col(f"__dup_{f.name}"), issue(seq + 1, f.name, ERROR, "duplicate", "Duplicate value", original)))
+            parts.append(_duplicate(f, seq))
         checks = rule_checks(f, v)
         if f.type in N.BY_TYPE:
 
@@ -225,7 +244,7 @@ def _issues(contract: Contract, provided: set[str], known: list[str]) -> Column:
             lists.append(F.when(~empty, let(F.col("codes")[f.name] if f.name in known else type_code(f.type, v, F.col(f"__met_{f.name}") if f.type in ("country", "currency") else None), of_type)))
         else:
             parts += [F.when(~empty & fails, issue(seq + 3 + k, f.name, ERROR, c, m, original)) for k, (fails, c, m) in enumerate(checks)]
-        seq += 12
+        seq += PLACES
     value_of = lambda n: F.col(n) if n in contract.names else text()
     for rule in contract.rules:
         then = rule.get("then")
