@@ -68,12 +68,13 @@ def hot_keys(df: DataFrame, *columns: str, parts: int = 500, rows: int | None =
     return [r["k"] for r in each.where(F.col("n") > max(least, parts)).collect() if r["k"] is not None]
 
 
-def skewed_join(many: DataFrame, few: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``few`` (one narrow row a key) on ``key``: the hot keys, of which there is a bounded number, by a broadcast."""
+def skewed_join(many: DataFrame, few: DataFrame, key: str, hot: list, how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """``many`` joined with ``few`` (one narrow row a key) on ``key``, and the columns ``also``: the hot keys, of which there is a bounded number, by a broadcast."""
+    on = [*also, key]
     if not hot:
-        return many.join(few, key, how)
+        return many.join(few, on, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return many.where(~is_hot).join(few.where(~is_hot), key, how).unionByName(many.where(is_hot).join(F.broadcast(few.where(is_hot)), key, how))
+    return many.where(~is_hot).join(few.where(~is_hot), on, how).unionByName(many.where(is_hot).join(F.broadcast(few.where(is_hot)), on, how))
 
 
 class Bitmap:

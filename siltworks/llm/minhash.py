@@ -204,7 +204,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE, bands:
     # as many links as ids, and few more: each id to the least it is tied to, and that to the others
     least = ties.groupBy("id").agg(F.min("p").alias("m"))
     few = least.select(F.col("id").alias("a"), F.col("m").alias("b")).union(ties.join(least, "id").where("p <> m").select("p", "m").distinct())
-    rest = _block_links(components(few), components(linked), sketch, sets, percent)
+    # families and confirmed components are two graphs, done together
+    done = components(few.select(F.lit(0).alias("g"), "a", "b").union(linked.select(F.lit(1), "a", "b")), "g")
+    family, label = (done.where(F.col("g") == i).drop("g") for i in (0, 1))
+    rest = _block_links(family, label, sketch, sets, percent)
     linked = linked.union(rest)
     discard(tables, ties, sets)
 

@@ -215,6 +215,29 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_jobs(spark):
+    """The driver's memory goes by the shuffles; a path of 3 000 nodes in random order took dozens of jobs."""
+    ids = list(range(3000))
+    random.Random(5).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long").repartition(8)
+    spark.sparkContext.setJobGroup("few-jobs", "components")
+    got = components.components(links)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 10
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(3000)}
+
+
+def test_components_of_graphs_done_together(spark, monkeypatch):
+    """Graphs with the same ids stay apart, also where folds of a few links leave most to the rounds."""
+    monkeypatch.setattr(components, "FOLD", 16)
+    edges = [(0, i, i + 1) for i in range(1, 120)] + [(1, i, i + 2) for i in range(1, 120)] + [(1, 500, i) for i in range(600, 700)]
+    got = components.components(spark.createDataFrame(edges, "g int, a long, b long").repartition(8), "g")
+    assert got.columns == ["g", "id", "component"]
+    odd = {(1, i, 2 - i % 2) for i in range(1, 122)}
+    assert sorted(map(tuple, got.collect())) == sorted({(0, i, 1) for i in range(1, 121)} | odd | {(1, i, 500) for i in (500, *range(600, 700))})
+
+
 # ---- 3
 def test_secrets(docs, empty):
     found = secrets.find(docs)
