@@ -35,8 +35,12 @@ def text(value: str | None = None) -> Column:
     return F.lit(value).cast("string")
 
 
+#: What Unicode calls white space. Trimming these looks at both ends alone; a pattern is tried at each character.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:

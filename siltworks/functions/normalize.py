@@ -226,7 +226,8 @@ def date_of(raw: Column, dayfirst: Column) -> Column:
     """The date of a stripped text, or null: ISO, slashed, or as ``written_date`` reads it."""
     part = lambda i: F.regexp_extract(raw, SLASHED, i)
     iso = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(raw, "yyyy-MM-dd"))
-    return iso.when(raw.rlike(SLASHED), _numbers(part(1), part(2), part(3), dayfirst)).otherwise(written_date(raw, dayfirst))
+    parts = F.struct(part(1).alias("a"), part(2).alias("b"), part(3).alias("y"))
+    return iso.when(raw.rlike(SLASHED), let(parts, lambda p: _numbers(p["a"], p["b"], p["y"], dayfirst))).otherwise(written_date(raw, dayfirst))
 
 
 #: The day, then hour, minute, second, half of the day and zone: an offset, Z, UTC or GMT, or a word of capitals that says nothing.
@@ -237,9 +238,14 @@ _COMPACT = r"^(\d{8})T?(\d{2})(\d{2})(\d{2})?(Z?)$"
 
 
 def _split_clock(raw: Column) -> Column:
+    """Day, hour, minute, second and zone of a text; what it's told by is looked for once."""
+    return let(F.struct(raw.alias("raw"), raw.rlike(_COMPACT).alias("compact"), raw.rlike(_HAS_CLOCK).alias("clock")), _clock_parts)
+
+
+def _clock_parts(x: Column) -> Column:
+    raw, compact, clock = x["raw"], x["compact"], x["clock"]
     part = lambda i: F.regexp_extract(raw, _CLOCK, i)
     packed = lambda i: F.regexp_extract(raw, _COMPACT, i)
-    compact, clock = raw.rlike(_COMPACT), raw.rlike(_HAS_CLOCK)
     pick = lambda i, j, other: F.when(compact, packed(i)).when(clock, part(j)).otherwise(other)
     nothing = F.lit("")
     half = F.when(clock & ~compact, F.lower(F.substring(part(5), 1, 1))).otherwise(nothing)
@@ -263,7 +269,7 @@ def date(c: Column, dayfirst: Column | bool | None = None) -> Column:
         found = F.when(_clock_valid(x), date_of(x["day"], F.coalesce(forced, x["day"].rlike(SLASHED))))
         return let(found, lambda d: F.when(d.isNull(), normalized(x["raw"], F.lit("date_invalid"))).otherwise(normalized(F.date_format(d, "yyyy-MM-dd"), F.when(doubtful, F.lit("date_ambiguous")))))
 
-    return F.when(c.isNull(), normalized(c)).otherwise(let(_split_clock(strip(c)), read))
+    return F.when(c.isNull(), normalized(c)).otherwise(let(let(strip(c), _split_clock), read))
 
 
 def datetime(c: Column, dayfirst: Column | bool | None = None) -> Column:
@@ -277,7 +283,7 @@ def datetime(c: Column, dayfirst: Column | bool | None = None) -> Column:
         zone = F.when(x["zone"].isin("Z", "UTC", "GMT"), F.lit("+00:00")).when(x["zone"].rlike("^[A-Z]"), F.lit("")).otherwise(offset)
         return let(found, lambda d: F.when(d.isNull(), normalized(x["raw"], F.lit("datetime_invalid"))).otherwise(normalized(F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" "), two("h"), F.lit(":"), two("m"), F.lit(":"), two("s"), zone))))
 
-    return F.when(c.isNull(), normalized(c)).otherwise(let(_split_clock(strip(c)), read))
+    return F.when(c.isNull(), normalized(c)).otherwise(let(let(strip(c), _split_clock), read))
 
 
 def url(c: Column) -> Column:

@@ -18,7 +18,7 @@ from .model import Contract, TransformSpec, make_contract, suggest_transforms
 from .operators import assemble, catalog, export, mapping, profile, quality, review, similarity, validate
 from .plans.conform import conform
 from .sources.delimited import read_csv
-from .sources.tables import shared_folder, written
+from .sources.tables import shared_folder, spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -717,7 +717,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phones are of their row's country."""
     contract = make_contract("Places", [{"name": "id", "unique": True}, {"name": "country", "type": "country"}, {"name": "currency", "type": "currency"}, {"name": "phone", "type": "phone"}, {"name": "since", "type": "date"}])
     specs = [*(TransformSpec(k, None) for k in ("trim", "null_normalize")), TransformSpec("country", "country"), TransformSpec("currency", "currency"), TransformSpec("phone", "phone", {"country_field": "country"}), TransformSpec("date", "since", {"dayfirst": True})]
-    return conform(dirty_customer(spark, sf_dir).select("row_index", *PLACES), contract, PLACES, specs)
+    return conform(spread(dirty_customer(spark, sf_dir).select("row_index", *PLACES)), contract, PLACES, specs)
 
 
 _CCY = "CASE raw_ccy WHEN 'usd' THEN 'USD' WHEN 'euro' THEN 'EUR' WHEN '₪' THEN 'ILS' WHEN 'GBP' THEN 'GBP' ELSE raw_ccy END"
@@ -759,7 +759,7 @@ def conform_lines(spark, sf_dir):
     """The whole plan on every line item: prices with signs and groups, slashed dates whose order is inferred, an enum."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_index"), F.col("l_orderkey").cast("string").alias("l_orderkey"), F.concat(F.lit("$"), F.format_number(F.col("l_extendedprice").cast("decimal(12,2)"), 2)).alias("price"), F.date_format("l_shipdate", "dd/MM/yyyy").alias("shipped"), "l_returnflag")
     contract = make_contract("Lines", [{"name": "order_id", "required": True}, {"name": "price", "type": "decimal", "rules": {"max": 50000}}, {"name": "shipped", "type": "date"}, {"name": "flag", "type": "enum", "rules": {"enum": ["a", "n"]}}])
-    v = conform(rows, contract, ORDER_MAPPING)
+    v = conform(spread(rows), contract, ORDER_MAPPING)
     return v.agg(F.count("*").alias("rows"), F.count_if(F.col("row_status") == "ready").alias("ready"), F.count_if(F.col("row_status") == "error").alias("error"), F.max("shipped").alias("last"))
 
 

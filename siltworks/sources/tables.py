@@ -24,3 +24,8 @@ def written(df: DataFrame) -> DataFrame:
     where = shared_folder(df.sparkSession)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def spread(rows: DataFrame, each: int = 3) -> DataFrame:
+    """The rows dealt evenly to ``each`` tasks a core. A file's splits go by its compressed bytes, so small files that need much work a row would leave most cores idle."""
+    return rows.repartition(each * rows.sparkSession.sparkContext.defaultParallelism)

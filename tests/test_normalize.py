@@ -71,3 +71,27 @@ def test_phone_plans():
     assert len(refdata.PHONE_REGIONS) >= 60 and len({r for r, *_ in refdata.PHONE_REGIONS}) == len(refdata.PHONE_REGIONS)
     assert not any(a != b and b.startswith(a) for a in codes for b in codes)
     assert all(len(c) == (1 if c in "17" else 2 if len(c) == 2 else 3) for c in codes)
+
+
+def test_strip_takes_unicode_white_space(spark):
+    """As the pattern did, for every character but surrogates."""
+    from siltworks.functions.exprs import strip
+
+    c = F.expr("char_of")
+    chars = spark.createDataFrame([(chr(i) + "x" + chr(i),) for i in range(0x3100) if i != 0], "char_of string")
+    assert chars.where(strip(c) != F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")).count() == 0
+    assert chars.where(strip(c) == "x").count() == 25
+
+
+def test_patterns_are_tried_once(spark):
+    """A date's clock was looked for at each of its sixteen uses, a bound's digits at each of seven; lines were read in as many tasks as the file has splits."""
+    from siltworks import queries as Q
+    from siltworks.operators.validate import compared
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([("02/01/2024",)], "d string")
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    assert plan(rows.select(N.date(F.col("d"), True).alias("x"))).count(r"\d:\d{2}|\d ?[AaPp]") == 1
+    assert plan(rows.select(compared(F.col("d"), "50000").alias("x"))).count(r"0*(\d*)") == 1
+    for name in ("conform_lines", "places_issues"):
+        assert "RoundRobinPartitioning(12)" in plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001"))
