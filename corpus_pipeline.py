@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.llm import crossparse, minhash, secrets, spbpe, winnow
-from siltworks.llm.common import stash, table
+from siltworks.llm.common import small_batches, stash, table
 from siltworks.llm.queries import held_out
 
 #: SQL can't express cross-parsing, so there's none for the rows.
@@ -24,6 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no letter and go; equal rows go or stay together. Without any label
     all texts with a letter stay. Other columns pass as they are, whatever their names.
     """
+    small_batches(spark)
     return crossparse.known(docs, crossparse.fit(docs.where(~held_out())))
 
 
@@ -32,12 +33,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts, and rows with a null doc_id, are in no group and stay.
     """
+    small_batches(spark)
     gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of a benchmark item occurs. Null and empty texts have none and stay; with an empty benchmark all do."""
+    small_batches(spark)
     return winnow.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -51,6 +54,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: doc_id, n_tokens, the ids and their digests, one row per input row; a null text is empty. Other columns are left out."""
+    small_batches(spark)
     return spbpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True).drop("decoded")
 
 

@@ -25,6 +25,27 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_HELD: dict = {}
+
+
+def held(key, build: Callable):
+    """What ``build`` gives, kept in this process until another key is asked for: a worker is used again by one operator after the other, and holds the tables of the last one only."""
+    if key not in _HELD:
+        _HELD.clear()  # before building, so that both aren't there together
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+#: Bytes of rows that go to a worker at once, and Spark's setting for them. With its own 64 MB a task's whole split is one batch, held twice by the JVM outside its heap and again by the worker.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches are of about BATCH_BYTES (or one row, if that's larger), unless it has a size of its own. Results don't depend on it."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

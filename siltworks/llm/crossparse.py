@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_table, slices
+from .common import byte_table, held, slices
 
 SAMPLE_DOCS, SAMPLE_CHARS, SEGMENT = 48, 800, 512
 _LETTER = byte_table((0x61, 0x7A), (0x80, 0xFF))
@@ -121,16 +121,13 @@ def phrases(cls: np.ndarray, steps: np.ndarray, data: np.ndarray, lanes: np.ndar
             open_, ours, theirs, more = open_[go], ours[go], theirs[go], more[go]
 
 
-_BUILT: dict[int, list] = {}
+def _built(texts: dict[str, bytes]) -> list:
+    return [(lang, np.log2(len(text) + 1), *automaton(text)) for lang, text in sorted(texts.items())]
 
 
 def _judged(texts: dict[str, bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], np.ndarray, np.ndarray]]:
     """Slices of the batches, and for each row the language, score and bits of its column ``text``, and whether that has a letter."""
-    key = hash(tuple(sorted(texts.items())))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = [(lang, np.log2(len(text) + 1), *automaton(text)) for lang, text in sorted(texts.items())]
-    langs = _BUILT[key]
+    langs = held(("languages", *sorted(texts.items())), lambda: _built(texts))
     for whole in batches:
         lowered = pa.RecordBatch.from_arrays([pc.utf8_lower(whole.column(whole.schema.get_field_index("text")))], names=["text"])
         done = 0

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import held
+
 MARK = "▁"
 #: Entries of a task's table of cuts; it's emptied when full. Longer cuts aren't kept.
 TABLE, LONG = 500_000, 64
@@ -194,14 +196,9 @@ class Encoder:
         return out[1:] if self.pieces[ids[0]].startswith(MARK) else out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The process's encoder of a model."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("pieces", path), lambda: Encoder(path))
 
 
 def _kernel(path: str, keep: bool):

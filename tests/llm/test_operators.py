@@ -1,13 +1,16 @@
 """Every operator against its plain version, an exact round trip or held-out accuracy; and the edge cases of each."""
 
+import gc
 import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -718,3 +721,29 @@ def test_pipeline_keeps_odd_rows(spark, docs):
         assert stage(spark, wide, sf).columns == wide.columns, name
     out = {r["doc_id"]: r for r in corpus_pipeline.redact_secrets(spark, docs, sf).collect()}
     assert len(out) == len(TEXTS) and out[1]["text"] is None and any("[SECRET]" in (r["text"] or "") for r in out.values())
+
+
+def test_a_worker_holds_the_tables_of_one_operator():
+    """Workers are used again by stage after stage; each stage's tables used to stay beside those of the others."""
+    model = weakref.ref(spbpe.encoder(public_tokenizers.path("piece_bpe_32k.model")))
+    assert model() is spbpe.encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    assert list(crossparse._judged({"a": b"abc "}, iter([]))) == []
+    gc.collect()
+    assert model() is None
+
+
+def test_pipeline_sends_small_batches(spark):
+    import corpus_pipeline
+    from siltworks.llm.common import BATCH_BYTES, BATCH_SETTING
+
+    docs = spark.range(600, numPartitions=1).selectExpr("id as doc_id", "repeat('some words ', 2000) as text", "'en' as lang")  # 13 MB in a split
+    size = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    spark.conf.unset(BATCH_SETTING)
+    try:
+        assert corpus_pipeline.language(spark, docs, oracle.SMALL).count() == 600
+        assert max(r["n"] for r in docs.mapInArrow(size, "n long").collect()) < 2 * BATCH_BYTES
+        spark.conf.set(BATCH_SETTING, "9m")
+        corpus_pipeline.encode(spark, docs, oracle.SMALL)
+        assert spark.conf.get(BATCH_SETTING) == "9m"
+    finally:
+        spark.conf.unset(BATCH_SETTING)
