@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +30,11 @@ def _bits(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
 
 
 def gathered(at: DataFrame, bits: int) -> bytes:
-    """The bytes in which the bits that stand in the column ``at`` are set; at most one row for each 64 bits reaches the driver."""
-    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
-    out = bytearray(-(-bits // 64) * 8)
-    for r in words.toLocalIterator():
-        out[r["word"] * 8 : r["word"] * 8 + 8] = r["set"].to_bytes(8, "little", signed=True)
-    return bytes(out)
+    """The bytes in which the bits that stand in the column ``at`` are set, by one job; at most one row for each 64 bits reaches the driver."""
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow()
+    out = np.zeros(-(-bits // 64), dtype="<i8")
+    out[words["word"].to_numpy()] = words["set"].to_numpy()
+    return out.tobytes()
 
 
 def bit(data: bytes, at: Column) -> Column:

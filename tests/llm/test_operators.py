@@ -353,6 +353,25 @@ def test_cascade_is_exact(spark):
     assert wrong.isEmpty()
 
 
+def test_bits_are_gathered_by_one_action(spark):
+    """The jobs of a level don't grow with the number of partitions, and its bytes don't depend on it; bits of a word's sign, and words without a bit, are right."""
+    places = {*range(0, 5000, 7), 63, 127, 4999}
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    sc = spark.sparkContext
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("gathered", "")
+        got = cascade.gathered(spark.range(6000).where(F.col("id").isin(*places)).select(F.col("id").alias("at")), 6500)
+        assert len(sc.statusTracker().getJobIdsForGroup("gathered")) <= 3
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == -(-6500 // 64) * 8 and {i for i in range(len(got) * 8) if got[i >> 3] >> (i & 7) & 1} == places
+
+
 # ---- 6
 def test_language(spark, docs, empty):
     model = {"a": b"the quick brown fox and the lazy dog of the north " * 4, "b": b"der schnelle braune fuchs und der faule hund " * 4}
