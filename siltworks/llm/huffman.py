@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -127,11 +129,15 @@ _C2 = np.full(256, OTHER, dtype=np.uint8)  # after the byte C2
 _C2[[0x85, 0xA0]], _C2[[0xAA, 0xB5, 0xBA]], _C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = SPACE, LETTER, NUMBER
 _C3 = np.full(256, LETTER, dtype=np.uint8)  # after the byte C3
 _C3[[0x97, 0xB7]] = OTHER
+#: The kind of every byte as it's written, and its lowered form, for bytes.translate, which is faster than an array's lookup.
+_KINDS, _LOWERED = _ASCII[LOWER].tobytes(), LOWER.tobytes()
 
 
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others in order from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: The same for all bytes as UTF-32, but for the line feed: it's in no word and parts them.
+_CHARS = np.array([b if b == 10 else BYTE_CHARS.get(b, b) for b in range(256)], dtype="<u4")
 
 
 class Words:
@@ -159,31 +165,36 @@ class Words:
         self.bits = max(SLOT_BITS, (2 * self.room).bit_length())
         self.ids = np.zeros(1 << 16, dtype=self.kind)
         self.at = np.zeros(self.room + 1, dtype=np.int64)
-        self.keys = np.zeros((1 << self.bits, 2), dtype=np.uint64)
+        self.keys = np.zeros((2, self.room + 1), dtype=np.uint64)  # by number, so that frequent words, which come early, stand together
         self.slot = np.full(1 << self.bits, -1, dtype=np.int32)  # -1: free
 
+    def other(self, number: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Where the words of these numbers have other hashes; of no word (-1) either may come out."""
+        return np.flatnonzero((self.keys[0].take(number, mode="wrap") != hashes[0]) | (self.keys[1].take(number, mode="wrap") != hashes[1]))
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each pair of hashes in the table, -1 if it isn't there; all probe side by side, by steps of one slot."""
+        """The number of each pair of hashes (two rows) in the table, -1 if it isn't there; all probe side by side, by steps of one slot."""
         mask = (1 << self.bits) - 1
-        out = np.full(len(hashes), -1, dtype=np.int64)
-        pos = (hashes[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
-        open_ = np.arange(len(hashes))
+        pos = (hashes[0] >> np.uint64(64 - self.bits)).view(np.int64)
+        out = self.slot.take(pos)
+        open_ = self.other(out, hashes)
+        pos = pos[open_]
         while len(open_):
-            slot, held, sought = self.slot[pos], self.keys[pos], hashes[open_]
-            hit = (slot >= 0) & (held[:, 0] == sought[:, 0]) & (held[:, 1] == sought[:, 1])
-            out[open_[hit]] = slot[hit]
-            go = ~hit & (slot >= 0)
+            go = out[open_] >= 0  # another word has the slot; a free one ends the search
             open_, pos = open_[go], (pos[go] + 1) & mask
+            out[open_] = self.slot[pos]
+            left = self.other(out[open_], hashes[:, open_])
+            open_, pos = open_[left], pos[left]
         return out
 
     def place(self, hashes: np.ndarray) -> None:
         """Put distinct new pairs in, numbered from n on."""
         mask = (1 << self.bits) - 1
-        open_, pos = np.arange(len(hashes)), (hashes[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.keys[:, self.n : self.n + hashes.shape[1]] = hashes
+        open_, pos = np.arange(hashes.shape[1]), (hashes[0] >> np.uint64(64 - self.bits)).view(np.int64)
         while len(open_):
             _, first = np.unique(pos, return_index=True)  # of those that meet in a slot the first takes it
             take = first[self.slot[pos[first]] < 0]
-            self.keys[pos[take]] = hashes[open_[take]]
             self.slot[pos[take]] = self.n + open_[take]
             left = np.ones(len(open_), dtype=bool)
             left[take] = False
@@ -191,12 +202,12 @@ class Words:
 
     def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """The library's model on new words, in the characters that stand for their bytes."""
-        tokenize = self.model.tokenize
-        parts = [[t.id for t in tokenize(w.decode("latin-1").translate(BYTE_CHARS))] for w in words]
-        ends = self.at[self.n] + np.cumsum([len(p) for p in parts])
+        chars = _CHARS[np.frombuffer(b"\n".join(words), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        parts = list(map(self.model.tokenize, chars.split("\n")))
+        ends = self.at[self.n] + np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
         if ends[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(int(ends[-1]), dtype=self.kind)))
-        self.ids[self.at[self.n] : ends[-1]] = [i for p in parts for i in p]
+        self.ids[self.at[self.n] : ends[-1]] = np.fromiter(map(attrgetter("id"), chain.from_iterable(parts)), dtype=self.kind, count=int(ends[-1] - self.at[self.n]))
         self.at[self.n + 1 : self.n + 1 + len(parts)] = ends
         self.place(hashes)
         self.n += len(parts)
@@ -215,17 +226,17 @@ class Words:
     def split(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lowered bytes of plain texts, and starts and ends of the words in them."""
         n = len(data)
-        low = LOWER[data]
-        before = np.concatenate((np.zeros(1, np.uint8), data[:-1]))
-        after_c2, after_c3 = before == 0xC2, before == 0xC3
-        low[after_c3 & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
-        kind = _ASCII[low]
-        kind = np.where(after_c2, _C2[low], np.where(after_c3, _C3[low], kind))
-        lead = (data == 0xC2) | (data == 0xC3)
-        kind[:-1][lead[:-1]] = kind[1:][lead[:-1]]
+        raw = data.tobytes()
+        low = np.frombuffer(bytearray(raw.translate(_LOWERED)), dtype=np.uint8)
+        kind = np.frombuffer(bytearray(raw.translate(_KINDS)), dtype=np.uint8)
+        lead = np.flatnonzero(data >= 0xC2)
+        lead = lead[lead + 1 < n]
+        after, second, c3 = lead + 1, data[lead + 1], data[lead] == 0xC3
+        low[after] += np.uint8(32) * (c3 & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
+        kind[lead] = kind[after] = np.where(c3, _C3[second], _C2[second])
         border = np.ones(n + 1, dtype=bool)
         border[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
-        border[:-1][after_c2 | after_c3] = False  # a character isn't cut
+        border[after] = False  # a character isn't cut
         border[offs] = True
         # a lone apostrophe before s, t, m, d, re, ve or ll is one word with it
         mark = np.flatnonzero(low == 39)
@@ -247,19 +258,21 @@ class Words:
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts, end to end with an end id after each, and their number in each."""
         low, starts, ends = self.split(data, offs) if len(data) else (data, offs[:0], offs[:0])
-        hashes = np.zeros((len(starts), 2), dtype=np.uint64)
-        hashes[:, 0] = word_hash(low, starts, ends)
+        hashes = np.zeros((2, len(starts)), dtype=np.uint64)
+        hashes[0] = word_hash(low, starts, ends)
         long = np.flatnonzero(ends - starts > 7)
-        hashes[long, 1] = word_hash(low, starts[long], ends[long], 1)
+        hashes[1, long] = word_hash(low, starts[long], ends[long], 1)
         place = self.find(hashes)
-        if (place < 0).any():
-            first = _distinct(hashes, np.flatnonzero(place < 0))
+        lost = np.flatnonzero(place < 0)
+        if len(lost):
+            first = _distinct(hashes, lost)
             if self.n + len(first) > self.room:
-                first = _distinct(hashes, np.arange(len(hashes)))
+                lost = np.arange(len(starts))
+                first = _distinct(hashes, lost)
                 self.clear(len(first))
             raw, a, b = low.tobytes(), starts[first].tolist(), ends[first].tolist()
-            self.add(hashes[first], [raw[x:y] for x, y in zip(a, b, strict=True)])
-            place = self.find(hashes)
+            self.add(hashes[:, first], [raw[x:y] for x, y in zip(a, b, strict=True)])
+            place[lost] = self.find(hashes[:, lost])
         size, at = self.at[place + 1] - self.at[place], self.at[place]
         total = np.cumsum(size)
         ids = self.ids[np.repeat(at - total + size, size) + np.arange(total[-1] if len(total) else 0)]
@@ -269,9 +282,9 @@ class Words:
 
 def _distinct(hashes: np.ndarray, among: np.ndarray) -> np.ndarray:
     """One place, of those given, of each pair."""
-    order = among[np.lexsort((hashes[among, 1], hashes[among, 0]))]
+    order = among[np.lexsort((hashes[1, among], hashes[0, among]))]
     turn = np.ones(len(order), dtype=bool)
-    turn[1:] = (hashes[order[1:]] != hashes[order[:-1]]).any(axis=1)
+    turn[1:] = (hashes[:, order[1:]] != hashes[:, order[:-1]]).any(axis=0)
     return order[turn]
 
 

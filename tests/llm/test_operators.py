@@ -495,6 +495,27 @@ def test_words_as_the_library():
     assert got == [[*e.ids, 1] for e in want]
 
 
+@pytest.mark.parametrize("table", [None, 40])
+def test_known_words_are_sought_once(monkeypatch, table):
+    """Only what wasn't found is sought again, after new words are put in; a table that fills up, in which words meet in slots, gives the same ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known = ["the", "of", "Größe", "einerseits", "übermäßig", "dont"]
+    batches = [[" ".join([*R.choices(known, k=300), f"n{'abcdefghij'[i]}{'klmnopqrst'[j]}ewword", f"é{'abcdefghij'[i]}{'klmnopqrst'[j]}"]) for j in range(10)] for i in range(10)]
+    sought, find = [], huffman.Words.find
+    monkeypatch.setattr(huffman.Words, "find", lambda self, hashes: (sought.append(hashes.size // 2), find(self, hashes))[1])
+    monkeypatch.setattr(huffman, "_WORDS", {})
+    if table:
+        monkeypatch.setattr(huffman, "TABLE", table)
+        monkeypatch.setattr(huffman, "SLOT_BITS", 5)
+    records = [pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts, pa.string())], names=["doc_id", "text"]) for texts in batches]
+    got = [np.frombuffer(x, "<u2").tolist() for out in huffman._encode(path)(iter(records)) for x in out.column(4).to_pylist()]
+    lib = Tokenizer.from_file(path)
+    assert got == [[*lib.encode(t, add_special_tokens=False).ids, 1] for texts in batches for t in texts]
+    assert table or sum(sought) <= 100 * 302 + 10 * 302 + 90 * 2  # all words, those of the first batch again, and the new ones of the others
+
+
 # ---- 9
 @pytest.mark.parametrize("more", [{}, {"hot": 1}, {"span": 24, "gram": 8, "batch_bytes": 3000}])
 def test_repeats(spark, empty, more):
