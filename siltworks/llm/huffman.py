@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 from operator import attrgetter
 
 import numpy as np
@@ -136,8 +136,8 @@ _KINDS, _LOWERED = _ASCII[LOWER].tobytes(), LOWER.tobytes()
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others in order from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-#: The same for all bytes as UTF-32, but for the line feed: it's in no word and parts them.
-_CHARS = np.array([b if b == 10 else BYTE_CHARS.get(b, b) for b in range(256)], dtype="<u4")
+#: The same for all bytes, as UTF-32.
+_CHARS = np.array([BYTE_CHARS.get(b, b) for b in range(256)], dtype="<u4")
 
 
 class Words:
@@ -202,8 +202,8 @@ class Words:
 
     def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """The library's model on new words, in the characters that stand for their bytes."""
-        chars = _CHARS[np.frombuffer(b"\n".join(words), dtype=np.uint8)].tobytes().decode("utf-32-le")
-        parts = list(map(self.model.tokenize, chars.split("\n")))
+        chars = _CHARS[np.frombuffer(b"".join(words), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        parts = [self.model.tokenize(chars[a:b]) for a, b in pairwise(accumulate(map(len, words), initial=0))]
         ends = self.at[self.n] + np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
         if ends[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(int(ends[-1]), dtype=self.kind)))
@@ -233,7 +233,8 @@ class Words:
         lead = lead[lead + 1 < n]
         after, second, c3 = lead + 1, data[lead + 1], data[lead] == 0xC3
         low[after] += np.uint8(32) * (c3 & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
-        kind[lead] = kind[after] = np.where(c3, _C3[second], _C2[second])
+        kind[after] = both = np.where(c3, _C3[second], _C2[second])
+        kind[lead] = both
         border = np.ones(n + 1, dtype=bool)
         border[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
         border[after] = False  # a character isn't cut

@@ -516,6 +516,21 @@ def test_known_words_are_sought_once(monkeypatch, table):
     assert table or sum(sought) <= 100 * 302 + 10 * 302 + 90 * 2  # all words, those of the first batch again, and the new ones of the others
 
 
+def test_words_beside_broken_text(monkeypatch):
+    """A line feed after half a character is taken for a part of its word; the new words beside it keep their own ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [b"one \xc3\n two", b"brandnewish words follow", "übrigens größer".encode()]
+    ends = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int32)
+    column = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(texts)))
+    monkeypatch.setattr(huffman, "_WORDS", {})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3)), column], names=["doc_id", "text"])
+    got = [np.frombuffer(x, "<u2").tolist() for out in huffman._encode(path)(iter([batch])) for x in out.column(4).to_pylist()]
+    lib = Tokenizer.from_file(path)
+    assert got[1:] == [[*lib.encode(t.decode(), add_special_tokens=False).ids, 1] for t in texts[1:]]
+
+
 # ---- 9
 @pytest.mark.parametrize("more", [{}, {"hot": 1}, {"span": 24, "gram": 8, "batch_bytes": 3000}])
 def test_repeats(spark, empty, more):
